@@ -12,6 +12,7 @@ there are domains, and a document's rate is a fold over the rounds' gradients.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +27,17 @@ class Settings:
     rows: int = 4000  # labelled documents used for fitting
     words: int = 5000  # words that the classifier knows
     least: int = 3  # documents that must have a word
+    clear: float = 4.0  # standard deviations by which a word's count in a domain must differ
     sharpness: float = 0.5  # of the posteriors: evidence is scaled by this
     rounds: int = 40
     tolerance: float = 1e-6  # of the largest target
 
 
+def label_domains(labels: DataFrame) -> DataFrame:
+    """labels(doc_id, quality, toxic) -> (id, domain): toxic, else poor or good by quality."""
+    return labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("good").alias("domain"))
+
+
 def marks(text: Column) -> Column:
     """Shape marks of a text: symbols, capitals, bars, digits and repeats, in steps."""
     n = F.greatest(F.length(text), F.lit(1))
@@ -64,14 +71,14 @@ def fit_terms(docs: DataFrame, labelled: DataFrame, domains: list[str], s: Setti
     total = sum(sizes.values())
     held = [F.count_if(F.col("domain") == d).alias(f"has{k}") for k, d in enumerate(domains)]
     counted = chosen.select("id", "term", "domain").groupBy("term").agg(F.count("*").alias("df"), *held).filter(F.col("df") >= s.least)
-    odds = []
+    odds, apart = [], []
     for k, d in enumerate(domains):
         own, n = F.col(f"has{k}"), sizes.get(d, 0)
         odds.append(F.log((own + 0.5) / (n + 1)) - F.log((F.col("df") - own + 0.5) / (total - n + 1)))
-    evidence = sum((F.abs(o) * F.sqrt(F.col("df")) for o in odds), F.lit(0.0))
-    model = counted.select("term", *[o.alias(f"w{k}") for k, o in enumerate(odds)], evidence.alias("evidence")).orderBy(F.desc("evidence"), "term").limit(s.words).drop("evidence")
-    import math
-
+        share = n / total if total else 0.0
+        apart.append(F.abs(own - F.col("df") * share) / F.sqrt(F.col("df") * max(share * (1 - share), 1e-9)))
+    # terms that chance does not explain, clearest first
+    model = counted.select("term", *[o.alias(f"w{k}") for k, o in enumerate(odds)], F.greatest(F.lit(0.0), *apart).alias("apart")).filter(F.col("apart") >= s.clear).orderBy(F.desc("apart"), "term").limit(s.words).drop("apart")
     return cut(model), {d: math.log((sizes.get(d, 0) + 0.5) / (total - sizes.get(d, 0) + 0.5)) for d in domains}
 
 

@@ -12,12 +12,8 @@ from citygrid.llm.common import table
 WEIGHTS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
 
 
-def domains(labels: DataFrame) -> DataFrame:
-    return labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("good").alias("domain"))
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), WEIGHTS)
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")), WEIGHTS)
 
 
 def held_out() -> F.Column:

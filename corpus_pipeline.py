@@ -40,8 +40,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents are to have a hundredth of their tokens, all others as many as now,
     without repeating any."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("domain"))
-    mixed = mixing.mix_documents(docs, labels, {"clean": 1.0, "toxic": 0.01}, mixing.Settings(sharpness=1.0), top=1.0, absolute=True)
+    mixed = mixing.mix_documents(docs, mixing.label_domains(table(spark, sf_dir, "labels")), {"good": 1.0, "poor": 1.0, "toxic": 0.01}, top=1.0, absolute=True)
     return mixing.apply_copies(docs, mixed)
 
 
