@@ -10,8 +10,9 @@ on the exact sets, so no link is lost and none is false.
 
 Documents with equal sets are one class from the start. A bucket of documents that
 share a segment is not expanded into pairs: members are verified against one leader
-a round, for a few rounds; then only pairs whose ends are still in different components
-are left to verify.
+a round, for a few rounds. Buckets whose members are then still in more than one
+component are compared in full: small ones pair by pair across components, large ones
+block against block inside a task that returns no more rows than it has members.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citygrid.graph import connected_components
@@ -79,8 +81,9 @@ class Bands:
         return [(b, self.apart(self.lows[b + 1] - 1, self.lows[b + 1] - 1) + 1) for b in bands]
 
     def segments(self, shingles: np.ndarray) -> np.ndarray:
-        """Keys of the sketch's segments. Empty segments have none where the others are
-        enough for the pigeonhole."""
+        """Keys of the first segments of the sketch: one more than a set of this size can
+        differ from any that it links with. The smaller of two linked sets has no more of
+        them than the larger, and one of its own is equal in both."""
         size, out = len(shingles), []
         need = self.apart(size, size * 100 // self.percent) + 1
         for band, parts in self.of(size):
@@ -90,31 +93,57 @@ class Bands:
             place, flips = place[order], mix(flips)[order]
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             held, parity = place[first], np.bitwise_xor.reduceat(flips, first)
+            fit = held < U(need)
+            held, parity = held[fit], parity[fit]
             if len(held) < need:
-                missing = np.setdiff1d(np.arange(parts, dtype=U), held)
+                missing = np.setdiff1d(np.arange(need, dtype=U), held)
                 held, parity = np.concatenate([held, missing]), np.concatenate([parity, np.zeros(len(missing), U)])
             out.append(mix(parity + mix(held + U(band << 32))))
         return np.concatenate(out)
 
 
-def sketches(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """-> id, n, d1, d2 (digest of the set), keys (of the segments)."""
-    bands = Bands(percent)
+def sizes(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """-> id, n, d1, d2: size and digest of each document's set."""
 
     def run(batches):
         cache = GenerationalCache(word_hash, 250_000)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t, words, cache) for t in batch.column(1).slice(at, 256).to_pylist()]
-                d1 = np.array([mix(x).sum() if len(x) else 0 for x in sets], U)
-                d2 = np.array([np.bitwise_xor.reduce(mix(x + U(99))) if len(x) else 0 for x in sets], U)
-                keys = [bands.segments(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 256), pa.array([len(x) for x in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists(keys)], ["id", "n", "d1", "d2", "keys"]
-                )
+                found = [digest(shingle_set(t, words, cache)) for t in batch.column(1).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *(pa.array(c, pa.int64()) for c in zip(*found))], ["id", "n", "d1", "d2"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
+    return given.mapInArrow(run, "id long, n long, d1 long, d2 long")
+
+
+def digest(shingles: np.ndarray) -> tuple[int, int, int]:
+    if not len(shingles):
+        return 0, 0, 0
+    return len(shingles), int(mix(shingles).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(shingles + U(99))).view(np.int64))
+
+
+def entries(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """-> key, d1: a row per segment of each set. A task gives those of equal sets once
+    as long as it remembers them, so a group of copies adds a few rows per task."""
+    bands = Bands(percent)
+
+    def run(batches):
+        cache = GenerationalCache(word_hash, 250_000)
+        seen = GenerationalCache(lambda d: [], 100_000)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                keys, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for t in batch.column(0).slice(at, 256).to_pylist():
+                    x = shingle_set(t, words, cache)
+                    mark = digest(x)
+                    if len(x) and not seen[mark]:
+                        seen[mark].append(True)
+                        keys.append(bands.segments(x).view(np.int64))
+                        of.append(np.full(len(keys[-1]), mark[1], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(of))], ["key", "d1"])
+
+    given = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
+    return given.mapInArrow(run, "key long, d1 long")
 
 
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -147,16 +176,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     links reach. Null and empty texts link with nothing; a null id gets a null
     component. Rows that repeat an id are one node. Other columns are ignored.
     """
-    sketched = cut(sketches(docs, words, percent, id_col, text_col))
+    sketched = cut(sizes(docs, words, id_col, text_col))
     usable = sketched.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = usable.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
-    keyed = usable.groupBy("n", "d1", "d2").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("rep"))
-    entries = keyed.select("rep", F.explode("keys").alias("key"))
-    tell = [F.count("*").alias("size"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x2")]
-    shared = entries.groupBy("key").agg(*tell).filter("size > 1")
-    # buckets with the same members are one
-    buckets = shared.groupBy("size", "least", "x1", "x2").agg(F.min("key").alias("key"))
-    members = cut(entries.join(buckets.select("key"), "key"))
+    classes = usable.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
+    members = cut(shared(entries(docs, words, percent, id_col, text_col), classes))
 
     ids = members.select("rep").distinct().join(classes.select("rep", "n", "d1"), "rep").groupBy("rep").agg(F.min(F.struct("n", "d1")).alias("c")).select("rep", "c.n", "c.d1")
     sets = cut(sets_of(docs, ids, words, id_col, text_col))
@@ -186,8 +209,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(r)), F.col("rep"), F.col("part"))).alias("lead"))
             pairs = held.join(lead.select("key", F.col("lead.rep").alias("a"), F.col("lead.part").alias("of")), "key").filter("part != of").select("a", F.col("rep").alias("b"))
         else:
-            other = held.select("key", F.col("rep").alias("b"), F.col("part").alias("of"))
-            pairs = held.join(other, "key").filter("part < of").select(F.col("rep").alias("a"), "b")
+            # small buckets: pairs across components; large ones: block against block
+            held = held.join(held.groupBy("key").agg(F.count("*").alias("size")), "key")
+            other = held.filter(F.col("size") <= SMALL).select("key", F.col("rep").alias("b"), F.col("part").alias("of"))
+            pairs = held.filter(F.col("size") <= SMALL).join(other, "key").filter("part < of").select(F.col("rep").alias("a"), "b")
+            found = found.unionByName(cut(in_blocks(held.filter(F.col("size") > SMALL), sets, percent)))
         new = cut(verified(pairs))
         found = new if found is None else found.unionByName(new)
     parts = connected_components(found.unionByName(links))
@@ -196,6 +222,68 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     )
 
 
+def shared(given: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, rep) of segments that more than one set has; buckets with the same members are one."""
+    of_key = Window.partitionBy("key")
+    more = given.select("key", "d1", F.min("d1").over(of_key).alias("p"), F.max("d1").over(of_key).alias("q")).filter("p != q").select("key", "d1").distinct()
+    held = cut(more.join(classes.select("d1", "rep"), "d1").select("key", "rep"))
+    told = held.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x2"))
+    one = told.groupBy("size", "least", "x1", "x2").agg(F.min("key").alias("key"))
+    return held.join(one.select("key"), "key")
+
+
+#: A bucket of at most so many members is compared pair by pair.
+SMALL = 48
+BLOCK = 256
+
+
+def in_blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, size) -> links (a, b) that span the components inside each bucket.
+
+    A bucket's members are dealt into blocks; a task compares two blocks by products of
+    their 0/1 matrices and returns no more rows than it has members.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = held.select("key", "rep", blocks.alias("n_blocks")).withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("n_blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, n_blocks - 1)"))).select("key", "rep", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+
+    def compare(pdf):
+        pdf = pdf.sort_values("rep")
+        left, right = (pdf, pdf) if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else (pdf[pdf["own"] == pdf["lo"]], pdf[pdf["own"] == pdf["hi"]])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        common = np.zeros((len(left), len(right)), np.float32)
+        sides = []
+        for side in (left, right):
+            n = side["shingles"].map(len).to_numpy()
+            sides.append((np.concatenate(side["shingles"].to_list()), np.repeat(np.arange(len(side)), n), n))
+        both = np.intersect1d(sides[0][0], sides[1][0])
+        for at in range(0, len(both), 4096):
+            part = both[at : at + 4096]
+            ones = []
+            for values, rows, n in sides:
+                place = np.searchsorted(part, values).clip(max=len(part) - 1)
+                hit = part[place] == values
+                m = np.zeros((len(n), len(part)), np.float32)
+                m[rows[hit], place[hit]] = 1
+                ones.append(m)
+            common += ones[0] @ ones[1].T
+        common = common.astype(np.int64)
+        linked = 100 * common >= percent * (sides[0][2][:, None] + sides[1][2] - common)
+        x, y = left["rep"].to_numpy(), right["rep"].to_numpy()
+        lx, ly, high = x.copy(), y.copy(), np.iinfo(np.int64).max
+        while True:
+            to_y = np.minimum(ly, np.where(linked, lx[:, None], high).min(0))
+            to_x = np.minimum(lx, np.where(linked, to_y, high).min(1))
+            if (to_y == ly).all() and (to_x == lx).all():
+                break
+            lx, ly = to_x, to_y
+        out = pd.DataFrame({"a": np.concatenate([lx, ly]), "b": np.concatenate([x, y])})
+        return out[out["a"] != out["b"]].drop_duplicates()
+
+    return dealt.join(sets, "rep").groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is the component's; of rows that repeat an id, all.
 
