@@ -2,5 +2,38 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from citygrid.bindings import BINDINGS, frame
+from citygrid.operators import OPERATORS, attributes, colours, features, meshes, places, scenes, spatial, telemetry  # noqa: F401
+
+
+def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An operator over the views of ``sf_dir``; inputs that are operators run first."""
+    op = OPERATORS[name]
+    return op(**{i: run(spark, sf_dir, i) if i in OPERATORS else frame(spark, sf_dir, i) for i in op.inputs})
+
+
+def sql(name: str) -> str:
+    """The oracle of an operator over the given tables, as one statement."""
+    parts: dict[str, str] = {}
+
+    def add(n: str) -> None:
+        key = f"b_{n}"
+        if key in parts or n not in OPERATORS and n not in BINDINGS:
+            return
+        if n in OPERATORS:
+            inputs, text = OPERATORS[n].inputs, OPERATORS[n].duck or OPERATORS[n].text
+        else:
+            given, text = BINDINGS[n]
+            inputs, text = given.split(), text if isinstance(text, str) else text[1]
+        for i in inputs:
+            add(i)
+        parts[key] = text.format(**{i: f"b_{i}" if i in OPERATORS or i in BINDINGS else i for i in inputs})
+
+    add(name)
+    return "WITH RECURSIVE " + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in parts.items()) + f"\nSELECT * FROM b_{name}"
+
+
+QUERIES = {n: (lambda spark, sf_dir, n=n: run(spark, sf_dir, n)) for n in OPERATORS}
+SQL = {n: sql(n) for n in OPERATORS}
