@@ -54,12 +54,12 @@ SELECT CAST(s_suppkey AS BIGINT) AS design_id, n_nationkey AS ord, CASE WHEN n_n
 SELECT event_id, user_id % 10 AS run_id, CASE WHEN event_id % 2 = 0 THEN 'main' ELSE 'worker' END AS scope, event_type AS name,
  CASE event_type WHEN 'click' THEN 'view' WHEN 'purchase' THEN 'view' WHEN 'error' THEN 'click' END AS parent, unix_millis(CAST(ts AS TIMESTAMP)) AS ms, value AS duration_ms FROM {events}""", """
 SELECT event_id, user_id % 10 AS run_id, CASE WHEN event_id % 2 = 0 THEN 'main' ELSE 'worker' END AS scope, event_type AS name,
- CASE event_type WHEN 'click' THEN 'view' WHEN 'purchase' THEN 'view' WHEN 'error' THEN 'click' END AS parent, epoch_ms(ts) AS ms, value AS duration_ms FROM {events}""")),
-    "clicks": ("events", ("SELECT event_id, user_id, event_type, unix_millis(CAST(ts AS TIMESTAMP)) AS ms, value FROM {events}", "SELECT event_id, user_id, event_type, epoch_ms(ts) AS ms, value FROM {events}")),
+ CASE event_type WHEN 'click' THEN 'view' WHEN 'purchase' THEN 'view' WHEN 'error' THEN 'click' END AS parent, epoch_us(ts) // 1000 AS ms, value AS duration_ms FROM {events}""")),
+    "clicks": ("events", ("SELECT event_id, user_id, event_type, unix_millis(CAST(ts AS TIMESTAMP)) AS ms, value FROM {events}", "SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, value FROM {events}")),
     "jobs": ("events", ("""
 SELECT event_id, user_id AS session_id, concat('j', CAST(user_id AS STRING), '-', CAST(CAST(floor(event_id/200) AS BIGINT) AS STRING)) AS job_id, unix_millis(CAST(ts AS TIMESTAMP)) AS ms,
  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, value AS progress FROM {events}""", """
-SELECT event_id, user_id AS session_id, concat('j', CAST(user_id AS STRING), '-', CAST(CAST(floor(event_id/200) AS BIGINT) AS STRING)) AS job_id, epoch_ms(ts) AS ms,
+SELECT event_id, user_id AS session_id, concat('j', CAST(user_id AS STRING), '-', CAST(CAST(floor(event_id/200) AS BIGINT) AS STRING)) AS job_id, epoch_us(ts) // 1000 AS ms,
  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, value AS progress FROM {events}""")),
     "places": ("customer nation region", """
 SELECT c_custkey AS place_ord, concat('N', CAST(c_custkey % 1200 AS STRING)) AS id, c_name AS name, n_name AS city, r_name AS country,

@@ -54,4 +54,5 @@ SELECT r, c, round((coalesce(lag(z) OVER (PARTITION BY c ORDER BY r), z) + z + c
 
 operator("terrain_under_features", "grid buildings", """
 WITH p AS (SELECT ord, CAST(floor((cx + 900) / 1800 * 62) AS BIGINT) AS c, CAST(floor((cy + 900) / 1800 * 62) AS BIGINT) AS r, (cx + 900) / 1800 * 62 - floor((cx + 900) / 1800 * 62) AS fc, (cy + 900) / 1800 * 62 - floor((cy + 900) / 1800 * 62) AS fr FROM {buildings})
-SELECT p.ord, round((g00.z * (1 - fc) + g01.z * fc) * (1 - fr) + (g10.z * (1 - fc) + g11.z * fc) * fr, 6) AS lift FROM p JOIN {grid} g00 ON g00.r = p.r AND g00.c = p.c JOIN {grid} g01 ON g01.r = p.r AND g01.c = p.c + 1 JOIN {grid} g10 ON g10.r = p.r + 1 AND g10.c = p.c JOIN {grid} g11 ON g11.r = p.r + 1 AND g11.c = p.c + 1""")
+SELECT p.ord, round((z00 * (1 - fc) + z01 * fc) * (1 - fr) + (z10 * (1 - fc) + z11 * fc) * fr, 6) AS lift FROM p JOIN (
+ SELECT r, c, z AS z00, z01, lead(z) OVER (PARTITION BY c ORDER BY r) AS z10, lead(z01) OVER (PARTITION BY c ORDER BY r) AS z11 FROM (SELECT *, lead(z) OVER (PARTITION BY r ORDER BY c) AS z01 FROM {grid} WHERE r < 64) q) g ON g.r = p.r AND g.c = p.c""")

@@ -64,7 +64,7 @@ SELECT design_id, osm_id, manual, place FROM (SELECT design_id, osm_id, manual,
 
 operator("override_apply", "overrides resolve_heights designs", """
 WITH last_of AS (SELECT design_id, osm_id, max_by(hidden, ord) AS hidden, max_by(coalesce(height_scale, 1e0), ord) AS height_scale FROM {overrides} WHERE layer = 'building' GROUP BY design_id, osm_id)
-SELECT d.design_id, h.osm_id, round(h.height_m * coalesce(o.height_scale, 1e0), 6) AS height_m, h.height_m * coalesce(o.height_scale, 1e0) >= 40 AS is_tall
+SELECT d.design_id, h.osm_id, round(h.height_m * coalesce(o.height_scale, 1e0), 3) AS height_m, h.height_m * coalesce(o.height_scale, 1e0) >= 40 AS is_tall
 FROM {designs} d JOIN {resolve_heights} h ON h.scene_id = d.scene_id LEFT JOIN last_of o ON o.design_id = d.design_id AND o.osm_id = h.osm_id WHERE coalesce(o.hidden, false) = false""")
 
 operator("override_groups", "overrides", """
