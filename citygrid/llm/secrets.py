@@ -187,6 +187,8 @@ class Tagger:
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         words = text.split()
+        if not words:
+            return []
         plain = list(map(self.cache.__getitem__, words))
         plain[0] = plain[-1] = False
         odd, k = [], -1
