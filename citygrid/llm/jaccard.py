@@ -233,7 +233,7 @@ def shared(given: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 #: A bucket of at most so many members is compared pair by pair.
-SMALL = 48
+SMALL = 256
 BLOCK = 256
 
 
