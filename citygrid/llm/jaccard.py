@@ -5,12 +5,16 @@ no more bits than their shingle sets differ in elements. The bits are dealt into
 segments, one more than the largest difference that a linked pair of the size band
 can have: in a linked pair at least one segment is equal in both (pigeonhole). A
 segment is so wide (2**64 bits) that it is kept as the XOR of its set bits' numbers.
-Documents that share a segment are candidates; each candidate pair used is verified
-on the exact sets, so no link is lost and none is false.
+A few segments more than that (the spare ones) make a linked pair equal in more than
+one, so that a set with no more empty segments than spare ones need not send these:
+what all sets of a band would share says nothing. Documents that share a segment are
+candidates. A pair whose 1024-bit sketches differ in more bits than its sets may is
+dropped; each pair used is verified on the exact sets, so no link is lost and none is
+false.
 
 Documents with equal sets are one class from the start. A bucket of documents that
-share a segment is not expanded into pairs: members are verified against one leader
-a round, for a few rounds. Buckets whose members are then still in more than one
+share a segment is not expanded into pairs: each member is verified against one leader
+a round, the one that it shares most buckets with, for a few rounds. Buckets whose members are then still in more than one
 component are compared in full: small ones pair by pair across components, large ones
 block against block inside a task that returns no more rows than it has members.
 """
@@ -74,19 +78,24 @@ class Bands:
         """The most elements in which sets of sizes a and b that link can differ."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def of(self, size: int) -> list[tuple[int, int]]:
-        """(band, segments) for each band in which a set of this size has its segments."""
+    def of(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, segments, spare ones of them) for each band in which a set of this size has its segments."""
         k = int(np.searchsorted(self.lows, size, side="right")) - 1
         bands = [k, k + 1] if size * 100 >= self.percent * self.lows[k + 1] else [k]
-        return [(b, self.apart(self.lows[b + 1] - 1, self.lows[b + 1] - 1) + 1) for b in bands]
+        least = [self.apart(self.lows[b + 1] - 1, self.lows[b + 1] - 1) + 1 for b in bands]
+        return [(b, n + 1 + n // 10, 1 + n // 10) for b, n in zip(bands, least)]
 
     def segments(self, shingles: np.ndarray) -> np.ndarray:
-        """Keys of the first segments of the sketch: one more than a set of this size can
-        differ from any that it links with. The smaller of two linked sets has no more of
-        them than the larger, and one of its own is equal in both."""
-        size, out = len(shingles), []
-        need = self.apart(size, size * 100 // self.percent) + 1
-        for band, parts in self.of(size):
+        """Keys of the first segments of the sketch: the spare ones and one more than a set
+        of this size can differ from any that it links with. The smaller of two linked sets
+        has no more of them than the larger, and in both more of its own are equal than are
+        spare. So one is equal and not empty unless both have more empty ones than are
+        spare; only such sets send the empty ones. A set that links with equal ones alone
+        has no keys."""
+        size, out = len(shingles), [np.zeros(0, U)]
+        apart = self.apart(size, size * 100 // self.percent)
+        for band, parts, spare in self.of(size) if apart else []:
+            need = apart + 1 + spare
             flips = mix(shingles + U(band * 0x632BE59BD9B4E019 & (1 << 64) - 1))
             place = (flips >> U(32)) % U(parts)
             order = np.argsort(place, kind="stable")
@@ -95,25 +104,32 @@ class Bands:
             held, parity = place[first], np.bitwise_xor.reduceat(flips, first)
             fit = held < U(need)
             held, parity = held[fit], parity[fit]
-            if len(held) < need:
-                missing = np.setdiff1d(np.arange(need, dtype=U), held)
+            if min(need, parts) - len(held) > spare:
+                missing = np.setdiff1d(np.arange(min(need, parts), dtype=U), held)
                 held, parity = np.concatenate([held, missing]), np.concatenate([parity, np.zeros(len(missing), U)])
             out.append(mix(parity + mix(held + U(band << 32))))
         return np.concatenate(out)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """1024 parity bits as 16 longs: two differ in no more bits than their sets in elements."""
+    bits = np.bincount((mix(shingles + U(0x5851F42D4C957F2D)) & U(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def sizes(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """-> id, n, d1, d2: size and digest of each document's set."""
+    """-> id, n, d1, d2, bits: size, digest and 1024-bit sketch of each document's set."""
 
     def run(batches):
         cache = GenerationalCache(word_hash, 250_000)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                found = [digest(shingle_set(t, words, cache)) for t in batch.column(1).slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *(pa.array(c, pa.int64()) for c in zip(*found))], ["id", "n", "d1", "d2"])
+                found = [shingle_set(t, words, cache) for t in batch.column(1).slice(at, 256).to_pylist()]
+                digests = [pa.array(c, pa.int64()) for c in zip(*map(digest, found))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *digests, lists([sketch(x) for x in found])], ["id", "n", "d1", "d2", "bits"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, "id long, n long, d1 long, d2 long")
+    return given.mapInArrow(run, "id long, n long, d1 long, d2 long, bits array<long>")
 
 
 def digest(shingles: np.ndarray) -> tuple[int, int, int]:
@@ -167,7 +183,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col:
     return made.filter(F.size("shingles") == F.col("seen")).drop("d1", "seen")
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
     """-> id, n_shingles, component_id: one row per row of ``docs``.
 
     A document's set is its distinct shingles of ``words`` lower-cased words (A-Z only),
@@ -178,7 +194,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     """
     sketched = cut(sizes(docs, words, id_col, text_col))
     usable = sketched.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = usable.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
+    classes = usable.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.min("bits").alias("bits"))
     members = cut(shared(entries(docs, words, percent, id_col, text_col), classes))
 
     ids = members.select("rep").distinct().join(classes.select("rep", "n", "d1"), "rep").groupBy("rep").agg(F.min(F.struct("n", "d1")).alias("c")).select("rep", "c.n", "c.d1")
@@ -190,10 +206,20 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     def verified(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xs"))
         y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("ys"))
-        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b")
+        both = pairs.join(x, "a").join(y, "b")
         common = F.size(F.array_intersect("xs", "ys"))
         return both.filter(F.size("xs") + F.size("ys") > 0).filter(100 * common >= percent * (F.size("xs") + F.size("ys") - common)).select("a", "b")
 
+    told = cut(ids.select("rep", "n").join(classes.select("rep", "n", "bits"), ["rep", "n"]))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Of candidate pairs (a, b) with the number of their rows as ``times``, those whose sketches let them link."""
+        counted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
+        x, y = (told.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+        bits = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+        both = counted.join(x, "a").join(y, "b")
+        return both.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bits * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b", "times")
+
     for r in range(rounds + 1):
         if found is None:
             held = members.withColumn("part", F.col("rep"))
@@ -208,11 +234,18 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         if r < rounds:
             lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(r)), F.col("rep"), F.col("part"))).alias("lead"))
             pairs = held.join(lead.select("key", F.col("lead.rep").alias("a"), F.col("lead.part").alias("of")), "key").filter("part != of").select("a", F.col("rep").alias("b"))
+            # one leader a member: a pair's member is here the end that has fewer such pairs
+            told_pairs = cut(close(pairs))
+            leads = told_pairs.groupBy("a").count().withColumnRenamed("count", "ca").join(told_pairs, "a").join(told_pairs.groupBy("b").count().withColumnRenamed("count", "cb"), "b")
+            member = F.when(F.col("ca") < F.col("cb"), F.col("a")).otherwise(F.col("b"))
+            best = leads.groupBy(member.alias("member")).agg(F.max(F.struct("times", "a", "b")).alias("p"))
+            pairs = best.select("p.a", "p.b").distinct()
         else:
             # small buckets: pairs across components; large ones: block against block
             held = held.join(held.groupBy("key").agg(F.count("*").alias("size")), "key")
             other = held.filter(F.col("size") <= SMALL).select("key", F.col("rep").alias("b"), F.col("part").alias("of"))
             pairs = held.filter(F.col("size") <= SMALL).join(other, "key").filter("part < of").select(F.col("rep").alias("a"), "b")
+            pairs = close(pairs).select("a", "b")
             found = found.unionByName(cut(in_blocks(held.filter(F.col("size") > SMALL), sets, percent)))
         new = cut(verified(pairs))
         found = new if found is None else found.unionByName(new)
