@@ -32,9 +32,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             names = step
         else:
             if left.isEmpty():
-                return names
+                return cut(names)
             step = cut(step)
-            names = cut(names.join(step.select(F.col("v").alias("component"), F.col("component").alias("to")), "component", "left").select("v", F.coalesce("to", "component").alias("component")))
+            names = names.join(step.select(F.col("v").alias("component"), F.col("component").alias("to")), "component", "left").select("v", F.coalesce("to", "component").alias("component"))
         left = cut(
             left.join(step.select(F.col("v").alias("a"), F.col("component").alias("x")), "a")
             .join(step.select(F.col("v").alias("b"), F.col("component").alias("y")), "b")
