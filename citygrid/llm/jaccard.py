@@ -117,19 +117,29 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def sizes(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """-> id, n, d1, d2, bits: size, digest and 1024-bit sketch of each document's set."""
+def sketched(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """-> id, n, d1, d2, bits, keys: size, digest, 1024-bit sketch and segments of each
+    document's set. A task gives the segments of equal sets once as long as it remembers
+    them, so a group of copies adds them a few times per task; rows without an id have none."""
+    bands = Bands(percent)
 
     def run(batches):
         cache = GenerationalCache(word_hash, 250_000)
+        seen = GenerationalCache(lambda d: [], 100_000)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
+                ids = batch.column(0).slice(at, 256)
                 found = [shingle_set(t, words, cache) for t in batch.column(1).slice(at, 256).to_pylist()]
-                digests = [pa.array(c, pa.int64()) for c in zip(*map(digest, found))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *digests, lists([sketch(x) for x in found])], ["id", "n", "d1", "d2", "bits"])
+                digests, keys = list(map(digest, found)), []
+                for i, x, mark in zip(ids.to_pylist(), found, digests):
+                    new = i is not None and not seen[mark]
+                    if new:
+                        seen[mark].append(True)
+                    keys.append(bands.segments(x).view(np.int64) if new and len(x) else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in zip(*digests)), lists([sketch(x) for x in found]), lists(keys)], ["id", "n", "d1", "d2", "bits", "keys"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, "id long, n long, d1 long, d2 long, bits array<long>")
+    return given.mapInArrow(run, "id long, n long, d1 long, d2 long, bits array<long>, keys array<long>")
 
 
 def digest(shingles: np.ndarray) -> tuple[int, int, int]:
@@ -138,30 +148,6 @@ def digest(shingles: np.ndarray) -> tuple[int, int, int]:
     return len(shingles), int(mix(shingles).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(shingles + U(99))).view(np.int64))
 
 
-def entries(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """-> key, d1: a row per segment of each set. A task gives those of equal sets once
-    as long as it remembers them, so a group of copies adds a few rows per task."""
-    bands = Bands(percent)
-
-    def run(batches):
-        cache = GenerationalCache(word_hash, 250_000)
-        seen = GenerationalCache(lambda d: [], 100_000)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                keys, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for t in batch.column(0).slice(at, 256).to_pylist():
-                    x = shingle_set(t, words, cache)
-                    mark = digest(x)
-                    if len(x) and not seen[mark]:
-                        seen[mark].append(True)
-                        keys.append(bands.segments(x).view(np.int64))
-                        of.append(np.full(len(keys[-1]), mark[1], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(of))], ["key", "d1"])
-
-    given = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, "key long, d1 long")
-
-
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
@@ -183,7 +169,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col:
     return made.filter(F.size("shingles") == F.col("seen")).drop("d1", "seen")
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """-> id, n_shingles, component_id: one row per row of ``docs``.
 
     A document's set is its distinct shingles of ``words`` lower-cased words (A-Z only),
@@ -192,13 +178,13 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     links reach. Null and empty texts link with nothing; a null id gets a null
     component. Rows that repeat an id are one node. Other columns are ignored.
     """
-    sketched = cut(sizes(docs, words, id_col, text_col))
-    usable = sketched.filter((F.col("n") > 0) & F.col("id").isNotNull())
+    made = cut(sketched(docs, words, percent, id_col, text_col))
+    usable = made.filter((F.col("n") > 0) & F.col("id").isNotNull())
     classes = usable.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.min("bits").alias("bits"))
-    members = cut(shared(entries(docs, words, percent, id_col, text_col), classes))
+    members = cut(shared(made.select(F.explode("keys").alias("key"), "d1"), classes))
 
-    ids = members.select("rep").distinct().join(classes.select("rep", "n", "d1"), "rep").groupBy("rep").agg(F.min(F.struct("n", "d1")).alias("c")).select("rep", "c.n", "c.d1")
-    sets = cut(sets_of(docs, ids, words, id_col, text_col))
+    ids = cut(members.select("rep").distinct().join(classes, "rep").groupBy("rep").agg(F.min(F.struct("n", "d1", "bits")).alias("c")).select("rep", "c.n", "c.d1", "c.bits"))
+    sets = cut(sets_of(docs, ids.select("rep", "n", "d1"), words, id_col, text_col))
     # rows that repeat an id with different texts: their classes are one node
     links = usable.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = None
@@ -210,11 +196,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         common = F.size(F.array_intersect("xs", "ys"))
         return both.filter(F.size("xs") + F.size("ys") > 0).filter(100 * common >= percent * (F.size("xs") + F.size("ys") - common)).select("a", "b")
 
-    told = cut(ids.select("rep", "n").join(classes.select("rep", "n", "bits"), ["rep", "n"]))
+    told = ids.select("rep", "n", "bits")
 
     def close(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) with the number of their rows as ``times``, those whose sketches let them link."""
-        counted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
+        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
         x, y = (told.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
         bits = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
         both = counted.join(x, "a").join(y, "b")
@@ -234,23 +220,19 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         if r < rounds:
             lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(r)), F.col("rep"), F.col("part"))).alias("lead"))
             pairs = held.join(lead.select("key", F.col("lead.rep").alias("a"), F.col("lead.part").alias("of")), "key").filter("part != of").select("a", F.col("rep").alias("b"))
-            # one leader a member: a pair's member is here the end that has fewer such pairs
-            told_pairs = cut(close(pairs))
-            leads = told_pairs.groupBy("a").count().withColumnRenamed("count", "ca").join(told_pairs, "a").join(told_pairs.groupBy("b").count().withColumnRenamed("count", "cb"), "b")
-            member = F.when(F.col("ca") < F.col("cb"), F.col("a")).otherwise(F.col("b"))
-            best = leads.groupBy(member.alias("member")).agg(F.max(F.struct("times", "a", "b")).alias("p"))
-            pairs = best.select("p.a", "p.b").distinct()
+            best = close(pairs).groupBy("b").agg(F.max(F.struct("times", "a")).alias("p"))
+            pairs = best.select(F.least("p.a", "b").alias("a"), F.greatest("p.a", "b").alias("b")).distinct()
         else:
             # small buckets: pairs across components; large ones: block against block
             held = held.join(held.groupBy("key").agg(F.count("*").alias("size")), "key")
             other = held.filter(F.col("size") <= SMALL).select("key", F.col("rep").alias("b"), F.col("part").alias("of"))
-            pairs = held.filter(F.col("size") <= SMALL).join(other, "key").filter("part < of").select(F.col("rep").alias("a"), "b")
+            pairs = held.filter(F.col("size") <= SMALL).join(other, "key").filter("part < of").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
             pairs = close(pairs).select("a", "b")
             found = found.unionByName(cut(in_blocks(held.filter(F.col("size") > SMALL), sets, percent)))
         new = cut(verified(pairs))
         found = new if found is None else found.unionByName(new)
     parts = connected_components(found.unionByName(links))
-    return sketched.join(parts, sketched["id"] == parts["v"], "left").select(
+    return made.join(parts, made["id"] == parts["v"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
