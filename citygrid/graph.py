@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from citygrid.lineage import cut
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """Undirected edges -> (v, component) for every vertex of an edge.
 
     ``component`` is the smallest vertex that can be reached. Each round renames every
     vertex to the least of itself and its neighbours and drops the edges inside one
     name; the rest is a smaller graph, so rounds grow with the logarithm of the
-    longest path. Nothing is collected but a count a round. Null ends are ignored.
+    longest path. Nothing is collected but whether edges are left. Null ends are ignored.
+    With ``rounds`` it stops after so many: parts of one component may then still have
+    names of their own, but no name is in two components.
     """
     left = (
         edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
@@ -23,18 +25,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     left = cut(left)
-    names = None
+    names, done = None, 0
     while True:
         ends = left.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("u")))
         step = ends.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("component"))
         if names is None:
-            step = cut(step)
             names = step
         else:
-            if left.isEmpty():
-                return cut(names)
-            step = cut(step)
-            names = names.join(step.select(F.col("v").alias("component"), F.col("component").alias("to")), "component", "left").select("v", F.coalesce("to", "component").alias("component"))
+            renamed = step.select(F.col("v").alias("component"), F.col("component").alias("to"))
+            names = names.join(renamed, "component", "left").select("v", F.coalesce("to", "component").alias("component"))
+        done += 1
+        if done == rounds:
+            return cut(names)
         left = cut(
             left.join(step.select(F.col("v").alias("a"), F.col("component").alias("x")), "a")
             .join(step.select(F.col("v").alias("b"), F.col("component").alias("y")), "b")
@@ -42,3 +44,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
+        if left.isEmpty():
+            return cut(names)
+        if done % 6 == 0:  # the names so far, or their plan would grow with the rounds
+            names = cut(names)
