@@ -210,7 +210,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         if found is None:
             held = members.withColumn("part", F.col("rep"))
         else:
-            parts = connected_components(found)
+            parts = connected_components(found, rounds=r + 1)
             held = members.join(parts.withColumnRenamed("v", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
             # only buckets whose members are not all in one component have more to tell
             open_keys = held.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
