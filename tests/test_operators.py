@@ -13,7 +13,7 @@ from tests.conftest import SMALL
 
 @pytest.fixture(scope="module")
 def con(tmp_path_factory):
-    c = duckdb.connect(config={"temp_directory": str(tmp_path_factory.mktemp("duck")), "TimeZone": "UTC"})
+    c = duckdb.connect(config={"temp_directory": str(tmp_path_factory.mktemp("duck"))})
     for p in glob.glob(f"{SMALL}/*.parquet"):
         c.execute(f"create view {os.path.basename(p)[:-8]} as select * from read_parquet('{p}')")
     return c
