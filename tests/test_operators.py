@@ -47,3 +47,13 @@ def test_components(spark):
     edges = spark.createDataFrame([(5, 9), (9, 7), (2, 3), (4, 4), (None, 1), (3, 8), (8, 6)], "a long, b long")
     assert dict(connected_components(edges).collect()) == {5: 5, 9: 5, 7: 5, 2: 2, 3: 2, 8: 2, 6: 2}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_components_that_stop_early(spark):
+    """A name never spans two components, whatever the number of rounds."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 102)], "a long, b long")
+    for rounds in (1, 2):
+        names = dict(connected_components(edges, rounds=rounds).collect())
+        assert set(names) == {*range(41), 100, 101, 102}
+        assert all((v < 100) == (c < 100) for v, c in names.items())
+    assert set(dict(connected_components(edges).collect()).values()) == {0, 100}
