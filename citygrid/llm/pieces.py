@@ -7,10 +7,11 @@ that are no piece fall back to bytes.
 A text is first cut where no piece of the vocabulary reaches across: before a run
 of space marks, and between letters, digits and other characters. That no piece
 reaches across is checked for every piece when the model is loaded; the few pieces
-that do are kept in a list, and a text that holds one of them is cut at space marks
-only. So a text is the chain of its cuttings' encodings, and each cutting is encoded
-once per worker as long as the memo holds it. All new cuttings of an Arrow batch are
-also encoded by the sentencepiece library; a difference stops the job.
+that do are kept in a list, and a text that holds one of them, once it has its space
+marks, is cut at space marks only. So a text is the chain of its cuttings' encodings,
+and each cutting is encoded once per worker as long as the memo holds it. All texts of
+an Arrow batch are also encoded whole by the sentencepiece library; a difference stops
+the job.
 """
 
 from __future__ import annotations
@@ -49,7 +50,12 @@ class Codec:
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece goes on past a space mark: words cannot be encoded one by one")
-        self.crossing = [p.replace(SPACE, " ") for p in self.ids if FINE.match(p).end() < len(p)]
+        self.crossing = [p for p in self.ids if FINE.match(p).end() < len(p)]
+        # characters of which every crossing piece has one: most texts have none of them
+        self.signs, left = "", self.crossing
+        while left:
+            self.signs += max({c for p in left for c in p}, key=lambda c: (sum(c in p for p in left), c))
+            left = [p for p in left if self.signs[-1] not in p]
         if not all(sp.is_byte(i) for i in self.bytes) or any("\n" in p for p in self.ids):
             raise ValueError("the model has no byte pieces, or pieces with line feeds")
         # ids of one small table, so that cached encodings share their objects
@@ -118,9 +124,10 @@ class Codec:
         """-> ids, and the decimal ids joined by commas."""
         if not text:
             return [], ""
-        cut = WORD if any(p in text for p in self.crossing) else FINE
+        marked = SPACE + text.replace(" ", SPACE)
+        cut = WORD if any(c in marked for c in self.signs) and any(p in marked for p in self.crossing) else FINE
         cache = self.cache
-        found = [cache[w] for w in cut.findall(SPACE + text.replace(" ", SPACE)) if w]
+        found = [cache[w] for w in cut.findall(marked) if w]
         return list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
 
     def check_new(self) -> None:
@@ -144,6 +151,15 @@ class Codec:
                     raise ValueError(f"{word!r}: {ids} here, {theirs} from the library")
             raise ValueError("the library's ids of a batch differ")
 
+    def check(self, texts: list[str], encoded: list[list[int]]) -> None:
+        """Hold whole texts against the library, so that cuts are checked too."""
+        theirs = self.library.encode(texts, num_threads=1)
+        if theirs != encoded:
+            self.check_new()
+            text = next(t for t, a, b in zip(texts, encoded, theirs) if a != b)
+            raise ValueError(f"{text[:200]!r}: the library's ids of the text differ, not those of its cuttings")
+        self.new.clear()
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1)
 
@@ -176,7 +192,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
             for at in range(0, batch.num_rows, 256):
                 part = [t or "" for t in texts.slice(at, 256).to_pylist()]
                 encoded = [c.encode(t) for t in part]
-                c.check_new()
+                c.check(part, [e[0] for e in encoded])
                 decoded = [c.decode(e[0]) if e[0] else "" for e in encoded]
                 out = [
                     batch.column(0).slice(at, 256),
