@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from citygrid.lineage import cut
 from citygrid.llm.common import min_rounds
 
+ABSENT = -1e9  # prior logit of a domain without documents where others have some
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -63,11 +65,14 @@ def terms(docs: DataFrame) -> DataFrame:
 def fit_terms(docs: DataFrame, labelled: DataFrame, domains: list[str], s: Settings) -> tuple[DataFrame, dict[str, float]]:
     """-> (term, one log-odds column per domain) of at most ``s.words`` terms, and prior logits.
 
-    ``labelled``: (id, domain). The documents used are those whose id hashes least.
+    ``labelled``: (id, domain). The documents used are those of ``docs`` whose id hashes
+    least; labels of other documents count for nothing.
     """
-    picked = min_rounds(labelled.filter(F.col("domain").isin(domains) & F.col("id").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain")), "id", s.rows)
-    chosen = terms(docs.join(F.broadcast(picked.select("id")), "id", "left_semi")).join(F.broadcast(picked), "id")  # at most s.rows ids
-    sizes = {r["domain"]: r["count"] for r in picked.groupBy("domain").count().collect()}
+    known = labelled.filter(F.col("domain").isin(domains) & F.col("id").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain"))
+    picked = cut(min_rounds(known.join(docs.select("id"), "id", "left_semi"), "id", s.rows))
+    present = docs.join(F.broadcast(picked.select("id")), "id", "left_semi")  # at most s.rows ids
+    sizes = {r["domain"]: r["count"] for r in present.select("id").join(F.broadcast(picked), "id").groupBy("domain").count().collect()}
+    chosen = terms(present).join(F.broadcast(picked), "id")
     total = sum(sizes.values())
     held = [F.count_if(F.col("domain") == d).alias(f"has{k}") for k, d in enumerate(domains)]
     counted = chosen.select("id", "term", "domain").groupBy("term").agg(F.count("*").alias("df"), *held).filter(F.col("df") >= s.least)
@@ -79,7 +84,9 @@ def fit_terms(docs: DataFrame, labelled: DataFrame, domains: list[str], s: Setti
         apart.append(F.abs(own - F.col("df") * share) / F.sqrt(F.col("df") * max(share * (1 - share), 1e-9)))
     # terms that chance does not explain, clearest first
     model = counted.select("term", *[o.alias(f"w{k}") for k, o in enumerate(odds)], F.greatest(F.lit(0.0), *apart).alias("apart")).filter(F.col("apart") >= s.clear).orderBy(F.desc("apart"), "term").limit(s.words).drop("apart")
-    return cut(model), {d: math.log((sizes.get(d, 0) + 0.5) / (total - sizes.get(d, 0) + 0.5)) for d in domains}
+    prior = {d: math.log((sizes.get(d, 0) + 0.5) / (total - sizes.get(d, 0) + 0.5)) for d in domains}
+    # rare words would speak for a domain of which no document is there
+    return cut(model), {d: x if sizes.get(d) or not total else ABSENT for d, x in prior.items()}
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], s: Settings) -> DataFrame:

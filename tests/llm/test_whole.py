@@ -2,7 +2,7 @@
 
 import pytest
 
-from citygrid.llm import pieces
+from citygrid.llm import mixing, pieces
 
 
 def test_pieces_that_start_with_the_dummy_space():
@@ -21,3 +21,17 @@ def test_pieces_check_sees_wrong_cuts(monkeypatch):
     c.check_new()
     with pytest.raises(ValueError):
         c.check(["_a"], encoded)
+
+
+def test_mixing_labels_of_documents_that_are_gone(spark):
+    """They change neither the terms, nor the priors, nor the size of the sample."""
+    rows = [(k, " ".join(["bad" if k % 4 == 0 else "fine", f"w{k % 5}", *["word"] * (5 + k % 7)])) for k in range(200)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[0]], "id long, text string")
+    of = lambda ids: spark.createDataFrame([(k, "toxic" if k % 4 == 0 else "good") for k in ids], "id long, domain string")
+    s = mixing.Settings(rows=120)
+    want, prior = mixing.fit_terms(docs, of(range(200)), ["good", "toxic"], s)
+    got, prior_too = mixing.fit_terms(docs, of(range(200)).unionByName(of(range(1001, 3000, 2))), ["good", "toxic"], s)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and prior == prior_too
+    for r in mixing.posteriors(docs, of(range(200)), ["good", "poor", "toxic"], s).collect():
+        assert r["p"][1] == 0 and (r["p"][2] > 0.5) == (r["id"] % 4 == 0)
+    assert {"bad", "fine"} <= {r["term"] for r in got.collect()} and "word" not in {r["term"] for r in got.collect()}
