@@ -1,11 +1,13 @@
 """Near duplicates among embeddings by product quantisation.
 
 Unit vectors are put into inverted lists by their nearest coarse centre; what is left
-after the centre is coded in sub-spaces, one byte each. A query looks into the lists of
-its nearest centres, estimates the inner product of every code from a table
-(asymmetric distances), and works out the exact cosine in double precision of all
-whose estimate plus the code's own error reaches the threshold. As the error bounds
-what coding can hide, only lists not probed can lose a link.
+after the centre is coded in sub-spaces, one byte each. A query looks into every list
+that can hold a vector near enough, by two bounds (see ``Index.reached``), estimates the
+inner product of every code from a table (asymmetric distances), and works out the exact
+cosine in double precision of all whose estimate plus the code's own error reaches the
+threshold. As the error bounds what coding can hide, no link is lost, and both rows of
+a link find it. Where vectors are spread evenly the bounds leave out few lists, and
+the work then grows with the square of the rows.
 
 Equal vectors are compared once and counted with their number. Lists are cut into
 blocks and their queries into chunks, so a task never holds more than a block and a
@@ -33,7 +35,6 @@ class Settings:
     most_lists: int = 1024
     spaces: int = 8
     words: int = 64  # code words of a sub-space
-    probes: int = 8
     block: int = 4000
     seed: int = 3
 
@@ -58,10 +59,23 @@ class Index:
     def home(self, x: np.ndarray) -> np.ndarray:
         return ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argmin(1)
 
-    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        near = (self.centres**2).sum(1) - 2 * x @ self.centres.T
-        n = min(n, near.shape[1])
-        return np.argpartition(near, n - 1, axis=1)[:, :n]
+    def apart(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """The distance of each vector from its list's centre."""
+        return np.sqrt(((x - self.centres[home]) ** 2).sum(1))
+
+    def reached(self, x: np.ndarray, home: np.ndarray, least: np.ndarray, most: np.ndarray, threshold: float) -> np.ndarray:
+        """Which lists (columns) can hold a unit vector whose cosine with ``x`` is at least ``threshold``.
+
+        ``least`` and ``most``: distances of a list's vectors from its centre. Vectors
+        of a list lie in that shell, and on its centre's side of the plane halfway
+        between it and any other centre, here that of ``x``.
+        """
+        far = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+        gaps = lambda a: np.maximum((a**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * a @ self.centres.T, 0)
+        square, between = gaps(x), np.sqrt(gaps(self.centres[home]))
+        distance = np.sqrt(square)
+        beyond = (square - square[np.arange(len(x)), home][:, None]) <= 2 * far * between + 1e-6
+        return (distance - most <= far) & (least - distance <= far) & beyond
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """-> codes, and the length of what each code leaves out."""
@@ -156,10 +170,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, s: Settings = Setti
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             home = sent.value.home(x)
             codes, missed = sent.value.encode(x, home)
-            yield pd.DataFrame({"id": pdf["id"], "copies": pdf["copies"], "unit": list(x), "home": home.astype(np.int32), "codes": [c.tobytes() for c in codes], "missed": missed, "probes": list(sent.value.probes(x, s.probes).astype(np.int32))})
+            yield pd.DataFrame({"id": pdf["id"], "copies": pdf["copies"], "unit": list(x), "home": home.astype(np.int32), "codes": [c.tobytes() for c in codes], "missed": missed, "apart": sent.value.apart(x, home)})
+
+    placed = cut(classes.filter(F.size("vector") == dim).mapInPandas(place, "id long, copies long, unit array<double>, home int, codes binary, missed double, apart double"))
+    least, most = np.full(len(index.centres), np.inf), np.full(len(index.centres), -np.inf)  # a list without vectors is not probed
+    for r in placed.groupBy("home").agg(F.min("apart").alias("least"), F.max("apart").alias("most")).collect():  # at most most_lists rows
+        least[r["home"]], most[r["home"]] = r["least"], r["most"]
+
+    def probe(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512]
+                reached = sent.value.reached(np.stack(part["unit"].to_numpy()), part["home"].to_numpy(), least, most, threshold)
+                yield pd.DataFrame({"id": part["id"], "unit": part["unit"], "lists": [np.flatnonzero(r).astype(np.int32) for r in reached]})
 
-    placed = cut(classes.filter(F.size("vector") == dim).mapInPandas(place, "id long, copies long, unit array<double>, home int, codes binary, missed double, probes array<int>"))
-    probing = placed.select("id", "unit", F.explode("probes").alias("list"))
+    probing = cut(placed.select("id", "unit", "home").mapInPandas(probe, "id long, unit array<double>, lists array<int>")).select("id", "unit", F.explode("lists").alias("list"))
     # one row per list: into how many blocks its rows and into how many chunks its queries go
     held = placed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / s.block).alias("blocks"))
     asked = probing.groupBy("list").agg(F.ceil(F.count("*") / s.block).alias("chunks"))

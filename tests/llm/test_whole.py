@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import numpy as np
 import pytest
 
-from citygrid.llm import mixing, pieces
+from citygrid.llm import mixing, near_vectors, pieces
 
 
 def test_pieces_that_start_with_the_dummy_space():
@@ -35,3 +36,16 @@ def test_mixing_labels_of_documents_that_are_gone(spark):
     for r in mixing.posteriors(docs, of(range(200)), ["good", "poor", "toxic"], s).collect():
         assert r["p"][1] == 0 and (r["p"][2] > 0.5) == (r["id"] % 4 == 0)
     assert {"bad", "fine"} <= {r["term"] for r in got.collect()} and "word" not in {r["term"] for r in got.collect()}
+
+
+def test_near_vectors_with_many_lists(spark):
+    """Every link is found and counted on both sides when there are many lists."""
+    x = np.random.default_rng(5).normal(size=(1200, 8)).astype(np.float32)
+    s = near_vectors.Settings(per_list=5)
+    given = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(given, s=s).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    assert links.sum() > 500 and [got[k] for k in range(len(x))] == links.tolist()
+    index = near_vectors.fit(u, len(u), s)
+    assert len(index.centres) == 240
