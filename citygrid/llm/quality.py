@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import operator
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 from citygrid.llm.common import GenerationalCache, min_rounds
 
+SLICE = 4096  # characters of a word whose n-grams are made at once
+LONG = 60  # longer words are not kept
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -38,12 +42,24 @@ class Settings:
 
 
 def features(word: str, s: Settings) -> list[int]:
-    """Buckets 0 and 1 are for every document and for repeats."""
-    room, marked = s.buckets - 2, f"<{word[:60]}>"
-    found = [zlib.crc32(word.encode())]
-    for n in range(s.shortest, s.longest + 1):
-        found += [zlib.crc32(marked[i : i + n].encode()) for i in range(len(marked) - n + 1)]
-    return [2 + f % room for f in found]
+    """Buckets 0 and 1 are for every document and for repeats; n-grams are of the whole word."""
+    return [f for part in slices(word, s) for f in part]
+
+
+def slices(word: str, s: Settings) -> Iterator[list[int]]:
+    """The buckets of a word, those of a long one in parts: each n-gram comes once."""
+    room, marked = s.buckets - 2, f"<{word}>"
+    yield [2 + zlib.crc32(word.encode()) % room]
+    for at in range(0, len(marked), SLICE):
+        for n in range(s.shortest, s.longest + 1):
+            yield [2 + zlib.crc32(marked[i : i + n].encode()) % room for i in range(at, min(at + SLICE, len(marked) - n + 1))]
+
+
+class Memo(GenerationalCache):
+    """Long words are computed each time: a few could fill the memory."""
+
+    def __missing__(self, key):
+        return self.compute(key) if len(key) > LONG else super().__missing__(key)
 
 
 def repeats(words: list[str]) -> int:
@@ -53,8 +69,9 @@ def repeats(words: list[str]) -> int:
 def bag(text: str, cache: dict, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """-> distinct buckets of a text and their shares."""
     words = text.split()
-    ids = np.fromiter((f for w in words for f in cache[w]), np.int64)
-    counts = np.bincount(ids, minlength=2) if len(ids) else np.zeros(2, np.int64)
+    counts = np.bincount(np.fromiter((f for w in words if len(w) <= LONG for f in cache[w]), np.int64), minlength=s.buckets)
+    for part in (p for w in words if len(w) > LONG for p in slices(w, s)):
+        counts += np.bincount(np.array(part, np.int64), minlength=s.buckets)
     counts[0], counts[1] = 1, repeats(words)
     found = np.flatnonzero(counts)
     return found.astype(np.int32), (counts[found] / counts.sum()).astype(np.float32)
@@ -68,7 +85,7 @@ def sample(docs: DataFrame, labelled: DataFrame, label: str, s: Settings, id_col
         picked = part if picked is None else picked.unionByName(part)
 
     def run(batches):
-        cache = GenerationalCache(lambda w: features(w, s), 50_000)
+        cache = Memo(lambda w: features(w, s), 50_000)
         for batch in batches:
             ids, labels, texts = (c.to_pylist() for c in batch.columns)
             bags = [bag(t or "", cache, s) for t in texts]
@@ -118,10 +135,12 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, s: Settings):
         self.model, self.s = model, s
-        self.cache = GenerationalCache(self._word, 150_000)
+        self.cache = Memo(self._word, 150_000)
 
     def _word(self, word: str) -> complex:
         """The sum of the word's numbers, and (as imaginary part) how many they are."""
+        if len(word) > LONG:
+            return sum((complex(float(self.model[part].sum(dtype=np.float64)), len(part)) for part in slices(word, self.s)), 0j)
         found = features(word, self.s)
         return complex(float(self.model[found].sum()), len(found))
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from citygrid.llm import mixing, near_vectors, pieces
+from citygrid.llm import mixing, near_vectors, pieces, quality
 
 
 def test_pieces_that_start_with_the_dummy_space():
@@ -49,3 +49,19 @@ def test_near_vectors_with_many_lists(spark):
     assert links.sum() > 500 and [got[k] for k in range(len(x))] == links.tolist()
     index = near_vectors.fit(u, len(u), s)
     assert len(index.centres) == 240
+
+
+def test_quality_sees_whole_words():
+    """The end of a text without white space counts, whatever its length."""
+    s = quality.Settings()
+    for n in (61, quality.SLICE - 1, 3 * quality.SLICE + 7):
+        word = "".join(chr(0x4E00 + (k * k) % 997) for k in range(n))
+        marked = f"<{word}>"
+        grams = [marked[i : i + k] for k in (3, 4) for i in range(len(marked) - k + 1)]
+        assert sorted(quality.features(word, s)) == sorted(2 + quality.zlib.crc32(g.encode()) % (s.buckets - 2) for g in [word, *grams])
+        ids, shares = quality.bag(word, quality.Memo(lambda w: quality.features(w, s)), s)
+        assert len(set(quality.features(word, s))) == len(ids) - 1 and abs(shares.sum() - 1) < 1e-5
+    model = np.zeros(s.buckets, np.float32)
+    model[[2 + quality.zlib.crc32(g.encode()) % (s.buckets - 2) for g in ("bad", "badx", "xbad")]] = -9
+    scorer = quality.Scorer(model, s)
+    assert scorer("y" * 5000 + "xbadx") < scorer("y" * 5000 + "xgoodx") and not any(len(w) > quality.LONG for w in scorer.cache)
