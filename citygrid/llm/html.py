@@ -24,7 +24,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = "script style title noscript template svg math iframe object textarea select option datalist button canvas audio video".split()
 ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 TAG = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{'|'.join(SKIPPED)})(?=[\s/>]){ATTRS}>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*$)"
+    rf"<!--.*?(?:-->|$)|<(?:svg|math)(?=[\s/>]){ATTRS}(?<=/)>|<(?P<raw>{'|'.join(SKIPPED)})(?=[\s/>]){ATTRS}>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*$)"
     rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>{ATTRS})>|</?[a-zA-Z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -50,18 +50,32 @@ class Block:
 
 
 def landmark(name: str, attrs: str, heading_header: bool) -> str:
-    """'main', 'chrome' or '' for an opening tag."""
+    """'main', 'chrome', 'soft' (chrome by its names only), 'both' (an article with such
+    names besides its main ones) or '' for an opening tag."""
     said = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in HINT.finditer(attrs)} if attrs else {}
     if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
         return "chrome"
     words = {w for k in ("class", "id", "role", "itemprop") for w in WORDS.findall(said.get(k, ""))}
     if name == "header" and heading_header:
         return ""
-    if name in CHROME_TAGS or words & CHROME_WORDS and name not in ("body", "html", "main"):
+    if name in CHROME_TAGS:
         return "chrome"
+    if words & CHROME_WORDS and name not in ("body", "html", "main"):
+        whole = {w for k in ("class", "id", "role", "itemprop") for w in said.get(k, "").split()}
+        return "both" if name in MAIN_TAGS and words & MAIN_WORDS and not whole & CHROME_WORDS else "soft"
     return "main" if name in MAIN_TAGS or words & MAIN_WORDS and name not in ("body", "html") else ""
 
 
+def inside(around: str, name: str, own: str) -> str:
+    """What a tag is within what is around it: nothing inside a menu is main text, but an
+    article or main starts main text again inside what is chrome by its names only."""
+    if around == "chrome" or own == "chrome":
+        return "chrome"
+    if around == "soft":
+        return "both" if name in MAIN_TAGS and own == "main" else "soft"
+    return "both" if around == "both" and own == "main" else own or around
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in order; empty ones are left out."""
     out: list[Block] = []
@@ -76,7 +90,7 @@ def blocks(page: str) -> list[Block]:
             words, links = len(text.split()), len(html.unescape(" ".join(linked)).split())
             kind = open_tags[-1][1] if open_tags else ""
             heading = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in open_tags[-2:])
-            out.append(Block(text, words, min(1.0, links / words), kind == "main", kind == "chrome", heading))
+            out.append(Block(text, words, min(1.0, links / words), kind in ("main", "both"), kind in ("chrome", "soft", "both"), heading))
         parts.clear()
         linked.clear()
 
@@ -110,9 +124,7 @@ def blocks(page: str) -> list[Block]:
             if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") and open_tags and open_tags[-1][0] in ("p", name):
                 open_tags.pop()  # these end themselves
             around = open_tags[-1][1] if open_tags else ""
-            open_tags.append((name, landmark(name, m["attrs"], around == "main") or around))
-            if around == "chrome":  # nothing inside a menu or notice is main text
-                open_tags[-1] = (name, "chrome")
+            open_tags.append((name, inside(around, name, landmark(name, m["attrs"], around in ("main", "both")))))
     rest = page[at:]
     if rest:
         parts.append(rest)
@@ -151,6 +163,8 @@ LABELLED = [
     "<body><article><h1>+A note</h1><p>+One.</p><p>+Two words.</p></article><footer>-Foot</footer></body>",
     f"<body><div class=sidebar><ul><li><a>-One</a></li><li>-Two</li></ul><p>-{W20}</p></div><h2>+Title of it</h2><p>+{W20}</p><p>-Tags: <a>water, mills</a></p></body>",
     f"<body><p>+{W20}</p></body>",
+    f"<body><div class='content-sidebar-wrap'><article><h1>+Mills</h1><p>+{W20}</p><p>+Yes.</p><div class=share>-Tell your friends.</div></article><div class=sidebar><p>-{W20}</p></div></div></body>",
+    f"<body><article class='post comments-open'><h1>+Boats</h1><p>+{W20}</p><p>+So.</p></article><div class=comments><article class=comment><p>-{W20}</p><p>-I agree.</p></article></div></body>",
     f"<body><div>+A short note on the mill by the river and its owner.</div><div>+{W20}</div></body>",
 ]
 

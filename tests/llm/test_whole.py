@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from citygrid.llm import mixing, near_vectors, pieces, quality
+from citygrid.llm import html, mixing, near_vectors, pieces, quality
 
 
 def test_pieces_that_start_with_the_dummy_space():
@@ -65,3 +65,14 @@ def test_quality_sees_whole_words():
     model[[2 + quality.zlib.crc32(g.encode()) % (s.buckets - 2) for g in ("bad", "badx", "xbad")]] = -9
     scorer = quality.Scorer(model, s)
     assert scorer("y" * 5000 + "xbadx") < scorer("y" * 5000 + "xgoodx") and not any(len(w) > quality.LONG for w in scorer.cache)
+
+
+def test_html_self_closing_pictures():
+    page = "<article><p>One<svg class='a'/> two.</p><math />%s<p>Three.</p></article>"
+    assert html.main_text(page % "") == html.main_text(page % "<svg><title>no</title></svg>") == "One two. Three."
+
+
+def test_html_article_in_chrome_names():
+    text = "The boats came in late and the whole town stood at the harbour wall to see them."
+    for page in (f"<div class='content-sidebar-wrap'><article><h1>A</h1><p>{text}</p></article></div>", f"<article class='post comments-open'><h1>A</h1><p>{text}</p></article>", f"<div id=search-page><main><h1>A</h1><p>{text}</p></main></div>"):
+        assert html.main_text(f"<body><nav><a>Home</a></nav>{page}<div class=comments><article class=comment><p>{text}</p></article></div><aside><article><p>{text}</p></article></aside></body>") == f"A {text}"
