@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from citygrid.llm import html, mixing, near_vectors, pieces, quality
+from citygrid.llm import html, mixing, near_vectors, pieces, quality, secrets
 
 
 def test_pieces_that_start_with_the_dummy_space():
@@ -76,3 +76,16 @@ def test_html_article_in_chrome_names():
     text = "The boats came in late and the whole town stood at the harbour wall to see them."
     for page in (f"<div class='content-sidebar-wrap'><article><h1>A</h1><p>{text}</p></article></div>", f"<article class='post comments-open'><h1>A</h1><p>{text}</p></article>", f"<div id=search-page><main><h1>A</h1><p>{text}</p></main></div>"):
         assert html.main_text(f"<body><nav><a>Home</a></nav>{page}<div class=comments><article class=comment><p>{text}</p></article></div><aside><article><p>{text}</p></article></aside></body>") == f"A {text}"
+
+
+def test_secrets_in_unbroken_text():
+    """Each secret of a text without white space has its span, wherever it stands."""
+    rng = np.random.default_rng(4)
+    pick = lambda n: "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n))
+    tagger = secrets.Tagger(secrets.fit(secrets.windows(["some plain words of a text about nothing much at all " * 12] * 60)))
+    keys = ["ghp_" + pick(36), "sk_live_" + pick(24), ".".join(["eyJ" + pick(20), pick(40), pick(30)])]
+    fill = ",".join(f'"name{k}":"value"' for k in range(60))
+    for text in ("{" + fill + "," + ",".join(f'"k{k}":"{v}"' for k, v in enumerate(keys)) + "}", "see a=" + "&b=".join(keys) + " there", "x" + "".join(f";{v}" for v in keys)):
+        redacted = secrets.redacted(text, tagger.all_spans(text)[1])
+        assert not any(k in redacted or k[8:] in redacted for k in keys), redacted
+        assert len(tagger.spans(text)) >= 3
