@@ -5,46 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citygrid.lineage import cut
+from citygrid.lineage import Shelf, cut
+
+JUMPS = 2
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """Undirected edges -> (v, component) for every vertex of an edge.
 
-    ``component`` is the smallest vertex that can be reached. Each round renames every
-    vertex to the least of itself and its neighbours and drops the edges inside one
-    name; the rest is a smaller graph, so rounds grow with the logarithm of the
-    longest path. Nothing is collected but whether edges are left. Null ends are ignored.
-    With ``rounds`` it stops after so many: parts of one component may then still have
-    names of their own, but no name is in two components.
+    ``component`` is the smallest vertex that can be reached. In each round every vertex
+    points to that of itself and its neighbours whose hash is least, pointers are
+    followed over 2**``JUMPS`` steps, and the edges are renamed; those inside one name
+    go, and the rest is a smaller graph. Hashes fall in no long row along any path, so
+    the number of rounds grows with the logarithm of the longest path, also on paths
+    whose vertices are in order. Nothing is collected but whether edges are left. Null
+    ends are ignored. With ``rounds`` it stops after so many: parts of one component may
+    then still have names of their own, but no name is in two components.
     """
-    left = (
-        edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-        .filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    left = cut(left)
+    shelf = Shelf(edges.sparkSession)
+    given = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    left = shelf.put("left0", given.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     names, done = None, 0
     while True:
+        done += 1
         ends = left.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        step = ends.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("component"))
+        near = ends.groupBy("v").agg(F.min(F.struct(F.xxhash64("u").alias("h"), "u")).alias("n"))
+        step = shelf.put(f"near{done}", near.select("v", F.least("n", F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("u")))["u"].alias("to")))
+        for _ in range(JUMPS):
+            on = step.select(F.col("v").alias("to"), F.col("to").alias("next"))
+            step = step.join(on, "to").select("v", F.col("next").alias("to"))
+        step = shelf.put(f"step{done}", step)
         if names is None:
-            names = step
+            names = step.select("v", F.col("to").alias("name"))
         else:
-            renamed = step.select(F.col("v").alias("component"), F.col("component").alias("to"))
-            names = names.join(renamed, "component", "left").select("v", F.coalesce("to", "component").alias("component"))
-        done += 1
-        if done == rounds:
-            return cut(names)
-        left = cut(
-            left.join(step.select(F.col("v").alias("a"), F.col("component").alias("x")), "a")
-            .join(step.select(F.col("v").alias("b"), F.col("component").alias("y")), "b")
-            .filter("x != y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-        )
-        if left.isEmpty():
-            return cut(names)
-        if done % 6 == 0:  # the names so far, or their plan would grow with the rounds
-            names = cut(names)
+            names = names.join(step.select(F.col("v").alias("name"), "to"), "name", "left").select("v", F.coalesce("to", "name").alias("name"))
+        if done != rounds:
+            renamed = (
+                left.join(step.select(F.col("v").alias("a"), F.col("to").alias("x")), "a")
+                .join(step.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+                .filter("x != y")
+                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+                .distinct()
+            )
+            left = shelf.put(f"left{done}", renamed)
+        if done == rounds or left.isEmpty():
+            least = names.groupBy("name").agg(F.min("v").alias("component"))
+            out = cut(names.join(least, "name").select("v", "component"))
+            shelf.drop("")
+            return out
+        if done % 4 == 0:  # the names so far, or their plan would grow with the rounds
+            names = shelf.put(f"names{done}", names)

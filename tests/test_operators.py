@@ -57,3 +57,14 @@ def test_components_that_stop_early(spark):
         assert set(names) == {*range(41), 100, 101, 102}
         assert all((v < 100) == (c < 100) for v, c in names.items())
     assert set(dict(connected_components(edges).collect()).values()) == {0, 100}
+
+
+def test_components_of_a_path_in_order(spark, monkeypatch):
+    """Names that rise along a path do not make a round for each edge."""
+    from citygrid.lineage import Shelf
+
+    written, put = [], Shelf.put
+    monkeypatch.setattr(Shelf, "put", lambda self, name, df: written.append(name) or put(self, name, df))
+    got = connected_components(spark.range(10_000).selectExpr("id AS a", "id + 1 AS b"))
+    assert got.filter("component = 0").count() == 10_001
+    assert sum(n.startswith("step") for n in written) <= 30
