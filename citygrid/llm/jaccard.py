@@ -12,17 +12,24 @@ candidates. A pair whose 1024-bit sketches differ in more bits than its sets may
 dropped; each pair used is verified on the exact sets, so no link is lost and none is
 false.
 
-Documents with equal sets are one class from the start. A bucket of documents that
+Documents with equal sets are one class from the start. A bucket of classes that
 share a segment is not expanded into pairs: each member is verified against one leader
-a round, the one that it shares most buckets with, for a few rounds. Buckets whose members are then still in more than one
-component are compared in full: small ones pair by pair across components, large ones
-block against block inside a task that returns no more rows than it has members.
+a round, the one that it shares most buckets with, for a few rounds. Buckets whose
+members are then still in more than one component are compared in full by their
+sketches, block against block inside a task. A member with few partners that its sketch
+lets link has them verified pair by pair; members that have more of them on both sides
+are compared by their sets, again block against block inside a task that returns no
+more rows than it has members.
+
+Shingles stand for themselves as 64-bit hashes, and classes are told apart by 64-bit
+digests of their sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citygrid.graph import connected_components
-from citygrid.lineage import cut
+from citygrid.lineage import Shelf, cut
 from citygrid.llm.common import GenerationalCache
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -78,12 +85,14 @@ class Bands:
         """The most elements in which sets of sizes a and b that link can differ."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def of(self, size: int) -> list[tuple[int, int, int]]:
-        """(band, segments, spare ones of them) for each band in which a set of this size has its segments."""
+    def of(self, size: int) -> list[tuple[int, int, int, int]]:
+        """(band, segments, spare ones of them, most in which the set can differ from a larger
+        one of the band) for each band in which a set of this size has its segments."""
         k = int(np.searchsorted(self.lows, size, side="right")) - 1
         bands = [k, k + 1] if size * 100 >= self.percent * self.lows[k + 1] else [k]
         least = [self.apart(self.lows[b + 1] - 1, self.lows[b + 1] - 1) + 1 for b in bands]
-        return [(b, n + 1 + n // 10, 1 + n // 10) for b, n in zip(bands, least)]
+        apart = [self.apart(size, min(size * 100 // self.percent, self.lows[b + 1] - 1)) for b in bands]
+        return [(b, n + 1 + n // 10, 1 + n // 10, d) for b, n, d in zip(bands, least, apart)]
 
     def segments(self, shingles: np.ndarray) -> np.ndarray:
         """Keys of the first segments of the sketch: the spare ones and one more than a set
@@ -93,8 +102,7 @@ class Bands:
         spare; only such sets send the empty ones. A set that links with equal ones alone
         has no keys."""
         size, out = len(shingles), [np.zeros(0, U)]
-        apart = self.apart(size, size * 100 // self.percent)
-        for band, parts, spare in self.of(size) if apart else []:
+        for band, parts, spare, apart in self.of(size) if self.apart(size, size * 100 // self.percent) else []:
             need = apart + 1 + spare
             flips = mix(shingles + U(band * 0x632BE59BD9B4E019 & (1 << 64) - 1))
             place = (flips >> U(32)) % U(parts)
@@ -118,7 +126,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """-> id, n, d1, d2, bits, keys: size, digest, 1024-bit sketch and segments of each
+    """-> id, n, cls, bits, keys: size, digest, 1024-bit sketch and segments of each
     document's set. A task gives the segments of equal sets once as long as it remembers
     them, so a group of copies adds them a few times per task; rows without an id have none."""
     bands = Bands(percent)
@@ -130,22 +138,21 @@ def sketched(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
             for at in range(0, batch.num_rows, 256):
                 ids = batch.column(0).slice(at, 256)
                 found = [shingle_set(t, words, cache) for t in batch.column(1).slice(at, 256).to_pylist()]
-                digests, keys = list(map(digest, found)), []
-                for i, x, mark in zip(ids.to_pylist(), found, digests):
+                marks, keys = list(map(digest, found)), []
+                for i, x, mark in zip(ids.to_pylist(), found, marks):
                     new = i is not None and not seen[mark]
                     if new:
                         seen[mark].append(True)
                     keys.append(bands.segments(x).view(np.int64) if new and len(x) else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in zip(*digests)), lists([sketch(x) for x in found]), lists(keys)], ["id", "n", "d1", "d2", "bits", "keys"])
+                sizes = pa.array(map(len, found), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(marks, pa.int64()), lists([sketch(x) for x in found]), lists(keys)], ["id", "n", "cls", "bits", "keys"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, "id long, n long, d1 long, d2 long, bits array<long>, keys array<long>")
+    return given.mapInArrow(run, "id long, n long, cls long, bits array<long>, keys array<long>")
 
 
-def digest(shingles: np.ndarray) -> tuple[int, int, int]:
-    if not len(shingles):
-        return 0, 0, 0
-    return len(shingles), int(mix(shingles).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(shingles + U(99))).view(np.int64))
+def digest(shingles: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -153,20 +160,21 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, shingles) for the documents in ``ids``; one row a document."""
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(cls, shingles) of the classes in ``wanted`` (rep, cls); one row a class unless an
+    id has equal sets in several rows."""
 
     def run(batches):
         cache = GenerationalCache(word_hash, 250_000)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t, words, cache).view(np.int64) for t in batch.column(1).slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), batch.column(2).slice(at, 256), batch.column(3).slice(at, 256), lists(sets)], ["rep", "d1", "seen", "shingles"])
+                sets = [shingle_set(t, words, cache) for t in batch.column(0).slice(at, 256).to_pylist()]
+                found = pa.RecordBatch.from_arrays([batch.column(1).slice(at, 256), lists([x.view(np.int64) for x in sets])], ["cls", "shingles"])
+                # of rows that repeat an id, those that have the class's set
+                yield found.filter(pa.array([digest(x) == c for x, c in zip(sets, found.column(0).to_pylist())], pa.bool_()))
 
-    given = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(ids, "rep")
-    made = given.select("rep", "text", "d1", "n").mapInArrow(run, "rep long, d1 long, seen long, shingles array<long>")
-    # of rows that repeat an id, the one that the class stands for
-    return made.filter(F.size("shingles") == F.col("seen")).drop("d1", "seen")
+    given = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    return given.join(wanted, "rep").select("text", "cls").mapInArrow(run, "cls long, shingles array<long>")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
@@ -176,94 +184,186 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     the whole sequence if it has fewer, empty if it has none. Two documents link when
     100 * intersection >= ``percent`` * union; ``component_id`` is the smallest id that
     links reach. Null and empty texts link with nothing; a null id gets a null
-    component. Rows that repeat an id are one node. Other columns are ignored.
+    component. Rows that repeat an id are one node with the links of all its texts. An
+    empty table gives an empty table. Very long texts have more segments and nothing
+    else: no text is cut. Other columns are ignored.
     """
-    made = cut(sketched(docs, words, percent, id_col, text_col))
-    usable = made.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = usable.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.min("bits").alias("bits"))
-    members = cut(shared(made.select(F.explode("keys").alias("key"), "d1"), classes))
+    shelf = Shelf(docs.sparkSession)
+    made = shelf.put("made", sketched(docs, words, percent, id_col, text_col))
+    usable = made.filter("n > 0 AND id IS NOT NULL")
+    told = shelf.put("told", usable.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    members = shelf.put("members", shared(made, shelf))
+    wanted = members.select("cls").distinct().join(told.select("cls", "rep"), "cls")
+    sets = shelf.put("sets", sets_of(docs, wanted, words, id_col, text_col).dropDuplicates(["cls"]))
+    links: list[DataFrame] = []
 
-    ids = cut(members.select("rep").distinct().join(classes, "rep").groupBy("rep").agg(F.min(F.struct("n", "d1", "bits")).alias("c")).select("rep", "c.n", "c.d1", "c.bits"))
-    sets = cut(sets_of(docs, ids.select("rep", "n", "d1"), words, id_col, text_col))
-    # rows that repeat an id with different texts: their classes are one node
-    links = usable.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    found = None
+    def close(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of classes those whose sketches let them link."""
+        x, y = (told.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+        differ = sum((F.bit_count(F.col("bitsa")[k].bitwiseXOR(F.col("bitsb")[k])) for k in range(16)), F.lit(0))
+        may = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+        return pairs.join(x, "a").join(y, "b").filter(may).select(*pairs.columns)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xs"))
-        y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("ys"))
-        both = pairs.join(x, "a").join(y, "b")
+        x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("xs"))
+        y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("ys"))
         common = F.size(F.array_intersect("xs", "ys"))
-        return both.filter(F.size("xs") + F.size("ys") > 0).filter(100 * common >= percent * (F.size("xs") + F.size("ys") - common)).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").filter(100 * common >= percent * (F.size("xs") + F.size("ys") - common)).select("a", "b")
+
+    held = members.withColumn("part", F.col("cls"))
+    for r in range(rounds):
+        lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(r)), F.col("cls").alias("a"), F.col("part").alias("of"))).alias("lead")).select("key", "lead.a", "lead.of")
+        pairs = held.join(lead, "key").filter("part != of").groupBy("a", F.col("cls").alias("b")).agg(F.count("*").alias("times"))
+        best = close(pairs).groupBy("b").agg(F.max(F.struct("times", "a")).alias("p")).select("p.a", "b")
+        links.append(shelf.put(f"links{r}", verified(best)))
+        held = shelf.put(f"held{r}", still_open(members, linked(links), r + 1))
+        if r:
+            shelf.drop(f"held{r - 1}")
+        if held.isEmpty():
+            break
+    else:
+        found = shelf.put("candidates", in_sketch_blocks(held.join(told.drop("rep"), "cls"), percent))
+        pairs = found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links.append(shelf.put("pairs", verified(pairs)))
+        links.append(shelf.put("blocks", in_blocks(found.filter("b IS NULL").select("key", F.col("a").alias("cls")).distinct(), sets, percent)))
+    shelf.drop("sets", "members", "candidates", *[f"held{r}" for r in range(rounds)])
+    # from classes to ids: a class links its rows, a repeated id its classes
+    rep = told.select("cls", "rep")
+    edges = linked(links).join(rep.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = usable.select("id", "cls").join(rep, "cls").filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    parts = connected_components(edges.unionByName(equal))
+    out = cut(
+        made.select("id", "n").join(parts, F.col("id") == F.col("v"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    )
+    shelf.drop("")
+    return out
 
-    told = ids.select("rep", "n", "bits")
 
-    def close(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b) with the number of their rows as ``times``, those whose sketches let them link."""
-        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
-        x, y = (told.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
-        bits = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-        both = counted.join(x, "a").join(y, "b")
-        return both.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bits * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b", "times")
-
-    for r in range(rounds + 1):
-        if found is None:
-            held = members.withColumn("part", F.col("rep"))
-        else:
-            parts = connected_components(found, rounds=r + 1)
-            held = members.join(parts.withColumnRenamed("v", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-            # only buckets whose members are not all in one component have more to tell
-            open_keys = held.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
-            held = cut(held.join(open_keys, "key"))
-            if held.isEmpty():
-                break
-        if r < rounds:
-            lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(r)), F.col("rep"), F.col("part"))).alias("lead"))
-            pairs = held.join(lead.select("key", F.col("lead.rep").alias("a"), F.col("lead.part").alias("of")), "key").filter("part != of").select("a", F.col("rep").alias("b"))
-            best = close(pairs).groupBy("b").agg(F.max(F.struct("times", "a")).alias("p"))
-            pairs = best.select(F.least("p.a", "b").alias("a"), F.greatest("p.a", "b").alias("b")).distinct()
-        else:
-            # small buckets: pairs across components; large ones: block against block
-            held = held.join(held.groupBy("key").agg(F.count("*").alias("size")), "key")
-            other = held.filter(F.col("size") <= SMALL).select("key", F.col("rep").alias("b"), F.col("part").alias("of"))
-            pairs = held.filter(F.col("size") <= SMALL).join(other, "key").filter("part < of").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
-            pairs = close(pairs).select("a", "b")
-            found = found.unionByName(cut(in_blocks(held.filter(F.col("size") > SMALL), sets, percent)))
-        new = cut(verified(pairs))
-        found = new if found is None else found.unionByName(new)
-    parts = connected_components(found.unionByName(links))
-    return made.join(parts, made["id"] == parts["v"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
-    )
+def linked(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
+
 
+def still_open(members: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+    """(key, cls, part) of the buckets whose members are not all in one component."""
+    parts = connected_components(links, rounds=rounds)
+    held = members.join(parts.withColumnRenamed("v", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("part"))
+    keys = held.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
+    return held.join(keys, "key")
 
-def shared(given: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, rep) of segments that more than one set has; buckets with the same members are one."""
+
+def hot_keys(made: DataFrame, one_in: int = 64, most: int = 1000) -> DataFrame:
+    """At most ``most`` keys that many sets have, from those of one class in ``one_in``."""
+    some = made.filter(F.pmod(F.xxhash64("cls"), F.lit(one_in)) == 0).select(F.explode("keys").alias("key"), "cls")
+    return some.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("p"), F.max("cls").alias("q")).filter("n >= 16 AND p != q").orderBy(F.desc("n"), "key").limit(most).select("key")
+
+
+def shared(made: DataFrame, shelf: Shelf) -> DataFrame:
+    """(key, cls) of segments that more than one set has; buckets with the same members are one.
+
+    A window over a key finds out whether it is shared; keys that are hot in a sample are
+    known to be, and pass no window.
+    """
+    hot = shelf.put("hot", hot_keys(made))
+    given = made.select(F.explode("keys").alias("key"), "cls").join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")  # at most 1000 keys
     of_key = Window.partitionBy("key")
-    more = given.select("key", "d1", F.min("d1").over(of_key).alias("p"), F.max("d1").over(of_key).alias("q")).filter("p != q").select("key", "d1").distinct()
-    held = cut(more.join(classes.select("d1", "rep"), "d1").select("key", "rep"))
-    told = held.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x2"))
+    more = given.filter("hot IS NULL").select("key", "cls", F.min("cls").over(of_key).alias("p"), F.max("cls").over(of_key).alias("q")).filter("p != q")
+    held = shelf.put("shared", more.select("key", "cls").unionByName(given.filter("hot").select("key", "cls")).distinct())
+    told = held.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("least"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("x2"))
     one = told.groupBy("size", "least", "x1", "x2").agg(F.min("key").alias("key"))
     return held.join(one.select("key"), "key")
 
 
-#: A bucket of at most so many members is compared pair by pair.
-SMALL = 256
-BLOCK = 256
+#: Members of a block that are compared by their sketches, and by their sets.
+SKETCHES = 2048
+SETS = 256
+#: A member with up to so many partners in a block has each of them verified.
+FEW = 4
+
+
+def dealt(held: DataFrame, block: int) -> DataFrame:
+    """The rows of each bucket once for each pair (lo, hi) of its blocks that they are in."""
+    size = held.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    rows = held.join(size, "key").withColumn("own", F.pmod(F.xxhash64("cls", "key"), F.col("n_blocks")).cast("int"))
+    return rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("n_blocks", "with")
+
+
+def near_by_sketch(group: np.ndarray, part: np.ndarray, own: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group and different parts whose sizes and sketches let them link.
+
+    Groups are runs; where ``whole`` is false only rows of different blocks are compared.
+    """
+    left, right = [], []
+    at, k = np.arange(len(group)), 0
+    while len(at):
+        k += 1
+        at = at[at + k < len(group)]
+        at = at[group[at] == group[at + k]]
+        x, y = at, at + k
+        fit = (part[x] != part[y]) & (whole[x] | (own[x] != own[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[fit], y[fit]
+        if len(x):
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            may = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            left.append(x[may])
+            right.append(y[may])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def in_sketch_blocks(held: DataFrame, percent: int) -> DataFrame:
+    """(key, cls, part, n, bits) -> candidates (key, a, b).
+
+    Each pair across parts whose sketches let it link is there, with at most ``FEW``
+    partners for one of its two in a pair of blocks; for a pair in which both have more,
+    both are there with a null b.
+    """
+    parts = held.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    rows = dealt(held, SKETCHES).repartition(int(parts), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    rows = rows.select("key", "lo", "hi", "own", "cls", "part", "n", "bits")
+
+    def groups(batches) -> Iterator[pa.Table]:
+        """Whole groups, over the borders of batches."""
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            last = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")], 1)
+            begins = np.flatnonzero((last[1:] != last[:-1]).any(1)) + 1
+            cut_at = int(begins[-1]) if len(begins) else 0
+            if cut_at:
+                yield t.slice(0, cut_at)
+            rest = t.slice(cut_at)
+        if rest is not None and rest.num_rows:
+            yield rest
+
+    def run(batches):
+        for t in groups(batches):
+            key, lo, hi, own, cls, part, n = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "cls", "part", "n"))
+            bits = t.column("bits").combine_chunks().flatten().to_numpy().view(U).reshape(-1, 16)
+            marks = np.stack([key, lo, hi], 1)
+            group = np.concatenate([[0], np.cumsum((marks[1:] != marks[:-1]).any(1))])
+            x, y = near_by_sketch(group, part, own, n, bits, percent, lo == hi)
+            times = np.bincount(np.concatenate([x, y]), minlength=len(key))
+            few = np.minimum(times[x], times[y]) <= FEW
+            many = np.unique(np.concatenate([x[~few], y[~few]]))
+            b = pa.concat_arrays([pa.array(cls[y[few]]), pa.nulls(len(many), pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[x[few]], key[many]])), pa.array(np.concatenate([cls[x[few]], cls[many]])), b], ["key", "a", "b"])
+
+    return rows.mapInArrow(run, "key long, a long, b long")
 
 
 def in_blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, size) -> links (a, b) that span the components inside each bucket.
+    """(key, cls) -> links (a, b) that span the components inside each bucket.
 
-    A bucket's members are dealt into blocks; a task compares two blocks by products of
-    their 0/1 matrices and returns no more rows than it has members.
+    A task compares two blocks by products of their 0/1 matrices and returns no more rows
+    than it has members.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = held.select("key", "rep", blocks.alias("n_blocks")).withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("n_blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, n_blocks - 1)"))).select("key", "rep", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
 
     def compare(pdf):
-        pdf = pdf.sort_values("rep")
+        pdf = pdf.sort_values("cls")
         left, right = (pdf, pdf) if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else (pdf[pdf["own"] == pdf["lo"]], pdf[pdf["own"] == pdf["hi"]])
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []})
@@ -285,7 +385,7 @@ def in_blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             common += ones[0] @ ones[1].T
         common = common.astype(np.int64)
         linked = 100 * common >= percent * (sides[0][2][:, None] + sides[1][2] - common)
-        x, y = left["rep"].to_numpy(), right["rep"].to_numpy()
+        x, y = left["cls"].to_numpy(), right["cls"].to_numpy()
         lx, ly, high = x.copy(), y.copy(), np.iinfo(np.int64).max
         while True:
             to_y = np.minimum(ly, np.where(linked, lx[:, None], high).min(0))
@@ -296,7 +396,7 @@ def in_blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         out = pd.DataFrame({"a": np.concatenate([lx, ly]), "b": np.concatenate([x, y])})
         return out[out["a"] != out["b"]].drop_duplicates()
 
-    return dealt.join(sets, "rep").groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return dealt(held, SETS).join(sets, "cls").groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:

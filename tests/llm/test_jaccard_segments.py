@@ -30,3 +30,43 @@ def test_empty_segments_are_rarely_sent():
     rng, bands = np.random.default_rng(5), jaccard.Bands(90)
     keys = np.concatenate([bands.segments(np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))) for _ in range(300)])
     assert len(np.unique(keys)) > 0.99 * len(keys)
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Texts under one id are one node with the links of each; other columns may clash."""
+    from tests.llm.test_llm import brute_groups
+
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    near = " ".join(["new", *text(1).split()[1:]])
+    rows = [(5, text(0)), (5, text(1)), (9, text(1)), (12, near), (20, text(2)), (21, text(2)), (21, text(2)), (7, None), (7, " ")]
+    given = spark.createDataFrame([(*r, 1, 2, "x", 3) for r in rows], "doc_id long, text string, n long, cls long, keys string, rep long")
+    got = sorted(map(tuple, jaccard.near_groups(given, 3, 90).collect()))
+    assert got == brute_groups(rows, 3, 90) and (12, 58, 5) in got
+    assert jaccard.near_groups(given.limit(0), 3, 90).count() == 0
+
+
+@pytest.mark.parametrize("block,few", [(8, 0), (8, 2), (4096, 0), (4096, 4)])
+def test_buckets_in_blocks(spark, monkeypatch, block, few):
+    """One bucket, many components: sketches, pairs and sets find what brute force finds, with any block size."""
+    from tests.llm.test_llm import brute_groups
+
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(jaccard, "SKETCHES", block)
+    monkeypatch.setattr(jaccard, "SETS", block)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    # every document has the same passage and nothing else that all share
+    common = [f"c{i}" for i in range(40)]
+    rows = []
+    for k in range(60):
+        own = [f"o{k // 4}x{i}" for i in range(12)]
+        own[int(rng.integers(12))] = f"n{k}"
+        rows.append((k, " ".join(common + own)))
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_groups(given, 3, 80, rounds=1).collect())) == brute_groups(rows, 3, 80)
+
+
+def test_long_text(spark):
+    words = [f"w{i}" for i in range(40_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:39_000])), (3, " ".join(words[:20_000]))]
+    got = dict((r[0], r[2]) for r in jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect())
+    assert got == {1: 1, 2: 1, 3: 3}
