@@ -13,13 +13,14 @@ dropped; each pair used is verified on the exact sets, so no link is lost and no
 false.
 
 Documents with equal sets are one class from the start. A bucket of classes that
-share a segment is not expanded into pairs: each member is verified against one leader
-a round, the one that it shares most buckets with, for a few rounds. Buckets whose
-members are then still in more than one component are compared in full by their
-sketches, block against block inside a task. A member with few partners that its sketch
-lets link has them verified pair by pair; members that have more of them on both sides
-are compared by their sets, again block against block inside a task that returns no
-more rows than it has members.
+share a segment is not expanded into pairs: each member is verified against one leader,
+the one that it shares most buckets with. Buckets whose members are then still in more
+than one component are compared in full by their sketches, block against block inside a
+task, for a few rounds: in each a member is verified against the nearest one of another
+component. In what is still open, a member with few partners that its sketch lets link
+has them all verified pair by pair; members that have more of them on both sides are
+compared by their sets, again block against block inside a task that returns no more
+rows than it has members.
 
 Shingles stand for themselves as 64-bit hashes, and classes are told apart by 64-bit
 digests of their sets.
@@ -211,22 +212,25 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         return pairs.join(x, "a").join(y, "b").filter(100 * common >= percent * (F.size("xs") + F.size("ys") - common)).select("a", "b")
 
     held = members.withColumn("part", F.col("cls"))
-    for r in range(rounds):
-        lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(r)), F.col("cls").alias("a"), F.col("part").alias("of"))).alias("lead")).select("key", "lead.a", "lead.of")
-        pairs = held.join(lead, "key").filter("part != of").groupBy("a", F.col("cls").alias("b")).agg(F.count("*").alias("times"))
-        best = close(pairs).groupBy("b").agg(F.max(F.struct("times", "a")).alias("p")).select("p.a", "b")
-        links.append(shelf.put(f"links{r}", verified(best)))
-        held = shelf.put(f"held{r}", still_open(members, linked(links), r + 1))
-        if r:
-            shelf.drop(f"held{r - 1}")
+    lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls"), F.col("cls").alias("a"))).alias("lead")).select("key", "lead.a")
+    pairs = held.join(lead, "key").filter("a != cls").groupBy("a", F.col("cls").alias("b")).agg(F.count("*").alias("times"))
+    best = close(pairs).groupBy("b").agg(F.max(F.struct("times", "a")).alias("p")).select("p.a", "b")
+    links.append(shelf.put("links0", verified(best)))
+    held = shelf.put("held0", still_open(members, linked(links)))
+    for r in range(1, rounds + 1):
         if held.isEmpty():
             break
-    else:
+        found = in_sketch_blocks(held.join(told.drop("rep"), "cls"), percent, nearest=True)
+        pairs = found.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("p")).select(F.least("a", "p.b").alias("a"), F.greatest("a", "p.b").alias("b")).distinct()
+        links.append(shelf.put(f"links{r}", verified(pairs)))
+        held = shelf.put(f"held{r}", still_open(held, linked(links)))
+        shelf.drop(f"held{r - 1}")
+    if not held.isEmpty():
         found = shelf.put("candidates", in_sketch_blocks(held.join(told.drop("rep"), "cls"), percent))
         pairs = found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links.append(shelf.put("pairs", verified(pairs)))
         links.append(shelf.put("blocks", in_blocks(found.filter("b IS NULL").select("key", F.col("a").alias("cls")).distinct(), sets, percent)))
-    shelf.drop("sets", "members", "candidates", *[f"held{r}" for r in range(rounds)])
+    shelf.drop("sets", "members", "candidates", *[f"held{r}" for r in range(rounds + 1)])
     # from classes to ids: a class links its rows, a repeated id its classes
     rep = told.select("cls", "rep")
     edges = linked(links).join(rep.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -246,10 +250,10 @@ def linked(links: list[DataFrame]) -> DataFrame:
     return out
 
 
-def still_open(members: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+def still_open(members: DataFrame, links: DataFrame) -> DataFrame:
     """(key, cls, part) of the buckets whose members are not all in one component."""
-    parts = connected_components(links, rounds=rounds)
-    held = members.join(parts.withColumnRenamed("v", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("part"))
+    parts = connected_components(links)
+    held = members.select("key", "cls").join(parts.withColumnRenamed("v", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("part"))
     keys = held.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
     return held.join(keys, "key")
 
@@ -290,12 +294,12 @@ def dealt(held: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("n_blocks", "with")
 
 
-def near_by_sketch(group: np.ndarray, part: np.ndarray, own: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group and different parts whose sizes and sketches let them link.
+def near_by_sketch(group: np.ndarray, part: np.ndarray, own: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one group and different parts whose sizes and sketches let them link, and how many bits differ.
 
     Groups are runs; where ``whole`` is false only rows of different blocks are compared.
     """
-    left, right = [], []
+    left, right, far = [], [], []
     at, k = np.arange(len(group)), 0
     while len(at):
         k += 1
@@ -309,16 +313,18 @@ def near_by_sketch(group: np.ndarray, part: np.ndarray, own: np.ndarray, n: np.n
             may = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
             left.append(x[may])
             right.append(y[may])
+            far.append(differ[may])
     none = [np.zeros(0, np.int64)]
-    return np.concatenate(left or none), np.concatenate(right or none)
+    return np.concatenate(left or none), np.concatenate(right or none), np.concatenate(far or none)
 
 
-def in_sketch_blocks(held: DataFrame, percent: int) -> DataFrame:
-    """(key, cls, part, n, bits) -> candidates (key, a, b).
+def in_sketch_blocks(held: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """(key, cls, part, n, bits) -> candidates (key, a, b, apart): pairs across parts whose
+    sketches let them link, and the bits in which these differ.
 
-    Each pair across parts whose sketches let it link is there, with at most ``FEW``
-    partners for one of its two in a pair of blocks; for a pair in which both have more,
-    both are there with a null b.
+    With ``nearest`` each member comes once for each pair of blocks, with its nearest
+    partner. Else each pair is there in which one of the two has at most ``FEW`` partners
+    in a pair of blocks; for one in which both have more, both are there with a null b.
     """
     parts = held.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = dealt(held, SKETCHES).repartition(int(parts), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
@@ -345,14 +351,21 @@ def in_sketch_blocks(held: DataFrame, percent: int) -> DataFrame:
             bits = t.column("bits").combine_chunks().flatten().to_numpy().view(U).reshape(-1, 16)
             marks = np.stack([key, lo, hi], 1)
             group = np.concatenate([[0], np.cumsum((marks[1:] != marks[:-1]).any(1))])
-            x, y = near_by_sketch(group, part, own, n, bits, percent, lo == hi)
-            times = np.bincount(np.concatenate([x, y]), minlength=len(key))
-            few = np.minimum(times[x], times[y]) <= FEW
-            many = np.unique(np.concatenate([x[~few], y[~few]]))
-            b = pa.concat_arrays([pa.array(cls[y[few]]), pa.nulls(len(many), pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[x[few]], key[many]])), pa.array(np.concatenate([cls[x[few]], cls[many]])), b], ["key", "a", "b"])
-
-    return rows.mapInArrow(run, "key long, a long, b long")
+            x, y, far = near_by_sketch(group, part, own, n, bits, percent, lo == hi)
+            if nearest:
+                a, b, apart = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([far, far])
+                order = np.lexsort((cls[b], apart, a))
+                first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(a) else order
+                out = [key[a[first]], cls[a[first]], pa.array(cls[b[first]]), apart[first]]
+            else:
+                times = np.bincount(np.concatenate([x, y]), minlength=len(key))
+                few = np.minimum(times[x], times[y]) <= FEW
+                many = np.unique(np.concatenate([x[~few], y[~few]]))
+                b = pa.concat_arrays([pa.array(cls[y[few]]), pa.nulls(len(many), pa.int64())])
+                out = [np.concatenate([key[x[few]], key[many]]), np.concatenate([cls[x[few]], cls[many]]), b, np.concatenate([far[few], np.zeros(len(many), np.int64)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in out], ["key", "a", "b", "apart"])
+
+    return rows.mapInArrow(run, "key long, a long, b long, apart long")
 
 
 def in_blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
