@@ -22,17 +22,20 @@ class GenerationalCache(dict):
     """A memo of bounded size: ``cache[key]`` computes what it has not seen.
 
     When ``most`` keys are young, they become the old generation and the former
-    old one goes; a key found in the old generation is taken over, not computed.
+    old one goes; a key found in the old generation is taken over, not computed. Keys
+    of more than ``longest`` characters are not kept: a few could fill the memory.
     """
 
-    def __init__(self, compute: Callable[[Hashable], object], most: int = 200_000):
+    def __init__(self, compute: Callable[[Hashable], object], most: int = 200_000, longest: int | None = None):
         super().__init__()
-        self.compute, self.most, self.old = compute, most, {}
+        self.compute, self.most, self.longest, self.old = compute, most, longest, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+            if self.longest is not None and len(key) > self.longest:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

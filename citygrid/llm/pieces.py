@@ -7,11 +7,10 @@ that are no piece fall back to bytes.
 A text is first cut where no piece of the vocabulary reaches across: before a run
 of space marks, and between letters, digits and other characters. That no piece
 reaches across is checked for every piece when the model is loaded; the few pieces
-that do are kept in a list, and a text that holds one of them, once it has its space
-marks, is cut at space marks only. So a text is the chain of its cuttings' encodings,
-and each cutting is encoded once per worker as long as the memo holds it. All texts of
-an Arrow batch are also encoded whole by the sentencepiece library; a difference stops
-the job.
+that do are kept in a list, and a word that holds one of them, with its space marks, is
+not cut any further. So a text is the chain of its words' encodings, and each word is
+encoded once per worker as long as the memo holds it. All texts of an Arrow batch are
+also encoded whole by the sentencepiece library; a difference stops the job.
 """
 
 from __future__ import annotations
@@ -33,6 +32,8 @@ FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}+[^\w{SPACE}]*|[^\w{SPACE}]+|.", r
 #: Up to so many symbols the agenda is a plain list of scores, beyond it a heap.
 SHORT = 32
 NEVER = float("-inf")
+BARE = "\0"  # before a word that has no space mark before it
+LONG = 64  # longer words and cuttings are not kept
 
 
 class Codec:
@@ -56,12 +57,14 @@ class Codec:
         while left:
             self.signs += max({c for p in left for c in p}, key=lambda c: (sum(c in p for p in left), c))
             left = [p for p in left if self.signs[-1] not in p]
+        self.sign, self.plain = re.compile(f"[{re.escape(self.signs)}]" if self.signs else r"(?!)"), re.compile(rf"{SPACE}[^\W\d_]+")
         if not all(sp.is_byte(i) for i in self.bytes) or any("\n" in p for p in self.ids):
             raise ValueError("the model has no byte pieces, or pieces with line feeds")
         # ids of one small table, so that cached encodings share their objects
-        self.number, self.text = list(range(size)), [str(i) for i in range(size)]
+        self.number, self.text = list(range(size)), [f"{i}," for i in range(size)]
         self.new: list[tuple[str, tuple[int, ...]]] = []
-        self.cache = GenerationalCache(self._word, 200_000)
+        self.cache = GenerationalCache(self._cutting, 150_000, LONG)
+        self.words = GenerationalCache(self._word, 300_000, LONG)
 
     def merge(self, word: str) -> list[str]:
         """The symbols of ``word`` when no adjacent pair can be merged any more."""
@@ -109,26 +112,36 @@ class Codec:
                     heapq.heappush(agenda, (-s, b, len(pair)))
         return [s for s in symbols if s is not None]
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
+    def _cutting(self, cutting: str) -> tuple[int, ...]:
         ids, number = [], self.number
-        for s in self.merge(word):
+        for s in self.merge(cutting):
             i = self.ids.get(s)
             if i is None:
                 ids.extend([number[self.bytes[b]] for b in s.encode()])
             else:
                 ids.append(number[i])
-        self.new.append((word, value := tuple(ids)))
-        return value, ",".join([self.text[i] for i in ids])
+        self.new.append((cutting, value := tuple(ids)))
+        return value
+
+    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
+        """Ids of a word, and the decimal ids with a comma after each. The word has its space
+        marks, or stands for one mark and itself, or after ``BARE`` for itself alone."""
+        marked = word if word[:1] == SPACE else word[1:] if word[:1] == BARE else word if word == "\n" else SPACE + word
+        crossed = self.sign.search(marked) and any(p in marked for p in self.crossing)
+        cuttings = [marked] if crossed or self.plain.fullmatch(marked) else FINE.findall(marked)
+        ids = self.cache[cuttings[0]] if len(cuttings) == 1 else tuple(chain.from_iterable([self.cache[c] for c in cuttings]))
+        return ids, "".join([self.text[i] for i in ids])
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """-> ids, and the decimal ids joined by commas."""
         if not text:
             return [], ""
-        marked = SPACE + text.replace(" ", SPACE)
-        cut = WORD if any(c in marked for c in self.signs) and any(p in marked for p in self.crossing) else FINE
-        cache = self.cache
-        found = [cache[w] for w in cut.findall(marked) if w]
-        return list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
+        bare = text.replace(" ", SPACE)
+        if bare[0] == SPACE or SPACE * 2 in bare or BARE in bare:
+            found = [self.words[w] for w in WORD.findall(SPACE + bare) if w]
+        else:  # no piece has a line feed: what is between two is encoded for itself
+            found = [self.words[w] for w in bare.replace("\n", f"{SPACE}\n{SPACE}{BARE}").split(SPACE)]
+        return list(chain.from_iterable([f[0] for f in found])), "".join([f[1] for f in found])[:-1]
 
     def check_new(self) -> None:
         """Hold the cuttings met since the last call against the library.

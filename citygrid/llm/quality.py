@@ -55,13 +55,6 @@ def slices(word: str, s: Settings) -> Iterator[list[int]]:
             yield [2 + zlib.crc32(marked[i : i + n].encode()) % room for i in range(at, min(at + SLICE, len(marked) - n + 1))]
 
 
-class Memo(GenerationalCache):
-    """Long words are computed each time: a few could fill the memory."""
-
-    def __missing__(self, key):
-        return self.compute(key) if len(key) > LONG else super().__missing__(key)
-
-
 def repeats(words: list[str]) -> int:
     return sum(map(operator.eq, words, words[1:]))
 
@@ -85,7 +78,7 @@ def sample(docs: DataFrame, labelled: DataFrame, label: str, s: Settings, id_col
         picked = part if picked is None else picked.unionByName(part)
 
     def run(batches):
-        cache = Memo(lambda w: features(w, s), 50_000)
+        cache = GenerationalCache(lambda w: features(w, s), 50_000, LONG)
         for batch in batches:
             ids, labels, texts = (c.to_pylist() for c in batch.columns)
             bags = [bag(t or "", cache, s) for t in texts]
@@ -135,7 +128,7 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, s: Settings):
         self.model, self.s = model, s
-        self.cache = Memo(self._word, 150_000)
+        self.cache = GenerationalCache(self._word, 150_000, LONG)
 
     def _word(self, word: str) -> complex:
         """The sum of the word's numbers, and (as imaginary part) how many they are."""
