@@ -159,7 +159,8 @@ def mix_documents(
     others. ``weights``: the share of the tokens each domain should have (with
     ``absolute``, times its present expected tokens). ``copies`` is the rate rounded up
     with the chance of its fraction, by a hash of the id. Null and empty texts have no
-    tokens; null ids are kept. A row per row of ``docs``; other columns are ignored.
+    tokens; null ids are kept; long texts count whole. A row per row of ``docs``, none
+    for an empty table; other columns are ignored.
     ``top`` bounds the rates from above (1: choose without repeating).
     """
     names = sorted(weights)
@@ -179,7 +180,12 @@ def mix_documents(
 
 
 def apply_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each row as often as its document's copies say; columns as given."""
-    times = mixed.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(times, docs[id_col] == times["_of"], "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return joined.withColumn("_n", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.greatest("_copies", F.lit(1)))).otherwise(F.array().cast("array<int>")))).select(*[docs[c] for c in docs.columns])
+    """``docs`` with each row as often as its document's copies say; columns as given.
+
+    Rows whose id is null or not in ``mixed`` stay once. Names of columns are free: the
+    row travels as one value.
+    """
+    times = mixed.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    joined = rows.join(times, rows["id"] == times["of"], "left").select("row", F.coalesce("copies", F.lit(1)).alias("copies"))
+    return joined.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -158,13 +158,22 @@ def store(payload: bytes, rate: int = 8000, streams: int = 2, block: int = 4000)
 
 
 def load(stored: bytes) -> tuple[bytes, dict[int, Stream], list[str]]:
-    """-> the payload, the logical streams, and what was wrong."""
+    """-> the payload, the logical streams, and what was wrong.
+
+    Streams that do not begin with an identification packet of samples (other codecs, or
+    the page is damaged) give nothing to the payload and are named.
+    """
     streams, wrong = demux(stored)
-    rows = [s.packets[1:] for _, s in sorted(streams.items())]
-    blocks = [r[k] for k in range(max(map(len, rows), default=0)) for r in rows if k < len(r)]
-    for serial, s in streams.items():
-        if sum(map(len, s.packets[1:])) != SAMPLES.unpack(s.packets[0])[2]:
+    rows = []
+    for serial, s in sorted(streams.items()):
+        head = s.packets[0] if s.packets else b""
+        if len(head) != SAMPLES.size or head[:8] != MAGIC:
+            wrong.append(f"stream {serial} has no samples")
+            continue
+        rows.append(s.packets[1:])
+        if sum(map(len, rows[-1])) != SAMPLES.unpack(head)[2]:
             wrong.append(f"stream {serial} has lost samples")
+    blocks = [r[k] for k in range(max(map(len, rows), default=0)) for r in rows if k < len(r)]
     return b"".join(blocks), streams, wrong
 
 
@@ -176,8 +185,8 @@ def padded(text: str | None, to: int = 64) -> tuple[bytes, int]:
 def ogg_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> id, n_bytes, ogg: each text's padded UTF-8 bytes as an Ogg file.
 
-    Null and empty texts give 64 zero bytes of payload. Other columns are ignored;
-    every row gives a row.
+    Null and empty texts give 64 zero bytes of payload; long ones as many pages as they
+    need. Other columns are ignored; every row gives a row, an empty table none.
     """
 
     def run(batches):

@@ -127,18 +127,40 @@ def test_chat(spark):
     assert got[2]["loss_chars"] == 0 and got[None]["loss_chars"] == 1
 
 
+def brute_links(rows, threshold=0.9):
+    """[(id, links, component)] of (id, vector) rows, by the cosine of each pair."""
+    fine = [(k, [float(v) for v in x]) for k, x in rows if x and all(v is not None and np.isfinite(v) for v in x) and any(x)]
+    links = {k: set() for k, _ in rows}
+    for (a, x), (b, y) in itertools.combinations(fine, 2):
+        if a != b and len(x) == len(y):
+            p, q = (np.array(v) / max(map(abs, v)) for v in (x, y))
+            if p @ q / (np.linalg.norm(p) * np.linalg.norm(q)) >= threshold:
+                links[a].add(b)
+                links[b].add(a)
+    out = []
+    for k in sorted(links):
+        reached, new = {k}, {k}
+        while new:
+            new = set().union(*(links[v] for v in new)) - reached
+            reached |= new
+        out.append((k, len(links[k]), min(reached)))
+    return out
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 16))
     x = np.vstack([c + rng.normal(size=(15, 16)) * 0.2 for c in centres] + [centres[:1]] * 3)
-    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x.astype(np.float32))] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0])]
-    got = {r["vec_id"]: r for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), s=near_vectors.Settings(per_list=40, block=50)).collect()}
-    u = x.astype(np.float32).astype(float)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    links = u @ u.T >= 0.9
-    found = sum(got[k]["n_links"] for k in range(len(x)))
-    assert found >= 0.9 * (links.sum() - len(x)) and all(got[k]["n_links"] <= links[k].sum() - 1 for k in range(len(x)))
-    assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (900, 901, 902, 903, 904))
+    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0]), (905, []), (906, [1.0, 0.0, 0.0]), (907, [1.0, 0.01, 0.0]), (908, [2.0]), (909, [float("inf")] * 16)]
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x.astype(np.float32))] + odd
+    s = near_vectors.Settings(per_list=40, block=50, recall=1.0)
+    for kind in ("float", "double"):
+        more = [(950, [1e-200] * 16), (951, [2e-200] * 16), (952, [1e300] * 16)] if kind == "double" else []
+        given = spark.createDataFrame([(*r, 1, 2) for r in rows + more], f"vec_id long, embedding array<{kind}>, id int, n_links int")
+        got = near_vectors.near_vectors(given, s=s).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute_links(rows + more)
+        assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+    assert near_vectors.near_vectors(given.limit(0)).count() == 0
 
 
 def test_secrets(spark, docs):
