@@ -8,48 +8,78 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 #: name -> (tables or views it reads, SQL for both engines or one for each)
 BINDINGS: dict[str, tuple[str, str | tuple[str, str]]] = {
+    # scenes grow with the tables: about 380 buildings, 2,500 roads and trees, 250 areas each; the last ones have fewer
     "buildings": ("part", """
-SELECT p_partkey % 6 AS scene_id, p_partkey AS ord, concat('w', CAST(p_partkey AS STRING)) AS osm_id,
- CAST((p_partkey*7919) % 1701 AS DOUBLE) - 850 AS cx, CAST((p_partkey*6007) % 1709 AS DOUBLE) - 854 AS cy,
+SELECT CAST(floor(p_partkey / 380) AS BIGINT) AS scene_id, p_partkey AS ord, concat('w', CAST(p_partkey AS STRING)) AS osm_id,
+ CAST(((p_partkey - CASE WHEN p_partkey % 6 IN (3,4) THEN p_partkey % 6 - 2 ELSE 0 END)*7919) % 1701 AS DOUBLE) - 850 + CASE p_partkey % 6 WHEN 3 THEN 14 WHEN 4 THEN 33 ELSE 0 END AS cx,
+ CAST(((p_partkey - CASE WHEN p_partkey % 6 IN (3,4) THEN p_partkey % 6 - 2 ELSE 0 END)*6007) % 1709 AS DOUBLE) - 854 + CASE p_partkey % 6 WHEN 3 THEN 9 ELSE 0 END AS cy,
  CAST(5 + p_size AS DOUBLE) AS w, CAST(5 + (p_partkey*31) % 40 AS DOUBLE) AS d,
  CASE p_type WHEN 'ECONOMY' THEN 'house' WHEN 'STANDARD' THEN 'apartments' WHEN 'MEDIUM' THEN 'commercial' WHEN 'SMALL' THEN 'garage' WHEN 'LARGE' THEN 'industrial' ELSE 'yes' END AS building,
- CASE WHEN p_partkey % 10 = 0 THEN concat(CAST(10 + p_size*3 AS STRING), ' m') WHEN p_partkey % 10 = 1 THEN concat(CAST(20 + p_size AS STRING), '''6"') END AS height_tag,
+ CASE WHEN floor(p_partkey / 380) % 3 = 2 THEN NULL WHEN p_partkey % 97 = 0 THEN '590' WHEN p_partkey % 10 = 0 THEN concat(CAST(10 + p_size*3 AS STRING), ' m') WHEN p_partkey % 10 = 1 THEN concat(CAST(20 + p_size AS STRING), '''6"') WHEN p_partkey % 50 = 5 THEN '-4' WHEN p_partkey % 50 = 15 THEN 'tall' END AS height_tag,
  CASE WHEN p_partkey % 10 IN (2,3,4) THEN CAST(1 + p_size % 12 AS STRING) END AS levels_tag,
- CASE WHEN p_partkey % 17 = 0 THEN p_name END AS name,
+ CASE WHEN p_partkey % 20 IN (2,13) THEN CAST(1 + p_size % 6 AS STRING) END AS roof_tag,
+ CASE WHEN p_partkey % 30 IN (3,11) THEN '2' END AS min_level_tag, CASE WHEN p_partkey % 40 = 10 THEN '4.5 m' END AS min_height_tag,
+ CASE WHEN floor(p_partkey / 380) % 3 = 1 THEN repeat(p_name, CAST(1 + p_partkey % 40 AS INT)) WHEN p_partkey % 17 = 0 THEN p_name END AS name,
  (p_partkey % 23 = 0) AS tourism, (p_partkey % 29 = 0) AS historic, (p_partkey % 31 = 0) AS wikidata
  FROM {part}
  UNION ALL
- SELECT p_partkey % 6, p_partkey + 100000000, concat('r', CAST(p_partkey AS STRING)),
- CAST((p_partkey*7919) % 1701 AS DOUBLE) - 849.75, CAST((p_partkey*6007) % 1709 AS DOUBLE) - 854,
- CAST(5 + p_size AS DOUBLE), CAST(5 + (p_partkey*31) % 40 AS DOUBLE), 'yes', NULL, NULL, NULL, false, false, false
+ SELECT CAST(floor(p_partkey / 380) AS BIGINT), p_partkey + 100000000, concat('r', CAST(p_partkey AS STRING)),
+ CAST(((p_partkey - CASE WHEN p_partkey % 6 IN (3,4) THEN p_partkey % 6 - 2 ELSE 0 END)*7919) % 1701 AS DOUBLE) - 850 + CASE p_partkey % 6 WHEN 3 THEN 14 WHEN 4 THEN 33 ELSE 0 END + 25e-2,
+ CAST(((p_partkey - CASE WHEN p_partkey % 6 IN (3,4) THEN p_partkey % 6 - 2 ELSE 0 END)*6007) % 1709 AS DOUBLE) - 854 + CASE p_partkey % 6 WHEN 3 THEN 9 ELSE 0 END,
+ CAST(5 + p_size AS DOUBLE), CAST(5 + (p_partkey*31) % 40 AS DOUBLE), 'yes', NULL, NULL, NULL, NULL, NULL, NULL, false, false, false
  FROM {part} WHERE p_partkey % 50 = 7"""),
+    # footprints as rings: rectangles, L shapes and courtyards, some clockwise, some with the first point again at the end
+    "polygons": ("buildings", ("""
+SELECT scene_id, ord, osm_id, CASE WHEN ord % 8 = 4 THEN array(named_struct('x', cx - w / 2, 'y', cy + d / 2), named_struct('x', cx + w / 2, 'y', cy + d / 2), named_struct('x', cx + w / 2, 'y', cy - d / 2), named_struct('x', cx - w / 2, 'y', cy - d / 2)) WHEN ord % 16 = 1 THEN array(named_struct('x', cx - w / 2, 'y', cy - d / 2), named_struct('x', cx + w / 2, 'y', cy - d / 2), named_struct('x', cx + w / 2, 'y', cy + d / 2), named_struct('x', cx - w / 2, 'y', cy + d / 2), named_struct('x', cx - w / 2, 'y', cy - d / 2)) WHEN ord % 4 = 2 THEN array(named_struct('x', cx - w / 2, 'y', cy - d / 2), named_struct('x', cx + w / 2, 'y', cy - d / 2), named_struct('x', cx + w / 2, 'y', cy), named_struct('x', cx, 'y', cy), named_struct('x', cx, 'y', cy + d / 2), named_struct('x', cx - w / 2, 'y', cy + d / 2)) ELSE array(named_struct('x', cx - w / 2, 'y', cy - d / 2), named_struct('x', cx + w / 2, 'y', cy - d / 2), named_struct('x', cx + w / 2, 'y', cy + d / 2), named_struct('x', cx - w / 2, 'y', cy + d / 2)) END AS ring,
+ CASE WHEN ord % 4 = 3 THEN array(array(named_struct('x', cx - w / 4, 'y', cy - d / 4), named_struct('x', cx - w / 4, 'y', cy + d / 4), named_struct('x', cx + w / 4, 'y', cy + d / 4), named_struct('x', cx + w / 4, 'y', cy - d / 4))) ELSE filter(array(array(named_struct('x', cx - w / 4, 'y', cy - d / 4), named_struct('x', cx - w / 4, 'y', cy + d / 4), named_struct('x', cx + w / 4, 'y', cy + d / 4), named_struct('x', cx + w / 4, 'y', cy - d / 4))), h -> false) END AS holes FROM {buildings}""", """
+SELECT scene_id, ord, osm_id, CASE WHEN ord % 8 = 4 THEN [{{'x': cx - w / 2, 'y': cy + d / 2}}, {{'x': cx + w / 2, 'y': cy + d / 2}}, {{'x': cx + w / 2, 'y': cy - d / 2}}, {{'x': cx - w / 2, 'y': cy - d / 2}}] WHEN ord % 16 = 1 THEN [{{'x': cx - w / 2, 'y': cy - d / 2}}, {{'x': cx + w / 2, 'y': cy - d / 2}}, {{'x': cx + w / 2, 'y': cy + d / 2}}, {{'x': cx - w / 2, 'y': cy + d / 2}}, {{'x': cx - w / 2, 'y': cy - d / 2}}] WHEN ord % 4 = 2 THEN [{{'x': cx - w / 2, 'y': cy - d / 2}}, {{'x': cx + w / 2, 'y': cy - d / 2}}, {{'x': cx + w / 2, 'y': cy}}, {{'x': cx, 'y': cy}}, {{'x': cx, 'y': cy + d / 2}}, {{'x': cx - w / 2, 'y': cy + d / 2}}] ELSE [{{'x': cx - w / 2, 'y': cy - d / 2}}, {{'x': cx + w / 2, 'y': cy - d / 2}}, {{'x': cx + w / 2, 'y': cy + d / 2}}, {{'x': cx - w / 2, 'y': cy + d / 2}}] END AS ring,
+ CASE WHEN ord % 4 = 3 THEN [[{{'x': cx - w / 4, 'y': cy - d / 4}}, {{'x': cx - w / 4, 'y': cy + d / 4}}, {{'x': cx + w / 4, 'y': cy + d / 4}}, {{'x': cx + w / 4, 'y': cy - d / 4}}]] ELSE [] END AS holes FROM {buildings}""")),
+    # outlines of relations in open lines, the second of them backwards; never read by an oracle
+    "member_lines": ("buildings", ("""
+SELECT scene_id, osm_id, k AS ord, CASE WHEN k < 2 THEN CASE WHEN ord % 2 = 0 THEN 'outer' ELSE '' END ELSE 'inner' END AS role, CASE k WHEN 0 THEN array(named_struct('x', cx - w / 2, 'y', cy - d / 2), named_struct('x', cx + w / 2, 'y', cy - d / 2), named_struct('x', cx + w / 2, 'y', cy + d / 2)) WHEN 1 THEN array(named_struct('x', cx - w / 2, 'y', cy - d / 2), named_struct('x', cx - w / 2, 'y', cy + d / 2), named_struct('x', cx + w / 2, 'y', cy + d / 2)) WHEN 2 THEN array(named_struct('x', cx - w / 4, 'y', cy - d / 4), named_struct('x', cx - w / 4, 'y', cy + d / 4), named_struct('x', cx + w / 4, 'y', cy + d / 4)) ELSE array(named_struct('x', cx - w / 4, 'y', cy - d / 4), named_struct('x', cx + w / 4, 'y', cy - d / 4), named_struct('x', cx + w / 4, 'y', cy + d / 4)) END AS points
+FROM {buildings} CROSS JOIN (VALUES (0),(1),(2),(3)) AS kk(k) WHERE k < 2 OR ord % 4 = 3""", "")),
+    "requests": ("designs", """
+SELECT scene_id, 4188e-2 + scene_id AS lat, -8763e-2 + 5 * (scene_id % 20) AS lon, max(radius_m) AS radius_m, CAST((scene_id * 37) % 360 AS DOUBLE) AS rotation_deg, CASE WHEN scene_id % 2 = 0 THEN 'chicago' END AS preset_id FROM {designs} GROUP BY scene_id"""),
+    # responses of a map service as JSON: eleven a scene, of which 4, 5, 6, 7, 9 and 10 are bad; never read by an oracle
+    "responses": ("buildings trees", ("""
+WITH e AS (
+ SELECT scene_id, ord % 6 AS c, ord AS nth, named_struct('type', 'way', 'id', ord, 'tags', map('building', building), 'geometry', CASE WHEN ord % 9 = 0 THEN transform(array(named_struct('lat', 4188e-2 + scene_id + (cy - d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx - w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy - d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx + w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy + d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx + w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy + d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx - w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy - d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx - w / 2) / 82900e0)), (p, i) -> CASE WHEN i = 2 THEN NULL ELSE p END) ELSE array(named_struct('lat', 4188e-2 + scene_id + (cy - d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx - w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy - d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx + w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy + d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx + w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy + d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx - w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy - d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx - w / 2) / 82900e0)) END, 'members', CAST(NULL AS array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>), 'lat', CAST(NULL AS DOUBLE), 'lon', CAST(NULL AS DOUBLE)) AS e FROM {buildings} WHERE osm_id LIKE 'w%'
+ UNION ALL SELECT scene_id, ord % 6, ord, named_struct('type', 'relation', 'id', ord - 100000000, 'tags', map('building', building), 'geometry', CAST(NULL AS array<struct<lat:double,lon:double>>), 'members', array(named_struct('type', 'way', 'ref', ord - 100000000, 'role', CASE WHEN ord % 100 = 57 THEN 'inner' WHEN ord % 200 = 7 THEN '' ELSE 'outer' END, 'geometry', array(named_struct('lat', 4188e-2 + scene_id + (cy - d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx - w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy - d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx + w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy + d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx + w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy + d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx - w / 2) / 82900e0), named_struct('lat', 4188e-2 + scene_id + (cy - d / 2) / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + (cx - w / 2) / 82900e0)))), 'lat', CAST(NULL AS DOUBLE), 'lon', CAST(NULL AS DOUBLE)) FROM {buildings} WHERE osm_id LIKE 'r%'
+ UNION ALL SELECT scene_id, ord % 6, ord + 1000000000, named_struct('type', 'node', 'id', ord, 'tags', map('natural', 'tree'), 'geometry', CAST(NULL AS array<struct<lat:double,lon:double>>), 'members', CAST(NULL AS array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>), 'lat', 4188e-2 + scene_id + y / 111320e0, 'lon', -8763e-2 + 5 * (scene_id % 20) + x / 82900e0) FROM {trees}),
+ bodies AS (SELECT scene_id, c, concat('{{"elements":[', array_join(transform(array_sort(collect_list(struct(nth, to_json(e) AS j))), x -> x.j), ','), ']}}') AS body FROM e GROUP BY scene_id, c),
+ scenes AS (SELECT DISTINCT scene_id FROM {trees})
+SELECT scene_id, scene_id * 16 + c AS response_id, CASE c WHEN 4 THEN replace(body, '{{"elements"', '{{"remark":"runtime error: timed out","elements"') WHEN 5 THEN substr(body, 1, length(body) - 3) ELSE body END AS body FROM bodies
+UNION ALL SELECT scene_id, scene_id * 16 + c, CASE c WHEN 6 THEN '<html>busy</html>' WHEN 7 THEN '{{"elements":[],"remark":"no data"}}' WHEN 8 THEN '{{"elements":[]}}' WHEN 9 THEN '{{"version":1}}' ELSE '{{"elements":[],"remark":"Out of memory"}}' END FROM scenes CROSS JOIN (VALUES (6),(7),(8),(9),(10)) AS cc(c)""", "")),
     "road_vertices": ("lineitem", """
-SELECT l_orderkey % 6 AS scene_id, concat('w', CAST(1000000 + l_orderkey AS STRING)) AS osm_id, l_linenumber AS seq,
+SELECT CAST(floor(l_orderkey / 2500) AS BIGINT) AS scene_id, concat('w', CAST(1000000 + l_orderkey AS STRING)) AS osm_id, l_linenumber AS seq,
  CAST((min(l_partkey) % 181)*10 - 900 AS DOUBLE) AS x, CAST(((min(l_suppkey)*97 + l_linenumber*13) % 181)*10 - 900 AS DOUBLE) AS y
  FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""),
     "road_tags": ("orders", """
-SELECT o_orderkey % 6 AS scene_id, concat('w', CAST(1000000 + o_orderkey AS STRING)) AS osm_id,
+SELECT CAST(floor(o_orderkey / 2500) AS BIGINT) AS scene_id, concat('w', CAST(1000000 + o_orderkey AS STRING)) AS osm_id,
  CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'motorway' WHEN '2' THEN 'primary' WHEN '3' THEN 'residential' WHEN '4' THEN 'service' ELSE 'footway' END AS highway,
  CASE WHEN o_orderkey % 7 = 0 THEN CAST(2 + o_orderkey % 30 AS STRING) END AS width_tag,
  CASE WHEN o_orderkey % 5 = 0 THEN CAST(1 + o_orderkey % 6 AS STRING) END AS lanes_tag,
- CASE WHEN o_orderstatus = 'P' THEN 'yes' END AS bridge FROM {orders}"""),
+ CASE WHEN o_orderstatus = 'P' THEN 'yes' END AS bridge, CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderkey % 3 - 1 AS STRING) END AS layer_tag,
+ CASE WHEN o_orderkey % 11 = 0 THEN 'tram' WHEN o_orderkey % 11 = 1 THEN 'rail' END AS railway, CASE WHEN o_orderkey % 4 = 0 THEN concat('Street ', CAST(o_custkey % 40 AS STRING)) END AS name FROM {orders}"""),
     "trees": ("orders", """
-SELECT o_orderkey % 6 AS scene_id, o_orderkey AS ord, CAST((o_orderkey*4241) % 1801 AS DOUBLE) - 900 AS x, CAST((o_custkey*3571 + o_orderkey) % 1801 AS DOUBLE) - 900 AS y,
+SELECT CAST(floor(o_orderkey / 2500) AS BIGINT) AS scene_id, o_orderkey AS ord, CAST((o_orderkey*4241) % 1801 AS DOUBLE) - 900 AS x, CAST((o_custkey*3571 + o_orderkey) % 1801 AS DOUBLE) - 900 AS y,
  CAST(1 + o_orderkey % 19 AS DOUBLE)/2 AS radius_m FROM {orders}"""),
     "areas": ("customer", """
-SELECT c_custkey % 6 AS scene_id, c_custkey AS ord, concat('w', CAST(5000000 + c_custkey AS STRING)) AS osm_id,
+SELECT CAST(floor(c_custkey / 250) AS BIGINT) AS scene_id, c_custkey AS ord, concat('w', CAST(5000000 + c_custkey AS STRING)) AS osm_id,
  CASE WHEN c_mktsegment IN ('BUILDING','MACHINERY') THEN 'water' ELSE 'green' END AS layer,
  CAST((c_custkey*4519) % 1601 AS DOUBLE) - 800 AS cx, CAST((c_custkey*2203) % 1601 AS DOUBLE) - 800 AS cy,
  CAST(4 + c_custkey % 60 AS DOUBLE) AS w, CAST(4 + (c_custkey*7) % 60 AS DOUBLE) AS d,
  CASE WHEN c_custkey % 4 = 0 THEN c_name END AS name FROM {customer}"""),
     "designs": ("supplier", """
-SELECT s_suppkey AS design_id, s_suppkey % 6 AS scene_id, 100 + (s_suppkey*13) % 157 AS plate_mm, CAST(2 + s_suppkey % 7 AS DOUBLE) AS base_mm,
- CAST(CASE s_suppkey % 3 WHEN 0 THEN 0.4 WHEN 1 THEN 0.6 ELSE 0.25 END AS DOUBLE) AS nozzle_mm, (s_suppkey % 4 <> 0) AS frame, CAST(250 + (s_suppkey*110) % 2760 AS DOUBLE) AS radius_m,
+SELECT CAST(s_suppkey AS BIGINT) AS design_id, CAST(floor(s_suppkey / 14) AS BIGINT) AS scene_id, 100 + (s_suppkey*13) % 157 AS plate_mm, CAST(2 + s_suppkey % 7 AS DOUBLE) AS base_mm,
+ CASE s_suppkey % 3 WHEN 0 THEN 4e-1 WHEN 1 THEN 6e-1 ELSE 25e-2 END AS nozzle_mm, (s_suppkey % 4 <> 0) AS frame, CAST(250 + (s_suppkey*110) % 2760 AS DOUBLE) AS radius_m,
  s_suppkey % 9 AS printer_ix FROM {supplier}"""),
     "overrides": ("supplier nation", """
 SELECT CAST(s_suppkey AS BIGINT) AS design_id, n_nationkey AS ord, CASE WHEN n_nationkey % 3 = 0 THEN 'road' ELSE 'building' END AS layer,
- CASE WHEN n_nationkey % 3 = 0 THEN concat('w', CAST(1000000 + (s_suppkey*25 + n_nationkey) AS STRING)) ELSE concat('w', CAST((s_suppkey*37 + n_nationkey*6) % 2100 AS STRING)) END AS osm_id,
- (n_nationkey % 11 = 0) AS hidden, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 1.5 END AS DOUBLE) AS height_scale, n_nationkey % 4 AS slot FROM {supplier} CROSS JOIN {nation} WHERE (s_suppkey + n_nationkey) % 4 = 0"""),
+ CASE WHEN n_nationkey % 3 = 0 THEN concat('w', CAST(CAST(1000000 + 2500 * floor(s_suppkey / 14) + (s_suppkey*25 + n_nationkey) % 2600 AS BIGINT) AS STRING)) ELSE concat('w', CAST(CAST(380 * floor(s_suppkey / 14) + (s_suppkey*37 + n_nationkey*6) % 420 AS BIGINT) AS STRING)) END AS osm_id,
+ (n_nationkey % 11 = 0) AS hidden, CASE WHEN n_nationkey % 5 = 0 THEN 15e-1 END AS height_scale, CASE WHEN n_nationkey % 6 = 0 THEN 2e0 END AS width_scale,
+ CASE n_nationkey % 7 WHEN 0 THEN '#cc3322' WHEN 1 THEN '#2266aa' END AS color, n_nationkey % 4 AS slot, CASE WHEN n_nationkey % 8 = 1 THEN 'on' WHEN n_nationkey % 8 = 2 THEN 'off' END AS hero,
+ CASE WHEN n_nationkey % 2 = 0 THEN 'raised' ELSE 'flush' END AS mode, CAST(n_nationkey % 3 AS DOUBLE) / 2 AS raise_mm FROM {supplier} CROSS JOIN {nation} WHERE (s_suppkey + n_nationkey) % 4 = 0"""),
     "spans": ("events", ("""
 SELECT event_id, user_id % 10 AS run_id, CASE WHEN event_id % 2 = 0 THEN 'main' ELSE 'worker' END AS scope, event_type AS name,
  CASE event_type WHEN 'click' THEN 'view' WHEN 'purchase' THEN 'view' WHEN 'error' THEN 'click' END AS parent, unix_millis(CAST(ts AS TIMESTAMP)) AS ms, value AS duration_ms FROM {events}""", """
@@ -57,20 +87,27 @@ SELECT event_id, user_id % 10 AS run_id, CASE WHEN event_id % 2 = 0 THEN 'main'
  CASE event_type WHEN 'click' THEN 'view' WHEN 'purchase' THEN 'view' WHEN 'error' THEN 'click' END AS parent, epoch_us(ts) // 1000 AS ms, value AS duration_ms FROM {events}""")),
     "clicks": ("events", ("SELECT event_id, user_id, event_type, unix_millis(CAST(ts AS TIMESTAMP)) AS ms, value FROM {events}", "SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, value FROM {events}")),
     "jobs": ("events", ("""
-SELECT event_id, user_id AS session_id, concat('j', CAST(user_id AS STRING), '-', CAST(CAST(floor(event_id/200) AS BIGINT) AS STRING)) AS job_id, unix_millis(CAST(ts AS TIMESTAMP)) AS ms,
+SELECT event_id, user_id AS session_id, concat('j', CAST(user_id AS STRING), '-', CAST(CAST(floor(event_id/200) AS BIGINT) AS STRING)) AS job_id, CAST(floor(event_id/200) AS BIGINT) AS job_no, unix_millis(CAST(ts AS TIMESTAMP)) AS ms,
  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, value AS progress FROM {events}""", """
-SELECT event_id, user_id AS session_id, concat('j', CAST(user_id AS STRING), '-', CAST(CAST(floor(event_id/200) AS BIGINT) AS STRING)) AS job_id, epoch_us(ts) // 1000 AS ms,
+SELECT event_id, user_id AS session_id, concat('j', CAST(user_id AS STRING), '-', CAST(CAST(floor(event_id/200) AS BIGINT) AS STRING)) AS job_id, CAST(floor(event_id/200) AS BIGINT) AS job_no, epoch_us(ts) // 1000 AS ms,
  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, value AS progress FROM {events}""")),
     "places": ("customer nation region", """
 SELECT c_custkey AS place_ord, concat('N', CAST(c_custkey % 1200 AS STRING)) AS id, c_name AS name, n_name AS city, r_name AS country,
  CAST((c_custkey*7351) % 18001 AS DOUBLE)/100 - 90 AS lat, CAST((c_custkey*9973) % 36001 AS DOUBLE)/100 - 180 AS lon,
  CASE c_mktsegment WHEN 'BUILDING' THEN 'building' WHEN 'HOUSEHOLD' THEN 'place' WHEN 'MACHINERY' THEN 'amenity' ELSE 'highway' END AS osm_key
  FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"""),
+    # boxes; some lean outward, some have a collapsed edge, a floating second body, a body below zero or float32 trouble far from the origin
     "vertices": ("buildings", """
-SELECT ord AS mesh_id, v, CASE WHEN v IN (1,2,5,6) THEN cx + w/2 ELSE cx - w/2 END AS x, CASE WHEN v IN (2,3,6,7) THEN cy + d/2 ELSE cy - d/2 END AS y, CASE WHEN v >= 4 THEN CAST(3 + ord % 50 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS z FROM {buildings} CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS vv(v)"""),
+SELECT ord AS mesh_id, v, CASE WHEN ord % 13 = 0 THEN 500000 + cx + (CASE WHEN v IN (1,2,5,6) THEN w ELSE -w END) / 4000
+  ELSE cx + (CASE WHEN v IN (1,2,5,6) OR ord % 11 = 0 AND v = 4 THEN w / 2 ELSE -w / 2 END) * (CASE WHEN ord % 5 = 0 AND v IN (4,5,6,7) THEN 3 ELSE 1 END) END AS x,
+ cy + (CASE WHEN v IN (2,3,6,7,10,11,14,15) THEN d / 2 ELSE -d / 2 END) * (CASE WHEN ord % 5 = 0 AND v IN (4,5,6,7) THEN 3 ELSE 1 END) AS y,
+ CASE WHEN v >= 12 THEN CAST(9 + ord % 50 AS DOUBLE) WHEN v >= 8 THEN CAST(5 + ord % 50 AS DOUBLE) WHEN v >= 4 THEN CAST(3 + ord % 50 AS DOUBLE) WHEN ord % 37 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS z
+FROM {buildings} CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15)) AS vv(v) WHERE v < 8 OR ord % 7 = 0"""),
     "triangles": ("buildings", """
-SELECT ord AS mesh_id, f, a, b, c FROM {buildings} CROSS JOIN (VALUES (0,0,2,1),(1,0,3,2),(2,4,5,6),(3,4,6,7),(4,0,1,5),(5,0,5,4),(6,1,2,6),(7,1,6,5),(8,2,3,7),(9,2,7,6),(10,3,0,4),(11,3,4,7)) AS ff(f,a,b,c) WHERE NOT (ord % 41 = 0 AND f = 11)"""),
-    "grid": ("embeddings", ("SELECT vec_id AS r, CAST(c AS BIGINT) AS c, CAST(v AS DOUBLE)*1000 AS z FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS c, v", "SELECT vec_id AS r, CAST(generate_subscripts(embedding,1)-1 AS BIGINT) AS c, CAST(unnest(embedding) AS DOUBLE)*1000 AS z FROM {embeddings}")),
+SELECT ord AS mesh_id, f + 12 * k AS f, a + 8 * k AS a, b + 8 * k AS b, c + 8 * k AS c FROM {buildings} CROSS JOIN (VALUES (0,0,2,1),(1,0,3,2),(2,4,5,6),(3,4,6,7),(4,0,1,5),(5,0,5,4),(6,1,2,6),(7,1,6,5),(8,2,3,7),(9,2,7,6),(10,3,0,4),(11,3,4,7)) AS ff(f,a,b,c) CROSS JOIN (VALUES (0),(1)) AS kk(k)
+WHERE NOT (ord % 41 = 0 AND f = 11 AND k = 0) AND (k = 0 OR ord % 7 = 0)
+UNION ALL SELECT ord, 24, 0, 2, 1 FROM {buildings} WHERE ord % 43 = 0"""),
+    "grid": ("embeddings", ("SELECT CAST(floor(vec_id / 64) AS BIGINT) AS scene_id, vec_id % 64 AS r, CAST(c AS BIGINT) AS c, CAST(v AS DOUBLE)*1000 AS z FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS c, v", "SELECT CAST(floor(vec_id / 64) AS BIGINT) AS scene_id, vec_id % 64 AS r, CAST(generate_subscripts(embedding,1)-1 AS BIGINT) AS c, CAST(unnest(embedding) AS DOUBLE)*1000 AS z FROM {embeddings}")),
 }
 
 

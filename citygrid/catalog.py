@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citygrid.bindings import BINDINGS, frame
-from citygrid.operators import OPERATORS, attributes, colours, features, meshes, places, scenes, spatial, telemetry  # noqa: F401
+from citygrid.operators import OPERATORS, attributes, colours, features, groups, lineage, meshes, palette, places, rings, scenes, solids, sources, spatial, streams, telemetry, terrain, texts  # noqa: F401
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,12 @@ def sql(name: str) -> str:
         if key in parts or n not in OPERATORS and n not in BINDINGS:
             return
         if n in OPERATORS:
-            inputs, text = OPERATORS[n].inputs, OPERATORS[n].duck or OPERATORS[n].text
+            inputs, text = OPERATORS[n].inputs, OPERATORS[n].oracle
         else:
             given, text = BINDINGS[n]
             inputs, text = given.split(), text if isinstance(text, str) else text[1]
+            if not text:  # a view that no oracle reads
+                return
         for i in inputs:
             add(i)
         parts[key] = text.format(**{i: f"b_{i}" if i in OPERATORS or i in BINDINGS else i for i in inputs})
@@ -35,5 +37,10 @@ def sql(name: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in parts.items()) + f"\nSELECT * FROM b_{name}"
 
 
+def told(name: str) -> bool:
+    """Whether SQL says what an operator and all its inputs are."""
+    return name not in OPERATORS or bool(OPERATORS[name].oracle) and all(map(told, OPERATORS[name].inputs))
+
+
 QUERIES = {n: (lambda spark, sf_dir, n=n: run(spark, sf_dir, n)) for n in OPERATORS}
-SQL = {n: sql(n) for n in OPERATORS}
+SQL = {n: sql(n) for n in OPERATORS if told(n)}

@@ -1,7 +1,8 @@
-"""Operators: functions from DataFrames to a DataFrame, declared by their plan in SQL."""
+"""Operators: functions from DataFrames to a DataFrame, declared by their plan in SQL or Python."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,18 +12,24 @@ from pyspark.sql import DataFrame
 class Operator:
     """``inputs`` are named in the text as {input}; each is a binding or another operator.
 
-    ``duck`` is the oracle where it must say the same in another way (dialect, or a plain
-    join where the plan uses cells).
+    The plan is ``text`` (SQL) or ``plan`` (a function of the inputs). ``duck`` is the
+    oracle, where it is not the text itself; a plan without one is tested on fixtures.
     """
 
     name: str
     inputs: tuple[str, ...]
-    text: str
+    text: str = ""
     duck: str | None = None
+    plan: Callable[..., DataFrame] | None = None
 
     def __call__(self, **frames: DataFrame) -> DataFrame:
-        spark = next(iter(frames.values())).sparkSession
-        return spark.sql(self.text, **{k: frames[k] for k in self.inputs})
+        if self.plan:
+            return self.plan(**{k: frames[k] for k in self.inputs})
+        return next(iter(frames.values())).sparkSession.sql(self.text, **{k: frames[k] for k in self.inputs})
+
+    @property
+    def oracle(self) -> str | None:
+        return self.duck or self.text or None
 
 
 OPERATORS: dict[str, Operator] = {}
@@ -30,3 +37,13 @@ OPERATORS: dict[str, Operator] = {}
 
 def operator(name: str, inputs: str, text: str, duck: str | None = None) -> None:
     OPERATORS[name] = Operator(name, tuple(inputs.split()), text, duck)
+
+
+def planned(name: str, inputs: str, duck: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """The decorated function is the operator's plan; its arguments are the inputs."""
+
+    def register(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        OPERATORS[name] = Operator(name, tuple(inputs.split()), duck=duck, plan=plan)
+        return plan
+
+    return register

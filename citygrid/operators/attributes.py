@@ -25,10 +25,11 @@ def jitter(duck: bool) -> str:
 
 def heights(duck: bool) -> str:
     return f"""
-SELECT scene_id, ord, osm_id, round(height_m, 6) AS height_m, height_source, CAST(0 AS DOUBLE) AS min_height_m, height_m >= 40 AS is_tall FROM (
- SELECT *, least(greatest(coalesce(tagged, levels * 32e-1, coalesce(default_m, 8e0) * {jitter(duck)}), 2e0), 600e0) AS height_m,
+SELECT scene_id, ord, osm_id, round(height_m, 6) AS height_m, height_source, CASE WHEN low > 0 AND low < height_m THEN low ELSE 0e0 END AS min_height_m, height_m >= 40 AS is_tall FROM (
+ SELECT *, least(greatest(coalesce(tagged, levels * 32e-1 + coalesce(roof, 0e0), coalesce(default_m, 8e0) * {jitter(duck)}), 2e0), 600e0) AS height_m,
   CASE WHEN tagged IS NOT NULL THEN 'tag' WHEN levels IS NOT NULL THEN 'levels' ELSE 'default' END AS height_source
- FROM (SELECT b.*, {metres("b.height_tag")} AS tagged, nullif(greatest(try_cast(b.levels_tag AS DOUBLE), 0e0), 0e0) AS levels, t.default_m
+ FROM (SELECT b.*, {metres("b.height_tag")} AS tagged, nullif(greatest(try_cast(b.levels_tag AS DOUBLE), 0e0), 0e0) AS levels, t.default_m,
+   {metres("b.roof_tag")} AS roof, coalesce({metres("b.min_height_tag")}, try_cast(b.min_level_tag AS DOUBLE) * 32e-1, 0e0) AS low
   FROM {{buildings}} b LEFT JOIN (VALUES {TYPE_HEIGHTS}) AS t(kind, default_m) ON t.kind = lower(b.building)) q) h"""
 
 
@@ -39,14 +40,18 @@ SELECT scene_id, count(*) AS n_buildings, count_if(height_source = 'tag') AS tag
  round(CAST(count_if(height_source = 'tag') AS DOUBLE) / count(*), 6) AS tag_ratio FROM {resolve_heights} GROUP BY scene_id""")
 
 operator("resolve_widths", "road_tags", f"""
-SELECT scene_id, osm_id, coalesce(t.class, 'residential') AS class, (bridge = 'yes') IS TRUE AS elevated,
+SELECT scene_id, osm_id, name, coalesce(t.class, 'residential') AS class, (bridge = 'yes') IS TRUE OR coalesce(try_cast(layer_tag AS INT), 0) > 0 AS elevated,
  least(greatest(coalesce({metres("width_tag")}, nullif(greatest(try_cast(lanes_tag AS DOUBLE), 0e0), 0e0) * 35e-1, t.width_m, 8e0), 5e-1), 60e0) AS width_m
 FROM {{road_tags}} r LEFT JOIN (VALUES {ROAD_WIDTHS}) AS t(kind, width_m, class) ON t.kind = r.highway""")
 
+# why a tag is no length: not a number, or a number that is not positive
 operator("tag_quality", "buildings road_tags", f"""
-SELECT scene_id, tag, count(*) AS n_rows, count(value) AS parsed, count_if(value IS NULL) AS rejected, min(value) AS least, max(value) AS most FROM (
+SELECT scene_id, tag, count(*) AS n_rows, count(value) AS parsed, count_if(value IS NULL AND try_cast(regexp_extract(raw, '^ *(-?[0-9.]+)', 1) AS DOUBLE) <= 0) AS not_positive, count_if(value IS NULL AND NOT coalesce(try_cast(regexp_extract(raw, '^ *(-?[0-9.]+)', 1) AS DOUBLE) <= 0, false)) AS not_a_length,
+ min(value) AS least, round(PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY value), 6) AS median, round(PERCENTILE_CONT(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90, max(value) AS most FROM (
  SELECT scene_id, 'height' AS tag, height_tag AS raw, {metres("height_tag")} AS value FROM {{buildings}}
  UNION ALL SELECT scene_id, 'building:levels', levels_tag, nullif(greatest(try_cast(levels_tag AS DOUBLE), 0e0), 0e0) FROM {{buildings}}
+ UNION ALL SELECT scene_id, 'roof:height', roof_tag, {metres("roof_tag")} FROM {{buildings}}
+ UNION ALL SELECT scene_id, 'min_height', min_height_tag, {metres("min_height_tag")} FROM {{buildings}}
  UNION ALL SELECT scene_id, 'width', width_tag, {metres("width_tag")} FROM {{road_tags}}
  UNION ALL SELECT scene_id, 'lanes', lanes_tag, nullif(greatest(try_cast(lanes_tag AS DOUBLE), 0e0), 0e0) FROM {{road_tags}}) q
 WHERE raw IS NOT NULL GROUP BY scene_id, tag""")

@@ -1,22 +1,7 @@
-"""Geometry over feature tables: measures, clipping and cleaning."""
+"""Clipping of lines and tiles of features."""
 
 from citygrid.operators import operator
 
-operator("footprint_metrics", "buildings", """
-SELECT scene_id, ord, osm_id, w * d AS area_m2, 2 * (w + d) AS perimeter_m, cx AS centroid_x, cy AS centroid_y, cx - w / 2 AS min_x, cy - d / 2 AS min_y, cx + w / 2 AS max_x, cy + d / 2 AS max_y,
- round(CASE WHEN w + d > 0 THEN 4 * w * d / (2 * (w + d)) ELSE 0e0 END, 6) AS width_m FROM {buildings}""")
-
-operator("line_lengths", "road_vertices", """
-SELECT scene_id, osm_id, count(*) AS n_vertices, round(coalesce(sum(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 0e0), 3) AS length_m FROM (
- SELECT *, lag(x) OVER (PARTITION BY scene_id, osm_id ORDER BY seq) AS px, lag(y) OVER (PARTITION BY scene_id, osm_id ORDER BY seq) AS py FROM {road_vertices}) q
-GROUP BY scene_id, osm_id""")
-
-operator("crop_polygons", "buildings", """
-SELECT scene_id, ord, osm_id, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS area_m2, inside FROM (
- SELECT scene_id, ord, osm_id, greatest(cx - w / 2, -600e0) AS x0, greatest(cy - d / 2, -600e0) AS y0, least(cx + w / 2, 600e0) AS x1, least(cy + d / 2, 600e0) AS y1,
-  abs(cx) + w / 2 <= 600 AND abs(cy) + d / 2 <= 600 AS inside FROM {buildings} WHERE abs(cx) - w / 2 < 600 AND abs(cy) - d / 2 < 600) q
-WHERE (x1 - x0) * (y1 - y0) >= 1""")
-
 operator("crop_lines", "road_vertices", """
 WITH seg AS (SELECT scene_id, osm_id, seq, x AS xa, y AS ya, lead(x) OVER (PARTITION BY scene_id, osm_id ORDER BY seq) AS xb, lead(y) OVER (PARTITION BY scene_id, osm_id ORDER BY seq) AS yb FROM {road_vertices}),
  par AS (SELECT *, xb - xa AS dx, yb - ya AS dy FROM seg WHERE xb IS NOT NULL),
@@ -30,12 +15,6 @@ WITH seg AS (SELECT scene_id, osm_id, seq, x AS xa, y AS ya, lead(x) OVER (PARTI
  named AS (SELECT *, row_number() OVER (PARTITION BY scene_id, osm_id ORDER BY part) - 1 AS nth FROM whole)
 SELECT scene_id, osm_id, CASE WHEN nth = 0 THEN osm_id ELSE concat(osm_id, '-', CAST(nth AS STRING)) END AS piece_id, n_segments, length_m FROM named""")
 
-operator("clean_features", "road_vertices", """
-WITH snapped AS (SELECT scene_id, osm_id, seq, round(x, 3) AS x, round(y, 3) AS y, lag(round(x, 3)) OVER (PARTITION BY scene_id, osm_id ORDER BY seq) AS px, lag(round(y, 3)) OVER (PARTITION BY scene_id, osm_id ORDER BY seq) AS py FROM {road_vertices}),
- line AS (SELECT scene_id, osm_id, count(*) AS raw_vertices, count_if(px IS NULL OR px <> x OR py <> y) AS kept_vertices, coalesce(sum(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 0e0) AS len FROM snapped GROUP BY scene_id, osm_id),
- judged AS (SELECT *, CASE WHEN kept_vertices < 2 THEN 'too few vertices' WHEN len < 1 THEN 'too short' ELSE 'kept' END AS verdict FROM line)
-SELECT scene_id, verdict, count(*) AS n_features, CAST(sum(raw_vertices) AS BIGINT) AS vertices_before, CAST(sum(kept_vertices) AS BIGINT) AS vertices_after FROM judged GROUP BY scene_id, verdict""")
-
 operator("tile_assign", "buildings", """
 SELECT scene_id, concat(substr('ABCD', CAST(c + 1 AS INT), 1), CAST(4 - r AS STRING)) AS tile, count(*) AS n_features, min(cx - w / 2) AS min_x, max(cx + w / 2) AS max_x, min(cy - d / 2) AS min_y, max(cy + d / 2) AS max_y FROM (
  SELECT *, explode(sequence(CAST(least(3, greatest(0, floor((cy - d / 2 + 900) / 450))) AS INT), CAST(least(3, greatest(0, floor((cy + d / 2 + 900) / 450))) AS INT))) AS r FROM (
