@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citygrid.streams import stream
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
 #: name -> (tables or views it reads, SQL for both engines or one for each)
@@ -81,10 +83,10 @@ SELECT CAST(s_suppkey AS BIGINT) AS design_id, n_nationkey AS ord, CASE WHEN n_n
  CASE n_nationkey % 7 WHEN 0 THEN '#cc3322' WHEN 1 THEN '#2266aa' END AS color, n_nationkey % 4 AS slot, CASE WHEN n_nationkey % 8 = 1 THEN 'on' WHEN n_nationkey % 8 = 2 THEN 'off' END AS hero,
  CASE WHEN n_nationkey % 2 = 0 THEN 'raised' ELSE 'flush' END AS mode, CAST(n_nationkey % 3 AS DOUBLE) / 2 AS raise_mm FROM {supplier} CROSS JOIN {nation} WHERE (s_suppkey + n_nationkey) % 4 = 0"""),
     "spans": ("events", ("""
-SELECT event_id, user_id % 10 AS run_id, CASE WHEN event_id % 2 = 0 THEN 'main' ELSE 'worker' END AS scope, event_type AS name,
- CASE event_type WHEN 'click' THEN 'view' WHEN 'purchase' THEN 'view' WHEN 'error' THEN 'click' END AS parent, unix_millis(CAST(ts AS TIMESTAMP)) AS ms, value AS duration_ms FROM {events}""", """
-SELECT event_id, user_id % 10 AS run_id, CASE WHEN event_id % 2 = 0 THEN 'main' ELSE 'worker' END AS scope, event_type AS name,
- CASE event_type WHEN 'click' THEN 'view' WHEN 'purchase' THEN 'view' WHEN 'error' THEN 'click' END AS parent, epoch_us(ts) // 1000 AS ms, value AS duration_ms FROM {events}""")),
+SELECT event_id, CAST(floor(user_id / 15) AS BIGINT) AS run_id, CASE WHEN event_id % 2 = 0 THEN 'main' ELSE 'worker' END AS scope, event_type AS name,
+ CASE event_type WHEN 'click' THEN 'view' WHEN 'purchase' THEN 'view' WHEN 'error' THEN 'click' WHEN 'signup' THEN 'login' WHEN 'view' THEN 'view' END AS parent, event_id * 7919 % 100000 AS bytes, event_id * 104729 % 300000 AS decoded, unix_millis(CAST(ts AS TIMESTAMP)) AS ms, value AS duration_ms FROM {events}""", """
+SELECT event_id, CAST(floor(user_id / 15) AS BIGINT) AS run_id, CASE WHEN event_id % 2 = 0 THEN 'main' ELSE 'worker' END AS scope, event_type AS name,
+ CASE event_type WHEN 'click' THEN 'view' WHEN 'purchase' THEN 'view' WHEN 'error' THEN 'click' WHEN 'signup' THEN 'login' WHEN 'view' THEN 'view' END AS parent, event_id * 7919 % 100000 AS bytes, event_id * 104729 % 300000 AS decoded, epoch_us(ts) // 1000 AS ms, value AS duration_ms FROM {events}""")),
     "clicks": ("events", ("SELECT event_id, user_id, event_type, unix_millis(CAST(ts AS TIMESTAMP)) AS ms, value FROM {events}", "SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, value FROM {events}")),
     "jobs": ("events", ("""
 SELECT event_id, user_id AS session_id, concat('j', CAST(user_id AS STRING), '-', CAST(CAST(floor(event_id/200) AS BIGINT) AS STRING)) AS job_id, CAST(floor(event_id/200) AS BIGINT) AS job_no, unix_millis(CAST(ts AS TIMESTAMP)) AS ms,
@@ -98,8 +100,8 @@ SELECT c_custkey AS place_ord, concat('N', CAST(c_custkey % 1200 AS STRING)) AS
  FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"""),
     # boxes; some lean outward, some have a collapsed edge, a floating second body, a body below zero or float32 trouble far from the origin
     "vertices": ("buildings", """
-SELECT ord AS mesh_id, v, CASE WHEN ord % 13 = 0 THEN 500000 + cx + (CASE WHEN v IN (1,2,5,6) THEN w ELSE -w END) / 4000
-  ELSE cx + (CASE WHEN v IN (1,2,5,6) OR ord % 11 = 0 AND v = 4 THEN w / 2 ELSE -w / 2 END) * (CASE WHEN ord % 5 = 0 AND v IN (4,5,6,7) THEN 3 ELSE 1 END) END AS x,
+SELECT ord AS mesh_id, v, CASE WHEN ord % 13 = 0 THEN 500000 + cx + (CASE WHEN v IN (1,2,5,6,9,10,13,14) THEN w ELSE -w END) / 4000
+  ELSE cx + (CASE WHEN v IN (1,2,5,6,9,10,13,14) OR ord % 11 = 0 AND v = 4 THEN w / 2 ELSE -w / 2 END) * (CASE WHEN ord % 5 = 0 AND v IN (4,5,6,7) THEN 3 ELSE 1 END) END AS x,
  cy + (CASE WHEN v IN (2,3,6,7,10,11,14,15) THEN d / 2 ELSE -d / 2 END) * (CASE WHEN ord % 5 = 0 AND v IN (4,5,6,7) THEN 3 ELSE 1 END) AS y,
  CASE WHEN v >= 12 THEN CAST(9 + ord % 50 AS DOUBLE) WHEN v >= 8 THEN CAST(5 + ord % 50 AS DOUBLE) WHEN v >= 4 THEN CAST(3 + ord % 50 AS DOUBLE) WHEN ord % 37 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS z
 FROM {buildings} CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15)) AS vv(v) WHERE v < 8 OR ord % 7 = 0"""),
@@ -107,13 +109,31 @@ FROM {buildings} CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10)
 SELECT ord AS mesh_id, f + 12 * k AS f, a + 8 * k AS a, b + 8 * k AS b, c + 8 * k AS c FROM {buildings} CROSS JOIN (VALUES (0,0,2,1),(1,0,3,2),(2,4,5,6),(3,4,6,7),(4,0,1,5),(5,0,5,4),(6,1,2,6),(7,1,6,5),(8,2,3,7),(9,2,7,6),(10,3,0,4),(11,3,4,7)) AS ff(f,a,b,c) CROSS JOIN (VALUES (0),(1)) AS kk(k)
 WHERE NOT (ord % 41 = 0 AND f = 11 AND k = 0) AND (k = 0 OR ord % 7 = 0)
 UNION ALL SELECT ord, 24, 0, 2, 1 FROM {buildings} WHERE ord % 43 = 0"""),
+    # pixels of elevation tiles of 32 by 32: metres + 32768 = r * 256 + g + b / 256
+    "pixels": ("grid", """
+SELECT scene_id, CAST(floor(c / 32) AS BIGINT) AS tx, CAST(floor(r / 32) AS BIGINT) AS ty, c % 32 AS px, r % 32 AS py, CAST(floor(e / 65536) AS BIGINT) AS r, CAST(floor(e / 256) AS BIGINT) % 256 AS g, e % 256 AS b FROM (SELECT *, CAST(floor((z + 32768) * 256) AS BIGINT) AS e FROM {grid}) q"""),
+    # fixed values: stages of a build, what they read of each other and of the settings
+    "stage_edges": ("region", """
+SELECT stage, reads FROM (VALUES ('classify','source'),('project','classify'),('clean','project'),('crop','clean'),('heights','classify'),('blocks','crop'),('blocks','heights'),('solids','blocks'),('roads','crop'),('trees','crop'),('terrain','project'),('drape','terrain'),('drape','solids'),('merge','drape'),('merge','roads'),('merge','trees'),('audit','merge'),('estimate','merge'),('export','merge')) AS e(stage, reads)"""),
+    "stage_claims": ("region", """
+SELECT stage, path FROM (VALUES ('project','radius_m'),('crop','radius_m'),('heights','scene_id'),('blocks','nozzle_mm'),('solids','base_mm'),('roads','nozzle_mm'),('trees','plate_mm'),('merge','frame'),('audit','printer_ix'),('estimate','plate_mm'),('export','frame'),('source','scene_id')) AS c(stage, path)"""),
+    # fixed values: beds, slots and heights of printers
+    "printers": ("region", """
+SELECT printer_ix, plate_x, plate_y, slots, ceiling FROM (VALUES (0,340,320,4,340),(1,256,256,4,256),(2,256,256,4,256),(3,256,256,4,256),(4,180,180,4,180),(5,250,210,1,220),(6,180,180,1,180),(7,220,220,1,250),(8,256,256,4,256)) AS p(printer_ix, plate_x, plate_y, slots, ceiling)"""),
+    # the faces that a model ships: centres moved a little, those of some meshes too far to be known
+    "shipped": ("triangles vertices buildings", """
+SELECT b.scene_id, t.mesh_id * 32 + t.f AS shipped, (p.x + q.x + r.x) / 3 + (CASE WHEN t.mesh_id % 17 = 0 THEN 1e-2 ELSE 4e-4 END) AS x, (p.y + q.y + r.y) / 3 AS y, (p.z + q.z + r.z) / 3 AS z
+FROM {triangles} t JOIN {vertices} p ON p.mesh_id = t.mesh_id AND p.v = t.a JOIN {vertices} q ON q.mesh_id = t.mesh_id AND q.v = t.b JOIN {vertices} r ON r.mesh_id = t.mesh_id AND r.v = t.c JOIN {buildings} b ON b.ord = t.mesh_id WHERE t.f % 3 <> 1"""),
     "grid": ("embeddings", ("SELECT CAST(floor(vec_id / 64) AS BIGINT) AS scene_id, vec_id % 64 AS r, CAST(c AS BIGINT) AS c, CAST(v AS DOUBLE)*1000 AS z FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS c, v", "SELECT CAST(floor(vec_id / 64) AS BIGINT) AS scene_id, vec_id % 64 AS r, CAST(generate_subscripts(embedding,1)-1 AS BIGINT) AS c, CAST(unnest(embedding) AS DOUBLE)*1000 AS z FROM {embeddings}")),
 }
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of ``sf_dir`` or a view over them."""
+    """A table of ``sf_dir`` or a view over them; ``stream:x`` is the view x of a streamed table."""
+    live = name.startswith("stream:")
+    name = name.removeprefix("stream:")
     if name not in BINDINGS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return stream(spark, f"{sf_dir}/{name}.parquet", table) if live else table
     inputs, text = BINDINGS[name]
-    return spark.sql(text if isinstance(text, str) else text[0], **{i: frame(spark, sf_dir, i) for i in inputs.split()})
+    return spark.sql(text if isinstance(text, str) else text[0], **{i: frame(spark, sf_dir, f"stream:{i}" if live else i) for i in inputs.split()})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citygrid.bindings import BINDINGS, frame
-from citygrid.operators import OPERATORS, attributes, colours, features, groups, lineage, meshes, palette, places, rings, scenes, solids, sources, spatial, streams, telemetry, terrain, texts  # noqa: F401
+from citygrid.operators import OPERATORS, attributes, colours, features, groups, lineage, meshes, palette, places, rings, scenes, sources, spatial, telemetry, terrain, texts, streams  # noqa: F401
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def sql(name: str) -> str:
             if not text:  # a view that no oracle reads
                 return
         for i in inputs:
-            add(i)
+            add(i)  # streams are no views of an oracle
         parts[key] = text.format(**{i: f"b_{i}" if i in OPERATORS or i in BINDINGS else i for i in inputs})
 
     add(name)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 class Operator:
     """``inputs`` are named in the text as {input}; each is a binding or another operator.
 
+    An input ``stream:x`` is the binding x over a stream of its table.
+
     The plan is ``text`` (SQL) or ``plan`` (a function of the inputs). ``duck`` is the
     oracle, where it is not the text itself; a plan without one is tested on fixtures.
     """
@@ -24,7 +26,7 @@ class Operator:
 
     def __call__(self, **frames: DataFrame) -> DataFrame:
         if self.plan:
-            return self.plan(**{k: frames[k] for k in self.inputs})
+            return self.plan(*(frames[k] for k in self.inputs))
         return next(iter(frames.values())).sparkSession.sql(self.text, **{k: frames[k] for k in self.inputs})
 
     @property
@@ -40,7 +42,7 @@ def operator(name: str, inputs: str, text: str, duck: str | None = None) -> None
 
 
 def planned(name: str, inputs: str, duck: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
-    """The decorated function is the operator's plan; its arguments are the inputs."""
+    """The decorated function is the operator's plan; its arguments are the inputs in their order."""
 
     def register(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         OPERATORS[name] = Operator(name, tuple(inputs.split()), duck=duck, plan=plan)

@@ -32,8 +32,9 @@ def reach(edges: str) -> str:
 def grouped(name: str, inputs: str, pairs: str, plain_pairs: str, text: str) -> None:
     """An operator over components: ``pairs`` (a, b) by cells, for the oracle ``plain_pairs``; ``text`` reads {parts}."""
 
-    def plan(**frames: DataFrame) -> DataFrame:
-        spark = next(iter(frames.values())).sparkSession
+    def plan(*given: DataFrame) -> DataFrame:
+        frames = dict(zip(inputs.split(), given))
+        spark = given[0].sparkSession
         return spark.sql(text, parts=connected_components(spark.sql(pairs, **frames)), **frames)
 
     planned(name, inputs, f"WITH RECURSIVE {reach(plain_pairs)}, told AS ({text.replace('{parts}', 'parts')}) SELECT * FROM told")(plan)

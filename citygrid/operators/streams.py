@@ -1 +1,151 @@
-"""To come."""
+"""The timing rules as Structured Streaming, keyed state with event-time order inside a batch.
+
+Each stream gives what its batch twin gives if events come in order between batches;
+inside a batch they may come in any order. State is one small row a key.
+"""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from citygrid.operators import OPERATORS, planned
+from citygrid.streams import drained
+
+GAP_MS, TTL_MS = 7_200_000, 21_600_000
+
+
+def stateful(events: DataFrame, key: str, schema: str, step) -> DataFrame:
+    """``step(held, row)`` -> rows put out, for each event of a key in order of (ms, event_id);
+    ``held`` is a dict that stays between batches."""
+
+    def run(k, frames, state: GroupState):
+        held = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
+        out = [r for row in rows.itertuples(index=False) for r in step(held, row)]
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return events.groupBy(key).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def job_events(jobs: DataFrame) -> DataFrame:
+    """A row for each change of a job: the newest by (ms, event_id) is its status. A newer
+    job of a session cancels those before it; what comes after a job's end is ignored."""
+
+    def step(held, e):
+        newest, open_job = held.get("newest"), held.get("open")
+        if newest is not None and e.job_no < newest:
+            return
+        if newest is not None and e.job_no > newest and open_job:
+            yield e.session_id, open_job["id"], "cancelled", open_job["progress"], e.ms, e.event_id, 0
+            held["open"] = open_job = None
+        if newest is None or e.job_no > newest:
+            held["newest"] = int(e.job_no)
+            held["ended"] = False
+        if held["ended"]:
+            return
+        held["ended"] = e.status in ("done", "failed")
+        held["open"] = None if held["ended"] else {"id": e.job_id, "progress": float(e.progress)}
+        yield e.session_id, e.job_id, e.status, float(e.progress), e.ms, e.event_id, 1
+
+    return stateful(jobs, "session_id", "session_id long, job_id string, status string, progress double, ms long, event_id long, own int", step)
+
+
+def fetched(clicks: DataFrame) -> DataFrame:
+    """Lookups that no fetch of the last ``TTL_MS`` serves."""
+
+    def step(held, e):
+        if held.get("last") is None or e.ms - held["last"] > TTL_MS:
+            held["last"] = int(e.ms)
+            yield e.user_id, e.event_id, e.ms
+
+    return stateful(clicks, "user_id", "user_id long, event_id long, ms long", step)
+
+
+def paced(clicks: DataFrame) -> DataFrame:
+    """When each request starts: on arrival, or one gap after the one before; errors are cancelled requests."""
+
+    def step(held, e):
+        if e.event_type != "error":
+            held["start"] = max(int(e.ms), held["start"] + GAP_MS) if "start" in held else int(e.ms)
+            yield e.user_id, e.event_id, held["start"]
+
+    return stateful(clicks, "user_id", "user_id long, event_id long, start_ms long", step)
+
+
+def entries(clicks: DataFrame) -> DataFrame:
+    """Edits as history entries: one goes on while the path stays and gaps are short. Each
+    event gives its entry as it is then; the last row of an entry is the entry."""
+
+    def step(held, e):
+        goes_on = held.get("path") == e.event_type and e.ms - held["ms"] <= GAP_MS
+        held.update(entry=held.get("entry", 0) + (not goes_on), n=held["n"] + 1 if goes_on else 1, path=e.event_type, ms=int(e.ms))
+        yield e.user_id, held["entry"], e.event_type, held["n"], e.ms
+
+    return stateful(clicks, "user_id", "user_id long, entry long, path string, n long, last_ms long", step)
+
+
+def bursts(clicks: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """The last event of each burst without a gap of ``GAP_MS``."""
+    timed = clicks.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", watermark)
+    last = timed.groupBy("user_id", F.session_window("at", f"{GAP_MS // 1000} seconds")).agg(F.max(F.struct("ms", "event_id")).alias("e"))
+    return last.select("user_id", "e.event_id", "e.ms")
+
+
+def windows(spans: DataFrame, size: str, slide: str | None, watermark: str) -> DataFrame:
+    """Counts, totals and long tasks of each name and window of ``size``; spans later than the watermark are dropped."""
+    timed = spans.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", watermark)
+    us = F.floor(F.col("duration_ms") * 1000)
+    out = timed.groupBy("name", F.window("at", size, slide)).agg(
+        F.count("*").alias("n"), F.sum(us).alias("total_us"), F.percentile(us, 0.95).alias("p95"), F.count_if(F.col("duration_ms") >= 50).alias("long_tasks"),
+        F.coalesce(F.max(F.when(F.col("duration_ms") >= 50, F.col("duration_ms"))), F.lit(0.0)).alias("longest_ms"),
+    )
+    return out.select("name", F.unix_millis("window.start").alias("start_ms"), "n", "total_us", "p95", "long_tasks", "longest_ms")
+
+
+def _newest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*by)).alias("last")).select(*keys, "last.*")
+
+
+@planned("job_status_stream", "stream:jobs jobs", OPERATORS["job_status"].oracle)
+def job_status_stream(live: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    rows = drained(job_events(live), "append")
+    return _newest(rows, ["session_id", "job_id"], ["ms", "event_id", "own"]).select("session_id", "job_id", "status", "progress")
+
+
+@planned("dedupe_ttl_stream", "stream:clicks clicks", OPERATORS["dedupe_ttl"].oracle)
+def dedupe_ttl_stream(live: DataFrame, clicks: DataFrame | None = None) -> DataFrame:
+    return drained(fetched(live), "append").drop("_batch")
+
+
+@planned("request_pacing_stream", "stream:clicks clicks", OPERATORS["request_pacing"].oracle)
+def request_pacing_stream(live: DataFrame, clicks: DataFrame | None = None) -> DataFrame:
+    return drained(paced(live), "append").drop("_batch")
+
+
+@planned("coalesce_history_stream", "stream:clicks clicks", OPERATORS["coalesce_history"].oracle)
+def coalesce_history_stream(live: DataFrame, clicks: DataFrame | None = None) -> DataFrame:
+    rows = _newest(drained(entries(live), "append").drop("_batch"), ["user_id", "entry"], ["n"])
+    newest = rows.groupBy("user_id").agg(F.max("entry").alias("newest"))
+    return rows.join(newest, "user_id").filter("entry > newest - 100").select("user_id", "entry", "path", "n", "last_ms")
+
+
+@planned("debounce_stream", "stream:clicks clicks", OPERATORS["debounce"].oracle)
+def debounce_stream(live: DataFrame, clicks: DataFrame | None = None) -> DataFrame:
+    """In complete mode, as sessions that are still open at the end count too."""
+    rows = drained(bursts(live), "complete")
+    return rows.join(rows.agg(F.max("_batch").alias("_batch")), "_batch").select("user_id", "event_id", "ms")
+
+
+_HOURS = OPERATORS["telemetry_windows"].oracle
+@planned("telemetry_windows_stream", "stream:spans spans", f"SELECT name, start_ms, n, total_us, long_tasks, longest_ms FROM ({_HOURS}) w WHERE kind = 'tumbling'")
+def telemetry_windows_stream(live: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """Tumbling hours in update mode: the last row of a window is the window."""
+    rows = drained(windows(live, "1 hour", None, "30 days"), "update")
+    return _newest(rows, ["name", "start_ms"], ["_batch"]).select("name", "start_ms", "n", "total_us", "long_tasks", "longest_ms")

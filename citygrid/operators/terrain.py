@@ -1 +1,80 @@
-"""To come."""
+"""Terrain rasters: tiles to fetch, resampling, smoothing, heights under features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from citygrid.columns import forward, inverse, meridian, zone
+from citygrid.operators import operator, planned
+
+# fixed values of the tile scheme
+MIN_ZOOM, MAX_ZOOM, SAMPLE_M, ACROSS, EQUATOR, MAX_TILES, LAST_LAT = 12, 14, 30.0, 64, 156543.03392804097, 36, 85.0511287798
+
+
+@planned("terrain_tile_cover", "requests")
+def terrain_tile_cover(requests: DataFrame) -> DataFrame:
+    """Zoom and tiles (x wrapped) that hold the corners of each request's turned square: the
+    coarsest zoom whose pixels are as fine as asked; none if there would be more than ``MAX_TILES``."""
+    wanted = f"least({SAMPLE_M}, 2 * radius_m / {ACROSS})"
+    pixel = lambda z: f"{EQUATOR} * cos(radians(lat)) / {2**z}"
+    zoom = "CASE " + " ".join(f"WHEN {pixel(z)} <= {wanted} THEN {z}" for z in range(MIN_ZOOM, MAX_ZOOM + 1)) + f" ELSE {MAX_ZOOM} END"
+    df = requests.withColumn("zoom", F.expr(zoom)).withColumn("_m", F.expr(meridian(zone("lon")))).withColumn("_turn", F.expr("radians(pmod(rotation_deg, 360e0))"))
+    df = df.withColumn("_c", F.expr(f"{forward('array(named_struct(\"lat\", lat, \"lon\", lon))', '_m')}[0]"))
+    square = "transform(array(named_struct('e', -1, 'n', -1), named_struct('e', -1, 'n', 1), named_struct('e', 1, 'n', -1), named_struct('e', 1, 'n', 1)), q -> named_struct('x', _c.x + radius_m * (q.e * cos(_turn) + q.n * sin(_turn)), 'y', _c.y + radius_m * (q.n * cos(_turn) - q.e * sin(_turn))))"
+    df = df.withColumn("_ll", F.expr(inverse(square, "_m"))).withColumn("_span", F.expr("CAST(pow(2, zoom) AS BIGINT)"))
+    phi = f"radians(greatest(-{LAST_LAT}, least({LAST_LAT}, p.lat)))"
+    tiles = f"transform(_ll, p -> named_struct('x', CAST(floor((p.lon + 180) / 360 * _span) AS BIGINT), 'y', CAST(floor((1 - ln(tan({phi}) + 1 / cos({phi})) / pi()) / 2 * _span) AS BIGINT)))"
+    df = df.withColumn("_t", F.expr(tiles))
+    df = df.withColumn("_x", F.expr("sequence(array_min(transform(_t, t -> t.x)), array_max(transform(_t, t -> t.x)))")).withColumn("_y", F.expr("filter(sequence(array_min(transform(_t, t -> t.y)), array_max(transform(_t, t -> t.y))), y -> y >= 0 AND y < _span)"))
+    kept = df.filter(f"size(_x) * size(_y) BETWEEN 1 AND {MAX_TILES}")
+    return kept.withColumn("y", F.explode("_y")).select("scene_id", "zoom", F.explode(F.expr("transform(_x, x -> pmod(x, _span))")).alias("x"), "y")
+
+
+# samples of each scene between pixels, over the borders of tiles: pixel centres lie at halves, the outermost pixels go on.
+# A scene that lacks any pixel gives nothing; heights are above the lowest
+SAMPLES, SIDE, FROM, TO = 33, 64, 4, 60
+_AT = f"({FROM} + {TO - FROM} * {{i}} / CAST({SAMPLES - 1} AS DOUBLE) - 5e-1)"
+_RESAMPLED = f"""
+WITH px AS (SELECT scene_id, tx * 32 + px AS x, ty * 32 + py AS y, r * 256 + g + b / 256e0 - 32768 AS z FROM {{pixels}}),
+ s AS (SELECT scene_id, i, j, x0, y0, least(x0 + 1, {SIDE - 1}) AS x1, least(y0 + 1, {SIDE - 1}) AS y1, fx, fy FROM (
+  SELECT scene_id, i, j, CAST(greatest(0, least({SIDE - 1}, floor({_AT.format(i='i')}))) AS BIGINT) AS x0, CAST(greatest(0, least({SIDE - 1}, floor({_AT.format(i='j')}))) AS BIGINT) AS y0, {_AT.format(i='i')} - floor({_AT.format(i='i')}) AS fx, {_AT.format(i='j')} - floor({_AT.format(i='j')}) AS fy
+  FROM (SELECT DISTINCT scene_id FROM {{pixels}}) sc, STEPS_I, STEPS_J) q),
+ v AS (SELECT s.scene_id, s.i, s.j, (a.z * (1 - fx) + b.z * fx) * (1 - fy) + (c.z * (1 - fx) + d.z * fx) * fy AS z FROM s
+  LEFT JOIN px a ON a.scene_id = s.scene_id AND a.x = s.x0 AND a.y = s.y0 LEFT JOIN px b ON b.scene_id = s.scene_id AND b.x = s.x1 AND b.y = s.y0
+  LEFT JOIN px c ON c.scene_id = s.scene_id AND c.x = s.x0 AND c.y = s.y1 LEFT JOIN px d ON d.scene_id = s.scene_id AND d.x = s.x1 AND d.y = s.y1),
+ w AS (SELECT scene_id, min(z) AS low, max(z) - min(z) AS range_m FROM v GROUP BY scene_id HAVING count(z) = count(*))
+SELECT v.scene_id, v.i, v.j, round(v.z - w.low, 4) AS z, round(w.range_m, 4) AS range_m FROM v JOIN w ON w.scene_id = v.scene_id"""
+operator("resample_grid", "pixels",
+ _RESAMPLED.replace("STEPS_I", f"(SELECT explode(sequence(0, {SAMPLES - 1})) AS i) ii").replace("STEPS_J", f"(SELECT explode(sequence(0, {SAMPLES - 1})) AS j) jj"),
+ _RESAMPLED.replace("STEPS_I", f"(SELECT CAST(unnest(range(0, {SAMPLES})) AS INT) AS i) ii").replace("STEPS_J", f"(SELECT CAST(unnest(range(0, {SAMPLES})) AS INT) AS j) jj"))
+
+PASSES = 2
+
+
+def blurred(side: str, along: str, across: str) -> str:
+    """A box of three along one axis; the edge counts itself again. A window holds one line of one scene."""
+    w = f"(PARTITION BY scene_id, {across} ORDER BY {along})"
+    return f"(SELECT scene_id, r, c, (coalesce(lag(z) OVER {w}, z) + z + coalesce(lead(z) OVER {w}, z)) / 3 AS z FROM {side} {along}{across})"
+
+
+def smooth(side: str, passes: int = PASSES) -> str:
+    """0 to 5 passes by row, then by column."""
+    for _ in range(passes):
+        side = blurred(blurred(side, "c", "r"), "r", "c")
+    return side
+
+
+operator("smooth_grid", "grid", f"SELECT g.scene_id, r, c, round(z - low, 6) AS z FROM {smooth('{grid}')} g JOIN (SELECT scene_id, min(z) AS low FROM {smooth('{grid}')} m GROUP BY scene_id) l ON l.scene_id = g.scene_id")
+
+# the lowest and highest ground under a building's corners and centre; the scene's raster covers its crop of 900 m
+_LIFT = """
+WITH ext AS (SELECT scene_id, max(r) AS rows_, max(c) AS cols FROM {grid} GROUP BY scene_id),
+ p AS (SELECT b.scene_id, b.ord, k, greatest(0e0, least(cols, (cx + sx * w / 2 + 900) / 1800 * cols)) AS x, greatest(0e0, least(rows_, (cy + sy * d / 2 + 900) / 1800 * rows_)) AS y, cols, rows_ FROM {buildings} b JOIN ext e ON e.scene_id = b.scene_id CROSS JOIN (VALUES (0,0,0),(1,-1,-1),(2,1,-1),(3,1,1),(4,-1,1)) AS kk(k, sx, sy)),
+ q AS (SELECT *, CAST(least(cols - 1, floor(x)) AS BIGINT) AS c0, CAST(least(rows_ - 1, floor(y)) AS BIGINT) AS r0, x - least(cols - 1, floor(x)) AS fc, y - least(rows_ - 1, floor(y)) AS fr FROM p)
+SELECT q.scene_id, q.ord, round(min(h), 6) AS lift, round(max(h) - min(h), 6) AS fall FROM (SELECT q.scene_id, q.ord, (a.z * (1 - fc) + b.z * fc) * (1 - fr) + (c.z * (1 - fc) + d.z * fc) * fr AS h FROM q
+ JOIN {grid} a ON a.scene_id = q.scene_id AND a.r = q.r0 AND a.c = q.c0 JOIN {grid} b ON b.scene_id = q.scene_id AND b.r = q.r0 AND b.c = q.c0 + 1
+ JOIN {grid} c ON c.scene_id = q.scene_id AND c.r = q.r0 + 1 AND c.c = q.c0 JOIN {grid} d ON d.scene_id = q.scene_id AND d.r = q.r0 + 1 AND d.c = q.c0 + 1) q GROUP BY q.scene_id, q.ord"""
+_SQUARES = "(SELECT scene_id, r, c, z AS za, zb, lead(z) OVER (PARTITION BY scene_id, c ORDER BY r) AS zc, lead(zb) OVER (PARTITION BY scene_id, c ORDER BY r) AS zd FROM (SELECT *, lead(z) OVER (PARTITION BY scene_id, r ORDER BY c) AS zb FROM {grid}) s1)"
+operator("terrain_under_features", "grid buildings", _LIFT, _LIFT[: _LIFT.index("SELECT q.scene_id, q.ord, round")] + f"""
+SELECT q.scene_id, q.ord, round(min(h), 6) AS lift, round(max(h) - min(h), 6) AS fall FROM (SELECT q.scene_id, q.ord, (g.za * (1 - fc) + g.zb * fc) * (1 - fr) + (g.zc * (1 - fc) + g.zd * fc) * fr AS h FROM q JOIN {_SQUARES} g ON g.scene_id = q.scene_id AND g.r = q.r0 AND g.c = q.c0) q GROUP BY q.scene_id, q.ord""")
