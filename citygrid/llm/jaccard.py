@@ -16,8 +16,8 @@ Documents with equal sets are one class from the start. A bucket of classes that
 share a segment is not expanded into pairs: each member is verified against one leader,
 the one that it shares most buckets with. Buckets whose members are then still in more
 than one component are compared in full by their sketches, block against block inside a
-task, for a few rounds: in each a member is verified against the nearest one of another
-component. In what is still open, a member with few partners that its sketch lets link
+task, for a few rounds: in each a member is verified against the nearest few of other
+components. In what is still open, a member with few partners that its sketch lets link
 has them all verified pair by pair; members that have more of them on both sides are
 compared by their sets, again block against block inside a task that returns no more
 rows than it has members.
@@ -162,8 +162,8 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(cls, shingles) of the classes in ``wanted`` (rep, cls); one row a class unless an
-    id has equal sets in several rows."""
+    """(cls, shingles) of the classes in ``wanted`` (rep, cls); a class has several rows if
+    its id has equal sets in several rows."""
 
     def run(batches):
         cache = GenerationalCache(word_hash, 250_000)
@@ -194,8 +194,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     usable = made.filter("n > 0 AND id IS NOT NULL")
     told = shelf.put("told", usable.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     members = shelf.put("members", shared(made, shelf))
-    wanted = members.select("cls").distinct().join(told.select("cls", "rep"), "cls")
-    sets = shelf.put("sets", sets_of(docs, wanted, words, id_col, text_col).dropDuplicates(["cls"]))
+    wanted = shelf.put("wanted", members.select("cls").distinct().join(told.select("cls", "rep"), "cls"))
+    sets = shelf.put("sets", sets_of(docs, wanted, words, id_col, text_col))
     links: list[DataFrame] = []
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -205,30 +205,29 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         may = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
         return pairs.join(x, "a").join(y, "b").filter(may).select(*pairs.columns)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("xs"))
-        y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("ys"))
-        common = F.size(F.array_intersect("xs", "ys"))
-        return pairs.join(x, "a").join(y, "b").filter(100 * common >= percent * (F.size("xs") + F.size("ys") - common)).select("a", "b")
+    def verify(name: str, pairs: DataFrame) -> None:
+        """Adds to the links those of ``pairs`` whose sets link; only the sets of these are moved."""
+        pairs = shelf.put(f"pairs {name}", pairs)
+        x, y = (sets.join(pairs.select(F.col(c).alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
+        common = F.size(F.array_intersect("as", "bs"))
+        links.append(shelf.put(f"links {name}", pairs.join(x, "a").join(y, "b").filter(100 * common >= percent * (F.size("as") + F.size("bs") - common)).select("a", "b").distinct()))
 
     held = members.withColumn("part", F.col("cls"))
     lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls"), F.col("cls").alias("a"))).alias("lead")).select("key", "lead.a")
     pairs = held.join(lead, "key").filter("a != cls").groupBy("a", F.col("cls").alias("b")).agg(F.count("*").alias("times"))
-    best = close(pairs).groupBy("b").agg(F.max(F.struct("times", "a")).alias("p")).select("p.a", "b")
-    links.append(shelf.put("links0", verified(best)))
+    verify("0", close(pairs).groupBy("b").agg(F.max(F.struct("times", "a")).alias("p")).select("p.a", "b"))
     held = shelf.put("held0", still_open(members, linked(links)))
     for r in range(1, rounds + 1):
         if held.isEmpty():
             break
-        found = in_sketch_blocks(held.join(told.drop("rep"), "cls"), percent, nearest=True)
-        pairs = found.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("p")).select(F.least("a", "p.b").alias("a"), F.greatest("a", "p.b").alias("b")).distinct()
-        links.append(shelf.put(f"links{r}", verified(pairs)))
+        found = in_sketch_blocks(held.join(told.drop("rep"), "cls"), percent, nearest=NEAREST).groupBy("a", "b").agg(F.min("apart").alias("apart"))
+        best = found.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).filter(F.col("nth") <= NEAREST)
+        verify(str(r), best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         held = shelf.put(f"held{r}", still_open(held, linked(links)))
         shelf.drop(f"held{r - 1}")
     if not held.isEmpty():
         found = shelf.put("candidates", in_sketch_blocks(held.join(told.drop("rep"), "cls"), percent))
-        pairs = found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links.append(shelf.put("pairs", verified(pairs)))
+        verify("few", found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         links.append(shelf.put("blocks", in_blocks(found.filter("b IS NULL").select("key", F.col("a").alias("cls")).distinct(), sets, percent)))
     shelf.drop("sets", "members", "candidates", *[f"held{r}" for r in range(rounds + 1)])
     # from classes to ids: a class links its rows, a repeated id its classes
@@ -283,6 +282,8 @@ def shared(made: DataFrame, shelf: Shelf) -> DataFrame:
 #: Members of a block that are compared by their sketches, and by their sets.
 SKETCHES = 2048
 SETS = 256
+#: Partners that a member meets in a round.
+NEAREST = 3
 #: A member with up to so many partners in a block has each of them verified.
 FEW = 4
 
@@ -318,12 +319,12 @@ def near_by_sketch(group: np.ndarray, part: np.ndarray, own: np.ndarray, n: np.n
     return np.concatenate(left or none), np.concatenate(right or none), np.concatenate(far or none)
 
 
-def in_sketch_blocks(held: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+def in_sketch_blocks(held: DataFrame, percent: int, nearest: int = 0) -> DataFrame:
     """(key, cls, part, n, bits) -> candidates (key, a, b, apart): pairs across parts whose
     sketches let them link, and the bits in which these differ.
 
-    With ``nearest`` each member comes once for each pair of blocks, with its nearest
-    partner. Else each pair is there in which one of the two has at most ``FEW`` partners
+    With ``nearest`` each member comes with so many of its nearest partners in a pair of
+    blocks. Else each pair is there in which one of the two has at most ``FEW`` partners
     in a pair of blocks; for one in which both have more, both are there with a null b.
     """
     parts = held.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -355,7 +356,9 @@ def in_sketch_blocks(held: DataFrame, percent: int, nearest: bool = False) -> Da
             if nearest:
                 a, b, apart = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([far, far])
                 order = np.lexsort((cls[b], apart, a))
-                first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(a) else order
+                begins = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]])) if len(a) else order
+                place = np.arange(len(a)) - np.repeat(begins, np.diff(np.append(begins, len(a))))
+                first = order[place < nearest]
                 out = [key[a[first]], cls[a[first]], pa.array(cls[b[first]]), apart[first]]
             else:
                 times = np.bincount(np.concatenate([x, y]), minlength=len(key))
