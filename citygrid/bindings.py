@@ -21,7 +21,7 @@ SELECT CAST(floor(p_partkey / 380) AS BIGINT) AS scene_id, p_partkey AS ord, con
  CASE WHEN p_partkey % 10 IN (2,3,4) THEN CAST(1 + p_size % 12 AS STRING) END AS levels_tag,
  CASE WHEN p_partkey % 20 IN (2,13) THEN CAST(1 + p_size % 6 AS STRING) END AS roof_tag,
  CASE WHEN p_partkey % 30 IN (3,11) THEN '2' END AS min_level_tag, CASE WHEN p_partkey % 40 = 10 THEN '4.5 m' END AS min_height_tag,
- CASE WHEN floor(p_partkey / 380) % 3 = 1 THEN repeat(p_name, CAST(1 + p_partkey % 40 AS INT)) WHEN p_partkey % 17 = 0 THEN p_name END AS name,
+ CASE WHEN floor(p_partkey / 380) % 3 = 1 THEN repeat(p_name, CAST(1 + p_partkey % 90 AS INT)) WHEN p_partkey % 17 = 0 THEN p_name END AS name,
  (p_partkey % 23 = 0) AS tourism, (p_partkey % 29 = 0) AS historic, (p_partkey % 31 = 0) AS wikidata
  FROM {part}
  UNION ALL
@@ -74,7 +74,7 @@ SELECT CAST(floor(c_custkey / 250) AS BIGINT) AS scene_id, c_custkey AS ord, con
  CASE WHEN c_custkey % 4 = 0 THEN c_name END AS name FROM {customer}"""),
     "designs": ("supplier", """
 SELECT CAST(s_suppkey AS BIGINT) AS design_id, CAST(floor(s_suppkey / 14) AS BIGINT) AS scene_id, 100 + (s_suppkey*13) % 157 AS plate_mm, CAST(2 + s_suppkey % 7 AS DOUBLE) AS base_mm,
- CASE s_suppkey % 3 WHEN 0 THEN 4e-1 WHEN 1 THEN 6e-1 ELSE 25e-2 END AS nozzle_mm, (s_suppkey % 4 <> 0) AS frame, CAST(250 + (s_suppkey*110) % 2760 AS DOUBLE) AS radius_m,
+ CASE s_suppkey % 3 WHEN 0 THEN 4e-1 WHEN 1 THEN 6e-1 ELSE 25e-2 END AS nozzle_mm, (s_suppkey % 4 <> 0) AS frame, CAST(CASE WHEN s_suppkey % 10 = 3 THEN 250 ELSE 250 + (s_suppkey*110) % 2760 END AS DOUBLE) AS radius_m,
  s_suppkey % 9 AS printer_ix FROM {supplier}"""),
     "overrides": ("supplier nation", """
 SELECT CAST(s_suppkey AS BIGINT) AS design_id, n_nationkey AS ord, CASE WHEN n_nationkey % 3 = 0 THEN 'road' ELSE 'building' END AS layer,
@@ -104,10 +104,10 @@ SELECT ord AS mesh_id, v, CASE WHEN ord % 13 = 0 THEN 500000 + cx + (CASE WHEN v
   ELSE cx + (CASE WHEN v IN (1,2,5,6,9,10,13,14) OR ord % 11 = 0 AND v = 4 THEN w / 2 ELSE -w / 2 END) * (CASE WHEN ord % 5 = 0 AND v IN (4,5,6,7) THEN 3 ELSE 1 END) END AS x,
  cy + (CASE WHEN v IN (2,3,6,7,10,11,14,15) THEN d / 2 ELSE -d / 2 END) * (CASE WHEN ord % 5 = 0 AND v IN (4,5,6,7) THEN 3 ELSE 1 END) AS y,
  CASE WHEN v >= 12 THEN CAST(9 + ord % 50 AS DOUBLE) WHEN v >= 8 THEN CAST(5 + ord % 50 AS DOUBLE) WHEN v >= 4 THEN CAST(3 + ord % 50 AS DOUBLE) WHEN ord % 37 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS z
-FROM {buildings} CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15)) AS vv(v) WHERE v < 8 OR ord % 7 = 0"""),
+FROM {buildings} CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15)) AS vv(v) WHERE v < 8 OR ord % 7 = 0 AND floor(ord / 380) % 3 = 0"""),
     "triangles": ("buildings", """
 SELECT ord AS mesh_id, f + 12 * k AS f, a + 8 * k AS a, b + 8 * k AS b, c + 8 * k AS c FROM {buildings} CROSS JOIN (VALUES (0,0,2,1),(1,0,3,2),(2,4,5,6),(3,4,6,7),(4,0,1,5),(5,0,5,4),(6,1,2,6),(7,1,6,5),(8,2,3,7),(9,2,7,6),(10,3,0,4),(11,3,4,7)) AS ff(f,a,b,c) CROSS JOIN (VALUES (0),(1)) AS kk(k)
-WHERE NOT (ord % 41 = 0 AND f = 11 AND k = 0) AND (k = 0 OR ord % 7 = 0)
+WHERE NOT (ord % 41 = 0 AND f = 11 AND k = 0) AND (k = 0 OR ord % 7 = 0 AND floor(ord / 380) % 3 = 0)
 UNION ALL SELECT ord, 24, 0, 2, 1 FROM {buildings} WHERE ord % 43 = 0"""),
     # pixels of elevation tiles of 32 by 32: metres + 32768 = r * 256 + g + b / 256
     "pixels": ("grid", """
@@ -117,6 +117,16 @@ SELECT scene_id, CAST(floor(c / 32) AS BIGINT) AS tx, CAST(floor(r / 32) AS BIGI
 SELECT stage, reads FROM (VALUES ('classify','source'),('project','classify'),('clean','project'),('crop','clean'),('heights','classify'),('blocks','crop'),('blocks','heights'),('solids','blocks'),('roads','crop'),('trees','crop'),('terrain','project'),('drape','terrain'),('drape','solids'),('merge','drape'),('merge','roads'),('merge','trees'),('audit','merge'),('estimate','merge'),('export','merge')) AS e(stage, reads)"""),
     "stage_claims": ("region", """
 SELECT stage, path FROM (VALUES ('project','radius_m'),('crop','radius_m'),('heights','scene_id'),('blocks','nozzle_mm'),('solids','base_mm'),('roads','nozzle_mm'),('trees','plate_mm'),('merge','frame'),('audit','printer_ix'),('estimate','plate_mm'),('export','frame'),('source','scene_id')) AS c(stage, path)"""),
+    # regions of each design's model in their order, with slot, colour and heights
+    "regions": ("designs", """
+SELECT design_id, region, nth, 1 + (nth * (1 + design_id % 3) + design_id) % (2 + design_id % 5) AS slot, CASE (nth + design_id * 3) % 8 WHEN 0 THEN '#F5F1E8' WHEN 1 THEN '#EFEBE0' WHEN 2 THEN '#3A3F44' WHEN 3 THEN '#40454A' WHEN 4 THEN '#5C8A4A' WHEN 5 THEN '#2266AA' WHEN 6 THEN '#C9A227' ELSE '#B03A2E' END AS color,
+ CASE WHEN nth = 0 THEN 0e0 ELSE base_mm + CAST((nth - 1) * (design_id % 4) AS DOUBLE) / 2 END AS z0, CASE WHEN nth = 0 THEN base_mm ELSE base_mm + CAST((nth - 1) * (design_id % 4) AS DOUBLE) / 2 + CAST(1 + (nth * 7 + design_id) % 9 AS DOUBLE) / 3 END AS z1
+FROM {designs} CROSS JOIN (VALUES (0,'base'),(1,'water'),(2,'green'),(3,'roads'),(4,'buildings'),(5,'trees'),(6,'frame')) AS r(nth, region)"""),
+    "swatches": ("region", """
+SELECT nth, color FROM (VALUES (0,'#FFFFFF'),(1,'#F5F1E8'),(2,'#D9D4C7'),(3,'#8C8C8C'),(4,'#3A3F44'),(5,'#111111'),(6,'#2266AA'),(7,'#7FB3D5'),(8,'#5C8A4A'),(9,'#A9C99A'),(10,'#C9A227'),(11,'#B03A2E')) AS s(nth, color)"""),
+    # picks in a model: where a tree stands, or an owner's number, that of some is no feature's
+    "picks": ("trees", """
+SELECT scene_id, ord AS pick_id, CASE ord % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'road' ELSE 'area' END AS layer, x, y, CASE WHEN ord % 3 = 0 THEN ord % 2100 END AS owner FROM {trees}"""),
     # fixed values: beds, slots and heights of printers
     "printers": ("region", """
 SELECT printer_ix, plate_x, plate_y, slots, ceiling FROM (VALUES (0,340,320,4,340),(1,256,256,4,256),(2,256,256,4,256),(3,256,256,4,256),(4,180,180,4,180),(5,250,210,1,220),(6,180,180,1,180),(7,220,220,1,250),(8,256,256,4,256)) AS p(printer_ix, plate_x, plate_y, slots, ceiling)"""),

@@ -9,9 +9,6 @@ SELECT scene_id, band, count(*) AS n, min(height_m) AS low_m, max(height_m) AS h
 operator("equal_width_bands", "resolve_heights", """
 SELECT scene_id, band, count(*) AS n FROM (SELECT scene_id, CAST(least(7, floor(height_m / max(height_m) OVER (PARTITION BY scene_id) * 8)) AS BIGINT) AS band FROM {resolve_heights}) q GROUP BY scene_id, band""")
 
-operator("slot_conflicts", "overrides", """
-SELECT design_id, slot, count(DISTINCT layer) AS n_layers, min_by(layer, ord) AS winner FROM {overrides} GROUP BY design_id, slot HAVING count(DISTINCT layer) > 1""")
-
 operator("scale_bar", "designs", """
 WITH steps AS (SELECT CAST(m * pow(10e0, k) AS DOUBLE) AS metres FROM (VALUES (1), (2), (5)) AS mm(m) CROSS JOIN (VALUES (-1), (0), (1), (2), (3), (4), (5), (6), (7)) AS kk(k)),
  s AS (SELECT design_id, (plate_mm - CASE WHEN frame THEN 12 ELSE 0 END) / (2 * radius_m) AS scale FROM {designs}),
