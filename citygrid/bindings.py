@@ -94,7 +94,7 @@ SELECT event_id, user_id AS session_id, concat('j', CAST(user_id AS STRING), '-'
 SELECT event_id, user_id AS session_id, concat('j', CAST(user_id AS STRING), '-', CAST(CAST(floor(event_id/200) AS BIGINT) AS STRING)) AS job_id, CAST(floor(event_id/200) AS BIGINT) AS job_no, epoch_us(ts) // 1000 AS ms,
  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, value AS progress FROM {events}""")),
     "places": ("customer nation region", """
-SELECT c_custkey AS place_ord, concat('N', CAST(c_custkey % 1200 AS STRING)) AS id, c_name AS name, n_name AS city, r_name AS country,
+SELECT c_custkey AS place_ord, concat('N', CAST(c_custkey % 1200 AS STRING)) AS id, CASE WHEN c_custkey % 9 = 4 THEN n_name WHEN c_custkey % 9 NOT IN (5,6,7) THEN c_name END AS name, CASE WHEN c_custkey % 9 <> 7 THEN n_name END AS city, r_name AS country, CASE WHEN c_custkey % 9 = 5 THEN CAST(c_custkey % 200 AS STRING) END AS number, CASE WHEN c_custkey % 9 IN (5,6) THEN 'Main Street' END AS street,
  CAST((c_custkey*7351) % 18001 AS DOUBLE)/100 - 90 AS lat, CAST((c_custkey*9973) % 36001 AS DOUBLE)/100 - 180 AS lon,
  CASE c_mktsegment WHEN 'BUILDING' THEN 'building' WHEN 'HOUSEHOLD' THEN 'place' WHEN 'MACHINERY' THEN 'amenity' ELSE 'highway' END AS osm_key
  FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"""),
@@ -124,6 +124,27 @@ SELECT design_id, region, nth, 1 + (nth * (1 + design_id % 3) + design_id) % (2
 FROM {designs} CROSS JOIN (VALUES (0,'base'),(1,'water'),(2,'green'),(3,'roads'),(4,'buildings'),(5,'trees'),(6,'frame')) AS r(nth, region)"""),
     "swatches": ("region", """
 SELECT nth, color FROM (VALUES (0,'#FFFFFF'),(1,'#F5F1E8'),(2,'#D9D4C7'),(3,'#8C8C8C'),(4,'#3A3F44'),(5,'#111111'),(6,'#2266AA'),(7,'#7FB3D5'),(8,'#5C8A4A'),(9,'#A9C99A'),(10,'#C9A227'),(11,'#B03A2E')) AS s(nth, color)"""),
+    "searches": ("clicks places", "SELECT c.user_id, c.event_id, c.ms, CASE WHEN c.event_id % 2 = 0 THEN upper(p.name) ELSE p.name END AS name, p.lat, p.lon FROM {clicks} c JOIN {places} p ON p.place_ord = c.event_id % 97 WHERE p.name IS NOT NULL"),
+    # fixed values: leaves of a design, their group, kind, range, default and choices
+    "param_specs": ("region", """
+SELECT nth, path, grp, kind, low, high, standard, choices FROM (VALUES (0,'plate_mm','size','number',100e0,256e0,'180',NULL),(1,'base_mm','size','number',1e0,8e0,'3',NULL),(2,'nozzle_mm','printer','number',1e-1,12e-1,'0.4',NULL),(3,'frame','frame','boolean',NULL,NULL,'true',NULL),(4,'road_mode','roads','string',NULL,NULL,'raised','raised,engraved,off'),(5,'radius_m','size','number',250e0,3000e0,'900',NULL),(6,'title','file','string',NULL,NULL,NULL,NULL)) AS s(nth, path, grp, kind, low, high, standard, choices)"""),
+    # designs as the leaves of their files; some have an unknown key, a wrong kind, a value out of range or no choice
+    "raw_leaves": ("designs", """
+SELECT design_id, 0 AS ord, 'plate_mm' AS path, CAST(plate_mm + CASE WHEN design_id % 17 = 5 THEN 200 ELSE 0 END AS STRING) AS value, 'number' AS kind FROM {designs} UNION ALL SELECT design_id, 1, 'base_mm', CAST(CAST(base_mm AS INT) AS STRING), CASE WHEN design_id % 19 = 3 THEN 'string' ELSE 'number' END FROM {designs}
+UNION ALL SELECT design_id, 2, 'nozzle_mm', CASE printer_ix % 3 WHEN 0 THEN '0.4' WHEN 1 THEN '0.6' ELSE '0.25' END, 'number' FROM {designs} WHERE design_id % 4 <> 0 UNION ALL SELECT design_id, 3, 'frame', CASE WHEN frame THEN 'true' ELSE 'false' END, 'boolean' FROM {designs}
+UNION ALL SELECT design_id, 4, 'road_mode', CASE WHEN design_id % 23 = 7 THEN 'sunk' WHEN design_id % 3 = 0 THEN 'off' ELSE 'raised' END, 'string' FROM {designs} UNION ALL SELECT design_id, 5, 'radius_m', CAST(CAST(radius_m AS INT) AS STRING), 'number' FROM {designs}
+UNION ALL SELECT design_id, 6, 'title', concat('Design ', CAST(design_id AS STRING)), 'string' FROM {designs} UNION ALL SELECT design_id, 7, 'glitter', 'yes', 'string' FROM {designs} WHERE design_id % 13 = 2"""),
+    # settings to search: parts as controls, their kinds as sections; a stated set of queries of one or two tokens
+    "entries": ("part", """
+SELECT p_partkey AS entry, p_name AS label, p_type AS help, p_brand AS grp, 'control' AS kind FROM {part} UNION ALL SELECT 1000000 + min(p_partkey), p_type, concat('all of ', p_brand), 'sections', 'section' FROM {part} GROUP BY p_type, p_brand"""),
+    "queries": ("region", """
+SELECT query, token, count(*) OVER (PARTITION BY query) AS n_tokens FROM (VALUES ('part','part'),('economy','economy'),('brand economy','brand'),('brand economy','economy'),('e','e'),('part 1','part'),('part 1','1'),('small all','small'),('small all','all'),('conom','conom'),('standard nothing','standard'),('standard nothing','nothing'),('brand#1','brand#1'),('sections','sections')) AS q(query, token)"""),
+    "templates": ("region", """
+SELECT template, line FROM (VALUES (0,'{{city}}, {{country}}'),(1,'{{lat}} / {{lon}} ({{coords}})'),(2,'{{scale}} {{radius}} {{unknown}}'),(3,'{{buildings}} buildings, {{hero}} {{date}}'),(4,'by {{author}} {{state}}{{neighbourhood}}'),(5,'no token')) AS t(template, line)"""),
+    # glyphs of a face by rule: printable characters but a few, in thousandths of an em
+    "glyphs": ("region", ("""
+SELECT code, 500 + code * 37 % 300 AS adv, 40 + code % 5 * 10 AS lft, 500 + code * 37 % 300 - 50 - code % 7 * 8 AS rgt, CASE WHEN code = 32 THEN 0 ELSE 480 + code % 9 * 30 END AS top, CASE WHEN code % 11 = 0 THEN -180 ELSE 0 END AS bot, CASE WHEN code = 32 THEN 0 ELSE 60 + code % 6 * 10 END AS stem FROM (SELECT explode(sequence(32, 126)) AS code) g WHERE code NOT IN (35, 64, 92, 126)""", """
+SELECT code, 500 + code * 37 % 300 AS adv, 40 + code % 5 * 10 AS lft, 500 + code * 37 % 300 - 50 - code % 7 * 8 AS rgt, CASE WHEN code = 32 THEN 0 ELSE 480 + code % 9 * 30 END AS top, CASE WHEN code % 11 = 0 THEN -180 ELSE 0 END AS bot, CASE WHEN code = 32 THEN 0 ELSE 60 + code % 6 * 10 END AS stem FROM (SELECT CAST(unnest(range(32, 127)) AS INT) AS code) g WHERE code NOT IN (35, 64, 92, 126)""")),
     # picks in a model: where a tree stands, or an owner's number, that of some is no feature's
     "picks": ("trees", """
 SELECT scene_id, ord AS pick_id, CASE ord % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'road' ELSE 'area' END AS layer, x, y, CASE WHEN ord % 3 = 0 THEN ord % 2100 END AS owner FROM {trees}"""),

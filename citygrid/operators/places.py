@@ -2,18 +2,26 @@
 
 from citygrid.operators import operator
 
+# a place's name, or its number and street, else city or country; no context that repeats the name; the first of an id
 operator("normalise_places", "places", """
-SELECT id, name, context, kind, radius_m FROM (SELECT id, name, CASE WHEN lower(city) = lower(country) THEN city ELSE concat(city, ', ', country) END AS context, osm_key AS kind,
- CASE osm_key WHEN 'place' THEN 1500 WHEN 'building' THEN 400 ELSE 900 END AS radius_m, row_number() OVER (PARTITION BY id ORDER BY place_ord) AS nth FROM {places} WHERE name IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) q WHERE nth = 1""")
+SELECT id, name, context, kind, radius_m, city FROM (SELECT id, coalesce(name, CASE WHEN number IS NOT NULL AND street IS NOT NULL THEN concat(number, ' ', street) END, city, country) AS name,
+ concat_ws(', ', CASE WHEN lower(city) <> lower(coalesce(name, CASE WHEN number IS NOT NULL AND street IS NOT NULL THEN concat(number, ' ', street) END, city, country)) THEN city END, CASE WHEN lower(country) NOT IN (lower(city), lower(coalesce(name, CASE WHEN number IS NOT NULL AND street IS NOT NULL THEN concat(number, ' ', street) END, city, country))) THEN country END) AS context, osm_key AS kind,
+ CASE osm_key WHEN 'place' THEN 1500 WHEN 'building' THEN 400 ELSE 900 END AS radius_m, city, row_number() OVER (PARTITION BY id ORDER BY place_ord) AS nth FROM {places} WHERE coalesce(name, CASE WHEN number IS NOT NULL AND street IS NOT NULL THEN concat(number, ' ', street) END, city, country) IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) q WHERE nth = 1""")
 
-operator("recent_searches", "clicks", """
-SELECT user_id, entry, ms, place FROM (SELECT user_id, entry, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS place FROM (
- SELECT user_id, entry, ms, event_id, row_number() OVER (PARTITION BY user_id, entry ORDER BY ms DESC, event_id DESC) AS nth FROM (SELECT *, concat(event_type, CAST(event_id % 7 AS STRING)) AS entry FROM {clicks}) a) b WHERE nth = 1) c WHERE place <= 8""")
+# the newest eight of a user's searches, one for each name in small letters and place at four decimals
+operator("recent_searches", "searches", """
+SELECT user_id, name, lat, lon, ms, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS place FROM (
+ SELECT user_id, event_id, name, round(lat, 4) AS lat, round(lon, 4) AS lon, ms, row_number() OVER (PARTITION BY user_id, lower(name), round(lat, 4), round(lon, 4) ORDER BY ms DESC, event_id DESC) AS nth FROM {searches}) b WHERE nth = 1) c WHERE place <= 8""")
 
-operator("params_diff", "designs", """
-SELECT design_id, path, value, standard FROM (
- SELECT design_id, 'plate_mm' AS path, CAST(plate_mm AS DOUBLE) AS value, 180e0 AS standard FROM {designs} UNION ALL SELECT design_id, 'base_mm', base_mm, 3e0 FROM {designs}
- UNION ALL SELECT design_id, 'nozzle_mm', nozzle_mm, 4e-1 FROM {designs} UNION ALL SELECT design_id, 'frame', CASE WHEN frame THEN 1e0 ELSE 0e0 END, 1e0 FROM {designs}) q WHERE value <> standard""")
+# leaves of a design that differ from the defaults, nulls included; leaves about the file itself do not count
+operator("params_diff", "raw_leaves param_specs", """
+SELECT design_id, path, grp, value, standard, count(*) OVER (PARTITION BY design_id, grp) AS changed_in_group FROM (
+ SELECT l.design_id, s.path, s.grp, l.value, s.standard FROM {raw_leaves} l JOIN {param_specs} s ON s.path = l.path WHERE s.grp <> 'file') q WHERE value IS DISTINCT FROM standard""")
 
-operator("validate_params", "designs", """
-SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN plate_mm < 100 OR plate_mm > 240 THEN 'plate_mm out of range' WHEN base_mm > 7 THEN 'base_mm out of range' WHEN radius_m > 2500 THEN 'radius_m out of range' ELSE 'accepted' END AS verdict FROM {designs}) q GROUP BY verdict""")
+# a raw design over the defaults, or the first thing that is wrong with it
+_WRONG = "CASE WHEN s.path IS NULL THEN 'unknown key' WHEN l.kind <> s.kind THEN 'wrong kind' WHEN s.kind = 'number' AND (try_cast(l.value AS DOUBLE) < s.low OR try_cast(l.value AS DOUBLE) > s.high) THEN 'out of range' WHEN s.choices IS NOT NULL AND NOT contains(concat(',', s.choices, ','), concat(',', l.value, ',')) THEN 'not a choice' END"
+operator("validate_params", "raw_leaves param_specs", f"""
+WITH judged AS (SELECT l.design_id, l.ord, l.path, {_WRONG} AS wrong FROM {{raw_leaves}} l LEFT JOIN {{param_specs}} s ON s.path = l.path),
+ first AS (SELECT design_id, min(CASE WHEN wrong IS NOT NULL THEN ord END) AS ord FROM judged GROUP BY design_id)
+SELECT f.design_id, f.ord IS NULL AS accepted, CASE WHEN f.ord IS NULL THEN s.path ELSE j.path END AS path, CASE WHEN f.ord IS NULL THEN coalesce(l.value, s.standard) END AS value, j.wrong AS reason, count(*) OVER (PARTITION BY j.wrong) AS rows_of_reason
+FROM first f LEFT JOIN judged j ON j.design_id = f.design_id AND j.ord = f.ord LEFT JOIN {{param_specs}} s ON f.ord IS NULL LEFT JOIN {{raw_leaves}} l ON l.design_id = f.design_id AND l.path = s.path""")
