@@ -8,8 +8,8 @@ segment is so wide (2**64 bits) that it is kept as the XOR of its set bits' numb
 A few segments more than that (the spare ones) make a linked pair equal in more than
 one, so that a set with no more empty segments than spare ones need not send these:
 what all sets of a band would share says nothing. Documents that share a segment are
-candidates. A pair whose 1024-bit sketches differ in more bits than its sets may is
-dropped; each pair used is verified on the exact sets, so no link is lost and none is
+candidates. A pair whose sketches (1024 bits, for long sets two and more bits an
+element) differ in more bits than its sets may is dropped; each pair used is verified on the exact sets, so no link is lost and none is
 false.
 
 Documents with equal sets are one class from the start. A bucket of classes that
@@ -120,14 +120,27 @@ class Bands:
         return np.concatenate(out)
 
 
+LONG = 1000
+
+
+def parity(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` parity bits (a power of two) as longs: two differ in no more bits than their
+    sets in elements. A sketch of half the bits is the XOR of its halves."""
+    place = mix(shingles + U(0x5851F42D4C957F2D)) & U(bits - 1)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """1024 parity bits as 16 longs: two differ in no more bits than their sets in elements."""
-    bits = np.bincount((mix(shingles + U(0x5851F42D4C957F2D)) & U(1023)).astype(np.int64), minlength=1024) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return parity(shingles, 1024)
+
+
+def long_sketch(shingles: np.ndarray) -> np.ndarray:
+    """At least two bits an element for sets of more than ``LONG``, which fill 1024 bits; else none."""
+    return parity(shingles, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) > LONG else np.zeros(0, np.int64)
 
 
 def sketched(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """-> id, n, cls, bits, keys: size, digest, 1024-bit sketch and segments of each
+    """-> id, n, cls, bits, more, keys: size, digest, sketches and segments of each
     document's set. A task gives the segments of equal sets once as long as it remembers
     them, so a group of copies adds them a few times per task; rows without an id have none."""
     bands = Bands(percent)
@@ -146,10 +159,10 @@ def sketched(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
                         seen[mark].append(True)
                     keys.append(bands.segments(x).view(np.int64) if new and len(x) else np.zeros(0, np.int64))
                 sizes = pa.array(map(len, found), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(marks, pa.int64()), lists([sketch(x) for x in found]), lists(keys)], ["id", "n", "cls", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(marks, pa.int64()), lists([sketch(x) for x in found]), lists([long_sketch(x) for x in found]), lists(keys)], ["id", "n", "cls", "bits", "more", "keys"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, "id long, n long, cls long, bits array<long>, keys array<long>")
+    return given.mapInArrow(run, "id long, n long, cls long, bits array<long>, more array<long>, keys array<long>")
 
 
 def digest(shingles: np.ndarray) -> int:
@@ -175,7 +188,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_co
                 yield found.filter(pa.array([digest(x) == c for x, c in zip(sets, found.column(0).to_pylist())], pa.bool_()))
 
     given = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    return given.join(wanted, "rep").select("text", "cls").mapInArrow(run, "cls long, shingles array<long>")
+    return given.join(wanted.hint("merge"), "rep").select("text", "cls").mapInArrow(run, "cls long, shingles array<long>")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
@@ -192,7 +205,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     shelf = Shelf(docs.sparkSession)
     made = shelf.put("made", sketched(docs, words, percent, id_col, text_col))
     usable = made.filter("n > 0 AND id IS NOT NULL")
-    told = shelf.put("told", usable.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    told = shelf.put("told", usable.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more")))
     members = shelf.put("members", shared(made, shelf))
     wanted = shelf.put("wanted", members.select("cls").distinct().join(told.select("cls", "rep"), "cls"))
     sets = shelf.put("sets", sets_of(docs, wanted, words, id_col, text_col))
@@ -208,9 +221,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     def verify(name: str, pairs: DataFrame) -> None:
         """Adds to the links those of ``pairs`` whose sets link; only the sets of these are moved."""
         pairs = shelf.put(f"pairs {name}", pairs)
-        x, y = (sets.join(pairs.select(F.col(c).alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
+        x, y = (sets.join(pairs.select(F.col(c).alias("cls")).distinct().hint("merge"), "cls", "left_semi").select(F.col("cls").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
         common = F.size(F.array_intersect("as", "bs"))
-        links.append(shelf.put(f"links {name}", pairs.join(x, "a").join(y, "b").filter(100 * common >= percent * (F.size("as") + F.size("bs") - common)).select("a", "b").distinct()))
+        links.append(shelf.put(f"links {name}", pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").filter(100 * common >= percent * (F.size("as") + F.size("bs") - common)).select("a", "b").distinct()))
 
     held = members.withColumn("part", F.col("cls"))
     lead = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls"), F.col("cls").alias("a"))).alias("lead")).select("key", "lead.a")
@@ -295,7 +308,37 @@ def dealt(held: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("n_blocks", "with")
 
 
-def near_by_sketch(group: np.ndarray, part: np.ndarray, own: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Sketches:
+    """Sketches of many sets, by their place: ``differ`` gives the bits in which pairs differ,
+    at the length of the shorter one of each pair."""
+
+    def __init__(self, bits: np.ndarray, more: list[np.ndarray]):
+        size = np.array([len(m) or bits.shape[1] for m in more], np.int64)
+        self.of, self.row, self.sizes = np.zeros(len(more), np.int64), np.zeros(len(more), np.int64), np.unique(size)
+        self.held = []
+        for k, n in enumerate(self.sizes):
+            own = np.flatnonzero(size == n)
+            self.of[own], self.row[own] = k, np.arange(len(own))
+            self.held.append(np.stack([more[i] if len(more[i]) else bits[i] for i in own]).view(U))
+        self.bits = bits
+
+    def differ(self, x: np.ndarray, y: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Pairs beyond ``bound`` by the short sketches are not looked at again."""
+        out = np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(1, dtype=np.int64)
+        if len(self.sizes) > 1 or self.sizes[0] > self.bits.shape[1]:
+            again = np.flatnonzero((out <= bound) & (np.minimum(self.sizes[self.of[x]], self.sizes[self.of[y]]) > self.bits.shape[1]))
+            for both in np.unique(np.stack([self.of[x[again]], self.of[y[again]]], 1), axis=0) if len(again) else ():
+                part = again[(self.of[x[again]] == both[0]) & (self.of[y[again]] == both[1])]
+                for at in range(0, len(part), 1024):
+                    now = part[at : at + 1024]
+                    sides = [self.held[k][self.row[z[now]]] for k, z in zip(both, (x, y))]
+                    least = min(m.shape[1] for m in sides)
+                    sides = [np.bitwise_xor.reduce(m.reshape(len(m), -1, least), 1) for m in sides]
+                    out[now] = np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64)
+        return out
+
+
+def near_by_sketch(group: np.ndarray, part: np.ndarray, own: np.ndarray, n: np.ndarray, sketches: Sketches, percent: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows of one group and different parts whose sizes and sketches let them link, and how many bits differ.
 
     Groups are runs; where ``whole`` is false only rows of different blocks are compared.
@@ -310,8 +353,9 @@ def near_by_sketch(group: np.ndarray, part: np.ndarray, own: np.ndarray, n: np.n
         fit = (part[x] != part[y]) & (whole[x] | (own[x] != own[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
         x, y = x[fit], y[fit]
         if len(x):
-            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-            may = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            bound = (n[x] + n[y]) * (100 - percent) // (100 + percent)
+            differ = sketches.differ(x, y, bound)
+            may = differ <= bound
             left.append(x[may])
             right.append(y[may])
             far.append(differ[may])
@@ -320,7 +364,7 @@ def near_by_sketch(group: np.ndarray, part: np.ndarray, own: np.ndarray, n: np.n
 
 
 def in_sketch_blocks(held: DataFrame, percent: int, nearest: int = 0) -> DataFrame:
-    """(key, cls, part, n, bits) -> candidates (key, a, b, apart): pairs across parts whose
+    """(key, cls, part, n, bits, more) -> candidates (key, a, b, apart): pairs across parts whose
     sketches let them link, and the bits in which these differ.
 
     With ``nearest`` each member comes with so many of its nearest partners in a pair of
@@ -329,7 +373,7 @@ def in_sketch_blocks(held: DataFrame, percent: int, nearest: int = 0) -> DataFra
     """
     parts = held.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = dealt(held, SKETCHES).repartition(int(parts), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    rows = rows.select("key", "lo", "hi", "own", "cls", "part", "n", "bits")
+    rows = rows.select("key", "lo", "hi", "own", "cls", "part", "n", "bits", "more")
 
     def groups(batches) -> Iterator[pa.Table]:
         """Whole groups, over the borders of batches."""
@@ -350,9 +394,10 @@ def in_sketch_blocks(held: DataFrame, percent: int, nearest: int = 0) -> DataFra
         for t in groups(batches):
             key, lo, hi, own, cls, part, n = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "cls", "part", "n"))
             bits = t.column("bits").combine_chunks().flatten().to_numpy().view(U).reshape(-1, 16)
+            sketches = Sketches(bits, [m.values.to_numpy() for m in t.column("more").combine_chunks()])
             marks = np.stack([key, lo, hi], 1)
             group = np.concatenate([[0], np.cumsum((marks[1:] != marks[:-1]).any(1))])
-            x, y, far = near_by_sketch(group, part, own, n, bits, percent, lo == hi)
+            x, y, far = near_by_sketch(group, part, own, n, sketches, percent, lo == hi)
             if nearest:
                 a, b, apart = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([far, far])
                 order = np.lexsort((cls[b], apart, a))

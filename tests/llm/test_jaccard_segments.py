@@ -70,3 +70,18 @@ def test_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:39_000])), (3, " ".join(words[:20_000]))]
     got = dict((r[0], r[2]) for r in jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect())
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_long_sketches_fold():
+    """Sketches of different lengths compare at the shorter one and never say more than the sets."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 6000 - 200 * k], rng.integers(0, 1 << 63, 40 * k + 1).astype(np.uint64)])) for k in range(8)] + [np.unique(base[:900]), np.unique(base[:1500])]
+    held = jaccard.Sketches(np.stack([jaccard.sketch(x) for x in sets]).view(np.uint64), [jaccard.long_sketch(x) for x in sets])
+    x, y = np.triu_indices(len(sets), 1)
+    got = held.differ(x, y, np.full(len(x), 10**9))
+    for i, j, d in zip(x, y, got):
+        apart = len(np.setxor1d(sets[i], sets[j]))
+        assert d <= apart and (d - apart) % 2 == 0
+        if min(len(sets[i]), len(sets[j])) > jaccard.LONG and apart < 1500:
+            assert d > 0.75 * apart
