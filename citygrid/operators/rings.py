@@ -128,7 +128,7 @@ def clean_rings(polygons: DataFrame, tolerance: float = 0.25) -> DataFrame:
     the ring runs counter-clockwise, is simplified, snapped to 1 mm, loses points that
     repeat the one before, and drops below 1 m2. Empty and null rings have too few points.
     """
-    open_ring = "CASE WHEN size(ring) > 1 AND ring[0] = ring[size(ring) - 1] THEN slice(ring, 1, size(ring) - 1) ELSE coalesce(ring, filter(ring, p -> false)) END"
+    open_ring = "CASE WHEN size(ring) > 1 AND ring[0] = ring[size(ring) - 1] THEN slice(ring, 1, size(ring) - 1) ELSE coalesce(ring, CAST(array() AS array<struct<x:double,y:double>>)) END"
     df = polygons.withColumn("raw_vertices", F.expr("greatest(size(ring), 0)")).withColumn("ring", F.expr(open_ring))
     df = df.withColumn("signed", F.expr(f"CASE WHEN size(ring) > 0 THEN {area2('ring')} / 2 ELSE 0e0 END"))
     df = df.withColumn("first_verdict", F.expr("CASE WHEN coalesce(size(ring), 0) < 3 THEN 'too few points' WHEN signed = 0 THEN 'no area' END"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from citygrid.operators import OPERATORS, planned
+from citygrid.operators import OPERATORS, planned, telemetry  # noqa: F401 (the batch twins are registered first)
 from citygrid.streams import drained
 
 GAP_MS, TTL_MS = 7_200_000, 21_600_000
