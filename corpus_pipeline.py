@@ -3,16 +3,21 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame. What a stage returns is written as Parquet and read again as the next
 one's documents.
+
+All stages take nulls in any column, empty and very long texts, repeated rows and ids,
+and an empty table. Null and empty texts: the classifier scores them by what every
+document has, they are no duplicates, hold no secrets and have no tokens. A null id is
+kept by every stage that chooses by id. Columns beside doc_id and text are carried.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citygrid.lineage import shared_folder
 from citygrid.llm import jaccard, mixing, pieces, quality, secrets
 from citygrid.llm.common import table
 
@@ -63,8 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    home = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
