@@ -51,7 +51,7 @@ def test_requests_and_tiles(spark):
     for r in terrain_tile_cover(given).collect():
         tiles.setdefault(r["scene_id"], []).append((r["zoom"], r["x"], r["y"]))
     zoom, x, _ = tiles[1][0]
-    assert zoom == 12 and abs(x - (-87.63 + 180) / 360 * 2**zoom) < 2
+    assert zoom == 13 and abs(x - (-87.63 + 180) / 360 * 2**zoom) < 2
     assert {t[1] for t in tiles[3]} >= {0, 2 ** tiles[3][0][0] - 1}  # wrapped at the date line
 
 
