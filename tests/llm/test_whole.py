@@ -149,3 +149,47 @@ def test_mixing_rates_against_plain_least_squares(spark):
         rate = np.maximum(0, rate - eta * p @ (((rate * n) @ p - goal) / mass))
     assert np.allclose(got, rate, atol=1e-9) and (got >= 0).all()
     assert np.allclose((got * n) @ p, goal, rtol=2e-3)
+
+
+def test_html_tree_asks_for_neighbours_and_needs_no_names(monkeypatch):
+    """On pages never seen the tree agrees with how they were made; where pages are marked up by tags, names change nothing."""
+    tree = html.default_tree()
+    asked = set()
+
+    def walk(t):
+        if not isinstance(t, bool):
+            asked.add(html.NAMES[t[0]])
+            walk(t[2])
+            walk(t[3])
+
+    walk(tree)
+    assert {"words", "in_main"} <= asked and asked & {"words_before", "words_after", "density_before", "density_after"}
+    rng = np.random.default_rng(4711)
+    right = {0: [], 1: [], 2: []}
+    texts = []
+    for k in range(150):
+        page, told = html.invented_page(rng, k % 3)
+        found = html.blocks(page)
+        right[k % 3] += [html.decide(tree, r) == label for r, (_, label) in zip(html.table(found).tolist(), told)]
+        if k % 3 == 0:
+            texts.append((page, " ".join(t for t, label in told if label)))
+    assert np.mean(right[0]) > 0.99 and np.mean(right[1]) > 0.97 and np.mean(right[2]) > 0.92
+    monkeypatch.setattr(html, "CHROME_WORDS", frozenset())
+    tagged = [(p, t) for p, t in texts if "<article>" in p or "<main>" in p]
+    assert len(tagged) > 30 and sum(html.main_text(p) == t for p, t in tagged) >= 0.97 * len(tagged)
+
+
+def test_html_articles_keep_blocks_with_like_names():
+    text = "The boats came in late and the whole town stood at the harbour wall to see them."
+    page = f"<body><article><h1>A</h1><p>{text}</p><div class='notice-period'>{text}</div><section class='related-work'><p>{text}</p></section></article><div class='cookie-banner'><p>{text}</p></div></body>"
+    assert html.main_text(page) == f"A {text} {text} {text}"
+
+
+def test_html_rows(spark):
+    """Empty tables, nulls, other columns and a very long page."""
+    long = "<article>" + "".join(f"<p>word{k} and some more words to fill the line up here</p>" for k in range(20_000)) + "</article>"
+    rows = [(1, None, None, "x"), (None, "u", long, None), (1, "u", "", "x")]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html.extract(given).collect()
+    assert len(got) == 3 and max(r["n_chars"] for r in got) > 900_000 and sum(r["text"] == "" for r in got) == 2
+    assert html.extract(given.limit(0)).count() == 0
