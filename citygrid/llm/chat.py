@@ -91,8 +91,9 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
     Result: conv_id, example, formatted, loss_start, loss_end (code points of
     ``formatted``). Turns go by ``turn`` (nulls first), ties by role, then text; null
-    roles and texts count as empty; a null conv_id is a conversation of its own. Other
-    columns are ignored. A task holds one conversation and one example at a time.
+    roles and texts count as empty; a null conv_id is a conversation of its own; rows that
+    repeat a turn are turns of their own; long texts are kept whole; an empty table gives
+    none. Other columns are ignored. A task holds one conversation and one example at a time.
     """
 
     def run(batches):

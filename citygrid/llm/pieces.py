@@ -191,8 +191,9 @@ def default_model() -> str:
 def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """-> id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, ids and decoded.
 
-    Null and empty texts have no tokens and decode to the empty text. Every row gives a
-    row, repeated ids included; other columns are ignored. ``model`` is a path that
+    Null and empty texts have no tokens and decode to the empty text; long ones are
+    encoded whole. Every row gives a row, repeated and null ids included, an empty table
+    none; other columns are ignored. ``model`` is a path that
     executors can open (None: the installed public one); it is read once per worker.
     """
     extra = [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())] if keep_ids else []

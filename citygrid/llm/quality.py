@@ -156,8 +156,8 @@ def _mapped(batches, model, s, made):
 def score(docs: DataFrame, model: np.ndarray, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> id, score (0 to 1, higher: label 1 is likelier), predicted (1 from 0.5).
 
-    Null and empty texts are scored by what every document has. Each row gives a row,
-    whatever its id; other columns are ignored.
+    Null and empty texts are scored by what every document has, long ones whole. Each row
+    gives a row, whatever its id, an empty table none; other columns are ignored.
     """
 
     def made(part, scores):

@@ -416,8 +416,8 @@ def scan(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: st
     """-> id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start; ``tagged`` ones
-    are those that the field adds. Null and empty texts have none. Every row gives a
-    row; other columns are ignored. No shuffle.
+    are those that the field adds. Null and empty texts have none, long ones are read
+    whole. Every row gives a row, an empty table none; other columns are ignored. No shuffle.
     """
 
     def made(part, found):

@@ -193,3 +193,16 @@ def test_html_rows(spark):
     got = html.extract(given).collect()
     assert len(got) == 3 and max(r["n_chars"] for r in got) > 900_000 and sum(r["text"] == "" for r in got) == 2
     assert html.extract(given.limit(0)).count() == 0
+
+
+def test_redaction_and_keeping_carry_values(spark):
+    """All columns with their values, clashing names included; texts without secrets as they were."""
+    rows = [(1, "a b c", "en", "s", 5, None), (2, 'x password = "hunter2hunter2" y', None, "s", 31, 7), (None, None, "en", None, None, 1), (1, "", "de", "t", 0, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, n_chars long, spans long")
+    w = secrets.Weights()
+    w.own[0] = [9, 0, 0]
+    got = [tuple(r) for r in secrets.redact(docs, w).collect()]
+    assert got[0] == rows[0] and got[2:] == rows[2:] and got[1][1] == "x [SECRET] y" and got[1][4] == len("x [SECRET] y") and got[1][5] == 7
+    kept = [tuple(r) for r in quality.keep_good(docs, np.zeros(quality.Settings().buckets, np.float32)).collect()]
+    assert kept == rows
+    assert secrets.scan(docs.limit(0), w).count() == 0 and quality.keep_good(docs.limit(0), np.zeros(quality.Settings().buckets, np.float32)).count() == 0
