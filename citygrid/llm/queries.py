@@ -138,8 +138,8 @@ n AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.ancho
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     "op12_urls": rf"""
 WITH p AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-rules(rule, at, begin, rv) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
-ruled AS (SELECT p.*, (SELECT max_by(rule, len(rule)) FROM rules WHERE (p.host = at OR ends_with(p.host, '.' || at)) AND starts_with(p.path, begin)) AS rule FROM p),
+rules(rule, dom, begin, rv) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+ruled AS (SELECT p.*, (SELECT max_by(rule, len(rule)) FROM rules WHERE (p.host = dom OR ends_with(p.host, '.' || dom)) AND starts_with(p.path, begin)) AS rule FROM p),
 judged AS (SELECT j.page_id, j.host, j.path, j.rule, r.rv FROM ruled j LEFT JOIN rules r ON r.rule = j.rule),
 hosts AS (SELECT host, count(*) AS n, count_if(rv = 'allow') AS good, count_if(rv = 'block') AS bad FROM judged WHERE host <> '' GROUP BY host),
 found AS (SELECT host AS source, translate(regexp_extract(link, '//(.*)$', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target FROM (
