@@ -123,8 +123,7 @@ def test_urls(spark):
     assert by["farm.org"] == "block" and by["farm2.org"] == "block" and by["lone.org"] == "allow" and by["good.org"] == "allow"
     assert url_filter.judge_urls(given.limit(0), RULES).count() == 0
     con = duckdb.connect()
-    pages = given.select("page_id", "url", "html").toPandas()  # noqa: F841
-    con.execute("CREATE VIEW pages AS SELECT * FROM pages")
+    con.register("pages", given.select("page_id", "url", "html").toArrow())
     told = con.execute(f"SELECT coalesce(page_id, -1), host, path, coalesce(rule, ''), verdict FROM ({queries.SQL['op12_urls']})").fetchall()
     assert sorted(told) == want
 
