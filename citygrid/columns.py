@@ -49,11 +49,16 @@ def forward(points: str, middle: str) -> str:
     return f"transform({plane}, p -> named_struct('x', {FALSE_EAST} + {SCALE * RADIUS!r} * ({x}), 'y', {SCALE * RADIUS!r} * ({y})))"
 
 
+def wrapped(lon: str) -> str:
+    return f"(pmod({lon} + 180, 360e0) - 180)"
+
+
 def inverse(points: str, middle: str) -> str:
-    """The way back: (x, y) -> (lat, lon) in degrees."""
+    """The way back: (x, y) -> (lat, lon) in degrees. Longitudes go on beyond 180 on either side of
+    the central meridian, so that least and most of them make sense; see ``wrapped``."""
     plane = f"transform({points}, p -> named_struct('u', p.y / {SCALE * RADIUS!r}, 'v', (p.x - {FALSE_EAST}) / {SCALE * RADIUS!r}))"
     sphere = f"transform({plane}, p -> named_struct('u', p.u - ({_terms(INVERSE, 'p.u', 'p.v', 'sin', 'cosh')}), 'v', p.v - ({_terms(INVERSE, 'p.u', 'p.v', 'cos', 'sinh')})))"
     level = f"transform({sphere}, p -> named_struct('s', sin(p.u) / cosh(p.v), 'l', {middle} + atan2(sinh(p.v), cos(p.u))))"
     # the sine of the latitude, from that of the conformal latitude; each step gains more than two digits
     lat = f"aggregate(sequence(1, 7), p.s, (s, k) -> tanh(atanh(p.s) + {ECC!r} * atanh({ECC!r} * s)))"
-    return f"transform({level}, p -> named_struct('lat', degrees(asin({lat})), 'lon', pmod(degrees(p.l) + 180, 360e0) - 180))"
+    return f"transform({level}, p -> named_struct('lat', degrees(asin({lat})), 'lon', degrees(p.l)))"

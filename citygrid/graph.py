@@ -1,7 +1,10 @@
-"""Connected components by joins."""
+"""Connected components: inside Arrow batches first, then by joins."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,52 @@ from citygrid.lineage import Shelf, cut
 JUMPS = 2
 
 
+def union_find(a: list, b: list) -> dict:
+    """Every value of ``a`` and ``b`` -> the least one that it is linked with."""
+    of: dict = {}
+    for x, y in zip(a, b):
+        x, y = root(of, x), root(of, y)
+        if x != y:
+            of[max(x, y)] = min(x, y)
+    return {v: root(of, v) for v in of}
+
+
+def root(of: dict, v):
+    """The root of ``v``, new or known; the way to it is halved."""
+    up = of.setdefault(v, v)
+    while up != v:
+        of[v] = of[up]
+        v = of[v]
+        up = of[v]
+    return v
+
+
+def components_nearby(edges: DataFrame, near: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """As ``connected_components``, for edges most of whose components have one value of ``near``.
+
+    Edges are sorted by ``near``, and each Arrow batch of them, which is of bounded size, is
+    joined up by itself. What is left are links between the names that a vertex has in
+    several batches; if there are any, they alone go to the rounds of joins.
+    """
+    shelf = Shelf(edges.sparkSession)
+    given = edges.select(*near, F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    kind = given.schema["a"].dataType.simpleString()
+
+    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = union_find(pdf["a"].tolist(), pdf["b"].tolist())
+            yield pd.DataFrame({"v": list(found), "name": list(found.values())})
+
+    told = shelf.put("told", given.repartition(*near).sortWithinPartitions(*near).mapInPandas(join_up, f"v {kind}, name {kind}").distinct())
+    first = told.groupBy("v").agg(F.min("name").alias("name"), F.count("*").alias("n"))
+    links = shelf.put("links", told.join(first.filter("n > 1").select("v", F.col("name").alias("least")), "v").filter("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b")).distinct())
+    out = first.select("v", F.col("name").alias("component"))
+    if not links.isEmpty():
+        of_name = connected_components(links).select(F.col("v").alias("name"), F.col("component").alias("whole"))
+        out = first.join(of_name, "name", "left").select("v", F.coalesce("whole", "name").alias("component"))
+    return out
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """Undirected edges -> (v, component) for every vertex of an edge.
 

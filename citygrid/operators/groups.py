@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from citygrid.graph import connected_components
+from citygrid.graph import components_nearby
 from citygrid.operators import operator, planned
 
 
@@ -35,7 +35,7 @@ def grouped(name: str, inputs: str, pairs: str, plain_pairs: str, text: str) ->
     def plan(*given: DataFrame) -> DataFrame:
         frames = dict(zip(inputs.split(), given))
         spark = given[0].sparkSession
-        return spark.sql(text, parts=connected_components(spark.sql(pairs, **frames)), **frames)
+        return spark.sql(text, parts=components_nearby(spark.sql(pairs, **frames), ["scene_id"]), **frames)
 
     planned(name, inputs, f"WITH RECURSIVE {reach(plain_pairs)}, told AS ({text.replace('{parts}', 'parts')}) SELECT * FROM told")(plan)
 
@@ -47,7 +47,7 @@ def boxes(side: str, grow: float = 0.0) -> str:
 _TWIN = "sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) <= 5e-1 AND abs(a.w * a.d - b.w * b.d) <= 5e-2 * greatest(a.w * a.d, b.w * b.d)"
 _POINTS = covered("{buildings}", "cx - 25e-2", "cx + 25e-2", "cy - 25e-2", "cy + 25e-2", 4)
 grouped("dedupe_footprints", "buildings resolve_heights",
- f"SELECT a.ord AS a, b.ord AS b FROM {_POINTS} a JOIN {_POINTS} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_TWIN}",
+ f"SELECT a.scene_id, a.ord AS a, b.ord AS b FROM {_POINTS} a JOIN {_POINTS} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_TWIN}",
  f"SELECT a.ord AS a, b.ord AS b FROM {{buildings}} a JOIN {{buildings}} b ON a.scene_id = b.scene_id AND a.ord < b.ord WHERE {_TWIN}", """
 SELECT scene_id, component AS group_ord, count(*) AS n, max(CASE WHEN nth = 1 THEN osm_id END) AS kept, max(height_m) AS height_m, max_by(height_source, height_m * 1e9 - ord / 1e9) AS height_source, min(min_height_m) AS min_height_m FROM (
  SELECT b.scene_id, p.component, b.osm_id, b.ord, h.height_m, h.height_source, h.min_height_m, row_number() OVER (PARTITION BY p.component ORDER BY CASE WHEN b.ord % 4 = 3 THEN 1 ELSE 0 END DESC, b.w * b.d DESC, b.ord) AS nth
@@ -57,7 +57,7 @@ _SHARED = "(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.c
 _MEET = "abs(a.cx - b.cx) < (a.w + b.w) / 2 AND abs(a.cy - b.cy) < (a.d + b.d) / 2"
 _OVERLAP = f"{_MEET} AND {_SHARED} >= greatest(25e-2, 2e-2 * least(a.w * a.d, b.w * b.d))"
 grouped("merge_overlaps", "buildings resolve_heights",
- f"SELECT a.ord AS a, b.ord AS b FROM {boxes('{buildings}')} a JOIN {boxes('{buildings}')} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_OVERLAP}",
+ f"SELECT a.scene_id, a.ord AS a, b.ord AS b FROM {boxes('{buildings}')} a JOIN {boxes('{buildings}')} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_OVERLAP}",
  f"SELECT a.ord AS a, b.ord AS b FROM {{buildings}} a JOIN {{buildings}} b ON a.scene_id = b.scene_id AND a.ord < b.ord WHERE {_OVERLAP}", """
 SELECT scene_id, component AS group_ord, count(*) AS n, max(CASE WHEN nth = 1 THEN osm_id END) AS kept, sum(area) AS member_area_m2, max(height_m) AS height_m, max_by(height_source, height_m * 1e9 - ord / 1e9) AS height_source, min(min_height_m) AS min_height_m FROM (
  SELECT b.scene_id, p.component, b.osm_id, b.ord, b.w * b.d AS area, h.height_m, h.height_source, h.min_height_m, row_number() OVER (PARTITION BY p.component ORDER BY b.w * b.d DESC, b.ord) AS nth
@@ -66,7 +66,7 @@ SELECT scene_id, component AS group_ord, count(*) AS n, max(CASE WHEN nth = 1 TH
 # areas of one layer that overlap or share a corner at 1 mm
 _TOUCH = f"a.layer = b.layer AND ({_MEET} OR (round(a.cx - a.w / 2, 3) IN (round(b.cx - b.w / 2, 3), round(b.cx + b.w / 2, 3)) OR round(a.cx + a.w / 2, 3) IN (round(b.cx - b.w / 2, 3), round(b.cx + b.w / 2, 3))) AND (round(a.cy - a.d / 2, 3) IN (round(b.cy - b.d / 2, 3), round(b.cy + b.d / 2, 3)) OR round(a.cy + a.d / 2, 3) IN (round(b.cy - b.d / 2, 3), round(b.cy + b.d / 2, 3))))"
 grouped("dissolve_areas", "areas",
- f"SELECT a.ord AS a, b.ord AS b FROM {boxes('{areas}', 0.001)} a JOIN {boxes('{areas}', 0.001)} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_TOUCH}",
+ f"SELECT a.scene_id, a.ord AS a, b.ord AS b FROM {boxes('{areas}', 0.001)} a JOIN {boxes('{areas}', 0.001)} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_TOUCH}",
  f"SELECT a.ord AS a, b.ord AS b FROM {{areas}} a JOIN {{areas}} b ON a.scene_id = b.scene_id AND a.ord < b.ord WHERE {_TOUCH}", """
 SELECT scene_id, layer, group_ord, count(*) AS n, sum(area) AS member_area_m2, max(CASE WHEN nth = 1 THEN osm_id END) AS osm_id, max(CASE WHEN nth = 1 THEN name END) AS name FROM (
  SELECT a.scene_id, a.layer, coalesce(p.component, a.ord) AS group_ord, a.osm_id, a.name, a.w * a.d AS area, row_number() OVER (PARTITION BY coalesce(p.component, a.ord) ORDER BY a.w * a.d DESC, a.ord) AS nth
@@ -76,7 +76,7 @@ SELECT scene_id, layer, group_ord, count(*) AS n, sum(area) AS member_area_m2, m
 MIN_GAP = 4
 _GAP = "greatest(abs(a.cx - b.cx) - (a.w + b.w) / 2, 0e0) * greatest(abs(a.cx - b.cx) - (a.w + b.w) / 2, 0e0) + greatest(abs(a.cy - b.cy) - (a.d + b.d) / 2, 0e0) * greatest(abs(a.cy - b.cy) - (a.d + b.d) / 2, 0e0)"
 grouped("merge_blocks", "buildings",
- f"SELECT a.ord AS a, b.ord AS b FROM {boxes('{buildings}', MIN_GAP / 2)} a JOIN {boxes('{buildings}', MIN_GAP / 2)} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_GAP} < {MIN_GAP * MIN_GAP}",
+ f"SELECT a.scene_id, a.ord AS a, b.ord AS b FROM {boxes('{buildings}', MIN_GAP / 2)} a JOIN {boxes('{buildings}', MIN_GAP / 2)} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_GAP} < {MIN_GAP * MIN_GAP}",
  f"SELECT a.ord AS a, b.ord AS b FROM {{buildings}} a JOIN {{buildings}} b ON a.scene_id = b.scene_id AND a.ord < b.ord WHERE {_GAP} < {MIN_GAP * MIN_GAP}", """
 SELECT b.scene_id, b.ord, b.osm_id, coalesce(p.component, b.ord) AS block, count(*) OVER (PARTITION BY coalesce(p.component, b.ord)) AS merged FROM {buildings} b LEFT JOIN {parts} p ON p.v = b.ord""")
 
@@ -95,7 +95,7 @@ FROM m LEFT JOIN level l ON l.block = m.block GROUP BY m.scene_id, m.block""")
 _ENDS = "SELECT scene_id, osm_id, min_by(x, seq) AS xa, min_by(y, seq) AS ya, max_by(x, seq) AS xb, max_by(y, seq) AS yb FROM {road_vertices} GROUP BY scene_id, osm_id"
 _WAY = "CAST(substr(osm_id, 2) AS BIGINT)"
 _AT = f"SELECT e.scene_id, coalesce(r.name, e.osm_id) AS street, CAST(substr(e.osm_id, 2) AS BIGINT) AS way, x, y FROM (SELECT scene_id, osm_id, xa AS x, ya AS y FROM ({_ENDS}) s UNION SELECT scene_id, osm_id, xb, yb FROM ({_ENDS}) s) e JOIN {{resolve_widths}} r ON r.osm_id = e.osm_id"
-_JOINS = f"SELECT DISTINCT a.way AS a, b.way AS b FROM ({_AT}) a JOIN ({_AT}) b ON a.scene_id = b.scene_id AND a.street = b.street AND a.x = b.x AND a.y = b.y AND a.way < b.way"
+_JOINS = f"SELECT DISTINCT a.scene_id, a.way AS a, b.way AS b FROM ({_AT}) a JOIN ({_AT}) b ON a.scene_id = b.scene_id AND a.street = b.street AND a.x = b.x AND a.y = b.y AND a.way < b.way"
 grouped("street_summary", "road_vertices line_lengths crop_lines resolve_widths", _JOINS, _JOINS, f"""
 SELECT r.scene_id, coalesce(r.name, r.osm_id) AS street, max(r.name) AS name, count(*) AS n_ways, CAST(coalesce(sum(c.parts), 0) AS BIGINT) AS parts, round(sum(l.length_m), 3) AS length_m, max(r.width_m) AS widest_m, max_by(r.class, r.width_m * 1e9 - {_WAY.replace('osm_id', 'r.osm_id')}) AS class,
  count(DISTINCT coalesce(p.component, {_WAY.replace('osm_id', 'r.osm_id')})) AS chains

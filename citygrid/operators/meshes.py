@@ -2,39 +2,107 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 
-from citygrid.graph import connected_components
+from citygrid.graph import union_find
 from citygrid.operators import operator, planned
 from citygrid.operators.groups import reach
 
-CORNERS = "SELECT t.mesh_id, t.f, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS byy, q.z AS bz, r.x AS cx, r.y AS cy, r.z AS cz FROM {triangles} t JOIN {vertices} p ON p.mesh_id = t.mesh_id AND p.v = t.a JOIN {vertices} q ON q.mesh_id = t.mesh_id AND q.v = t.b JOIN {vertices} r ON r.mesh_id = t.mesh_id AND r.v = t.c"
-NORMALS = f"SELECT *, (byy - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (byy - ay) * (cx - ax) AS nz FROM ({CORNERS}) corners"
+# Faces with the coordinates of their corners. A mesh's vertices stand as one sorted array, so faces meet them in one
+# join on the mesh, and what is grouped by mesh after it is not shuffled again. Vertices are mostly numbered from 0 on;
+# where they are not, the array is searched
+_CORNER = "CASE WHEN vs[t.{k}].v = t.{k} THEN vs[t.{k}] ELSE filter(vs, p -> p.v = t.{k})[0] END AS p{k}"
+CORNERS = f"""SELECT mesh_id, f, a, b, c, pa.x AS ax, pa.y AS ay, pa.z AS az, pb.x AS bx, pb.y AS byy, pb.z AS bz, pc.x AS cx, pc.y AS cy, pc.z AS cz FROM (
+ SELECT t.mesh_id, t.f, t.a, t.b, t.c, {", ".join(_CORNER.format(k=k) for k in "abc")} FROM {{triangles}} t JOIN (SELECT mesh_id, sort_array(collect_list(struct(v, x, y, z))) AS vs FROM {{vertices}} GROUP BY mesh_id) m ON m.mesh_id = t.mesh_id) q WHERE pa IS NOT NULL AND pb IS NOT NULL AND pc IS NOT NULL"""
+# in oracles, three plain joins
+PLAIN = "SELECT t.mesh_id, t.f, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS byy, q.z AS bz, r.x AS cx, r.y AS cy, r.z AS cz FROM {triangles} t JOIN {vertices} p ON p.mesh_id = t.mesh_id AND p.v = t.a JOIN {vertices} q ON q.mesh_id = t.mesh_id AND q.v = t.b JOIN {vertices} r ON r.mesh_id = t.mesh_id AND r.v = t.c"
+_NORMALS = "SELECT *, (byy - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (byy - ay) * (cx - ax) AS nz FROM ({corners}) corners"
+NORMALS, PLAIN_NORMALS = _NORMALS.replace("{corners}", CORNERS), _NORMALS.replace("{corners}", PLAIN)
+
+
+def measured(name: str, inputs: str, text: str) -> None:
+    """An operator over CORNERS whose oracle is the same with plain joins."""
+    operator(name, inputs, text.replace("NORMALS", f"({NORMALS})").replace("CORNERS", f"({CORNERS})"), text.replace("NORMALS", f"({PLAIN_NORMALS})").replace("CORNERS", f"({PLAIN})"))
+
+
 _SIX = "(ax * (byy * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - byy * cx))"  # six times the volume under a face
 
-operator("mesh_summary", "vertices triangles", f"""
+measured("mesh_summary", "vertices triangles", """
 SELECT q.mesh_id, n_triangles, n_vertices, volume_mm3, area_mm2, min_x, max_x, min_y, max_y, min_z, max_z, degenerate, abs(min_z) <= 1e-3 AS sits_at_zero, n_triangles <= 2000000 AS in_budget FROM (
  SELECT mesh_id, count(*) AS n_triangles, round(sum((ax - x0) * nx + (ay - y0) * ny + az * nz) / 6, 3) AS volume_mm3, round(sum(sqrt(nx * nx + ny * ny + nz * nz)) / 2, 3) AS area_mm2, min(least(ax, bx, cx)) AS min_x, max(greatest(ax, bx, cx)) AS max_x, min(least(ay, byy, cy)) AS min_y, max(greatest(ay, byy, cy)) AS max_y,
   min(least(az, bz, cz)) AS min_z, max(greatest(az, bz, cz)) AS max_z, count_if(sqrt(nx * nx + ny * ny + nz * nz) / 2 < 1e-9) AS degenerate
- FROM (SELECT n.*, min(ax) OVER (PARTITION BY mesh_id) AS x0, min(ay) OVER (PARTITION BY mesh_id) AS y0 FROM ({NORMALS}) n) m GROUP BY mesh_id) q JOIN (SELECT mesh_id, count(*) AS n_vertices FROM {{vertices}} GROUP BY mesh_id) v ON v.mesh_id = q.mesh_id""")
+ FROM (SELECT n.*, min(ax) OVER (PARTITION BY mesh_id) AS x0, min(ay) OVER (PARTITION BY mesh_id) AS y0 FROM NORMALS n) m GROUP BY mesh_id) q JOIN (SELECT mesh_id, count(*) AS n_vertices FROM {vertices} GROUP BY mesh_id) v ON v.mesh_id = q.mesh_id""")
 
 _EDGES = "SELECT mesh_id, f, a AS u, b AS v FROM {triangles} UNION ALL SELECT mesh_id, f, b, c FROM {triangles} UNION ALL SELECT mesh_id, f, c, a FROM {triangles}"
 
 
-# faces that share an edge are one body; each edge links its faces to the first of them
-_LINKS = f"SELECT DISTINCT f.mesh_id * 64 + m.f AS a, f.mesh_id * 64 + f.f AS b FROM ({_EDGES}) f JOIN (SELECT mesh_id, least(u, v) AS p, greatest(u, v) AS q, min(f) AS f FROM ({_EDGES}) e1 GROUP BY mesh_id, least(u, v), greatest(u, v)) m ON m.mesh_id = f.mesh_id AND m.p = least(f.u, f.v) AND m.q = greatest(f.u, f.v) WHERE f.f > m.f"
-_BODIES = f"""
-WITH body AS (SELECT c.mesh_id, coalesce(p.component, c.mesh_id * 64 + c.f) AS body, sum({_SIX}) / 6 AS volume, min(least(az, bz, cz)) AS low FROM ({CORNERS}) c LEFT JOIN {{parts}} p ON p.v = c.mesh_id * 64 + c.f GROUP BY c.mesh_id, coalesce(p.component, c.mesh_id * 64 + c.f)),
- placed AS (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY abs(round(volume, 3)) DESC, body) AS nth FROM body)
-SELECT mesh_id, count(*) AS bodies, count_if(abs(volume) < 1e-2) AS debris, count_if(nth > 1 AND abs(volume) >= 1e-2) AS loose, count_if(nth > 1 AND abs(volume) >= 1e-2 AND low > 1e-3) AS floating, round(coalesce(sum(CASE WHEN nth > 1 AND abs(volume) >= 1e-2 THEN volume END), 0e0), 2) AS loose_mm3 FROM placed GROUP BY mesh_id"""
-
-
-@planned("mesh_bodies", "vertices triangles", f"WITH RECURSIVE {reach(_LINKS)}, told AS ({_BODIES.replace('{parts}', 'parts')}) SELECT * FROM told")
+# faces that share an edge are one body; the oracle links each edge's faces to the first of them
+_FACE = "f.mesh_id * 1000000 + {f}"
+_LINKS = f"SELECT DISTINCT {_FACE.format(f='m.f')} AS a, {_FACE.format(f='f.f')} AS b FROM ({_EDGES}) f JOIN (SELECT mesh_id, least(u, v) AS p, greatest(u, v) AS q, min(f) AS f FROM ({_EDGES}) e1 GROUP BY mesh_id, least(u, v), greatest(u, v)) m ON m.mesh_id = f.mesh_id AND m.p = least(f.u, f.v) AND m.q = greatest(f.u, f.v) WHERE f.f > m.f"
+_PLAIN_BODIES = f"SELECT f.mesh_id, coalesce(p.component, {_FACE.format(f='f.f')}) - f.mesh_id * 1000000 AS body, sum({_SIX}) / 6 AS volume, min(least(az, bz, cz)) AS low FROM ({PLAIN}) f LEFT JOIN parts p ON p.v = {_FACE.format(f='f.f')} GROUP BY f.mesh_id, coalesce(p.component, {_FACE.format(f='f.f')})"
+_BODIES = """
+SELECT mesh_id, count(*) AS bodies, count_if(abs(volume) < 1e-2) AS debris, count_if(nth > 1 AND abs(volume) >= 1e-2) AS loose, count_if(nth > 1 AND abs(volume) >= 1e-2 AND low > 1e-3) AS floating, round(coalesce(sum(CASE WHEN nth > 1 AND abs(volume) >= 1e-2 THEN volume END), 0e0), 2) AS loose_mm3 FROM (
+ SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY abs(round(volume, 3)) DESC, body) AS nth FROM {body}) placed GROUP BY mesh_id"""
+
+
+def bodies_of(mesh: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each face, sorted by mesh, the position of the first face of its body.
+
+    Equal edges are found by sorting; of the faces along an edge each is linked to the next.
+    """
+    n = len(a)
+    u, v, face = np.concatenate([a, b, c]), np.concatenate([b, c, a]), np.tile(np.arange(n), 3)
+    keys = np.stack([np.tile(mesh, 3), np.minimum(u, v), np.maximum(u, v)])
+    order = np.lexsort((face, *keys[::-1]))
+    same = (keys[:, order][:, 1:] == keys[:, order][:, :-1]).all(0)
+    of = np.arange(n)
+    found = union_find(face[order][:-1][same].tolist(), face[order][1:][same].tolist())
+    of[list(found)] = list(found.values())
+    return of
+
+
+def face_bodies(corners: DataFrame) -> DataFrame:
+    """corners (mesh_id, f, a, b, c, ax .. cz) -> mesh_id, body (its least f), volume, low: a row for each body.
+
+    Faces come sorted by mesh. A task takes the whole meshes of an Arrow batch at once and
+    keeps the last one until its end is seen, so it holds a batch and one mesh; a mesh of a
+    million faces is some 100 MB.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            ids = pdf["mesh_id"].to_numpy()
+            if not len(ids):
+                continue
+            last = int(np.searchsorted(ids, ids[-1]))  # where the last mesh begins
+            if last or held and held[0]["mesh_id"].iloc[0] != ids[0]:
+                yield summed(pd.concat([*held, pdf.iloc[:last]]))
+                held = []
+            held.append(pdf.iloc[last:])
+        if held:
+            yield summed(pd.concat(held))
+
+    def summed(m: pd.DataFrame) -> pd.DataFrame:
+        p, q, r = (m[list(k)].to_numpy(float) for k in (("ax", "ay", "az"), ("bx", "byy", "bz"), ("cx", "cy", "cz")))
+        mesh, f = m["mesh_id"].to_numpy(), m["f"].to_numpy()
+        body, at = np.unique(bodies_of(mesh, *(m[k].to_numpy() for k in "abc")), return_inverse=True)
+        low = np.full(len(body), np.inf)
+        np.minimum.at(low, at, np.minimum(np.minimum(p[:, 2], q[:, 2]), r[:, 2]))
+        return pd.DataFrame({"mesh_id": mesh[body], "body": f[body], "volume": np.bincount(at, (p * np.cross(q, r)).sum(1), len(body)) / 6, "low": low})
+
+    return corners.repartition("mesh_id").sortWithinPartitions("mesh_id", "f").mapInPandas(run, "mesh_id long, body long, volume double, low double")
+
+
+@planned("mesh_bodies", "vertices triangles", f"WITH RECURSIVE {reach(_LINKS)}, body AS ({_PLAIN_BODIES}), told AS ({_BODIES.replace('{body}', 'body')}) SELECT * FROM told")
 def mesh_bodies(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Bodies of each mesh: how many, which are debris, loose (all but the largest) and floating. Faces are numbered below 64 in a mesh here."""
+    """Bodies of each mesh: how many, which are debris, loose (all but the largest) and floating."""
     spark = vertices.sparkSession
-    parts = connected_components(spark.sql(_LINKS, triangles=triangles))
-    return spark.sql(_BODIES, vertices=vertices, triangles=triangles, parts=parts)
+    return spark.sql(_BODIES, body=face_bodies(spark.sql(CORNERS, vertices=vertices, triangles=triangles)))
 
 
 operator("edge_topology", "vertices triangles mesh_bodies", f"""
@@ -46,10 +114,10 @@ SELECT m.mesh_id, edges, bad, open_edges, duplicates, vertices - edges + faces A
 FROM of_mesh m JOIN v ON v.mesh_id = m.mesh_id JOIN f ON f.mesh_id = m.mesh_id JOIN same s ON s.mesh_id = m.mesh_id JOIN {{mesh_bodies}} b ON b.mesh_id = m.mesh_id""")
 
 # faces that look down and lean more than 50 degrees from vertical, above the skin on the plate
-operator("overhang_report", "vertices triangles", f"""
+measured("overhang_report", "vertices triangles", """
 SELECT mesh_id, round(coalesce(sum(CASE WHEN over THEN area END), 0e0), 3) AS overhang_mm2, round(sum(area), 3) AS surface_mm2, round(coalesce(sum(CASE WHEN over THEN area END), 0e0) / sum(area), 6) AS fraction, round(coalesce(max(CASE WHEN over THEN lean END), 0e0), 3) AS steepest FROM (
  SELECT *, nz < 0 AND lean > 50 AND high > 5e-1 AS over FROM (
-  SELECT mesh_id, nz, greatest(az, bz, cz) AS high, sqrt(nx * nx + ny * ny + nz * nz) / 2 AS area, degrees(asin(least(1e0, abs(nz) / sqrt(nx * nx + ny * ny + nz * nz)))) AS lean FROM ({NORMALS}) n WHERE nx <> 0 OR ny <> 0 OR nz <> 0) p) q GROUP BY mesh_id""")
+  SELECT mesh_id, nz, greatest(az, bz, cz) AS high, sqrt(nx * nx + ny * ny + nz * nz) / 2 AS area, degrees(asin(least(1e0, abs(nz) / sqrt(nx * nx + ny * ny + nz * nz)))) AS lean FROM NORMALS n WHERE nx <> 0 OR ny <> 0 OR nz <> 0) p) q GROUP BY mesh_id""")
 
 # vertices equal at so many decimals become the lowest of them; faces that collapse go
 DECIMALS = 2
@@ -61,9 +129,10 @@ WHERE p.kept <> q.kept AND q.kept <> r.kept AND p.kept <> r.kept""")  # fmt: ski
 
 # what a cast to single precision does: vertices that fall together, faces without area
 _CAST = "SELECT mesh_id, v, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM {vertices}"
-operator("float32_defects", "vertices triangles", f"""
-WITH single AS ({_CAST}), faces AS (SELECT mesh_id, count_if(sqrt(nx * nx + ny * ny + nz * nz) / 2 < 1e-9) AS degenerate FROM ({NORMALS.replace("{vertices}", "single")}) n GROUP BY mesh_id)
-SELECT v.mesh_id, n_vertices, collided, degenerate FROM (SELECT mesh_id, CAST(sum(n) AS BIGINT) AS n_vertices, CAST(sum(n - 1) AS BIGINT) AS collided FROM (SELECT mesh_id, count(*) AS n FROM single GROUP BY mesh_id, x, y, z) p GROUP BY mesh_id) v JOIN faces f ON f.mesh_id = v.mesh_id""")
+_SINGLE = f"""
+WITH single AS ({_CAST}), faces AS (SELECT mesh_id, count_if(sqrt(nx * nx + ny * ny + nz * nz) / 2 < 1e-9) AS degenerate FROM NORMALS n GROUP BY mesh_id)
+SELECT v.mesh_id, n_vertices, collided, degenerate FROM (SELECT mesh_id, CAST(sum(n) AS BIGINT) AS n_vertices, CAST(sum(n - 1) AS BIGINT) AS collided FROM (SELECT mesh_id, count(*) AS n FROM single GROUP BY mesh_id, x, y, z) p GROUP BY mesh_id) v JOIN faces f ON f.mesh_id = v.mesh_id"""
+operator("float32_defects", "vertices triangles", *(_SINGLE.replace("NORMALS", "(" + n.replace("{vertices}", "single") + ")") for n in (NORMALS, PLAIN_NORMALS)))
 
 # sections at the middles of slabs of 5: a face is met once for each level between its ends. The area is Green's, each
 # segment turned so that the inside is on its left
@@ -76,24 +145,24 @@ _SEGMENTS = f"""seg AS (SELECT mesh_id, k, {FIRST} + {LEVEL} * k AS z0, nx, ny,
 SELECT mesh_id, z0 AS z, segments, round(p, 3) AS perimeter_mm, round(a + 1e-7, 2) AS area_mm2, CASE WHEN p > 0 THEN round(4 * a / p + 1e-7, 2) ELSE 0e0 END AS hydraulic_mm, coalesce(lead(CASE WHEN k IS NOT NULL THEN round(a, 6) END) OVER w / nullif(round(a, 6), 0) >= 7e-1 AND lead(k) OVER w = k + 1, false) AS persists FROM cut WINDOW w AS (PARTITION BY mesh_id ORDER BY k)"""
 operator("slice_profile", "vertices triangles", f"""
 WITH hit AS (SELECT *, {FIRST} + {LEVEL} * k AS z FROM (SELECT *, explode(sequence(CAST(ceil((low - {FIRST}) / {LEVEL}) AS BIGINT), CAST(floor((high - {FIRST}) / {LEVEL}) AS BIGINT))) AS k FROM (SELECT *, least(az, bz, cz) AS low, greatest(az, bz, cz) AS high FROM ({NORMALS}) n) m WHERE ceil((low - {FIRST}) / {LEVEL}) <= floor((high - {FIRST}) / {LEVEL})) l WHERE {FIRST} + {LEVEL} * k > low AND {FIRST} + {LEVEL} * k < high), {_SEGMENTS}""", f"""
-WITH hit AS (SELECT n.*, k, {FIRST} + {LEVEL} * k AS z FROM ({NORMALS}) n JOIN (SELECT CAST(unnest(range(-2, 200)) AS BIGINT) AS k) l ON {FIRST} + {LEVEL} * k > least(az, bz, cz) AND {FIRST} + {LEVEL} * k < greatest(az, bz, cz)), {_SEGMENTS}""")
+WITH hit AS (SELECT n.*, k, {FIRST} + {LEVEL} * k AS z FROM ({PLAIN_NORMALS}) n JOIN (SELECT CAST(unnest(range(-2, 200)) AS BIGINT) AS k) l ON {FIRST} + {LEVEL} * k > least(az, bz, cz) AND {FIRST} + {LEVEL} * k < greatest(az, bz, cz)), {_SEGMENTS}""")
 
 # the owner of the nearest source face whose centre is within a thousandth of a shipped one
-_SOURCE = f"SELECT b.scene_id, t.mesh_id, t.f, (t.ax + t.bx + t.cx) / 3 AS x, (t.ay + t.byy + t.cy) / 3 AS y, (t.az + t.bz + t.cz) / 3 AS z FROM ({CORNERS}) t JOIN {{buildings}} b ON b.ord = t.mesh_id"
+_SOURCE = "SELECT b.scene_id, t.mesh_id, t.f, (t.ax + t.bx + t.cx) / 3 AS x, (t.ay + t.byy + t.cy) / 3 AS y, (t.az + t.bz + t.cz) / 3 AS z FROM (CORNERS) t JOIN {buildings} b ON b.ord = t.mesh_id"
 _APART = "((s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z))"
 _OWN = f"""SELECT s.scene_id, s.shipped, t.mesh_id, row_number() OVER (PARTITION BY s.scene_id, s.shipped ORDER BY round({_APART} * 1e12), t.mesh_id, t.f) AS nth FROM PAIRS WHERE {_APART} <= 1e-6"""
 _OWNED = "SELECT s.scene_id, CASE WHEN o.mesh_id IS NULL THEN 'none' ELSE concat('w', CAST(o.mesh_id AS STRING)) END AS owner, count(*) AS faces FROM {shipped} s LEFT JOIN (SELECT * FROM (OWN) q WHERE nth = 1) o ON o.scene_id = s.scene_id AND o.shipped = s.shipped GROUP BY s.scene_id, CASE WHEN o.mesh_id IS NULL THEN 'none' ELSE concat('w', CAST(o.mesh_id AS STRING)) END"
 _CELL = 2e-3
 _near = lambda a: f"explode(sequence(CAST(floor(({a} - 1e-3) / {_CELL}) AS BIGINT), CAST(floor(({a} + 1e-3) / {_CELL}) AS BIGINT))) AS g{a}"
 operator("attribute_owners", "shipped triangles vertices buildings", _OWNED.replace("OWN", _OWN.replace("PAIRS", f"""(SELECT *, CAST(floor(x / {_CELL}) AS BIGINT) AS gx, CAST(floor(y / {_CELL}) AS BIGINT) AS gy, CAST(floor(z / {_CELL}) AS BIGINT) AS gz FROM {{shipped}}) s
- JOIN (SELECT *, {_near("x")} FROM (SELECT *, {_near("y")} FROM (SELECT *, {_near("z")} FROM ({_SOURCE}) t0) t1) t2) t ON s.scene_id = t.scene_id AND s.gx = t.gx AND s.gy = t.gy AND s.gz = t.gz""")),
- _OWNED.replace("OWN", _OWN.replace("PAIRS", f"{{shipped}} s JOIN ({_SOURCE}) t ON s.scene_id = t.scene_id AND abs(s.x - t.x) <= 1e-3 AND abs(s.y - t.y) <= 1e-3")))
+ JOIN (SELECT *, {_near("x")} FROM (SELECT *, {_near("y")} FROM (SELECT *, {_near("z")} FROM ({_SOURCE.replace("CORNERS", CORNERS)}) t0) t1) t2) t ON s.scene_id = t.scene_id AND s.gx = t.gx AND s.gy = t.gy AND s.gz = t.gz""")),
+ _OWNED.replace("OWN", _OWN.replace("PAIRS", f"{{shipped}} s JOIN ({_SOURCE.replace("CORNERS", PLAIN)}) t ON s.scene_id = t.scene_id AND abs(s.x - t.x) <= 1e-3 AND abs(s.y - t.y) <= 1e-3")))
 
 # a sample of each scene's faces by the hash of their number; of pairs whose boxes meet, those in which an edge of one
 # passes through the other (Moller and Trumbore); pairs of one mesh that share a corner do not count
 SAMPLE = 600
-_SAMPLED = f"""SELECT * FROM (SELECT b.scene_id, t.mesh_id * 64 + t.f AS face, t.mesh_id, t.ax, t.ay, t.az, t.bx, t.byy, t.bz, t.cx, t.cy, t.cz, least(t.ax, t.bx, t.cx) AS x0, greatest(t.ax, t.bx, t.cx) AS x1, least(t.ay, t.byy, t.cy) AS y0, greatest(t.ay, t.byy, t.cy) AS y1, least(t.az, t.bz, t.cz) AS z0, greatest(t.az, t.bz, t.cz) AS z1,
- row_number() OVER (PARTITION BY b.scene_id ORDER BY md5(CAST(t.mesh_id * 64 + t.f AS STRING))) AS nth FROM ({CORNERS}) t JOIN {{buildings}} b ON b.ord = t.mesh_id) r WHERE nth <= {SAMPLE}"""
+_SAMPLED = f"""SELECT * FROM (SELECT b.scene_id, t.mesh_id, t.f, t.ax, t.ay, t.az, t.bx, t.byy, t.bz, t.cx, t.cy, t.cz, least(t.ax, t.bx, t.cx) AS x0, greatest(t.ax, t.bx, t.cx) AS x1, least(t.ay, t.byy, t.cy) AS y0, greatest(t.ay, t.byy, t.cy) AS y1, least(t.az, t.bz, t.cz) AS z0, greatest(t.az, t.bz, t.cz) AS z1,
+ row_number() OVER (PARTITION BY b.scene_id ORDER BY md5(concat(CAST(t.mesh_id AS STRING), ':', CAST(t.f AS STRING)))) AS nth FROM (CORNERS) t JOIN {{buildings}} b ON b.ord = t.mesh_id) r WHERE nth <= {SAMPLE}"""
 
 
 def _passes(o: str, e: str, t: str) -> str:
@@ -113,9 +182,9 @@ def _passes(o: str, e: str, t: str) -> str:
 
 
 _HIT = " OR ".join(_passes(f"{s}.{o}", e, t) for s, t in (("a", "b"), ("b", "a")) for o, e in (("a", "b"), ("b", "c"), ("c", "a")))
-_TESTED = f"SELECT scene_id, count(*) AS tested, count_if(hit) AS hits FROM (SELECT a.scene_id, {_HIT} AS hit FROM PAIRS WHERE a.face < b.face AND a.mesh_id <> b.mesh_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.z0 < b.z1 AND b.z0 < a.z1) q GROUP BY scene_id"
-_GRID = f"(SELECT *, explode(sequence(gy0, gy1)) AS gy FROM (SELECT *, explode(sequence(gx0, gx1)) AS gx FROM (SELECT *, CAST(floor(x0 / 64) AS BIGINT) AS gx0, CAST(floor(x1 / 64) AS BIGINT) AS gx1, CAST(floor(y0 / 64) AS BIGINT) AS gy0, CAST(floor(y1 / 64) AS BIGINT) AS gy1 FROM ({_SAMPLED}) s) c) d)"
-operator("face_pair_intersections", "vertices triangles buildings", _TESTED.replace("PAIRS", f"{_GRID} a JOIN {_GRID} b ON a.scene_id = b.scene_id AND a.gx = b.gx AND a.gy = b.gy AND a.gx = greatest(a.gx0, b.gx0) AND a.gy = greatest(a.gy0, b.gy0)"), _TESTED.replace("PAIRS", f"({_SAMPLED}) a JOIN ({_SAMPLED}) b ON a.scene_id = b.scene_id"))
+_TESTED = f"SELECT scene_id, count(*) AS tested, count_if(hit) AS hits FROM (SELECT a.scene_id, {_HIT} AS hit FROM PAIRS WHERE a.mesh_id < b.mesh_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.z0 < b.z1 AND b.z0 < a.z1) q GROUP BY scene_id"
+_GRID = f"(SELECT *, explode(sequence(gy0, gy1)) AS gy FROM (SELECT *, explode(sequence(gx0, gx1)) AS gx FROM (SELECT *, CAST(floor(x0 / 64) AS BIGINT) AS gx0, CAST(floor(x1 / 64) AS BIGINT) AS gx1, CAST(floor(y0 / 64) AS BIGINT) AS gy0, CAST(floor(y1 / 64) AS BIGINT) AS gy1 FROM ({_SAMPLED.replace('CORNERS', CORNERS)}) s) c) d)"
+operator("face_pair_intersections", "vertices triangles buildings", _TESTED.replace("PAIRS", f"{_GRID} a JOIN {_GRID} b ON a.scene_id = b.scene_id AND a.gx = b.gx AND a.gy = b.gy AND a.gx = greatest(a.gx0, b.gx0) AND a.gy = greatest(a.gy0, b.gy0)"), _TESTED.replace("PAIRS", "(SAMPLED) a JOIN (SAMPLED) b ON a.scene_id = b.scene_id".replace("SAMPLED", _SAMPLED.replace("CORNERS", PLAIN))))
 
 # fixed values: the checks in their order, with what passes
 operator("validation_report", "mesh_summary edge_topology", """

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citygrid.columns import forward, inverse, meridian, zone
+from citygrid.columns import forward, inverse, meridian, zone, wrapped
 from citygrid.lineage import shared_folder
 from citygrid.operators import operator, planned
 
@@ -98,7 +98,7 @@ def project_features(responses: DataFrame, requests: DataFrame) -> DataFrame:
 def scene_requests(requests: DataFrame, margin: float = 1.15, steps: int = 16) -> DataFrame:
     """requests (scene_id, lat, lon, radius_m, rotation_deg, preset_id) -> the key of each (sha256 of
     its fields in order), and the box of latitudes and longitudes around the turned square with a
-    margin: least and most over points of its outline, rounded to 1e-7."""
+    margin: least and most over points of its outline, rounded to 1e-7. Across the date line west is larger than east."""
     fields = F.struct(*[F.col(c) for c in ("lat", "lon", "preset_id", "radius_m", "rotation_deg")])
     df = requests.withColumn("request_key", F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)).withColumn("_m", F.expr(meridian(zone("lon"))))
     df = df.withColumn("_c", F.expr(f"{forward('array(named_struct(\"lat\", lat, \"lon\", lon))', '_m')}[0]")).withColumn("_turn", F.expr("radians(pmod(rotation_deg, 360e0))"))
@@ -108,7 +108,8 @@ def scene_requests(requests: DataFrame, margin: float = 1.15, steps: int = 16) -
     square = f"transform({square}, p -> named_struct('x', CAST(p.x AS DOUBLE), 'y', CAST(p.y AS DOUBLE)))"
     back = f"transform({square}, p -> named_struct('x', _c.x + p.x * cos(_turn) + p.y * sin(_turn), 'y', _c.y - p.x * sin(_turn) + p.y * cos(_turn)))"
     df = df.withColumn("_ring", F.expr(inverse(back, "_m")))
-    ends = [F.expr(f"round(array_{f}(transform(_ring, p -> p.{a})), 7)").alias(n) for f, a, n in (("min", "lat", "south"), ("min", "lon", "west"), ("max", "lat", "north"), ("max", "lon", "east"))]
+    end = lambda f, a: f"array_{f}(transform(_ring, p -> p.{a}))"
+    ends = [F.expr(f"round({e}, 7)").alias(n) for e, n in ((end("min", "lat"), "south"), (wrapped(end("min", "lon")), "west"), (end("max", "lat"), "north"), (wrapped(end("max", "lon")), "east"))]
     return df.select("scene_id", "request_key", *ends)
 
 

@@ -140,3 +140,35 @@ def test_bad_inputs_of_tags(spark):
     tags = ["inf", "nan", "1e308", "9" * 400, "-0", "0", "", " ", "12 parsecs", "3'4\"", "1,5", ";4", None]
     got = [r[0] for r in frame(spark, [(t,) for t in tags], "t string").selectExpr(metres("t")).collect()]
     assert all(v is None or 0 < v for v in got) and got[10] == 1.5 and abs(got[9] - 1.016) < 1e-9
+
+
+TETRA = [(0, 0, 2, 1), (1, 0, 1, 3), (2, 1, 2, 3), (3, 0, 3, 2)]
+
+
+def test_bodies_of_meshes_of_any_size(spark):
+    """40 separate bodies beside a small mesh, a strip of 70,000 faces, vertex numbers with gaps, no faces."""
+    from citygrid.operators.meshes import mesh_bodies
+
+    corner = lambda k, v: (float(3 * k + (v == 1)), float(v == 2), float(v == 3))
+    vertices = [(1, 10 * k + v, *corner(k, v)) for k in range(40) for v in range(4)] + [(2, v, *corner(0, v)) for v in range(4)]
+    faces = [(1, 4 * k + f, 10 * k + a, 10 * k + b, 10 * k + c) for k in range(40) for f, a, b, c in TETRA] + [(2, f, a, b, c) for f, a, b, c in TETRA]
+    schema = "mesh_id long, v long, x double, y double, z double", "mesh_id long, f long, a long, b long, c long"
+    strip = spark.range(70_002).selectExpr("3 AS mesh_id", "id AS v", "CAST(id AS DOUBLE) AS x", "CAST(id % 2 AS DOUBLE) AS y", "0e0 AS z")
+    strip_faces = spark.range(70_000).selectExpr("CAST(3 AS BIGINT) AS mesh_id", "id AS f", "id AS a", "id + 1 AS b", "id + 2 AS c")
+    got = {r["mesh_id"]: r for r in mesh_bodies(frame(spark, vertices, schema[0]).unionByName(strip), frame(spark, faces, schema[1]).unionByName(strip_faces)).collect()}
+    assert got[1]["bodies"] == 40 and got[1]["loose"] == 39 and got[1]["floating"] == 0 and got[1]["loose_mm3"] == round(39 / 6, 2)
+    assert got[2]["bodies"] == 1 and got[3]["bodies"] == 1 and got[3]["debris"] == 1
+    assert mesh_bodies(frame(spark, [], schema[0]), frame(spark, [], schema[1])).count() == 0
+
+
+def test_components_in_batches(spark):
+    """A path over many batches and keys has one name."""
+    from citygrid.graph import components_nearby
+
+    rows = [(k % 3, k, k + 1) for k in range(3000) if k % 500] + [(9, 9000, 9001), (9, 9001, 9001), (9, None, 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = dict(components_nearby(frame(spark, rows, "scene_id long, a long, b long"), ["scene_id"]).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {**{k: (k - 1) // 500 * 500 + 1 for k in range(1, 3001)}, 9000: 9000, 9001: 9000}
