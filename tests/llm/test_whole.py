@@ -16,7 +16,7 @@ def test_pieces_that_start_with_the_dummy_space():
 
 
 def test_pieces_check_sees_wrong_cuts(monkeypatch):
-    c = pieces.codec(pieces.default_model())
+    c = pieces.Codec(pieces.default_model())  # the shared one may remember the word
     monkeypatch.setattr(c, "crossing", [])
     encoded = [c.encode("_a")[0]]
     c.check_new()
