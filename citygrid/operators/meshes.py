@@ -15,7 +15,7 @@ from citygrid.operators.groups import reach
 # Faces with the coordinates of their corners. A mesh's vertices stand as one sorted array, so faces meet them in one
 # join on the mesh, and what is grouped by mesh after it is not shuffled again. Vertices are mostly numbered from 0 on;
 # where they are not, the array is searched
-_CORNER = "CASE WHEN vs[t.{k}].v = t.{k} THEN vs[t.{k}] ELSE filter(vs, p -> p.v = t.{k})[0] END AS p{k}"
+_CORNER = "CASE WHEN get(vs, CAST(t.{k} AS INT)).v = t.{k} THEN get(vs, CAST(t.{k} AS INT)) ELSE get(filter(vs, p -> p.v = t.{k}), 0) END AS p{k}"
 CORNERS = f"""SELECT mesh_id, f, a, b, c, pa.x AS ax, pa.y AS ay, pa.z AS az, pb.x AS bx, pb.y AS byy, pb.z AS bz, pc.x AS cx, pc.y AS cy, pc.z AS cz FROM (
  SELECT t.mesh_id, t.f, t.a, t.b, t.c, {", ".join(_CORNER.format(k=k) for k in "abc")} FROM {{triangles}} t JOIN (SELECT mesh_id, sort_array(collect_list(struct(v, x, y, z))) AS vs FROM {{vertices}} GROUP BY mesh_id) m ON m.mesh_id = t.mesh_id) q WHERE pa IS NOT NULL AND pb IS NOT NULL AND pc IS NOT NULL"""
 # in oracles, three plain joins
