@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from citygrid.lineage import Shelf
 
 
-LARGEST, LARGE = 2**63 - 1, 1e300
+LARGEST, LARGE, PART = 2**63 - 1, 1e300, 32  # anchors of a task are compared so many at a time
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class Settings:
     least: int = 50  # percent of the positive's score that a negative's must reach
     most: int = 95  # and must not exceed
     stages: int = 8  # one-bit codes of a row, each of the rest before it
-    planes: int = 8  # bits of an anchor's components in estimates
+    planes: int = 7  # bits of an anchor's components in estimates
     block: int = 1024
     chunk: int = 1024
     seed: int = 11
@@ -82,16 +82,23 @@ def intervals(q: np.ndarray, codes: np.ndarray, aligned: np.ndarray, left: np.nd
     unit = np.maximum((turned.max(1, keepdims=True) - low) / (2**s.planes - 1), 1e-300)
     level = np.rint((turned - low) / unit).astype(np.int64)
     lost = np.linalg.norm(turned - (low + unit * level), axis=1)[:, None]
-    planes = [pack((level >> j & 1).astype(bool)) for j in range(s.planes)]
-    estimate, product = 0.0, 0.0
-    for k in range(codes.shape[1]):
-        ones, held = pack_counts(codes[:, k]), np.zeros((len(q), len(codes)), np.int32)
-        for j, plane in enumerate(planes):
-            for w in range(plane.shape[1]):
-                held += np.bitwise_count(plane[:, w, None] & codes[None, :, k, w]).astype(np.int32) << j
-        # sums of the components under 1 bits, less those under 0 bits
-        product = (2 * (low * ones + unit * held) - (low * dim + unit * level.sum(1, keepdims=True))) / np.sqrt(dim)
-        estimate = estimate + aligned[:, k] * product
+    planes = [pack((level >> j & 1).astype(bool)) for j in reversed(range(s.planes))]  # highest first
+    held = np.empty((len(q), len(codes)), np.uint32 if codes.shape[2] > 1 else np.uint16)
+    met, count = np.empty(held.shape, np.uint64), np.empty(held.shape, np.uint8)
+    stages = np.ascontiguousarray(codes.transpose(1, 2, 0))
+    ones, side = np.bitwise_count(codes).sum(2, dtype=np.int64), np.sqrt(dim)
+    estimate, product = np.zeros(held.shape), np.empty(held.shape)
+    for k, stage in enumerate(stages):
+        held[:] = 0
+        for plane in planes:
+            held <<= 1
+            for w, word in enumerate(stage):
+                held += np.bitwise_count(np.bitwise_and(plane[:, w, None], word, out=met), out=count)
+        estimate += np.multiply(held, aligned[:, k], out=product)
+    # an inner product is the sum of the components under 1 bits, less those under 0 bits; each is low + unit * level
+    total = low * dim + unit * level.sum(1, keepdims=True)
+    estimate = (2 * unit * estimate + 2 * low * (aligned * ones).sum(1) - total * aligned.sum(1)) / side
+    product = (2 * unit * held + 2 * low * ones[:, -1] - total) / side
     norm = np.linalg.norm(q, axis=1)[:, None]
     aside = np.sqrt(np.maximum(0.0, norm**2 - np.maximum(0.0, np.abs(product) - lost) ** 2))
     room = left * aside + (lengths + left) * lost + 1e-9 * norm * lengths + 1e-6
@@ -99,17 +106,14 @@ def intervals(q: np.ndarray, codes: np.ndarray, aligned: np.ndarray, left: np.nd
     return np.where(known, estimate - room, -np.inf), np.where(known, estimate + room, np.inf)
 
 
-def pack_counts(words: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(words).sum(1, dtype=np.int64)
-
-
 def scores(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Inner products of the pairs (rows, cols) as whole numbers, those beyond a long as the farthest long."""
-    if not len(rows):
-        return np.zeros(0, np.int64)
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2**53:  # then doubles are exact
-        return np.concatenate([np.einsum("ij,ij->i", q[rows[a : a + 65_536]], x[cols[a : a + 65_536]]) for a in range(0, len(rows), 65_536)]).astype(np.int64)
-    products = [sum(int(a) * int(b) for a, b in zip(q[r], x[c])) for r, c in zip(rows, cols)]
+    """Inner products of the pairs (rows, cols), sorted by row, as whole numbers; those beyond a
+    long as the farthest long."""
+    asked, begin = np.unique(rows, return_index=True)
+    parts = list(zip(asked, begin, [*begin[1:], len(rows)]))
+    if np.abs(q[asked]).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2**53:  # then doubles are exact
+        return np.concatenate([np.zeros(0), *(x[cols[a:b]] @ q[r] for r, a, b in parts)]).astype(np.int64)
+    products = [sum(int(u) * int(v) for u, v in zip(q[r], x[c])) for r, a, b in parts for c in cols[a:b]]
     return np.array([max(-LARGEST, min(LARGEST, v)) for v in products], object)
 
 
@@ -141,46 +145,49 @@ class Block:
         self.lengths = np.linalg.norm(self.x, axis=1)
         self.q_id, self.q_label = queries["q_id"].to_numpy(), queries["q_label"].to_numpy()
 
-    def parts(self, size: int = 128):
-        """-> slice of anchors, lower and upper bounds, which rows have the anchor's label, which are other rows."""
-        for a in range(0, len(self.q), size):
-            part = slice(a, a + size)
-            with np.errstate(all="ignore"):
-                low, high = intervals(self.q[part], self.codes, self.aligned, self.left, self.lengths, self.s)
-            yield part, low, high, self.q_label[part][:, None] == self.label, self.q_id[part][:, None] != self.id
+    def bounds(self, q: np.ndarray, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(all="ignore"):
+            return intervals(q, self.codes[rows], self.aligned[rows], self.left[rows], self.lengths[rows], self.s)
 
     def positives(self) -> pd.DataFrame:
         out = []
-        for part, low, high, same, other in self.parts():
-            fits = same & other
-            rows, cols = np.nonzero(fits & (high >= reach(low, fits, self.s.positives)[:, None]))
-            points = scores(self.q[part], self.x, rows, cols)
-            best = first_of(rows, self.id[cols], points, self.s.positives)
-            out.append(pd.DataFrame({"anchor_id": self.q_id[part][rows[best]], "positive_id": self.id[cols[best]], "positive_score": points[best]}))
-        return pd.concat(out)
+        for label in np.unique(self.q_label):
+            asked, mine = np.flatnonzero(self.q_label == label), np.flatnonzero(self.label == label)
+            for a in range(0, len(asked) if len(mine) else 0, PART):
+                part = asked[a : a + PART]
+                low, high = self.bounds(self.q[part], mine)
+                fits = self.q_id[part][:, None] != self.id[mine]
+                rows, cols = np.nonzero(fits & (high >= reach(low, fits, self.s.positives)[:, None]))
+                rows, cols = part[rows], mine[cols]
+                points = scores(self.q, self.x, rows, cols)
+                best = first_of(rows, self.id[cols], points, self.s.positives)
+                out.append(pd.DataFrame({"anchor_id": self.q_id[rows[best]], "positive_id": self.id[cols[best]], "positive_score": points[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"anchor_id": [], "positive_id": [], "positive_score": []})
 
     def negatives(self, wanted: list) -> pd.DataFrame:
         """``wanted``: for each anchor its positives as (positive_id, positive_score)."""
         s, out = self.s, []
-        for part, low, high, same, _ in self.parts():
-            asked = wanted[part]
-            for j in range(s.positives):
+        for a in range(0, len(self.q), PART):
+            part = slice(a, a + PART)
+            (low, high), asked, same = self.bounds(self.q[part]), wanted[part], self.q_label[part][:, None] == self.label
+            goals, masks = [], []
+            for j in range(max(map(len, asked))):
                 has = np.array([len(w) > j for w in asked])
-                if not has.any():
-                    break
                 aim = np.array([w[j]["positive_score"] if len(w) > j else 0 for w in asked])
-                pid = np.array([w[j]["positive_id"] if len(w) > j else 0 for w in asked])
-                floor, ceiling = (aim * (p / 100.0) for p in (s.least, s.most))
-                slack = 1e-6 + 1e-12 * np.abs(aim)
+                floor, ceiling = ((aim * (p / 100.0))[:, None] for p in (s.least, s.most))
+                slack = 1e-6 + 1e-12 * np.abs(aim[:, None])
                 fits = ~same & has[:, None]
-                sure = fits & (low >= (floor + slack)[:, None]) & (high <= (ceiling - slack)[:, None])
-                bar = np.maximum(floor - slack, reach(low, sure, s.negatives))
-                rows, cols = np.nonzero(fits & (high >= bar[:, None]) & (low <= (ceiling + slack)[:, None]))
-                points = scores(self.q[part], self.x, rows, cols)
-                goal = np.array([int(a) for a in aim], np.int64 if points.dtype != object and np.abs(aim.astype(float)).max() < 2**53 else object)[rows]
-                within = np.flatnonzero((s.least * goal <= 100 * points) & (100 * points <= s.most * goal))
-                rows, cols, points = rows[within], cols[within], points[within]
-                best = first_of(rows, self.id[cols], points, s.negatives)
+                sure = fits & (low >= floor + slack) & (high <= ceiling - slack)
+                bar = np.maximum(floor - slack, reach(low, sure, s.negatives)[:, None])
+                goals.append((np.array([w[j]["positive_id"] if len(w) > j else 0 for w in asked]), aim))
+                masks.append(fits & (high >= bar) & (low <= ceiling + slack))
+            rows, cols = np.nonzero(np.logical_or.reduce(masks)) if masks else (np.zeros(0, int),) * 2
+            points = scores(self.q[part], self.x, rows, cols)
+            exact = points.dtype == object or any(np.abs(aim.astype(float)).max() >= 2**53 for _, aim in goals)
+            for (pid, aim), mask in zip(goals, masks):
+                goal, found = (aim[rows].astype(object), points.astype(object)) if exact else (aim[rows], points)
+                within = np.flatnonzero(mask[rows, cols] & ((s.least * goal <= 100 * found) & (100 * found <= s.most * goal)).astype(bool))
+                best = within[first_of(rows[within], self.id[cols[within]], points[within], s.negatives)]
                 out.append(pd.DataFrame({"anchor_id": self.q_id[part][rows[best]], "positive_id": pid[rows[best]], "positive_score": aim[rows[best]], "negative_id": self.id[cols[best]], "negative_score": points[best]}))
         return pd.concat(out) if out else pd.DataFrame({"anchor_id": []})
 
