@@ -158,6 +158,22 @@ FROM {triangles} t JOIN {vertices} p ON p.mesh_id = t.mesh_id AND p.v = t.a JOIN
     "grid": ("embeddings", ("SELECT CAST(floor(vec_id / 64) AS BIGINT) AS scene_id, vec_id % 64 AS r, CAST(c AS BIGINT) AS c, CAST(v AS DOUBLE)*1000 AS z FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS c, v", "SELECT CAST(floor(vec_id / 64) AS BIGINT) AS scene_id, vec_id % 64 AS r, CAST(generate_subscripts(embedding,1)-1 AS BIGINT) AS c, CAST(unnest(embedding) AS DOUBLE)*1000 AS z FROM {embeddings}")),
 }
 
+# areas as rings in the shapes of footprints
+BINDINGS["area_rings"] = ("areas", tuple(s.replace("SELECT scene_id, ord, osm_id,", "SELECT scene_id, ord, osm_id, layer, name,").replace("{buildings}", "{areas}") for s in BINDINGS["polygons"][1]))
+
+
+def _pieces(side: str, *more: str) -> str:
+    """The shapes of ``side`` as rectangles that do not overlap; oracles measure with these."""
+    cut = f"SELECT scene_id, ord{''.join(', ' + c for c in more)}, {{}} AS x0, {{}} AS x1, {{}} AS y0, {{}} AS y1 FROM {{{{{side}}}}} WHERE {{}}"
+    left, right, low, high = "cx - w / 2", "cx + w / 2", "cy - d / 2", "cy + d / 2"
+    ell, court = "ord % 4 = 2", "ord % 4 = 3"
+    rows = [(left, right, low, high, "ord % 4 < 2"), (left, right, low, "cy", ell), (left, "cx", "cy", high, ell), (left, "cx - w / 4", low, high, court), ("cx + w / 4", right, low, high, court), ("cx - w / 4", "cx + w / 4", low, "cy - d / 4", court), ("cx - w / 4", "cx + w / 4", "cy + d / 4", high, court)]
+    return " UNION ALL ".join(cut.format(*r) for r in rows)
+
+
+BINDINGS["building_pieces"] = ("buildings", _pieces("buildings"))
+BINDINGS["area_pieces"] = ("areas", _pieces("areas", "layer"))
+
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of ``sf_dir`` or a view over them; ``stream:x`` is the view x of a streamed table."""

@@ -1,27 +1,23 @@
 """Features that belong together: twins, overlaps, areas that touch, blocks, streets.
 
-Pairs come from an equi-join on grid cells, groups from connected components of the
-pairs. A group keeps its members: outlines are not united, as there is no geometry
-kernel; areas are sums over members.
+Pairs come from equi-joins on grid cells, groups from connected components of the pairs,
+which lie in a scene; the outlines of groups are united (``outlines``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from citygrid.graph import components_nearby
+from citygrid.lineage import cut
 from citygrid.operators import operator, planned
+from citygrid.operators.outlines import close_pairs, covered, first_cell, measured_unions, overlaps
+from citygrid.operators.rings import area2, over, perimeter
 
-
-def covered(side: str, x0: str, x1: str, y0: str, y1: str, size: float) -> str:
-    """Rows of ``side`` once for each grid cell that their box touches."""
-    ends = ", ".join(f"CAST(floor(({e}) / {size}) AS BIGINT) AS {n}" for e, n in ((x0, "gx0"), (x1, "gx1"), (y0, "gy0"), (y1, "gy1")))
-    return f"(SELECT *, explode(sequence(gy0, gy1)) AS gy FROM (SELECT *, explode(sequence(gx0, gx1)) AS gx FROM (SELECT *, {ends} FROM {side}) ends) columns)"
-
-
-#: Two covered rows meet in the first cell that both touch, so a pair comes once.
-FIRST_CELL = "a.scene_id = b.scene_id AND a.gx = b.gx AND a.gy = b.gy AND a.gx = greatest(a.gx0, b.gx0) AND a.gy = greatest(a.gy0, b.gy0)"
-
+FIRST_CELL = first_cell("scene_id")
 
 def reach(edges: str) -> str:
     """The oracle's components: CTEs that end in parts(v, component)."""
@@ -29,56 +25,94 @@ def reach(edges: str) -> str:
  reach AS (SELECT DISTINCT a AS v, a AS u FROM l UNION SELECT r.v, l.b FROM reach r JOIN l ON r.u = l.a), parts AS (SELECT v, min(u) AS component FROM reach GROUP BY v)"""
 
 
-def grouped(name: str, inputs: str, pairs: str, plain_pairs: str, text: str) -> None:
-    """An operator over components: ``pairs`` (a, b) by cells, for the oracle ``plain_pairs``; ``text`` reads {parts}."""
+def grouped(name: str, inputs: str, pairs: str | Callable[..., DataFrame], plain_pairs: str, text: str, plain_text: str | None = None, members: Callable[..., DataFrame] | None = None, more: str = "") -> None:
+    """An operator over components: ``pairs`` (scene_id, a, b) in SQL or as a function of the inputs, for the
+    oracle ``plain_pairs``; ``text`` reads {parts} and, with ``members`` (a function of the parts and the
+    inputs), {unions}: area and perimeter of each group's union. In the oracle, the CTEs ``more`` say these."""
 
     def plan(*given: DataFrame) -> DataFrame:
         frames = dict(zip(inputs.split(), given))
+        frames |= {k: cut(v) for k, v in frames.items() if k in ("polygons", "area_rings")}  # read several times below
         spark = given[0].sparkSession
-        return spark.sql(text, parts=components_nearby(spark.sql(pairs, **frames), ["scene_id"]), **frames)
+        parts = components_nearby(spark.sql(pairs, **frames) if isinstance(pairs, str) else pairs(**frames), ["scene_id"])
+        views = {"parts": parts} | ({"unions": measured_unions(members(parts, **frames))} if members else {})
+        return spark.sql(text, **views, **frames)
 
-    planned(name, inputs, f"WITH RECURSIVE {reach(plain_pairs)}, told AS ({text.replace('{parts}', 'parts')}) SELECT * FROM told")(plan)
+    told = (plain_text or text).replace("{parts}", "parts").replace("{unions}", "unions")
+    planned(name, inputs, f"WITH RECURSIVE {reach(plain_pairs)}{more}, told AS ({told}) SELECT * FROM told")(plan)
 
 
-def boxes(side: str, grow: float = 0.0) -> str:
-    return covered(side, f"cx - w / 2 - {grow}", f"cx + w / 2 + {grow}", f"cy - d / 2 - {grow}", f"cy + d / 2 + {grow}", 32)
+def in_groups(parts: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Polygons of groups of several: scene_id, g, ord, ring, holes."""
+    return parts.withColumnRenamed("component", "g").join(polygons.withColumnRenamed("ord", "v"), "v").select("scene_id", "g", F.col("v").alias("ord"), "ring", "holes")
 
 
-_TWIN = "sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) <= 5e-1 AND abs(a.w * a.d - b.w * b.d) <= 5e-2 * greatest(a.w * a.d, b.w * b.d)"
-_POINTS = covered("{buildings}", "cx - 25e-2", "cx + 25e-2", "cy - 25e-2", "cy + 25e-2", 4)
-grouped("dedupe_footprints", "buildings resolve_heights",
- f"SELECT a.scene_id, a.ord AS a, b.ord AS b FROM {_POINTS} a JOIN {_POINTS} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_TWIN}",
- f"SELECT a.ord AS a, b.ord AS b FROM {{buildings}} a JOIN {{buildings}} b ON a.scene_id = b.scene_id AND a.ord < b.ord WHERE {_TWIN}", """
+def union_ctes(pieces: str) -> str:
+    """The oracle's unions(g, outline_m2, outline_m) of rectangles pieces(g, x0, x1, y0, y1): coordinates are
+    compressed, and the cells of a group that a rectangle covers are summed."""
+    cut = lambda a: f"c{a} AS (SELECT g, {a}, lead({a}) OVER (PARTITION BY g ORDER BY {a}) AS {a}n FROM (SELECT g, {a}0 AS {a} FROM pc UNION SELECT g, {a}1 FROM pc) u)"
+    side = lambda along, across: f"CASE WHEN filled <> coalesce(lag(filled) OVER (PARTITION BY g, {across} ORDER BY {along}), false) THEN {across}n - {across} ELSE 0 END + CASE WHEN filled AND lead(filled) OVER (PARTITION BY g, {across} ORDER BY {along}) IS NULL THEN {across}n - {across} ELSE 0 END"
+    return f""", pc AS ({pieces}), {cut("x")}, {cut("y")},
+ cell AS (SELECT cx.g, x, xn, y, yn, EXISTS (SELECT 1 FROM pc WHERE pc.g = cx.g AND x0 <= x AND xn <= x1 AND y0 <= y AND yn <= y1) AS filled FROM cx JOIN cy ON cx.g = cy.g WHERE xn IS NOT NULL AND yn IS NOT NULL),
+ unions AS (SELECT g, round(sum(CASE WHEN filled THEN (xn - x) * (yn - y) ELSE 0 END), 3) AS outline_m2, round(sum(sides), 3) AS outline_m FROM (SELECT *, {side("x", "y")} + {side("y", "x")} AS sides FROM cell) s GROUP BY g)"""
+
+
+#: Rectangles of two features: what they share, and how far they are apart.
+_SHARED = "greatest(0e0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0e0, least(p.y1, q.y1) - greatest(p.y0, q.y0))"
+_APART = "pow(greatest(0e0, p.x0 - q.x1, q.x0 - p.x1), 2) + pow(greatest(0e0, p.y0 - q.y1, q.y0 - p.y1), 2)"
+
+# twins: centres within 50 cm and outline areas within 5 %. The one with most holes, then of largest area, stays
+_TWIN = "sqrt((a.centroid_x - b.centroid_x) * (a.centroid_x - b.centroid_x) + (a.centroid_y - b.centroid_y) * (a.centroid_y - b.centroid_y)) <= 5e-1 AND abs(a.outline_m2 - b.outline_m2) <= 5e-2 * greatest(a.outline_m2, b.outline_m2)"
+_POINTS = covered("{footprint_metrics}", "centroid_x - 25e-2", "centroid_x + 25e-2", "centroid_y - 25e-2", "centroid_y + 25e-2", 4)
+_TWINS = """
 SELECT scene_id, component AS group_ord, count(*) AS n, max(CASE WHEN nth = 1 THEN osm_id END) AS kept, max(height_m) AS height_m, max_by(height_source, height_m * 1e9 - ord / 1e9) AS height_source, min(min_height_m) AS min_height_m FROM (
- SELECT b.scene_id, p.component, b.osm_id, b.ord, h.height_m, h.height_source, h.min_height_m, row_number() OVER (PARTITION BY p.component ORDER BY CASE WHEN b.ord % 4 = 3 THEN 1 ELSE 0 END DESC, b.w * b.d DESC, b.ord) AS nth
- FROM {parts} p JOIN {buildings} b ON b.ord = p.v JOIN {resolve_heights} h ON h.ord = b.ord) q GROUP BY scene_id, component""")
-
-_SHARED = "(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2)) * (least(a.cy + a.d / 2, b.cy + b.d / 2) - greatest(a.cy - a.d / 2, b.cy - b.d / 2))"
-_MEET = "abs(a.cx - b.cx) < (a.w + b.w) / 2 AND abs(a.cy - b.cy) < (a.d + b.d) / 2"
-_OVERLAP = f"{_MEET} AND {_SHARED} >= greatest(25e-2, 2e-2 * least(a.w * a.d, b.w * b.d))"
-grouped("merge_overlaps", "buildings resolve_heights",
- f"SELECT a.scene_id, a.ord AS a, b.ord AS b FROM {boxes('{buildings}')} a JOIN {boxes('{buildings}')} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_OVERLAP}",
- f"SELECT a.ord AS a, b.ord AS b FROM {{buildings}} a JOIN {{buildings}} b ON a.scene_id = b.scene_id AND a.ord < b.ord WHERE {_OVERLAP}", """
-SELECT scene_id, component AS group_ord, count(*) AS n, max(CASE WHEN nth = 1 THEN osm_id END) AS kept, sum(area) AS member_area_m2, max(height_m) AS height_m, max_by(height_source, height_m * 1e9 - ord / 1e9) AS height_source, min(min_height_m) AS min_height_m FROM (
- SELECT b.scene_id, p.component, b.osm_id, b.ord, b.w * b.d AS area, h.height_m, h.height_source, h.min_height_m, row_number() OVER (PARTITION BY p.component ORDER BY b.w * b.d DESC, b.ord) AS nth
- FROM {parts} p JOIN {buildings} b ON b.ord = p.v JOIN {resolve_heights} h ON h.ord = b.ord) q GROUP BY scene_id, component""")
-
-# areas of one layer that overlap or share a corner at 1 mm
-_TOUCH = f"a.layer = b.layer AND ({_MEET} OR (round(a.cx - a.w / 2, 3) IN (round(b.cx - b.w / 2, 3), round(b.cx + b.w / 2, 3)) OR round(a.cx + a.w / 2, 3) IN (round(b.cx - b.w / 2, 3), round(b.cx + b.w / 2, 3))) AND (round(a.cy - a.d / 2, 3) IN (round(b.cy - b.d / 2, 3), round(b.cy + b.d / 2, 3)) OR round(a.cy + a.d / 2, 3) IN (round(b.cy - b.d / 2, 3), round(b.cy + b.d / 2, 3))))"
-grouped("dissolve_areas", "areas",
- f"SELECT a.scene_id, a.ord AS a, b.ord AS b FROM {boxes('{areas}', 0.001)} a JOIN {boxes('{areas}', 0.001)} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_TOUCH}",
- f"SELECT a.ord AS a, b.ord AS b FROM {{areas}} a JOIN {{areas}} b ON a.scene_id = b.scene_id AND a.ord < b.ord WHERE {_TOUCH}", """
-SELECT scene_id, layer, group_ord, count(*) AS n, sum(area) AS member_area_m2, max(CASE WHEN nth = 1 THEN osm_id END) AS osm_id, max(CASE WHEN nth = 1 THEN name END) AS name FROM (
- SELECT a.scene_id, a.layer, coalesce(p.component, a.ord) AS group_ord, a.osm_id, a.name, a.w * a.d AS area, row_number() OVER (PARTITION BY coalesce(p.component, a.ord) ORDER BY a.w * a.d DESC, a.ord) AS nth
- FROM {areas} a LEFT JOIN {parts} p ON p.v = a.ord) q GROUP BY scene_id, layer, group_ord""")
-
-#: Buildings closer than this on the ground become one block.
+ SELECT b.scene_id, p.component, b.osm_id, b.ord, h.height_m, h.height_source, h.min_height_m, row_number() OVER (PARTITION BY p.component ORDER BY size(b.holes) DESC, m.outline_m2 DESC, b.ord) AS nth
+ FROM {parts} p JOIN {polygons} b ON b.ord = p.v JOIN {footprint_metrics} m ON m.ord = p.v JOIN {resolve_heights} h ON h.ord = b.ord) q GROUP BY scene_id, component"""
+
+
+def twins(footprint_metrics: DataFrame, **_: DataFrame) -> DataFrame:
+    held = cut(footprint_metrics.select("scene_id", "ord", "centroid_x", "centroid_y", "outline_m2"))  # or the folds over rings would run again in every use
+    return held.sparkSession.sql(f"SELECT a.scene_id, a.ord AS a, b.ord AS b FROM {_POINTS} a JOIN {_POINTS} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_TWIN}", footprint_metrics=held)
+
+
+grouped("dedupe_footprints", "polygons footprint_metrics resolve_heights", twins,
+ f"SELECT a.ord AS a, b.ord AS b FROM {{footprint_metrics}} a JOIN {{footprint_metrics}} b ON a.scene_id = b.scene_id AND a.ord < b.ord WHERE {_TWIN}", _TWINS, _TWINS.replace("size(", "len("))
+
+# footprints that share at least 25 cm2, and 2 % of the smaller one, become one outline
+_MERGED = """
+SELECT scene_id, component AS group_ord, count(*) AS n, max(CASE WHEN nth = 1 THEN osm_id END) AS kept, round(sum(area), 3) AS member_area_m2, max(u.outline_m2) AS outline_m2, max(u.outline_m) AS outline_m, max(height_m) AS height_m, max_by(height_source, height_m * 1e9 - ord / 1e9) AS height_source, min(min_height_m) AS min_height_m FROM (
+ SELECT m.scene_id, p.component, m.osm_id, m.ord, m.area_m2 AS area, h.height_m, h.height_source, h.min_height_m, row_number() OVER (PARTITION BY p.component ORDER BY m.outline_m2 DESC, m.ord) AS nth
+ FROM {parts} p JOIN {footprint_metrics} m ON m.ord = p.v JOIN {resolve_heights} h ON h.ord = m.ord) q JOIN {unions} u ON u.g = q.component GROUP BY scene_id, component"""
+grouped("merge_overlaps", "polygons building_pieces footprint_metrics resolve_heights", lambda polygons, **_: overlaps(polygons).filter("shared >= greatest(25e-2, 2e-2 * least(area_a, area_b))"),
+ f"SELECT a, b FROM (SELECT p.ord AS a, q.ord AS b, sum({_SHARED}) AS shared FROM {{building_pieces}} p JOIN {{building_pieces}} q ON p.scene_id = q.scene_id AND p.ord < q.ord AND p.x0 < q.x1 AND q.x0 < p.x1 AND p.y0 < q.y1 AND q.y0 < p.y1 GROUP BY p.ord, q.ord) s JOIN {{footprint_metrics}} m ON m.ord = s.a JOIN {{footprint_metrics}} n ON n.ord = s.b WHERE shared >= greatest(25e-2, 2e-2 * least(m.area_m2, n.area_m2))",
+ _MERGED, members=lambda parts, polygons, **_: in_groups(parts, polygons), more=union_ctes("SELECT p.component AS g, x0, x1, y0, y1 FROM {building_pieces} c JOIN parts p ON p.v = c.ord"))
+
+# areas of one layer that share area, or a corner at 1 mm, are one. Areas at a corner are linked to the first of them
+_CORNERS = "SELECT scene_id, layer, ord, round(p.x, 3) AS x, round(p.y, 3) AS y FROM (SELECT scene_id, layer, ord, {explode}(ring) AS p FROM {area_rings}) c"
+
+
+def touching(area_rings: DataFrame, **_: DataFrame) -> DataFrame:
+    corners = _CORNERS.replace("{explode}", "explode")
+    first = area_rings.sparkSession.sql(f"SELECT scene_id, min(ord) OVER (PARTITION BY scene_id, layer, x, y) AS a, ord AS b FROM ({corners}) k", area_rings=area_rings)
+    return first.filter("a <> b").unionByName(overlaps(area_rings, "layer").select("scene_id", "a", "b")).distinct()
+
+
+_SINGLE = f"SELECT ord, {area2('ring')} AS twice, {over('holes', lambda h: f'abs({area2(h)}) / 2')} AS hollow, {perimeter('ring')} + {over('holes', perimeter)} AS around FROM {{area_rings}}"
+_DISSOLVED = """
+SELECT scene_id, layer, group_ord, count(*) AS n, round(sum(area), 3) AS member_area_m2, max(outline_m2) AS outline_m2, max(outline_m) AS outline_m, max(CASE WHEN nth = 1 THEN osm_id END) AS osm_id, max(CASE WHEN nth = 1 THEN name END) AS name FROM (
+ SELECT a.scene_id, a.layer, coalesce(p.component, a.ord) AS group_ord, a.osm_id, a.name, s.area, {UNION}, row_number() OVER (PARTITION BY coalesce(p.component, a.ord) ORDER BY s.area DESC, a.ord) AS nth
+ FROM {area_rings} a JOIN ({SINGLE}) s ON s.ord = a.ord LEFT JOIN {parts} p ON p.v = a.ord LEFT JOIN {unions} u ON u.g = coalesce(p.component, a.ord)) q GROUP BY scene_id, layer, group_ord"""
+grouped("dissolve_areas", "area_rings area_pieces", touching,
+ f"SELECT DISTINCT p.ord AS a, q.ord AS b FROM {{area_pieces}} p JOIN {{area_pieces}} q ON p.scene_id = q.scene_id AND p.layer = q.layer AND p.ord < q.ord WHERE {_SHARED} > 0 UNION SELECT a.ord, b.ord FROM ({_CORNERS.replace('{explode}', 'unnest')}) a JOIN ({_CORNERS.replace('{explode}', 'unnest')}) b ON a.scene_id = b.scene_id AND a.layer = b.layer AND a.x = b.x AND a.y = b.y AND a.ord < b.ord",
+ _DISSOLVED.replace("{SINGLE}", f"SELECT ord, abs(twice) / 2 - hollow AS area, around FROM ({_SINGLE}) m").replace("{UNION}", "coalesce(u.outline_m2, round(s.area, 3)) AS outline_m2, coalesce(u.outline_m, round(s.around, 3)) AS outline_m"),
+ _DISSOLVED.replace("{SINGLE}", "SELECT ord, sum((x1 - x0) * (y1 - y0)) AS area FROM {area_pieces} m GROUP BY ord").replace("{UNION}", "u.outline_m2, u.outline_m"),
+ members=lambda parts, area_rings, **_: in_groups(parts, area_rings), more=union_ctes("SELECT coalesce(p.component, c.ord) AS g, x0, x1, y0, y1 FROM {area_pieces} c LEFT JOIN parts p ON p.v = c.ord"))
+
+#: Buildings closer than this on the ground become one block; one in a courtyard by its distance from the walls.
 MIN_GAP = 4
-_GAP = "greatest(abs(a.cx - b.cx) - (a.w + b.w) / 2, 0e0) * greatest(abs(a.cx - b.cx) - (a.w + b.w) / 2, 0e0) + greatest(abs(a.cy - b.cy) - (a.d + b.d) / 2, 0e0) * greatest(abs(a.cy - b.cy) - (a.d + b.d) / 2, 0e0)"
-grouped("merge_blocks", "buildings",
- f"SELECT a.scene_id, a.ord AS a, b.ord AS b FROM {boxes('{buildings}', MIN_GAP / 2)} a JOIN {boxes('{buildings}', MIN_GAP / 2)} b ON {FIRST_CELL} AND a.ord < b.ord WHERE {_GAP} < {MIN_GAP * MIN_GAP}",
- f"SELECT a.ord AS a, b.ord AS b FROM {{buildings}} a JOIN {{buildings}} b ON a.scene_id = b.scene_id AND a.ord < b.ord WHERE {_GAP} < {MIN_GAP * MIN_GAP}", """
-SELECT b.scene_id, b.ord, b.osm_id, coalesce(p.component, b.ord) AS block, count(*) OVER (PARTITION BY coalesce(p.component, b.ord)) AS merged FROM {buildings} b LEFT JOIN {parts} p ON p.v = b.ord""")
+grouped("merge_blocks", "polygons building_pieces", lambda polygons, **_: close_pairs(polygons, MIN_GAP),
+ f"SELECT p.ord AS a, q.ord AS b FROM {{building_pieces}} p JOIN {{building_pieces}} q ON p.scene_id = q.scene_id AND p.ord < q.ord WHERE {_APART} < {MIN_GAP * MIN_GAP} GROUP BY p.ord, q.ord", """
+SELECT b.scene_id, b.ord, b.osm_id, coalesce(p.component, b.ord) AS block, count(*) OVER (PARTITION BY coalesce(p.component, b.ord)) AS merged FROM {polygons} b LEFT JOIN {parts} p ON p.v = b.ord""")
 
 # area-weighted 80th percentile of the heights of a block's members that are no heroes; members of 1.5 times it, and
 # heroes above it, stand as rows of their own, other heroes are buried
