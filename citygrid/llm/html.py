@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 # fixed values of HTML
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script style title noscript template svg math iframe object textarea select option datalist button canvas audio video".split()
+#: Their content is no text; that of RAW reaches to the end of the page if they are not closed, that of others then counts.
+RAW = frozenset("script style title textarea iframe".split())
+SKIPPED = RAW | frozenset("noscript template svg math object select option datalist button canvas audio video".split())
 ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-TAG = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?:svg|math)(?=[\s/>]){ATTRS}(?<=/)>|<(?P<raw>{'|'.join(SKIPPED)})(?=[\s/>]){ATTRS}>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*$)"
-    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>{ATTRS})>|</?[a-zA-Z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)",
-    re.DOTALL | re.IGNORECASE,
-)
+TAG = re.compile(rf"<!--.*?(?:-->|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>{ATTRS})>|</?[a-zA-Z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)", re.DOTALL)
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in SKIPPED}
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 HINT = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 CHROME_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -55,15 +55,16 @@ class Block:
     heading: bool
 
 
-def landmark(name: str, attrs: str, heading_header: bool) -> str:
-    """'main', 'chrome', 'soft' (chrome by its names only) or '' for an opening tag."""
+def landmark(name: str, attrs: str, in_main: bool) -> str:
+    """'hidden', 'main', 'chrome', 'soft' (chrome by its names only), 'title' (a header in the main text,
+    of which the headings count) or '' for an opening tag."""
     said = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in HINT.finditer(attrs)} if attrs else {}
-    if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
-        return "chrome"
+    if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", said.get("style", "")):
+        return "hidden"
     names = [WORDS.findall(w) for k in ("class", "id", "role", "itemprop") for w in said.get(k, "").split()]
     words = {w for n in names for w in n}
-    if name == "header" and heading_header:
-        return ""
+    if name == "header" and in_main:
+        return "title"
     if name in CHROME_TAGS:
         return "chrome"
     if name not in ("body", "html", "main") and any(n[-1] in CHROME_WORDS or n[0] in CHROME_WORDS and all(w in PARTS or w in CHROME_WORDS for w in n) for n in names if n):
@@ -73,7 +74,12 @@ def landmark(name: str, attrs: str, heading_header: bool) -> str:
 
 def inside(around: str, name: str, own: str) -> str:
     """What a tag is within what is around it: nothing inside a menu is main text, but an
-    article or main starts main text again inside what is chrome by its names only."""
+    article or main starts main text again inside what is chrome by its names only. Nothing
+    inside what is hidden is seen."""
+    if around == "hidden" or own == "hidden":
+        return "hidden"
+    if around == "title":
+        return "main" if name in HEADINGS else own if own in ("chrome", "soft") else "title"
     if around == "chrome" or own == "chrome":
         return "chrome"
     if around == "soft":
@@ -87,37 +93,46 @@ def blocks(page: str) -> list[Block]:
     open_tags: list[tuple[str, str]] = []  # not inline: name, landmark (its own or that around it)
     parts: list[str] = []
     linked: list[str] = []
-    in_link = 0
+    in_link = -1  # the number of open tags around the link that is open
+    endless: set[str] = set()  # skipped elements that nothing closes any more
 
     def end() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
-        if text:
+        kind = open_tags[-1][1] if open_tags else ""
+        if text and kind != "hidden":
             words, links = len(text.split()), len(html.unescape(" ".join(linked)).split())
-            kind = open_tags[-1][1] if open_tags else ""
-            heading = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in open_tags[-2:])
-            out.append(Block(text, words, min(1.0, links / words), kind == "main", kind == "chrome", kind == "soft", heading))
+            heading = any(t[0] in HEADINGS for t in open_tags[-2:])
+            out.append(Block(text, words, min(1.0, links / words), kind == "main", kind in ("chrome", "title"), kind == "soft", heading))
         parts.clear()
         linked.clear()
 
+    def add(text: str) -> None:
+        parts.append(text)
+        if in_link >= 0:
+            linked.append(text)
+
     at = 0
-    for m in TAG.finditer(page):
+    while m := TAG.search(page, at):
         if m.start() > at:
-            parts.append(text := page[at : m.start()])
-            if in_link:
-                linked.append(text)
+            add(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
+        if name in SKIPPED and not m["close"] and not (name in ("svg", "math") and m["attrs"].endswith("/")) and name not in endless:
+            close = CLOSING[name].search(page, at)
+            if close or name in RAW:
+                at = close.end() if close else len(page)
+                continue
+            endless.add(name)
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m["close"] else 1
+                in_link = -1 if m["close"] or not re.search(r"(?i)(?:^|\s)href\b", m["attrs"]) else len(open_tags)
             continue
         if name == "br":
-            parts.append(" ")
+            add(" ")
             continue
         end()
-        in_link = 0 if not name == "img" else in_link
         if name == "head" and not m["close"]:
             continue
         if m["close"]:
@@ -126,15 +141,14 @@ def blocks(page: str) -> list[Block]:
                     del open_tags[k:]
                     break
         elif name not in VOID and not m["attrs"].endswith("/"):
-            if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") and open_tags and open_tags[-1][0] in ("p", name):
+            if name in ("p", *HEADINGS, "li") and open_tags and open_tags[-1][0] in ("p", name):
                 open_tags.pop()  # these end themselves
             around = open_tags[-1][1] if open_tags else ""
             open_tags.append((name, inside(around, name, landmark(name, m["attrs"], around == "main"))))
-    rest = page[at:]
-    if rest:
-        parts.append(rest)
-        if in_link:
-            linked.append(rest)
+        if len(open_tags) < in_link:  # what holds the link has ended
+            in_link = -1
+    if at < len(page):
+        add(page[at:])
     end()
     return out
 
@@ -157,6 +171,10 @@ def table(found: list[Block]) -> np.ndarray:
     return rows
 
 
+#: Chrome elements, and names of elements that are the same.
+NAMED = (("nav", "menu"), ("aside", "sidebar"), ("aside", "notice"), ("form", "newsletter"), ("footer", "footer"), ("aside", "advert"), ("aside", "comments"))
+
+
 def invented_page(rng: np.random.Generator, style: int) -> tuple[str, list[tuple[str, bool]]]:
     """A page and its blocks with their labels. ``style``: 0 tags, 1 names, 2 neither."""
     told: list[tuple[str, bool]] = []
@@ -184,11 +202,22 @@ def invented_page(rng: np.random.Generator, style: int) -> tuple[str, list[tuple
     def menu() -> str:
         return "<ul>" + "".join(block("li", 1, 3, False, 1.0) for _ in range(int(rng.integers(3, 8)))) + "</ul>"
 
+    def cards() -> str:
+        """Other stories, each a link as a whole."""
+        return "<div>" + "".join(block("p", 6, 30, False, 1.0) for _ in range(int(rng.integers(2, 5)))) + "</div>"
+
+    def within() -> str:
+        """Chrome inside the article: by tags, by names, or as cards."""
+        tag, name = NAMED[int(rng.integers(len(NAMED)))]
+        return cards() if style == 2 or rng.random() < 0.3 else hold(tag, name, "".join(block("p", 3, long, False) for _ in range(int(rng.integers(1, 3)))))
+
     def article() -> str:
         out = [block("h1", 2, 12, True) if rng.random() < 0.6 else block("p", 15, 70, True)]
         for _ in range(int(rng.integers(3, 9))):
             kind = rng.random()
-            if kind < 0.15:
+            if kind < 0.07:
+                out.append(within())
+            elif kind < 0.15:
                 out.append(block("p", 1, 6, True))
             elif kind < 0.25:
                 out.append(block("h2", 1, 6, True))
@@ -198,16 +227,17 @@ def invented_page(rng: np.random.Generator, style: int) -> tuple[str, list[tuple
                 out.append(block("p", 9, 90, True, 0.2 if rng.random() < 0.3 else 0.0))
         return "".join([*out, block("p", 15, 80, True)])
 
-    long = 20 if style < 2 else 9  # without tags and names nothing tells long chrome from text
+    # without tags and names nothing tells long chrome from text
+    long = int(rng.choice([9, 20, 45, 90])) if style < 2 else 9
     page = "".join(make() for make in some(
-        lambda: hold("header", "page-header", block("h1" if style < 2 else "p", 1, 4, False) + block("p", 2, 6, False)), lambda: hold("nav", "menu", menu()),
+        lambda: hold("header", "page-header", block("h1" if style < 2 else "p", 1, 4, False) + block("p", 2, max(6, long), False)), lambda: hold("nav", "menu", menu()), lambda: hold("nav", "menu", block("p", 2, long, False)) if style < 2 else "", lambda: hold("form", "search", block("p", 2, long, False)),
         lambda: f"<div{' class=ad' if style < 2 else ''}>" + block("p", 3, long, False) + "</div>" if rng.random() < 0.5 else f"<div{' class=ad' if style < 2 else ''}>" + block("span", 3, long, False) + "</div>",
         lambda: hold("aside", "notice", block("p", 4, long, False) + block("div", 1, 2, False))))
     inner = article()
     page += f"<article>{inner}</article>" if style == 0 and rng.random() < 0.7 else f"<main>{inner}</main>" if style == 0 else f"<div class='{rng.choice(['content', 'post', 'entry', 'story'])}'>{inner}</div>" if style == 1 and rng.random() < 0.7 else f"<div>{inner}</div>"
     page += "".join(make() for make in some(
-        lambda: hold("aside", "comments", "".join(block("p", 1, 2, False, 1.0) + block("p", 2, 3 * long, False) for _ in range(2))) if style < 2 else "", lambda: hold("aside", "sidebar", block("h3", 1, 3, False) + menu() + (block("p", 5, long, False) if style < 2 else "")),
-        lambda: hold("form", "newsletter", block("p", 2, 9, False) + block("div", 1, 2, False)), lambda: hold("footer", "site-footer", block("p", 3, 12 if style < 2 else 7, False, 0.3) + block("p", 1, 3, False, 1.0))))
+        lambda: hold("aside", "comments", "".join(block("p", 1, 2, False, 1.0) + block("p", 2, 3 * long, False) for _ in range(2))) if style < 2 else "", cards, lambda: hold("aside", "sidebar", block("h3", 1, 3, False) + menu() + (block("p", 5, long, False) if style < 2 else "")),
+        lambda: hold("form", "newsletter", block("p", 2, 9, False) + block("div", 1, 2, False)), lambda: hold("footer", "site-footer", block("p", 3, max(12, long) if style < 2 else 7, False, 0.3) + block("p", 1, 3, False, 1.0))))
     return f"<html><body>{page}</body></html>", told
 
 
