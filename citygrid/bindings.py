@@ -171,6 +171,9 @@ def _pieces(side: str, *more: str) -> str:
     return " UNION ALL ".join(cut.format(*r) for r in rows)
 
 
+# designs that are printed in tiles: how many, over the scene's square
+BINDINGS["tilings"] = ("designs", "SELECT design_id, scene_id, 1 + CAST(design_id % 4 AS INT) AS cols, 2 + CAST(design_id % 3 AS INT) AS rws, -900e0 AS left_x, 900e0 AS right_x, -900e0 AS low_y, 900e0 AS high_y FROM {designs} WHERE design_id % 7 < 2")
+BINDINGS["mesh_slots"] = ("buildings", "SELECT ord AS mesh_id, 1 + ord % 4 AS slot FROM {buildings}")
 BINDINGS["building_pieces"] = ("buildings", _pieces("buildings"))
 BINDINGS["area_pieces"] = ("areas", _pieces("areas", "layer"))
 

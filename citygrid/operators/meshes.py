@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from citygrid.graph import union_find
+from citygrid.lineage import cut
 from citygrid.operators import operator, planned
 from citygrid.operators.groups import reach
+from citygrid.operators.outlines import measured_unions
 
 # Faces with the coordinates of their corners. A mesh's vertices stand as one sorted array, so faces meet them in one
 # join on the mesh, and what is grouped by mesh after it is not shuffled again. Vertices are mostly numbered from 0 on;
@@ -216,14 +218,31 @@ _LEAVES = "SELECT design_id, 'plate_mm' AS path, CAST(plate_mm AS STRING) AS val
 operator("apply_safe_fixes", "printability_audit designs overrides", f"""
 SELECT l.design_id, l.path, l.value AS before, p.value AS after, p.id FROM ({_LEAVES}) l JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY design_id, path ORDER BY severity_order DESC, id DESC) AS back FROM {{printability_audit}} WHERE safe AND path IS NOT NULL AND path <> 'nozzle_mm') r WHERE back = 1) p ON p.design_id = l.design_id AND p.path = l.path WHERE l.value IS DISTINCT FROM p.value""")
 
-# the scene's print in filament: regions overlap, so their volumes are scaled to the merged model's (95 % here); seconds
-# are four a layer, the volume at 8 mm3/s, and travel over the plan
-_REGIONS = "SELECT b.scene_id, pmod(m.mesh_id, 4) + 1 AS slot, greatest(m.volume_mm3, 0) AS volume, m.min_z, m.max_z FROM {mesh_summary} m JOIN {buildings} b ON b.ord = m.mesh_id"
+# the scene's print in filament: regions overlap, so their volumes are scaled by what the union of their plans is of the
+# sum of them; seconds are four a layer, the volume at 8 mm3/s, and travel over the plan
 _MINUTES = "CAST(floor(seconds / 60 + 5e-1) AS BIGINT)"
 _ESTIMATE = f"""
-WITH r AS ({_REGIONS}), t AS (SELECT scene_id, sum(volume) AS raw, 95e-2 * sum(volume) AS total, CAST(greatest(1, ceil((max(max_z) - min(min_z)) / 2e-1)) AS BIGINT) AS layers FROM r GROUP BY scene_id),
- s AS (SELECT *, CASE WHEN total > 0 THEN layers * 4 + total * 55e-2 / 8 + layers * 180e0 * 180e0 / 40000 ELSE 0 END AS seconds FROM t)
-SELECT r.scene_id, r.slot, round(sum(r.volume) * max(s.total / s.raw), 1) AS volume_mm3, round(sum(r.volume) * max(s.total / s.raw) * 55e-2 / 1000 * 124e-2, 2) AS grams, round(sum(r.volume) * max(s.total / s.raw) * 55e-2 / (pi() * 875e-3 * 875e-3) / 1000, 2) AS metres,
+WITH r AS (SELECT b.scene_id, s.slot, greatest(m.volume_mm3, 0) AS volume, m.min_z, m.max_z, (m.max_x - m.min_x) * (m.max_y - m.min_y) AS plan FROM {{mesh_summary}} m JOIN {{buildings}} b ON b.ord = m.mesh_id JOIN {{mesh_slots}} s ON s.mesh_id = m.mesh_id),
+ t AS (SELECT r.scene_id, sum(volume) AS raw, max(u.plan_mm2) AS plan_mm2, least(1e0, max(u.plan_mm2) / sum(plan)) AS share, CAST(greatest(1, ceil((max(max_z) - min(min_z)) / 2e-1)) AS BIGINT) AS layers FROM r JOIN UNIONS u ON u.scene_id = r.scene_id GROUP BY r.scene_id),
+ s AS (SELECT *, CASE WHEN raw > 0 THEN layers * 4 + raw * share * 55e-2 / 8 + layers * plan_mm2 / 40000 ELSE 0 END AS seconds FROM t)
+SELECT r.scene_id, r.slot, round(sum(r.volume) * max(s.share), 1) AS volume_mm3, round(sum(r.volume) * max(s.share) * 55e-2 / 1000 * 1.24e0, 2) AS grams, round(sum(r.volume) * max(s.share) * 55e-2 / (pi() * 0.875e0 * 0.875e0) / 1000, 2) AS metres, round(max(s.plan_mm2), 1) AS plan_mm2,
  max(s.layers) AS layers, round(max(s.seconds), 1) AS seconds, max(CASE WHEN {_MINUTES} < 1 THEN 'under a minute' WHEN {_MINUTES} < 60 THEN concat(CAST({_MINUTES} AS STRING), ' min') WHEN {_MINUTES} % 60 = 0 THEN concat(CAST(CAST(floor({_MINUTES} / 60) AS BIGINT) AS STRING), ' h') ELSE concat(CAST(CAST(floor({_MINUTES} / 60) AS BIGINT) AS STRING), ' h ', CAST({_MINUTES} % 60 AS STRING), ' min') END) AS duration
 FROM r JOIN s ON s.scene_id = r.scene_id GROUP BY r.scene_id, r.slot"""
-operator("filament_estimate", "mesh_summary buildings", _ESTIMATE, _ESTIMATE.replace("pmod(m.mesh_id, 4)", "m.mesh_id % 4"))
+# the oracle sweeps over x: in each slab the boxes that cross it are merged along y
+_SWEPT = """(WITH pc AS (SELECT b.scene_id AS g, m.min_x AS x0, m.max_x AS x1, m.min_y AS y0, m.max_y AS y1 FROM {mesh_summary} m JOIN {buildings} b ON b.ord = m.mesh_id),
+  slab AS (SELECT g, x, lead(x) OVER (PARTITION BY g ORDER BY x) AS xn FROM (SELECT g, x0 AS x FROM pc UNION SELECT g, x1 FROM pc) e),
+  run AS (SELECT s.g, s.x, s.xn, p.y0, p.y1, max(p.y1) OVER (PARTITION BY s.g, s.x ORDER BY p.y0, p.y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM slab s JOIN pc p ON p.g = s.g AND p.x0 <= s.x AND s.xn <= p.x1)
+ SELECT g AS scene_id, round(sum((xn - x) * greatest(0e0, y1 - greatest(y0, coalesce(seen, y0)))), 3) AS plan_mm2 FROM run GROUP BY g)"""
+
+
+@planned("filament_estimate", "mesh_summary buildings mesh_slots", _ESTIMATE.replace("UNIONS", _SWEPT))
+def filament_estimate(mesh_summary: DataFrame, buildings: DataFrame, mesh_slots: DataFrame) -> DataFrame:
+    """Volume, grams and metres by slot of a scene, with its layers and time. The plan is the area of
+    the union of all meshes' boxes."""
+    spark = buildings.sparkSession
+    summary = cut(mesh_summary)  # read twice
+    at = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    box = f"array({at('min_x', 'min_y')}, {at('max_x', 'min_y')}, {at('max_x', 'max_y')}, {at('min_x', 'max_y')})"
+    plans = spark.sql(f"SELECT b.scene_id, b.scene_id AS g, m.mesh_id AS ord, {box} AS ring, filter(array({box}), h -> false) AS holes FROM {{mesh_summary}} m JOIN {{buildings}} b ON b.ord = m.mesh_id", mesh_summary=summary, buildings=buildings)
+    unions = measured_unions(plans).selectExpr("g AS scene_id", "outline_m2 AS plan_mm2")
+    return spark.sql(_ESTIMATE.replace("UNIONS", "{unions}"), mesh_summary=summary, buildings=buildings, mesh_slots=mesh_slots, unions=unions)
