@@ -125,15 +125,6 @@ FROM {designs} CROSS JOIN (VALUES (0,'base'),(1,'water'),(2,'green'),(3,'roads')
     "swatches": ("region", """
 SELECT nth, color FROM (VALUES (0,'#FFFFFF'),(1,'#F5F1E8'),(2,'#D9D4C7'),(3,'#8C8C8C'),(4,'#3A3F44'),(5,'#111111'),(6,'#2266AA'),(7,'#7FB3D5'),(8,'#5C8A4A'),(9,'#A9C99A'),(10,'#C9A227'),(11,'#B03A2E')) AS s(nth, color)"""),
     "searches": ("clicks places", "SELECT c.user_id, c.event_id, c.ms, CASE WHEN c.event_id % 2 = 0 THEN upper(p.name) ELSE p.name END AS name, p.lat, p.lon FROM {clicks} c JOIN {places} p ON p.place_ord = c.event_id % 97 WHERE p.name IS NOT NULL"),
-    # fixed values: leaves of a design, their group, kind, range, default and choices
-    "param_specs": ("region", """
-SELECT nth, path, grp, kind, low, high, standard, choices FROM (VALUES (0,'plate_mm','size','number',100e0,256e0,'180',NULL),(1,'base_mm','size','number',1e0,8e0,'3',NULL),(2,'nozzle_mm','printer','number',1e-1,12e-1,'0.4',NULL),(3,'frame','frame','boolean',NULL,NULL,'true',NULL),(4,'road_mode','roads','string',NULL,NULL,'raised','raised,engraved,off'),(5,'radius_m','size','number',250e0,3000e0,'900',NULL),(6,'title','file','string',NULL,NULL,NULL,NULL)) AS s(nth, path, grp, kind, low, high, standard, choices)"""),
-    # designs as the leaves of their files; some have an unknown key, a wrong kind, a value out of range or no choice
-    "raw_leaves": ("designs", """
-SELECT design_id, 0 AS ord, 'plate_mm' AS path, CAST(plate_mm + CASE WHEN design_id % 17 = 5 THEN 200 ELSE 0 END AS STRING) AS value, 'number' AS kind FROM {designs} UNION ALL SELECT design_id, 1, 'base_mm', CAST(CAST(base_mm AS INT) AS STRING), CASE WHEN design_id % 19 = 3 THEN 'string' ELSE 'number' END FROM {designs}
-UNION ALL SELECT design_id, 2, 'nozzle_mm', CASE printer_ix % 3 WHEN 0 THEN '0.4' WHEN 1 THEN '0.6' ELSE '0.25' END, 'number' FROM {designs} WHERE design_id % 4 <> 0 UNION ALL SELECT design_id, 3, 'frame', CASE WHEN frame THEN 'true' ELSE 'false' END, 'boolean' FROM {designs}
-UNION ALL SELECT design_id, 4, 'road_mode', CASE WHEN design_id % 23 = 7 THEN 'sunk' WHEN design_id % 3 = 0 THEN 'off' ELSE 'raised' END, 'string' FROM {designs} UNION ALL SELECT design_id, 5, 'radius_m', CAST(CAST(radius_m AS INT) AS STRING), 'number' FROM {designs}
-UNION ALL SELECT design_id, 6, 'title', concat('Design ', CAST(design_id AS STRING)), 'string' FROM {designs} UNION ALL SELECT design_id, 7, 'glitter', 'yes', 'string' FROM {designs} WHERE design_id % 13 = 2"""),
     # settings to search: parts as controls, their kinds as sections; a stated set of queries of one or two tokens
     "entries": ("part", """
 SELECT p_partkey AS entry, p_name AS label, p_type AS help, p_brand AS grp, 'control' AS kind FROM {part} UNION ALL SELECT 1000000 + min(p_partkey), p_type, concat('all of ', p_brand), 'sections', 'section' FROM {part} GROUP BY p_type, p_brand"""),
@@ -174,6 +165,13 @@ def _pieces(side: str, *more: str) -> str:
 # designs that are printed in tiles: how many, over the scene's square
 BINDINGS["tilings"] = ("designs", "SELECT design_id, scene_id, 1 + CAST(design_id % 4 AS INT) AS cols, 2 + CAST(design_id % 3 AS INT) AS rws, -900e0 AS left_x, 900e0 AS right_x, -900e0 AS low_y, 900e0 AS high_y FROM {designs} WHERE design_id % 7 < 2")
 BINDINGS["mesh_slots"] = ("buildings", "SELECT ord AS mesh_id, 1 + ord % 4 AS slot FROM {buildings}")
+# designs as documents: some with unknown keys, wrong kinds, values out of range or no choice, texts and lists too long, or no JSON
+BINDINGS["design_files"] = ("designs", """
+SELECT design_id, CASE WHEN design_id % 29 = 11 THEN '{{"plate_mm":' WHEN design_id % 29 = 12 THEN '[1,2]' ELSE concat(
+ '{{"schema_version":4,"plate_mm":', CAST(plate_mm + CASE WHEN design_id % 17 = 5 THEN 200 ELSE 0 END AS STRING), ',"nozzle_mm":', CASE printer_ix % 3 WHEN 0 THEN '0.4' WHEN 1 THEN '0.6' ELSE '0.25' END,
+ ',"base_thickness_mm":', CASE WHEN design_id % 19 = 3 THEN '"3"' ELSE CAST(CAST(base_mm AS INT) AS STRING) END, ',"road_mode":"', CASE WHEN design_id % 23 = 7 THEN 'sunk' WHEN design_id % 3 = 0 THEN 'off' ELSE 'engrave' END, '","frame":', CASE WHEN frame THEN 'true' ELSE 'false' END,
+ ',"frame_style":{{"shadow_gap":{{"enabled":', CASE WHEN design_id % 2 = 0 THEN 'true' ELSE 'false' END, ',"width_mm":1.5', CASE WHEN design_id % 31 = 4 THEN ',"glow":{{"a":[1]}}' ELSE '' END, '}},"corner":"rounded"}},"colour":{{"region_slots":{{"water":', CAST(1 + design_id % 18 AS STRING), '}},"gradient":{{"slots":[1,4]}},"tint":', CASE WHEN design_id % 37 = 9 THEN 'null' ELSE '{{"seed":7}}' END, '}}',
+ ',"place":{{"author":"', repeat('x', CAST(design_id % 70 AS INT)), '"}},"labels":[{{"text":"A","size_mm":', CAST(2 + design_id % 8 AS STRING), '}},{{"text":"Bridge","layer":"road"}}],"hero_building_ids":["w1","w2"]', CASE WHEN design_id % 13 = 2 THEN ',"glitter":"yes"' ELSE '' END, '}}') END AS body FROM {designs}""")
 BINDINGS["building_pieces"] = ("buildings", _pieces("buildings"))
 BINDINGS["area_pieces"] = ("areas", _pieces("areas", "layer"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citygrid.bindings import BINDINGS, frame
-from citygrid.operators import OPERATORS, attributes, colours, features, groups, lineage, meshes, outlines, palette, places, rings, scenes, sources, spatial, telemetry, terrain, texts, streams  # noqa: F401
+from citygrid.operators import OPERATORS, attributes, colours, features, groups, lineage, meshes, outlines, palette, params, places, rings, scenes, sources, spatial, telemetry, terrain, texts, streams  # noqa: F401
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,15 +13,3 @@ operator("recent_searches", "searches", """
 SELECT user_id, name, lat, lon, ms, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS place FROM (
  SELECT user_id, event_id, name, round(lat, 4) AS lat, round(lon, 4) AS lon, ms, row_number() OVER (PARTITION BY user_id, lower(name), round(lat, 4), round(lon, 4) ORDER BY ms DESC, event_id DESC) AS nth FROM {searches}) b WHERE nth = 1) c WHERE place <= 8""")
 
-# leaves of a design that differ from the defaults, nulls included; leaves about the file itself do not count
-operator("params_diff", "raw_leaves param_specs", """
-SELECT design_id, path, grp, value, standard, count(*) OVER (PARTITION BY design_id, grp) AS changed_in_group FROM (
- SELECT l.design_id, s.path, s.grp, l.value, s.standard FROM {raw_leaves} l JOIN {param_specs} s ON s.path = l.path WHERE s.grp <> 'file') q WHERE value IS DISTINCT FROM standard""")
-
-# a raw design over the defaults, or the first thing that is wrong with it
-_WRONG = "CASE WHEN s.path IS NULL THEN 'unknown key' WHEN l.kind <> s.kind THEN 'wrong kind' WHEN s.kind = 'number' AND (try_cast(l.value AS DOUBLE) < s.low OR try_cast(l.value AS DOUBLE) > s.high) THEN 'out of range' WHEN s.choices IS NOT NULL AND NOT contains(concat(',', s.choices, ','), concat(',', l.value, ',')) THEN 'not a choice' END"
-operator("validate_params", "raw_leaves param_specs", f"""
-WITH judged AS (SELECT l.design_id, l.ord, l.path, {_WRONG} AS wrong FROM {{raw_leaves}} l LEFT JOIN {{param_specs}} s ON s.path = l.path),
- first AS (SELECT design_id, min(CASE WHEN wrong IS NOT NULL THEN ord END) AS ord FROM judged GROUP BY design_id)
-SELECT f.design_id, f.ord IS NULL AS accepted, CASE WHEN f.ord IS NULL THEN s.path ELSE j.path END AS path, CASE WHEN f.ord IS NULL THEN coalesce(l.value, s.standard) END AS value, j.wrong AS reason, count(*) OVER (PARTITION BY j.wrong) AS rows_of_reason
-FROM first f LEFT JOIN judged j ON j.design_id = f.design_id AND j.ord = f.ord LEFT JOIN {{param_specs}} s ON f.ord IS NULL LEFT JOIN {{raw_leaves}} l ON l.design_id = f.design_id AND l.path = s.path""")
