@@ -117,21 +117,36 @@ def test_newer_jobs_cancel_older_ones(spark):
     assert {tuple(r)[1:] for r in sql(spark, "job_status", jobs=jobs).collect()} == want
 
 
-@pytest.mark.parametrize("name,rule", [("dedupe_ttl", streams.fetched), ("request_pacing", streams.paced)])
-def test_streams_over_many_batches(spark, tmp_path, name, rule):
-    """Several batches, each out of order inside, give what the batch form gives."""
+@pytest.mark.parametrize("name", ["dedupe_ttl", "request_pacing", "coalesce_history", "debounce", "job_status"])
+def test_streams_with_late_events(spark, tmp_path, name):
+    """Events that come up to three hours late, in later batches too, and repeated times: the last that is told is what the batch form says."""
     rng = np.random.default_rng(3)
-    ms = np.sort(rng.integers(0, 200_000_000, 400))
-    rows = [(k, int(rng.integers(5)), ["view", "click", "error"][int(rng.integers(3))], int(t)) for k, t in enumerate(ms)]
-    for part in range(4):
-        own = rows[part * 100 : part * 100 + 100]
-        frame(spark, [own[i] for i in rng.permutation(len(own))], "event_id long, user_id long, event_type string, ms long").coalesce(1).write.parquet(f"{tmp_path}/in/p{part}")
-    clicks = spark.read.parquet(*[f"{tmp_path}/in/p{k}" for k in range(4)])
-    live = spark.readStream.schema(clicks.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
-    out = drained(rule(live), "append")
-    assert out.select("_batch").distinct().count() > 1
-    want = sorted(map(tuple, sql(spark, name, clicks=clicks).collect()))
-    assert sorted(map(tuple, out.drop("_batch").collect())) == want
+    ms = np.sort(rng.integers(0, 300_000_000, 300) // 1000 * 1000)
+    jobs = name == "job_status"
+    rows = [(k, int(rng.integers(3)), ["view", "click", "error"][int(rng.integers(3))], int(t), f"j{k // 40}", k // 40 + int(rng.integers(2)), ["running", "done", "queued"][int(rng.integers(3))], float(k)) for k, t in enumerate(ms)]
+    rows = [(*r[:4], f"j{r[5]}", *r[5:]) for r in rows]
+    rows.sort(key=lambda r: r[3] + int(rng.integers(10_000_000)))
+    for part in range(6):
+        frame(spark, rows[part * 50 : part * 50 + 50], f"event_id long, {'session_id' if jobs else 'user_id'} long, event_type string, ms long, job_id string, job_no long, status string, progress double").coalesce(1).write.parquet(f"{tmp_path}/in/p{part}")
+    events = spark.read.parquet(*[f"{tmp_path}/in/p{k}" for k in range(6)])
+    live = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
+    got = getattr(streams, f"{name}_stream")(live, None, "4 hours")
+    want = sql(spark, name, **{"jobs" if jobs else "clicks": events})
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_state_of_streams_stays_small(spark, tmp_path):
+    """Keys that are no longer heard of leave the state when their time is over; events far too late are dropped."""
+    for part in range(8):
+        rows = [(1000 * part + k, 10 * part + k % 10, "view", 40_000_000 * part + 1000 * k) for k in range(40)] + ([(9999, 1, "view", 5)] if part == 7 else [])
+        frame(spark, rows, "event_id long, user_id long, event_type string, ms long").coalesce(1).write.parquet(f"{tmp_path}/in/p{part}")
+    like = spark.read.parquet(f"{tmp_path}/in/p0")
+    live = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    held = []
+    rows = drained(streams.keyed(live, streams.FETCHES, "1 hour"), "update", watch=lambda p: held.append(p.stateOperators[0].numRowsTotal))
+    assert streams.final(rows, "user_id").count() == 80 and rows.filter("event_id = 9999").count() == 0
+    assert len(held) >= 8 and max(held[3:]) <= 2 * max(held[:3]) and held[-1] <= held[2]
 
 
 def test_bad_inputs_of_tags(spark):
