@@ -75,7 +75,9 @@ SELECT CAST(floor(c_custkey / 250) AS BIGINT) AS scene_id, c_custkey AS ord, con
     "designs": ("supplier", """
 SELECT CAST(s_suppkey AS BIGINT) AS design_id, CAST(floor(s_suppkey / 14) AS BIGINT) AS scene_id, 100 + (s_suppkey*13) % 157 AS plate_mm, CAST(2 + s_suppkey % 7 AS DOUBLE) AS base_mm,
  CASE s_suppkey % 3 WHEN 0 THEN 4e-1 WHEN 1 THEN 6e-1 ELSE 25e-2 END AS nozzle_mm, (s_suppkey % 4 <> 0) AS frame, CAST(CASE WHEN s_suppkey % 10 = 3 THEN 250 ELSE 250 + (s_suppkey*110) % 2760 END AS DOUBLE) AS radius_m,
- s_suppkey % 9 AS printer_ix FROM {supplier}"""),
+ s_suppkey % 9 AS printer_ix, CASE WHEN s_suppkey % 10 = 9 THEN 'off' ELSE 'raised' END AS road_mode, CASE WHEN s_suppkey % 3 = 0 THEN 7e-1 ELSE 12e-1 END AS height_factor, s_suppkey % 4 = 1 AS tiled,
+ s_suppkey % 2 = 0 AS tinted, CAST(s_suppkey % 5 + 1 AS BIGINT) AS tint_seed, CASE s_suppkey % 3 WHEN 0 THEN 210e0 WHEN 1 THEN 24e0 ELSE 95e0 END AS tint_hue, 35e-2 AS tint_saturation, 55e-2 AS tint_lightness,
+ CASE WHEN s_suppkey % 2 = 0 THEN '2024-05-01' END AS day, CASE WHEN s_suppkey % 3 = 0 THEN 'A. Author' END AS author, CASE WHEN s_suppkey % 4 = 0 THEN ' Tower ' END AS hero_name, CAST(s_suppkey % 5 AS BIGINT) AS heroes, s_suppkey % 13 <> 0 AS scale_known FROM {supplier}"""),
     "overrides": ("supplier nation", """
 SELECT CAST(s_suppkey AS BIGINT) AS design_id, n_nationkey AS ord, CASE WHEN n_nationkey % 3 = 0 THEN 'road' ELSE 'building' END AS layer,
  CASE WHEN n_nationkey % 3 = 0 THEN concat('w', CAST(CAST(1000000 + 2500 * floor(s_suppkey / 14) + (s_suppkey*25 + n_nationkey) % 2600 AS BIGINT) AS STRING)) ELSE concat('w', CAST(CAST(380 * floor(s_suppkey / 14) + (s_suppkey*37 + n_nationkey*6) % 420 AS BIGINT) AS STRING)) END AS osm_id,
@@ -164,6 +166,17 @@ def _pieces(side: str, *more: str) -> str:
 
 # designs that are printed in tiles: how many, over the scene's square
 BINDINGS["tilings"] = ("designs", "SELECT design_id, scene_id, 1 + CAST(design_id % 4 AS INT) AS cols, 2 + CAST(design_id % 3 AS INT) AS rws, -900e0 AS left_x, 900e0 AS right_x, -900e0 AS low_y, 900e0 AS high_y FROM {designs} WHERE design_id % 7 < 2")
+# two snapshots of each design's leaves, and the stages whose output stays equal in the second
+BINDINGS["leaf_snapshots"] = ("designs", "SELECT design_id, 'plate_mm' AS path, CAST(plate_mm AS STRING) AS old, CAST(CASE WHEN design_id % 4 = 0 THEN plate_mm + 2 ELSE plate_mm END AS STRING) AS new FROM {designs} UNION ALL SELECT design_id, 'nozzle_mm', CAST(nozzle_mm AS STRING), CAST(CASE WHEN design_id % 4 = 1 THEN nozzle_mm * 2 ELSE nozzle_mm END AS STRING) FROM {designs} UNION ALL SELECT design_id, 'radius_m', CAST(radius_m AS STRING), CAST(CASE WHEN design_id % 4 = 2 THEN radius_m + 10 ELSE radius_m END AS STRING) FROM {designs} UNION ALL SELECT design_id, 'frame', CAST(frame AS STRING), CAST(CASE WHEN design_id % 12 = 3 THEN NOT frame ELSE frame END AS STRING) FROM {designs}")
+BINDINGS["equal_outputs"] = ("designs", "SELECT design_id, 'clean' AS stage FROM {designs} UNION ALL SELECT design_id, 'crop' FROM {designs} WHERE design_id % 8 = 2")
+# tags of all features, those that classification reads
+BINDINGS["feature_tags"] = ("buildings road_tags areas trees", """
+SELECT scene_id, osm_id, building, CAST(NULL AS STRING) AS highway, CAST(NULL AS STRING) AS railway, CAST(NULL AS STRING) AS tunnel, CAST(NULL AS STRING) AS layer_tag, CAST(NULL AS STRING) AS water, CAST(NULL AS STRING) AS green, CAST(NULL AS STRING) AS tree FROM {buildings}
+ UNION ALL SELECT scene_id, osm_id, NULL, CASE WHEN railway = 'rail' THEN NULL ELSE highway END, railway, CASE WHEN bridge IS NULL AND width_tag IS NOT NULL THEN 'yes' END, layer_tag, NULL, NULL, NULL FROM {road_tags}
+ UNION ALL SELECT scene_id, osm_id, CASE WHEN ord % 7 = 0 THEN 'no' WHEN ord % 7 = 1 THEN 'boathouse' END, NULL, NULL, NULL, NULL, CASE WHEN layer = 'water' THEN 'water' END, CASE WHEN layer = 'green' OR ord % 5 = 0 THEN 'grass' END, NULL FROM {areas}
+ UNION ALL SELECT scene_id, concat('n', CAST(ord AS STRING)), NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'tree' FROM {trees}""")
+# documents with a place at the end, as notes of where something was seen
+BINDINGS["notes"] = ("documents", "SELECT doc_id, concat(coalesce(text, ''), CASE WHEN doc_id % 3 = 0 THEN concat(' seen at ', CAST(round(CAST((doc_id * 7351) % 18001 AS DOUBLE) / 100 - 90 + 1e-3, 3) AS STRING), ', ', CAST(round(CAST((doc_id * 9973) % 36001 AS DOUBLE) / 100 - 180 + 1e-3, 3) AS STRING)) WHEN doc_id % 3 = 1 THEN concat(' near ', CAST(doc_id % 90 AS STRING), '°', CAST(doc_id % 60 AS STRING), '''15\"', CASE WHEN doc_id % 2 = 0 THEN 'N' ELSE 'S' END, ', ', CAST(doc_id % 180 AS STRING), '°30''0\"', CASE WHEN doc_id % 4 < 2 THEN 'E' ELSE 'W' END) ELSE ' no place' END) AS text FROM {documents}")
 BINDINGS["mesh_slots"] = ("buildings", "SELECT ord AS mesh_id, 1 + ord % 4 AS slot FROM {buildings}")
 # designs as documents: some with unknown keys, wrong kinds, values out of range or no choice, texts and lists too long, or no JSON
 BINDINGS["design_files"] = ("designs", """

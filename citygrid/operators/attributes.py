@@ -59,11 +59,8 @@ WHERE raw IS NOT NULL GROUP BY scene_id, tag""")
 # the first that matches: a building (not no or false), a road, a rail on the surface, water, green, a tree
 _BUILT = "building IS NOT NULL AND building NOT IN ('no', 'false')"
 _RAIL = "railway IN ('rail', 'tram') AND tunnel IS NULL AND coalesce(try_cast(layer_tag AS INT), 0) >= 0"
-operator("classify_layer", "buildings road_tags areas trees", f"""
+operator("classify_layer", "feature_tags", f"""
 SELECT * FROM (SELECT scene_id, osm_id, CASE WHEN {_BUILT} THEN 'building' WHEN highway IS NOT NULL THEN 'road' WHEN {_RAIL} THEN 'rail' WHEN water IS NOT NULL THEN 'water' WHEN green IS NOT NULL THEN 'green' WHEN tree IS NOT NULL THEN 'tree' END AS layer,
  CASE WHEN {_BUILT} THEN concat('building=', building) WHEN highway IS NOT NULL THEN concat('highway=', highway) WHEN {_RAIL} THEN concat('railway=', railway) WHEN water IS NOT NULL THEN concat('natural=', water) WHEN green IS NOT NULL THEN concat('landuse=', green) ELSE 'natural=tree' END AS kind,
  CASE WHEN {_BUILT} THEN NULL WHEN highway IS NOT NULL THEN coalesce(t.class, 'residential') WHEN {_RAIL} THEN railway END AS class
-FROM (SELECT scene_id, osm_id, building, CAST(NULL AS STRING) AS highway, CAST(NULL AS STRING) AS railway, CAST(NULL AS STRING) AS tunnel, CAST(NULL AS STRING) AS layer_tag, CAST(NULL AS STRING) AS water, CAST(NULL AS STRING) AS green, CAST(NULL AS STRING) AS tree FROM {{buildings}}
- UNION ALL SELECT scene_id, osm_id, NULL, CASE WHEN railway = 'rail' THEN NULL ELSE highway END, railway, CASE WHEN bridge IS NULL AND width_tag IS NOT NULL THEN 'yes' END, layer_tag, NULL, NULL, NULL FROM {{road_tags}}
- UNION ALL SELECT scene_id, osm_id, CASE WHEN ord % 7 = 0 THEN 'no' WHEN ord % 7 = 1 THEN 'boathouse' END, NULL, NULL, NULL, NULL, CASE WHEN layer = 'water' THEN 'water' END, CASE WHEN layer = 'green' OR ord % 5 = 0 THEN 'grass' END, NULL FROM {{areas}}
- UNION ALL SELECT scene_id, concat('n', CAST(ord AS STRING)), NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'tree' FROM {{trees}}) q LEFT JOIN (VALUES {ROAD_WIDTHS}) AS t(road, width_m, class) ON t.road = q.highway) p WHERE layer IS NOT NULL""")
+FROM {{feature_tags}} q LEFT JOIN (VALUES {ROAD_WIDTHS}) AS t(road, width_m, class) ON t.road = q.highway) p WHERE layer IS NOT NULL""")

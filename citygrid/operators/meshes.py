@@ -197,7 +197,7 @@ SELECT mesh_id, name, passed, value, threshold, min(CASE WHEN passed THEN 1 ELSE
 
 # findings of a design's model on its printer: too big (shrink if that keeps three quarters, else tiles), slots beyond the
 # printer's, overhangs of the scene's meshes, merged buildings, loose bodies, tiles too big; most severe first
-_SCENE = """model AS (SELECT d.design_id, d.scene_id, d.plate_mm, d.nozzle_mm, d.plate_mm + CASE WHEN d.frame THEN 12 ELSE 0 END AS width, d.design_id % 4 = 1 AS tiled, p.*, least(p.plate_x, p.plate_y) - 10 AS usable FROM {designs} d JOIN {printers} p ON p.printer_ix = d.printer_ix),
+_SCENE = """model AS (SELECT d.design_id, d.scene_id, d.plate_mm, d.nozzle_mm, d.plate_mm + CASE WHEN d.frame THEN 12 ELSE 0 END AS width, d.tiled, p.*, least(p.plate_x, p.plate_y) - 10 AS usable FROM {designs} d JOIN {printers} p ON p.printer_ix = d.printer_ix),
  fit AS (SELECT *, least(usable, 256) AS fit_plate, CAST(greatest(1, ceil(width / CAST(plate_x - 10 AS DOUBLE))) AS BIGINT) AS cols, CAST(greatest(1, ceil(width / CAST(plate_y - 10 AS DOUBLE))) AS BIGINT) AS rws FROM model),
  over AS (SELECT b.scene_id, sum(o.overhang_mm2) / sum(o.surface_mm2) AS fraction FROM {overhang_report} o JOIN {buildings} b ON b.ord = o.mesh_id GROUP BY b.scene_id),
  loose AS (SELECT b.scene_id, sum(m.loose) AS loose, sum(m.floating) AS floating FROM {mesh_bodies} m JOIN {buildings} b ON b.ord = m.mesh_id GROUP BY b.scene_id),

@@ -104,14 +104,14 @@ def tints(spark: bool) -> str:
     turn = lambda d: hue.replace("t", f"(h / 360 {d})") if d else "h / 360"
     hexa = "concat('#', " + ", ".join(f"lpad({'hex' if spark else 'to_hex'}({c}), 2, '0')" for c in ("r8", "g8", "b8")) + ")"
     return f"""
-WITH base AS (SELECT d.design_id, b.osm_id, d.design_id % 5 + 1 AS seed, CASE d.design_id % 3 WHEN 0 THEN 210e0 WHEN 1 THEN 24e0 ELSE 95e0 END AS hue, 35e-2 AS s, 55e-2 AS l FROM {{designs}} d JOIN {{buildings}} b ON b.scene_id = d.scene_id WHERE d.design_id % 2 = 0),
+WITH base AS (SELECT d.design_id, b.osm_id, d.tint_seed AS seed, d.tint_hue AS hue, d.tint_saturation AS s, d.tint_lightness AS l FROM {{designs}} d JOIN {{buildings}} b ON b.scene_id = d.scene_id WHERE d.tinted),
  shifted AS (SELECT design_id, osm_id, s, {'pmod' if spark else ''}((hue + ({draw("concat(CAST(seed AS STRING), '|', osm_id, ':h')", spark)} * 2 - 1) * {HUE} + 360){', 360e0)' if spark else ' % 360)'} AS h, least(1e0, greatest(0e0, l + ({draw("concat(CAST(seed AS STRING), '|', osm_id, ':l')", spark)} * 2 - 1) * {LIGHT})) AS l FROM base),
  pq AS (SELECT *, CASE WHEN l < 5e-1 THEN l * (1 + s) ELSE l + s - l * s END AS q, 2 * l - CASE WHEN l < 5e-1 THEN l * (1 + s) ELSE l + s - l * s END AS p FROM shifted),
  turned AS (SELECT *, {turn("+ 1e0 / 3")} AS tr, {turn("")} AS tg, {turn("- 1e0 / 3")} AS tb FROM pq),
  bytes AS (SELECT design_id, osm_id, {byte(part("tr"))} AS r8, {byte(part("tg"))} AS g8, {byte(part("tb"))} AS b8 FROM turned),
  own AS (SELECT design_id, osm_id, color FROM (SELECT *, row_number() OVER (PARTITION BY design_id, osm_id ORDER BY ord DESC) AS back FROM {{overrides}} WHERE layer = 'building' AND color IS NOT NULL) o WHERE back = 1),
  painted AS (SELECT y.design_id, y.osm_id, upper(coalesce(o.color, {hexa})) AS color FROM bytes y LEFT JOIN own o ON o.design_id = y.design_id AND o.osm_id = y.osm_id),
- colours AS (SELECT design_id, color, count(*) AS buildings, {' + '.join(f"{m} * {rgb('color', spark, k)}" for k, m in enumerate(("2126e-4", "7152e-4", "722e-4")))} AS luminance FROM painted GROUP BY design_id, color),
+ colours AS (SELECT design_id, color, count(*) AS buildings, {' + '.join(f"{m} * {rgb('color', spark, k)}" for k, m in enumerate(("0.2126e0", "0.7152e0", "0.0722e0")))} AS luminance FROM painted GROUP BY design_id, color),
  placed AS (SELECT *, row_number() OVER (PARTITION BY design_id ORDER BY round(luminance, 6), color) - 1 AS i, count(*) OVER (PARTITION BY design_id) AS n FROM colours),
  bucketed AS (SELECT *, CAST(floor(i * least({MATERIALS}, n) / n) AS BIGINT) AS bucket FROM placed),
  sized AS (SELECT *, row_number() OVER (PARTITION BY design_id, bucket ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY design_id, bucket) AS m FROM bucketed)

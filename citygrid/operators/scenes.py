@@ -54,7 +54,7 @@ SELECT d.design_id, d.now_wide, CAST(CASE WHEN d.now_wide THEN (SELECT max(radiu
 
 # the highest point of base and frame, buildings (a design's scale, heroes at 1 or more, at least 0.6 mm) and visible trees,
 # against the printer's ceiling; one row a scene meets the designs, and a design's own heroes
-_FACTOR = "CASE WHEN d.design_id % 3 = 0 THEN 7e-1 ELSE 12e-1 END"
+_FACTOR = "d.height_factor"
 operator("predicted_top", "resolve_heights trees designs printers hero_selection", f"""
 WITH tall AS (SELECT scene_id, max(height_m) AS height_m, count(*) AS n FROM {{resolve_heights}} GROUP BY scene_id),
  hero AS (SELECT s.design_id, max(h.height_m) AS height_m FROM {{hero_selection}} s JOIN {{resolve_heights}} h ON h.osm_id = s.osm_id GROUP BY s.design_id),
@@ -106,7 +106,7 @@ WITH last_of AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY design
 SELECT d.design_id, 'building' AS layer, h.osm_id, round(h.height_m * coalesce(o.height_scale, 1e0), 3) AS height_m, CAST(NULL AS DOUBLE) AS width_m, o.color AS tint, h.height_m * coalesce(o.height_scale, 1e0) >= 40 AS is_tall, CASE o.hero WHEN 'on' THEN true WHEN 'off' THEN false ELSE s.osm_id IS NOT NULL END AS hero
 FROM {designs} d JOIN {resolve_heights} h ON h.scene_id = d.scene_id LEFT JOIN last_of o ON o.design_id = d.design_id AND o.layer = 'building' AND o.osm_id = h.osm_id LEFT JOIN {hero_selection} s ON s.design_id = d.design_id AND s.osm_id = h.osm_id WHERE coalesce(o.hidden, false) = false
 UNION ALL SELECT d.design_id, 'road', r.osm_id, NULL, round(r.width_m * coalesce(o.width_scale, 1e0), 3), o.color, false, false
-FROM {designs} d JOIN {resolve_widths} r ON r.scene_id = d.scene_id LEFT JOIN last_of o ON o.design_id = d.design_id AND o.layer = 'road' AND o.osm_id = r.osm_id WHERE coalesce(o.hidden, false) = false AND coalesce(o.mode, 'raised') <> 'off' AND d.design_id % 10 <> 9""")
+FROM {designs} d JOIN {resolve_widths} r ON r.scene_id = d.scene_id LEFT JOIN last_of o ON o.design_id = d.design_id AND o.layer = 'road' AND o.osm_id = r.osm_id WHERE coalesce(o.hidden, false) = false AND coalesce(o.mode, 'raised') <> 'off' AND d.road_mode <> 'off'""")
 
 # rows that ask for a region of their own, by what makes it one; the first four of a design become regions
 operator("override_groups", "overrides", """

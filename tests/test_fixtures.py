@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citygrid.operators import OPERATORS, rings, sources, streams
+from citygrid.operators import OPERATORS, rings, sources, streams, texts  # noqa: F401
 from citygrid.operators.palette import merge_slots
 from citygrid.operators.terrain import terrain_tile_cover
 from citygrid.streams import drained
@@ -187,3 +187,17 @@ def test_components_in_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {**{k: (k - 1) // 500 * 500 + 1 for k in range(1, 3001)}, 9000: 9000, 9001: 9000}
+
+
+def test_search_by_index(spark):
+    """Tokens of any length and with signs of expressions; the best hundred; no join that tries all pairs."""
+    entries = frame(spark, [(1, "Road width", "How wide roads are", "Roads", "control"), (2, "Width", "of a tree", "Trees", "control"), (3, "a.b (c)", None, "x", "control"), (4, "axb", None, "x", "section"), (5, None, "width", "é", "control")] + [(100 + k, f"zebra {k}", "", "", "control") for k in range(150)], "entry long, label string, help string, grp string, kind string")
+    asked = {"width": ["width"], "a.b": ["a.b"], "road w": ["road", "w"], "é": ["é"], "none": ["none"], "zebra": ["zebra"], "(c)": ["(c)"]}
+    queries = frame(spark, [(q, t, len(ts)) for q, ts in asked.items() for t in ts], "query string, token string, n_tokens int")
+    out = sql(spark, "text_search", entries=entries, queries=queries)
+    got = {}
+    for r in out.orderBy("query", "place").collect():
+        got.setdefault(r["query"], []).append((r["entry"], r["score"]))
+    assert got["width"] == [(2, 100), (1, 40), (5, 8)] and got["a.b"] == [(3, 60)] and got["road w"] == [(1, 60 + 40)] and got["é"] == [(5, 16)] and "none" not in got and len(got["zebra"]) == 100 and got["(c)"] == [(3, 40)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "Join LeftSemi" in plan
