@@ -177,6 +177,8 @@ SELECT scene_id, osm_id, building, CAST(NULL AS STRING) AS highway, CAST(NULL AS
  UNION ALL SELECT scene_id, concat('n', CAST(ord AS STRING)), NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'tree' FROM {trees}""")
 # documents with a place at the end, as notes of where something was seen
 BINDINGS["notes"] = ("documents", "SELECT doc_id, concat(coalesce(text, ''), CASE WHEN doc_id % 3 = 0 THEN concat(' seen at ', CAST(round(CAST((doc_id * 7351) % 18001 AS DOUBLE) / 100 - 90 + 1e-3, 3) AS STRING), ', ', CAST(round(CAST((doc_id * 9973) % 36001 AS DOUBLE) / 100 - 180 + 1e-3, 3) AS STRING)) WHEN doc_id % 3 = 1 THEN concat(' near ', CAST(doc_id % 90 AS STRING), '°', CAST(doc_id % 60 AS STRING), '''15\"', CASE WHEN doc_id % 2 = 0 THEN 'N' ELSE 'S' END, ', ', CAST(doc_id % 180 AS STRING), '°30''0\"', CASE WHEN doc_id % 4 < 2 THEN 'E' ELSE 'W' END) ELSE ' no place' END) AS text FROM {documents}")
+# samples of each scene's elevation tiles: 8 to 67 a side, some windows reach beyond the tiles
+BINDINGS["terrain_windows"] = ("embeddings", "SELECT scene_id, CAST(8 + scene_id * 31 % 60 AS INT) AS n, 32 AS tile_px, 2 AS cols, 2 AS rws, 4e0 - 5 * (scene_id % 3) AS x_from, 60e0 + scene_id % 2 * 7 AS x_to, 3e0 AS y_from, 61e0 + scene_id % 5 AS y_to FROM (SELECT DISTINCT CAST(floor(vec_id / 64) AS BIGINT) AS scene_id FROM {embeddings}) s")
 BINDINGS["mesh_slots"] = ("buildings", "SELECT ord AS mesh_id, 1 + ord % 4 AS slot FROM {buildings}")
 # designs as documents: some with unknown keys, wrong kinds, values out of range or no choice, texts and lists too long, or no JSON
 BINDINGS["design_files"] = ("designs", """

@@ -8,10 +8,13 @@ from citygrid.bindings import BINDINGS, frame
 from citygrid.operators import OPERATORS, attributes, colours, features, groups, lineage, meshes, outlines, palette, params, places, rings, scenes, sources, spatial, telemetry, terrain, texts, streams  # noqa: F401
 
 
-def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An operator over the views of ``sf_dir``; inputs that are operators run first."""
-    op = OPERATORS[name]
-    return op(**{i: run(spark, sf_dir, i) if i in OPERATORS else frame(spark, sf_dir, i) for i in op.inputs})
+def run(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """An operator over the views of ``sf_dir``; inputs that are operators run first, each once."""
+    op, made = OPERATORS[name], {} if made is None else made
+    for i in op.inputs:
+        if i not in made:
+            made[i] = run(spark, sf_dir, i, made) if i in OPERATORS else frame(spark, sf_dir, i)
+    return op(**{i: made[i] for i in op.inputs})
 
 
 def sql(name: str) -> str:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citygrid.columns import forward, inverse, meridian, zone
+from citygrid.lineage import cut
 from citygrid.operators import operator, planned
 
 # fixed values of the tile scheme
@@ -31,23 +34,60 @@ def terrain_tile_cover(requests: DataFrame) -> DataFrame:
     return kept.withColumn("y", F.explode("_y")).select("scene_id", "zoom", F.explode(F.expr("transform(_x, x -> pmod(x, _span))")).alias("x"), "y")
 
 
-# samples of each scene between pixels, over the borders of tiles: pixel centres lie at halves, the outermost pixels go on.
-# A scene that lacks any pixel gives nothing; heights are above the lowest
-SAMPLES, SIDE, FROM, TO = 33, 64, 4, 60
-_AT = f"({FROM} + {TO - FROM} * {{i}} / CAST({SAMPLES - 1} AS DOUBLE) - 5e-1)"
-_RESAMPLED = f"""
-WITH px AS (SELECT scene_id, tx * 32 + px AS x, ty * 32 + py AS y, r * 256 + g + b / 256e0 - 32768 AS z FROM {{pixels}}),
- s AS (SELECT scene_id, i, j, x0, y0, least(x0 + 1, {SIDE - 1}) AS x1, least(y0 + 1, {SIDE - 1}) AS y1, fx, fy FROM (
-  SELECT scene_id, i, j, CAST(greatest(0, least({SIDE - 1}, floor({_AT.format(i='i')}))) AS BIGINT) AS x0, CAST(greatest(0, least({SIDE - 1}, floor({_AT.format(i='j')}))) AS BIGINT) AS y0, {_AT.format(i='i')} - floor({_AT.format(i='i')}) AS fx, {_AT.format(i='j')} - floor({_AT.format(i='j')}) AS fy
-  FROM (SELECT DISTINCT scene_id FROM {{pixels}}) sc, STEPS_I, STEPS_J) q),
+_AT = "{a}_from + ({a}_to - {a}_from) * {i} / CAST(n - 1 AS DOUBLE) - 5e-1"
+_CLIP = "CAST(greatest(0, least({side} - 1, floor({at}){more})) AS BIGINT)"
+
+
+@planned("resample_grid", "pixels terrain_windows", f"""
+WITH px AS (SELECT p.scene_id, tx * tile_px + px AS x, ty * tile_px + py AS y, r * 256 + g + b / 256e0 - 32768 AS z FROM {{pixels}} p JOIN {{terrain_windows}} w ON w.scene_id = p.scene_id),
+ ij AS (SELECT *, unnest(range(0, n)) AS j FROM (SELECT *, unnest(range(0, n)) AS i FROM {{terrain_windows}}) q),
+ places AS (SELECT *, {_AT.format(a="x", i="i")} AS ax, {_AT.format(a="y", i="j")} AS ay FROM ij),
+ s AS (SELECT scene_id, n, i, j, {_CLIP.format(side="cols * tile_px", at="ax", more="")} AS x0, {_CLIP.format(side="cols * tile_px", at="ax", more=" + 1")} AS x1, {_CLIP.format(side="rws * tile_px", at="ay", more="")} AS y0, {_CLIP.format(side="rws * tile_px", at="ay", more=" + 1")} AS y1, ax - floor(ax) AS fx, ay - floor(ay) AS fy FROM places),
  v AS (SELECT s.scene_id, s.i, s.j, (a.z * (1 - fx) + b.z * fx) * (1 - fy) + (c.z * (1 - fx) + d.z * fx) * fy AS z FROM s
   LEFT JOIN px a ON a.scene_id = s.scene_id AND a.x = s.x0 AND a.y = s.y0 LEFT JOIN px b ON b.scene_id = s.scene_id AND b.x = s.x1 AND b.y = s.y0
   LEFT JOIN px c ON c.scene_id = s.scene_id AND c.x = s.x0 AND c.y = s.y1 LEFT JOIN px d ON d.scene_id = s.scene_id AND d.x = s.x1 AND d.y = s.y1),
  w AS (SELECT scene_id, min(z) AS low, max(z) - min(z) AS range_m FROM v GROUP BY scene_id HAVING count(z) = count(*))
-SELECT v.scene_id, v.i, v.j, round(v.z - w.low, 4) AS z, round(w.range_m, 4) AS range_m FROM v JOIN w ON w.scene_id = v.scene_id"""
-operator("resample_grid", "pixels",
- _RESAMPLED.replace("STEPS_I", f"(SELECT explode(sequence(0, {SAMPLES - 1})) AS i) ii").replace("STEPS_J", f"(SELECT explode(sequence(0, {SAMPLES - 1})) AS j) jj"),
- _RESAMPLED.replace("STEPS_I", f"(SELECT CAST(unnest(range(0, {SAMPLES})) AS INT) AS i) ii").replace("STEPS_J", f"(SELECT CAST(unnest(range(0, {SAMPLES})) AS INT) AS j) jj"))
+SELECT v.scene_id, v.i, v.j, round(v.z - w.low, 4) AS z, round(w.range_m, 4) AS range_m FROM v JOIN w ON w.scene_id = v.scene_id""")
+def resample_grid(pixels: DataFrame, terrain_windows: DataFrame) -> DataFrame:
+    """n by n samples of each scene between its pixels, over the borders of tiles; heights are above the lowest.
+
+    ``terrain_windows`` (scene_id, n, tile_px, cols, rws, x_from, x_to, y_from, y_to): tiles of a
+    scene, and where its first and last samples lie, in pixels. Pixel centres lie at halves,
+    the outermost pixels go on. Each tile gets the first column, row and corner pixel of its
+    neighbours to the right and below, and works out the samples that begin in it. A scene
+    with a sample that lacks any of its four pixels gives nothing.
+    """
+    spark = pixels.sparkSession
+    # a pixel goes to its tile and, as its column or row number tile_px, to those before it
+    given = spark.sql(
+        """SELECT w.*, p.tx + dx AS tx, p.ty + dy AS ty, CAST(p.px - dx * w.tile_px AS INT) AS px, CAST(p.py - dy * w.tile_px AS INT) AS py, p.r * 256 + p.g + p.b / 256e0 - 32768 AS z
+ FROM {pixels} p JOIN {windows} w ON w.scene_id = p.scene_id LATERAL VIEW explode(CASE WHEN p.px = 0 THEN array(0, -1) ELSE array(0) END) a AS dx LATERAL VIEW explode(CASE WHEN p.py = 0 THEN array(0, -1) ELSE array(0) END) b AS dy WHERE p.tx + dx >= 0 AND p.ty + dy >= 0""",
+        pixels=pixels, windows=terrain_windows,
+    )
+
+    def axis(first: float, last: float, n: int, side: int, size: int, tile: int):
+        """Of the samples that begin in a tile: number, both pixels within the tile, share of the second."""
+        at = first + (last - first) * np.arange(n) / float(n - 1) - 0.5
+        low = np.floor(at)
+        p, q = (np.clip(low + k, 0, side - 1).astype(int) for k in (0, 1))
+        own = np.flatnonzero(p // size == tile)
+        return own, p[own] - tile * size, q[own] - tile * size, (at - low)[own]
+
+    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = pdf.iloc[0]
+        size = int(w["tile_px"])
+        z = np.full((size + 1, size + 1), np.nan)
+        z[pdf["py"], pdf["px"]] = pdf["z"]
+        i, x0, x1, fx = axis(w["x_from"], w["x_to"], int(w["n"]), int(w["cols"]) * size, size, int(w["tx"]))
+        j, y0, y1, fy = axis(w["y_from"], w["y_to"], int(w["n"]), int(w["rws"]) * size, size, int(w["ty"]))
+        fy = fy[:, None]
+        value = (z[np.ix_(y0, x0)] * (1 - fx) + z[np.ix_(y0, x1)] * fx) * (1 - fy) + (z[np.ix_(y1, x0)] * (1 - fx) + z[np.ix_(y1, x1)] * fx) * fy
+        # a pixel of no weight counts as missing too, if it is
+        return pd.DataFrame({"scene_id": w["scene_id"], "n": w["n"], "i": np.tile(i, len(j)), "j": np.repeat(j, len(i)), "z": value.ravel()})
+
+    samples = cut(given.groupBy("scene_id", "tx", "ty").applyInPandas(sample, "scene_id long, n int, i int, j int, z double").filter("z IS NOT NULL AND NOT isnan(z)"))
+    return spark.sql("SELECT v.scene_id, v.i, v.j, round(v.z - w.low, 4) AS z, round(w.range_m, 4) AS range_m FROM {v} v JOIN (SELECT scene_id, min(z) AS low, max(z) - min(z) AS range_m FROM {v} GROUP BY scene_id HAVING count(*) = max(n) * max(n)) w ON w.scene_id = v.scene_id", v=samples)
+
 
 PASSES = 2
 

@@ -201,3 +201,20 @@ def test_search_by_index(spark):
     assert got["width"] == [(2, 100), (1, 40), (5, 8)] and got["a.b"] == [(3, 60)] and got["road w"] == [(1, 60 + 40)] and got["é"] == [(5, 16)] and "none" not in got and len(got["zebra"]) == 100 and got["(c)"] == [(3, 40)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and "Join LeftSemi" in plan
+
+
+@pytest.mark.parametrize("n,first,last", [(8, 0.5, 23.5), (257, -3.0, 30.0)])
+def test_resampling_over_tiles(spark, n, first, last):
+    """A plane over three by two tiles of eight pixels stays a plane, and goes on at the edge; a missing pixel drops its scene."""
+    from citygrid.operators.terrain import resample_grid
+
+    height = lambda x, y: 3 * x + 2 * y
+    rows = [(s, x // 8, y // 8, x % 8, y % 8, 128, height(x, y), 0) for s in (1, 2) for x in range(24) for y in range(16) if not (s == 2 and (x, y) == (8, 8))]
+    pixels = frame(spark, rows, "scene_id long, tx long, ty long, px long, py long, r long, g long, b long")
+    windows = frame(spark, [(s, n, 8, 3, 2, first, last, 0.5, 15.5) for s in (1, 2, 3)], "scene_id long, n int, tile_px int, cols int, rws int, x_from double, x_to double, y_from double, y_to double")
+    got = {(r["i"], r["j"]): r["z"] for r in resample_grid(pixels, windows).collect()}
+    assert len(got) == n * n
+    at = lambda a, b, k, side: min(side - 1, max(0, a + (b - a) * k / (n - 1) - 0.5))
+    low = min(height(at(first, last, i, 24), at(0.5, 15.5, j, 16)) for i in (0, n - 1) for j in (0, n - 1))
+    for i, j in [(0, 0), (n - 1, n - 1), (n // 2, n // 3), (1, n - 2)]:
+        assert got[i, j] == pytest.approx(height(at(first, last, i, 24), at(0.5, 15.5, j, 16)) - low, abs=1e-3)
