@@ -39,11 +39,18 @@ operator("height_source_report", "resolve_heights", """
 SELECT scene_id, count(*) AS n_buildings, count_if(height_source = 'tag') AS tag, count_if(height_source = 'levels') AS levels, count_if(height_source = 'default') AS by_default,
  round(CAST(count_if(height_source = 'tag') AS DOUBLE) / count(*), 6) AS tag_ratio FROM {resolve_heights} GROUP BY scene_id""")
 
-operator("resolve_widths", "road_tags", f"""
+operator("road_widths", "road_tags", f"""
 SELECT scene_id, osm_id, name, coalesce(t.class, 'residential') AS class, (bridge = 'yes') IS TRUE OR coalesce(try_cast(layer_tag AS INT), 0) > 0 AS elevated,
  least(greatest(coalesce({metres("width_tag")}, nullif(greatest(try_cast(lanes_tag AS DOUBLE), 0e0), 0e0) * 35e-1, t.width_m, 8e0), 5e-1), 60e0) AS width_m
 FROM {{road_tags}} r LEFT JOIN (VALUES {ROAD_WIDTHS}) AS t(kind, width_m, class) ON t.kind = r.highway""")
 
+# fixed values: metres by kind of rail, and of a tree without a crown
+RAIL_WIDTHS, TREE_RADIUS = "('rail',5e0),('light_rail',4e0),('subway',5e0),('tram',3e0)", "4e0"
+operator("resolve_widths", "road_widths feature_tags tree_tags", f"""
+SELECT scene_id, 'road' AS layer, osm_id, class, elevated, width_m, CAST(NULL AS DOUBLE) AS radius_m FROM {{road_widths}}
+UNION ALL SELECT scene_id, 'rail', osm_id, railway, coalesce(try_cast(layer_tag AS INT), 0) > 0, w.width_m, NULL FROM {{feature_tags}} r JOIN (VALUES {RAIL_WIDTHS}) AS w(kind, width_m) ON w.kind = r.railway WHERE highway IS NULL AND building IS NULL AND tunnel IS NULL AND coalesce(try_cast(layer_tag AS INT), 0) >= 0
+UNION ALL SELECT scene_id, 'tree', osm_id, NULL, false, NULL, round(least(greatest(coalesce({metres("crown_tag")} / 2, {TREE_RADIUS}), 5e-1), 20e0), 3) FROM {{tree_tags}}""")
+
 # why a tag is no length: not a number, or a number that is not positive
 operator("tag_quality", "buildings road_tags", f"""
 SELECT scene_id, tag, count(*) AS n_rows, count(value) AS parsed, count_if(value IS NULL AND try_cast(regexp_extract(raw, '^ *(-?[0-9.]+)', 1) AS DOUBLE) <= 0) AS not_positive, count_if(value IS NULL AND NOT coalesce(try_cast(regexp_extract(raw, '^ *(-?[0-9.]+)', 1) AS DOUBLE) <= 0, false)) AS not_a_length,

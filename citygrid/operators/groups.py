@@ -128,10 +128,10 @@ FROM m LEFT JOIN level l ON l.block = m.block GROUP BY m.scene_id, m.block""")
 # chains are groups of ways with equal end points
 _ENDS = "SELECT scene_id, osm_id, min_by(x, seq) AS xa, min_by(y, seq) AS ya, max_by(x, seq) AS xb, max_by(y, seq) AS yb FROM {road_vertices} GROUP BY scene_id, osm_id"
 _WAY = "CAST(substr(osm_id, 2) AS BIGINT)"
-_AT = f"SELECT e.scene_id, coalesce(r.name, e.osm_id) AS street, CAST(substr(e.osm_id, 2) AS BIGINT) AS way, x, y FROM (SELECT scene_id, osm_id, xa AS x, ya AS y FROM ({_ENDS}) s UNION SELECT scene_id, osm_id, xb, yb FROM ({_ENDS}) s) e JOIN {{resolve_widths}} r ON r.osm_id = e.osm_id"
+_AT = f"SELECT e.scene_id, coalesce(r.name, e.osm_id) AS street, CAST(substr(e.osm_id, 2) AS BIGINT) AS way, x, y FROM (SELECT scene_id, osm_id, xa AS x, ya AS y FROM ({_ENDS}) s UNION SELECT scene_id, osm_id, xb, yb FROM ({_ENDS}) s) e JOIN {{road_widths}} r ON r.osm_id = e.osm_id"
 _JOINS = f"SELECT DISTINCT a.scene_id, a.way AS a, b.way AS b FROM ({_AT}) a JOIN ({_AT}) b ON a.scene_id = b.scene_id AND a.street = b.street AND a.x = b.x AND a.y = b.y AND a.way < b.way"
-grouped("street_summary", "road_vertices line_lengths crop_lines resolve_widths", _JOINS, _JOINS, f"""
+grouped("street_summary", "road_vertices line_lengths crop_lines road_widths", _JOINS, _JOINS, f"""
 SELECT r.scene_id, coalesce(r.name, r.osm_id) AS street, max(r.name) AS name, count(*) AS n_ways, CAST(coalesce(sum(c.parts), 0) AS BIGINT) AS parts, round(sum(l.length_m), 3) AS length_m, max(r.width_m) AS widest_m, max_by(r.class, r.width_m * 1e9 - {_WAY.replace('osm_id', 'r.osm_id')}) AS class,
  count(DISTINCT coalesce(p.component, {_WAY.replace('osm_id', 'r.osm_id')})) AS chains
-FROM {{resolve_widths}} r JOIN {{line_lengths}} l ON l.osm_id = r.osm_id LEFT JOIN (SELECT osm_id, count(*) AS parts FROM {{crop_lines}} GROUP BY osm_id) c ON c.osm_id = r.osm_id
+FROM {{road_widths}} r JOIN {{line_lengths}} l ON l.osm_id = r.osm_id LEFT JOIN (SELECT osm_id, count(*) AS parts FROM {{crop_lines}} GROUP BY osm_id) c ON c.osm_id = r.osm_id
 LEFT JOIN {{parts}} p ON p.v = {_WAY.replace('osm_id', 'r.osm_id')} GROUP BY r.scene_id, coalesce(r.name, r.osm_id)""")

@@ -12,15 +12,15 @@ FROM (SELECT DISTINCT scene_id FROM {designs}) s LEFT JOIN (
 # millimetres on the plate for a metre; walls, gaps and details on the ground that a nozzle can make
 _SCALED = "(SELECT *, (plate_mm - CASE WHEN frame THEN 12 ELSE 0 END) / (2 * radius_m) AS scale, 2 * nozzle_mm / ((plate_mm - CASE WHEN frame THEN 12 ELSE 0 END) / (2 * radius_m)) AS wall, nozzle_mm / ((plate_mm - CASE WHEN frame THEN 12 ELSE 0 END) / (2 * radius_m)) AS detail FROM {designs})"
 _VISIBLE = "t.radius_m * scale >= greatest(5e-1, 2 * nozzle_mm / (2 * cos(pi() / 8)))"
-operator("printable_features", "buildings road_tags resolve_widths areas trees designs", f"""
+operator("printable_features", "buildings road_tags road_widths areas trees designs", f"""
 SELECT design_id, 'building' AS layer, ord, round(width_m, 6) AS width_m, dilation > 0 AND NOT dropped AS widened, dropped, round(dilation, 6) AS dilation_m FROM (
  SELECT *, (sqrt(area) + 2 * dilation) * (sqrt(area) + 2 * dilation) < detail * detail AS dropped FROM (
   SELECT d.design_id, b.ord, b.w * b.d AS area, 2 * b.w * b.d / (b.w + b.d) AS width_m, detail, greatest(0e0, (wall - 2 * b.w * b.d / (b.w + b.d)) / 2) AS dilation FROM {{buildings}} b JOIN {_SCALED} d ON d.scene_id = b.scene_id AND abs(b.cx) <= radius_m AND abs(b.cy) <= radius_m) q) p
 UNION ALL SELECT d.design_id, 'area', a.ord, NULL, false, a.w * a.d < detail * detail, NULL FROM {{areas}} a JOIN {_SCALED} d ON d.scene_id = a.scene_id
 UNION ALL SELECT d.design_id, 'tree', t.ord, t.radius_m * 2, false, NOT ({_VISIBLE}), NULL FROM {{trees}} t JOIN {_SCALED} d ON d.scene_id = t.scene_id""")
 
-operator("road_print_widths", "resolve_widths designs", f"""
-SELECT d.design_id, r.class, count(*) AS n_roads, round(max(greatest(r.width_m, wall)), 6) AS widest_m, count_if(r.width_m < wall) AS widened FROM {{resolve_widths}} r JOIN {_SCALED} d ON d.scene_id = r.scene_id GROUP BY d.design_id, r.class""")
+operator("road_print_widths", "road_widths designs", f"""
+SELECT d.design_id, r.class, count(*) AS n_roads, round(max(greatest(r.width_m, wall)), 6) AS widest_m, count_if(r.width_m < wall) AS widened FROM {{road_widths}} r JOIN {_SCALED} d ON d.scene_id = r.scene_id GROUP BY d.design_id, r.class""")
 
 _SHARE = "CASE WHEN count_if(layer = '{l}') = 0 THEN 0e0 ELSE CAST(count_if(layer = '{l}' AND {what}) AS DOUBLE) / count_if(layer = '{l}') END"
 operator("detail_report", "printable_features", f"""
@@ -101,12 +101,12 @@ WITH manual AS (SELECT design_id, osm_id, row_number() OVER (PARTITION BY design
 SELECT design_id, osm_id, manual, place FROM (SELECT design_id, osm_id, manual, row_number() OVER (PARTITION BY design_id ORDER BY place) AS place FROM all_of) q WHERE manual OR place <= 12""")
 
 # the last row of an id wins; hidden features and roads set to off go
-operator("override_apply", "overrides resolve_heights resolve_widths designs hero_selection", """
+operator("override_apply", "overrides resolve_heights road_widths designs hero_selection", """
 WITH last_of AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY design_id, layer, osm_id ORDER BY ord DESC) AS back FROM {overrides}) q WHERE back = 1)
 SELECT d.design_id, 'building' AS layer, h.osm_id, round(h.height_m * coalesce(o.height_scale, 1e0), 3) AS height_m, CAST(NULL AS DOUBLE) AS width_m, o.color AS tint, h.height_m * coalesce(o.height_scale, 1e0) >= 40 AS is_tall, CASE o.hero WHEN 'on' THEN true WHEN 'off' THEN false ELSE s.osm_id IS NOT NULL END AS hero
 FROM {designs} d JOIN {resolve_heights} h ON h.scene_id = d.scene_id LEFT JOIN last_of o ON o.design_id = d.design_id AND o.layer = 'building' AND o.osm_id = h.osm_id LEFT JOIN {hero_selection} s ON s.design_id = d.design_id AND s.osm_id = h.osm_id WHERE coalesce(o.hidden, false) = false
 UNION ALL SELECT d.design_id, 'road', r.osm_id, NULL, round(r.width_m * coalesce(o.width_scale, 1e0), 3), o.color, false, false
-FROM {designs} d JOIN {resolve_widths} r ON r.scene_id = d.scene_id LEFT JOIN last_of o ON o.design_id = d.design_id AND o.layer = 'road' AND o.osm_id = r.osm_id WHERE coalesce(o.hidden, false) = false AND coalesce(o.mode, 'raised') <> 'off' AND d.road_mode <> 'off'""")
+FROM {designs} d JOIN {road_widths} r ON r.scene_id = d.scene_id LEFT JOIN last_of o ON o.design_id = d.design_id AND o.layer = 'road' AND o.osm_id = r.osm_id WHERE coalesce(o.hidden, false) = false AND coalesce(o.mode, 'raised') <> 'off' AND d.road_mode <> 'off'""")
 
 # rows that ask for a region of their own, by what makes it one; the first four of a design become regions
 operator("override_groups", "overrides", """
