@@ -180,6 +180,8 @@ BINDINGS["notes"] = ("documents", "SELECT doc_id, concat(coalesce(text, ''), CAS
 # samples of each scene's elevation tiles: 8 to 67 a side, some windows reach beyond the tiles
 BINDINGS["terrain_windows"] = ("embeddings", "SELECT scene_id, CAST(8 + scene_id * 31 % 60 AS INT) AS n, 32 AS tile_px, 2 AS cols, 2 AS rws, 4e0 - 5 * (scene_id % 3) AS x_from, 60e0 + scene_id % 2 * 7 AS x_to, 3e0 AS y_from, 61e0 + scene_id % 5 AS y_to FROM (SELECT DISTINCT CAST(floor(vec_id / 64) AS BIGINT) AS scene_id FROM {embeddings}) s")
 BINDINGS["tree_tags"] = ("trees", "SELECT scene_id, concat('n', CAST(ord AS STRING)) AS osm_id, CASE ord % 5 WHEN 0 THEN concat(CAST(CAST(radius_m * 2 AS INT) AS STRING), ' m') WHEN 1 THEN concat(CAST(CAST(radius_m * 10 AS INT) AS STRING), ',5') WHEN 2 THEN '-3' WHEN 3 THEN concat('9', chr(39)) END AS crown_tag FROM {trees}")
+# the square that a scene is cut to; these scenes are drawn at a quarter of what was asked for
+BINDINGS["crops"] = ("requests", "SELECT scene_id, least(radius_m, 3000e0) * 25e-2 AS half FROM {requests}")
 BINDINGS["mesh_slots"] = ("buildings", "SELECT ord AS mesh_id, 1 + ord % 4 AS slot FROM {buildings}")
 # designs as documents: some with unknown keys, wrong kinds, values out of range or no choice, texts and lists too long, or no JSON
 BINDINGS["design_files"] = ("designs", """

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 from citygrid.operators import operator, planned
 from citygrid.operators.meshes import CORNERS, PLAIN
 
-operator("crop_lines", "road_vertices", """
-WITH seg AS (SELECT scene_id, osm_id, seq, x AS xa, y AS ya, lead(x) OVER (PARTITION BY scene_id, osm_id ORDER BY seq) AS xb, lead(y) OVER (PARTITION BY scene_id, osm_id ORDER BY seq) AS yb FROM {road_vertices}),
+# lines cut to each scene's square; a line that leaves it and comes back is in pieces, those of 1 m or more stay
+operator("crop_lines", "road_vertices crops", """
+WITH seg AS (SELECT v.scene_id, osm_id, seq, half, x AS xa, y AS ya, lead(x) OVER (PARTITION BY v.scene_id, osm_id ORDER BY seq) AS xb, lead(y) OVER (PARTITION BY v.scene_id, osm_id ORDER BY seq) AS yb FROM {road_vertices} v JOIN {crops} k ON k.scene_id = v.scene_id),
  par AS (SELECT *, xb - xa AS dx, yb - ya AS dy FROM seg WHERE xb IS NOT NULL),
- cut AS (SELECT *, greatest(0e0, CASE WHEN dx > 0 THEN (-600 - xa) / dx WHEN dx < 0 THEN (600 - xa) / dx ELSE 0e0 END, CASE WHEN dy > 0 THEN (-600 - ya) / dy WHEN dy < 0 THEN (600 - ya) / dy ELSE 0e0 END) AS t0,
-  least(1e0, CASE WHEN dx > 0 THEN (600 - xa) / dx WHEN dx < 0 THEN (-600 - xa) / dx ELSE 1e0 END, CASE WHEN dy > 0 THEN (600 - ya) / dy WHEN dy < 0 THEN (-600 - ya) / dy ELSE 1e0 END) AS t1
-  FROM par WHERE NOT (dx = 0 AND abs(xa) > 600) AND NOT (dy = 0 AND abs(ya) > 600)),
+ cut AS (SELECT *, greatest(0e0, CASE WHEN dx > 0 THEN (-half - xa) / dx WHEN dx < 0 THEN (half - xa) / dx ELSE 0e0 END, CASE WHEN dy > 0 THEN (-half - ya) / dy WHEN dy < 0 THEN (half - ya) / dy ELSE 0e0 END) AS t0,
+  least(1e0, CASE WHEN dx > 0 THEN (half - xa) / dx WHEN dx < 0 THEN (-half - xa) / dx ELSE 1e0 END, CASE WHEN dy > 0 THEN (half - ya) / dy WHEN dy < 0 THEN (-half - ya) / dy ELSE 1e0 END) AS t1
+  FROM par WHERE NOT (dx = 0 AND abs(xa) > half) AND NOT (dy = 0 AND abs(ya) > half)),
  kept AS (SELECT *, sqrt(dx * dx + dy * dy) * (t1 - t0) AS len FROM cut WHERE t1 > t0),
  flag AS (SELECT *, CASE WHEN t0 = 0 AND lag(seq) OVER w = seq - 1 AND lag(t1) OVER w = 1 THEN 0 ELSE 1 END AS starts FROM kept WINDOW w AS (PARTITION BY scene_id, osm_id ORDER BY seq)),
  piece AS (SELECT *, sum(starts) OVER (PARTITION BY scene_id, osm_id ORDER BY seq) AS part FROM flag),

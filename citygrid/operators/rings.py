@@ -53,7 +53,7 @@ SELECT scene_id, osm_id, count(*) AS n_vertices, round(coalesce(sum(sqrt((x - px
 GROUP BY scene_id, osm_id""")
 
 
-def clipped(ring: str, half: float) -> str:
+def clipped(ring: str, half: str) -> str:
     """``ring`` cut to the square of half side ``half``: a fold over the four half-planes
     a x + b y <= c, in which each edge gives its crossing and its end if that is inside."""
     planes = ", ".join(f"named_struct('a', CAST({a} AS DOUBLE), 'b', CAST({b} AS DOUBLE), 'c', CAST({half} AS DOUBLE))" for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)))
@@ -66,18 +66,17 @@ def clipped(ring: str, half: float) -> str:
     return f"aggregate(array({planes}), {ring}, (r, h) -> CASE WHEN size(r) = 0 THEN r ELSE flatten(transform(sequence(0, size(r) - 1), i -> {step})) END)"
 
 
-CROP = 600
-_HOLE_IN = f"abs(aggregate(h, CAST(0 AS DOUBLE), (a, p) -> a + p.x) / size(h)) <= {CROP} AND abs(aggregate(h, CAST(0 AS DOUBLE), (a, p) -> a + p.y) / size(h)) <= {CROP}"
-_OUT = f"array_min(transform(ring, p -> p.x)) < {CROP} AND array_max(transform(ring, p -> p.x)) > -{CROP} AND array_min(transform(ring, p -> p.y)) < {CROP} AND array_max(transform(ring, p -> p.y)) > -{CROP}"
-# footprints cut to the square of side 1200; parts of 1 m2 or more stay, holes when their centre stays
-operator("crop_polygons", "polygons buildings", f"""
+_HOLE_IN = f"abs(aggregate(h, CAST(0 AS DOUBLE), (a, p) -> a + p.x) / size(h)) <= half AND abs(aggregate(h, CAST(0 AS DOUBLE), (a, p) -> a + p.y) / size(h)) <= half"
+_OUT = f"array_min(transform(ring, p -> p.x)) < half AND array_max(transform(ring, p -> p.x)) > -half AND array_min(transform(ring, p -> p.y)) < half AND array_max(transform(ring, p -> p.y)) > -half"
+# footprints cut to each scene's square; parts of 1 m2 or more stay, holes when their centre stays
+operator("crop_polygons", "polygons buildings crops", f"""
 SELECT scene_id, ord, osm_id, round(abs({area2("ring")}) / 2, 3) AS outline_m2, size(filter(holes, h -> {_HOLE_IN})) AS n_holes,
  array_min(transform(ring, p -> p.x)) AS x0, array_min(transform(ring, p -> p.y)) AS y0, array_max(transform(ring, p -> p.x)) AS x1, array_max(transform(ring, p -> p.y)) AS y1
-FROM (SELECT * EXCEPT (ring), {clipped("ring", CROP)} AS ring FROM {{polygons}} WHERE {_OUT}) q WHERE abs({area2("ring")}) / 2 >= 1""", f"""
-SELECT scene_id, ord, osm_id, round(area, 3) AS outline_m2, CASE WHEN ord % 4 = 3 AND abs(cx) <= {CROP} AND abs(cy) <= {CROP} THEN 1 ELSE 0 END AS n_holes, x0, y0,
+FROM (SELECT * EXCEPT (ring), {clipped("ring", "half")} AS ring FROM (SELECT p.*, k.half FROM {{polygons}} p JOIN {{crops}} k ON k.scene_id = p.scene_id) c WHERE {_OUT}) q WHERE abs({area2("ring")}) / 2 >= 1""", f"""
+SELECT scene_id, ord, osm_id, round(area, 3) AS outline_m2, CASE WHEN ord % 4 = 3 AND abs(cx) <= half AND abs(cy) <= half THEN 1 ELSE 0 END AS n_holes, x0, y0,
  CASE WHEN ell AND y0 > cy THEN least(x1, cx) ELSE x1 END AS x1, CASE WHEN ell AND x0 > cx THEN least(y1, cy) ELSE y1 END AS y1 FROM (
  SELECT *, greatest(0e0, x1 - x0) * greatest(0e0, y1 - y0) - CASE WHEN ell THEN greatest(0e0, x1 - greatest(x0, cx)) * greatest(0e0, y1 - greatest(y0, cy)) ELSE 0e0 END AS area FROM (
-  SELECT *, ord % 4 = 2 AS ell, greatest(cx - w / 2, -{CROP}e0) AS x0, greatest(cy - d / 2, -{CROP}e0) AS y0, least(cx + w / 2, {CROP}e0) AS x1, least(cy + d / 2, {CROP}e0) AS y1 FROM {{buildings}}) a) b WHERE area >= 1 AND x1 > x0 AND y1 > y0""")
+  SELECT *, ord % 4 = 2 AS ell, greatest(cx - w / 2, -half) AS x0, greatest(cy - d / 2, -half) AS y0, least(cx + w / 2, half) AS x1, least(cy + d / 2, half) AS y1 FROM {{buildings}} f JOIN {{crops}} k USING (scene_id)) a) b WHERE area >= 1 AND x1 > x0 AND y1 > y0""")
 
 
 def simplify(ring: np.ndarray, tolerance: float, closed: bool) -> np.ndarray:
