@@ -77,7 +77,7 @@ SELECT CAST(s_suppkey AS BIGINT) AS design_id, CAST(floor(s_suppkey / 14) AS BIG
  CASE s_suppkey % 3 WHEN 0 THEN 4e-1 WHEN 1 THEN 6e-1 ELSE 25e-2 END AS nozzle_mm, (s_suppkey % 4 <> 0) AS frame, CAST(CASE WHEN s_suppkey % 10 = 3 THEN 250 ELSE 250 + (s_suppkey*110) % 2760 END AS DOUBLE) AS radius_m,
  s_suppkey % 9 AS printer_ix, CASE WHEN s_suppkey % 10 = 9 THEN 'off' ELSE 'raised' END AS road_mode, CASE WHEN s_suppkey % 3 = 0 THEN 7e-1 ELSE 12e-1 END AS height_factor, s_suppkey % 4 = 1 AS tiled,
  s_suppkey % 2 = 0 AS tinted, CAST(s_suppkey % 5 + 1 AS BIGINT) AS tint_seed, CASE s_suppkey % 3 WHEN 0 THEN 210e0 WHEN 1 THEN 24e0 ELSE 95e0 END AS tint_hue, 35e-2 AS tint_saturation, 55e-2 AS tint_lightness,
- CASE WHEN s_suppkey % 2 = 0 THEN '2024-05-01' END AS day, CASE WHEN s_suppkey % 3 = 0 THEN 'A. Author' END AS author, CASE WHEN s_suppkey % 4 = 0 THEN ' Tower ' END AS hero_name, CAST(s_suppkey % 5 AS BIGINT) AS heroes, s_suppkey % 13 <> 0 AS scale_known FROM {supplier}"""),
+ CASE WHEN s_suppkey % 2 = 0 THEN '2024-05-01' END AS day, CASE WHEN s_suppkey % 3 = 0 THEN 'A. Author' END AS author, CASE WHEN s_suppkey % 4 = 0 THEN ' Tower ' END AS hero_name, CAST(s_suppkey % 5 AS BIGINT) AS heroes, s_suppkey % 13 <> 0 AS scale_known, CASE s_suppkey % 5 WHEN 0 THEN 15e-1 WHEN 1 THEN 75e-2 ELSE 1e0 END AS multiplier, CASE WHEN s_suppkey % 4 = 2 THEN 5e-1 ELSE 0e0 END AS curve FROM {supplier}"""),
     "overrides": ("supplier nation", """
 SELECT CAST(s_suppkey AS BIGINT) AS design_id, n_nationkey AS ord, CASE WHEN n_nationkey % 3 = 0 THEN 'road' ELSE 'building' END AS layer,
  CASE WHEN n_nationkey % 3 = 0 THEN concat('w', CAST(CAST(1000000 + 2500 * floor(s_suppkey / 14) + (s_suppkey*25 + n_nationkey) % 2600 AS BIGINT) AS STRING)) ELSE concat('w', CAST(CAST(380 * floor(s_suppkey / 14) + (s_suppkey*37 + n_nationkey*6) % 420 AS BIGINT) AS STRING)) END AS osm_id,

@@ -55,12 +55,14 @@ SELECT d.design_id, d.now_wide, CAST(CASE WHEN d.now_wide THEN (SELECT max(radiu
 # the highest point of base and frame, buildings (a design's scale, heroes at 1 or more, at least 0.6 mm) and visible trees,
 # against the printer's ceiling; one row a scene meets the designs, and a design's own heroes
 _FACTOR = "d.height_factor"
+#: A height as it is printed: times the multiplier; with a curve, heights above 50 m gain less and those below it more.
+_raised = lambda h: f"CASE WHEN d.curve > 0 THEN d.multiplier * 50 * pow({h} / 50, 1 - 6e-1 * d.curve) ELSE {h} * d.multiplier END"
 operator("predicted_top", "resolve_heights trees designs printers hero_selection", f"""
 WITH tall AS (SELECT scene_id, max(height_m) AS height_m, count(*) AS n FROM {{resolve_heights}} GROUP BY scene_id),
  hero AS (SELECT s.design_id, max(h.height_m) AS height_m FROM {{hero_selection}} s JOIN {{resolve_heights}} h ON h.osm_id = s.osm_id GROUP BY s.design_id),
  green AS (SELECT scene_id, max(radius_m) AS radius_m FROM {{trees}} GROUP BY scene_id)
 SELECT design_id, n, round(top, 6) AS top_mm, ceiling, top >= ceiling AS too_tall FROM (
- SELECT d.design_id, coalesce(t.n, 0) AS n, p.ceiling, greatest(base_mm + CASE WHEN frame THEN 2 ELSE 0 END, coalesce(base_mm + greatest(6e-1, t.height_m * scale * {_FACTOR}), 0e0), coalesce(base_mm + greatest(6e-1, h.height_m * scale * greatest(1e0, {_FACTOR})), 0e0), coalesce(CASE WHEN g.radius_m * scale >= 5e-1 THEN base_mm + 3 * g.radius_m * scale END, 0e0)) AS top
+ SELECT d.design_id, coalesce(t.n, 0) AS n, p.ceiling, greatest(base_mm + CASE WHEN frame THEN 2 ELSE 0 END, coalesce(base_mm + greatest(6e-1, ({_raised('t.height_m')}) * scale * {_FACTOR}), 0e0), coalesce(base_mm + greatest(6e-1, ({_raised('h.height_m')}) * scale * greatest(1e0, {_FACTOR})), 0e0), coalesce(CASE WHEN g.radius_m * scale >= 5e-1 THEN base_mm + 3 * g.radius_m * scale END, 0e0)) AS top
  FROM {_SCALED} d JOIN {{printers}} p ON p.printer_ix = d.printer_ix LEFT JOIN tall t ON t.scene_id = d.scene_id LEFT JOIN hero h ON h.design_id = d.design_id LEFT JOIN green g ON g.scene_id = d.scene_id) q""")
 
 # names by falling area while they fit the budget; one that does not fit is passed over and smaller ones go on
