@@ -107,14 +107,15 @@ def smooth(side: str, passes: int = PASSES) -> str:
 
 operator("smooth_grid", "grid", f"SELECT g.scene_id, r, c, round(z - low, 6) AS z FROM {smooth('{grid}')} g JOIN (SELECT scene_id, min(z) AS low FROM {smooth('{grid}')} m GROUP BY scene_id) l ON l.scene_id = g.scene_id")
 
-# the lowest and highest ground under a building's corners and centre; the scene's raster covers its crop of 900 m
-_LIFT = """
-WITH ext AS (SELECT scene_id, max(r) AS rows_, max(c) AS cols FROM {grid} GROUP BY scene_id),
- p AS (SELECT b.scene_id, b.ord, k, greatest(0e0, least(cols, (cx + sx * w / 2 + 900) / 1800 * cols)) AS x, greatest(0e0, least(rows_, (cy + sy * d / 2 + 900) / 1800 * rows_)) AS y, cols, rows_ FROM {buildings} b JOIN ext e ON e.scene_id = b.scene_id CROSS JOIN (VALUES (0,0,0),(1,-1,-1),(2,1,-1),(3,1,1),(4,-1,1)) AS kk(k, sx, sy)),
- q AS (SELECT *, CAST(least(cols - 1, floor(x)) AS BIGINT) AS c0, CAST(least(rows_ - 1, floor(y)) AS BIGINT) AS r0, x - least(cols - 1, floor(x)) AS fc, y - least(rows_ - 1, floor(y)) AS fr FROM p)
-SELECT q.scene_id, q.ord, round(min(h), 6) AS lift, round(max(h) - min(h), 6) AS fall FROM (SELECT q.scene_id, q.ord, (a.z * (1 - fc) + b.z * fc) * (1 - fr) + (c.z * (1 - fc) + d.z * fc) * fr AS h FROM q
- JOIN {grid} a ON a.scene_id = q.scene_id AND a.r = q.r0 AND a.c = q.c0 JOIN {grid} b ON b.scene_id = q.scene_id AND b.r = q.r0 AND b.c = q.c0 + 1
- JOIN {grid} c ON c.scene_id = q.scene_id AND c.r = q.r0 + 1 AND c.c = q.c0 JOIN {grid} d ON d.scene_id = q.scene_id AND d.r = q.r0 + 1 AND d.c = q.c0 + 1) q GROUP BY q.scene_id, q.ord"""
+# the lowest and highest ground under a footprint's corners; the scene's raster covers a square of half side EXTENT. Each
+# square of the raster is one row with its four heights, so a corner meets one row
+EXTENT = "900e0"
+_SPOTS = f"""
+WITH ext AS (SELECT scene_id, max(r) AS rows_, max(c) AS cols FROM {{grid}} GROUP BY scene_id),
+ p AS (SELECT b.scene_id, b.ord, greatest(0e0, least(cols, (v.x + {EXTENT}) / (2 * {EXTENT}) * cols)) AS x, greatest(0e0, least(rows_, (v.y + {EXTENT}) / (2 * {EXTENT}) * rows_)) AS y, cols, rows_ FROM (SELECT scene_id, ord, SPREAD(ring) AS v FROM {{polygons}}) b JOIN ext e ON e.scene_id = b.scene_id),
+ q AS (SELECT *, CAST(least(cols - 1, floor(x)) AS BIGINT) AS c0, CAST(least(rows_ - 1, floor(y)) AS BIGINT) AS r0, x - least(cols - 1, floor(x)) AS fc, y - least(rows_ - 1, floor(y)) AS fr FROM p)"""
+_LIFT = "SELECT scene_id, ord, round(min(h), 6) AS lift, round(max(h) - min(h), 6) AS fall FROM ({}) k GROUP BY scene_id, ord"
 _SQUARES = "(SELECT scene_id, r, c, z AS za, zb, lead(z) OVER (PARTITION BY scene_id, c ORDER BY r) AS zc, lead(zb) OVER (PARTITION BY scene_id, c ORDER BY r) AS zd FROM (SELECT *, lead(z) OVER (PARTITION BY scene_id, r ORDER BY c) AS zb FROM {grid}) s1)"
-operator("terrain_under_features", "grid buildings", _LIFT, _LIFT[: _LIFT.index("SELECT q.scene_id, q.ord, round")] + f"""
-SELECT q.scene_id, q.ord, round(min(h), 6) AS lift, round(max(h) - min(h), 6) AS fall FROM (SELECT q.scene_id, q.ord, (g.za * (1 - fc) + g.zb * fc) * (1 - fr) + (g.zc * (1 - fc) + g.zd * fc) * fr AS h FROM q JOIN {_SQUARES} g ON g.scene_id = q.scene_id AND g.r = q.r0 AND g.c = q.c0) q GROUP BY q.scene_id, q.ord""")
+_BY_SQUARES = f"SELECT q.scene_id, q.ord, (g.za * (1 - fc) + g.zb * fc) * (1 - fr) + (g.zc * (1 - fc) + g.zd * fc) * fr AS h FROM q JOIN {_SQUARES} g ON g.scene_id = q.scene_id AND g.r = q.r0 AND g.c = q.c0"
+_BY_JOINS = "SELECT q.scene_id, q.ord, (a.z * (1 - fc) + b.z * fc) * (1 - fr) + (c.z * (1 - fc) + d.z * fc) * fr AS h FROM q JOIN " + " JOIN ".join(f"{{grid}} {n} ON {n}.scene_id = q.scene_id AND {n}.r = q.r0 + {dr} AND {n}.c = q.c0 + {dc}" for n, dr, dc in (("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("d", 1, 1)))
+operator("terrain_under_features", "grid polygons", _SPOTS.replace("SPREAD", "explode") + _LIFT.format(_BY_SQUARES), _SPOTS.replace("SPREAD", "unnest") + _LIFT.format(_BY_JOINS))
