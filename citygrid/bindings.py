@@ -182,6 +182,12 @@ BINDINGS["terrain_windows"] = ("embeddings", "SELECT scene_id, CAST(8 + scene_id
 BINDINGS["tree_tags"] = ("trees", "SELECT scene_id, concat('n', CAST(ord AS STRING)) AS osm_id, CASE ord % 5 WHEN 0 THEN concat(CAST(CAST(radius_m * 2 AS INT) AS STRING), ' m') WHEN 1 THEN concat(CAST(CAST(radius_m * 10 AS INT) AS STRING), ',5') WHEN 2 THEN '-3' WHEN 3 THEN concat('9', chr(39)) END AS crown_tag FROM {trees}")
 # the square that a scene is cut to; these scenes are drawn at a quarter of what was asked for
 BINDINGS["crops"] = ("requests", "SELECT scene_id, least(radius_m, 3000e0) * 25e-2 AS half FROM {requests}")
+# places as a geocoder's features: some without a name, without an id, beyond the poles, broken, or with little more than an address
+BINDINGS["place_features"] = ("places", """
+SELECT place_ord, CASE WHEN place_ord % 83 = 7 THEN '{{"type":"Feature"' WHEN place_ord % 83 = 8 THEN '{{"type":"Feature","geometry":{{"coordinates":[1.5]}},"properties":{{"name":"x"}}}}' ELSE concat('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[', CAST(lon + 5e-3 AS STRING), ',', CAST(lat + CASE WHEN place_ord % 61 = 3 THEN 200e0 ELSE 5e-3 END AS STRING), ']}},"properties":{{',
+ CASE WHEN place_ord % 5 = 4 THEN '' ELSE concat('"osm_type":"N","osm_id":', CAST(place_ord % 1200 AS STRING), ',') END, '"osm_key":"', CASE place_ord % 7 WHEN 0 THEN 'place' WHEN 1 THEN 'Building' WHEN 2 THEN 'highway' WHEN 3 THEN 'shop' WHEN 4 THEN 'boundary' ELSE 'natural' END, '","osm_value":"', CASE place_ord % 6 WHEN 0 THEN 'city' WHEN 1 THEN 'hamlet' WHEN 2 THEN 'borough' WHEN 3 THEN 'administrative' ELSE 'yes' END, '","type":"', CASE place_ord % 4 WHEN 0 THEN 'district' WHEN 1 THEN 'street' ELSE 'other' END, '"',
+ coalesce(concat(',"name":"', CASE WHEN place_ord % 11 = 5 THEN '  ' ELSE name END, '"'), ''), coalesce(concat(',"housenumber":"', number, '"'), ''), coalesce(concat(',"street":"', street, '"'), ''), coalesce(concat(',"city":"', city, '","county":"', lower(city), '"'), ''), CASE WHEN place_ord % 9 = 7 AND place_ord % 2 = 0 THEN '' ELSE concat(',"country":"', country, '"') END, '}}',
+ CASE place_ord % 3 WHEN 0 THEN concat(',"address":{{"town":"', country, '","county":"C","suburb":"S"}}') WHEN 1 THEN ',"address":{{"county":"C","state":" ","country":"D","quarter":"Q"}}' ELSE '' END, '}}') END AS feature FROM {places}""")
 BINDINGS["mesh_slots"] = ("buildings", "SELECT ord AS mesh_id, 1 + ord % 4 AS slot FROM {buildings}")
 # designs as documents: some with unknown keys, wrong kinds, values out of range or no choice, texts and lists too long, or no JSON
 BINDINGS["design_files"] = ("designs", """
