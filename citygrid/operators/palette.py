@@ -17,10 +17,10 @@ def rgb(color: str, spark: bool, k: int) -> str:
 
 def lab(color: str, spark: bool) -> list[str]:
     """CIE L*, a*, b* of a colour; the matrix, the white and the curve are fixed values."""
-    lin = [f"(CASE WHEN {c} / 255 <= 4045e-5 THEN {c} / 255 / 1292e-2 ELSE pow(({c} / 255 + 55e-3) / 1055e-3, 24e-1) END)" for c in (rgb(color, spark, k) for k in range(3))]
+    lin = [f"(CASE WHEN {c} / 255 <= 0.04045e0 THEN {c} / 255 / 12.92e0 ELSE pow(({c} / 255 + 0.055e0) / 1.055e0, 2.4e0) END)" for c in (rgb(color, spark, k) for k in range(3))]
     rows = ((0.4124564, 0.3575761, 0.1804375, 0.95047), (0.2126729, 0.715152, 0.072175, 1.0), (0.0193339, 0.119192, 0.9503041, 1.08883))
     xyz = [f"(({' + '.join(f'{v} * CAST({m}e0 AS DOUBLE)' for v, m in zip(lin, row))}) / {row[3]}e0)" for row in rows]
-    x, y, z = (f"(CASE WHEN {t} > 8856e-6 THEN pow({t}, 1e0 / 3) ELSE 7787e-3 * {t} + 16e0 / 116 END)" for t in xyz)
+    x, y, z = (f"(CASE WHEN {t} > 0.008856e0 THEN pow({t}, 1e0 / 3) ELSE 7.787e0 * {t} + 16e0 / 116 END)" for t in xyz)
     return [f"116 * {y} - 16", f"500 * ({x} - {y})", f"200 * ({y} - {z})"]
 
 
@@ -87,11 +87,11 @@ def merge_slots(regions: DataFrame, designs: DataFrame, printers: DataFrame, mos
 # fixed values: offset and prime of the hash. Draws of a building are hashes of seed|id:h and seed|id:l over 2**32 - 1
 def draw(text: str, spark: bool) -> str:
     if spark:
-        return f"(aggregate(transform(split({text}, ''), c -> CAST(ascii(c) AS BIGINT)), 2166136261L, (h, c) -> ((h ^ c) * 403L + ((h ^ c) % 256L) * 16777216L) % 4294967296L) / 4294967295e0)"
-    return f"(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 403 + (xor(h, c) % 256) * 16777216) % 4294967296) / 4294967295e0)"
+        return f"(aggregate(transform(split({text}, ''), c -> CAST(ascii(c) AS BIGINT)), 2166136261L, (h, c) -> (h ^ c) * 16777619L % 4294967296L) / 4294967295e0)"
+    return f"(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: xor(h, c) * 16777619 % 4294967296) / 4294967295e0)"
 
 
-HUE, LIGHT, MATERIALS = 12, "12e-2", 32
+HUE, LIGHT, MATERIALS = 12, "0.12e0", 32
 
 
 def tints(spark: bool) -> str:
@@ -122,7 +122,7 @@ operator("tint_materials", "designs buildings overrides", tints(True), tints(Fal
 
 # regions as intervals of height: each elementary slice belongs to the one slot that has material there, else to the slot
 # below; runs of one slot are bands, each change lies on a layer. A slot that shares a slice with another conflicts there
-LAYER = "2e-1"
+LAYER = "0.2e0"
 _PLAN = f"""
 WITH edge AS (SELECT DISTINCT design_id, z FROM (SELECT design_id, z0 AS z FROM {{regions}} UNION SELECT design_id, z1 FROM {{regions}}) e),
  slice AS (SELECT design_id, z AS a, lead(z) OVER (PARTITION BY design_id ORDER BY z) AS b FROM edge),
