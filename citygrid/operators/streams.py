@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from citygrid.operators import OPERATORS, planned, telemetry  # noqa: F401 (the batch twins are registered first)
+from citygrid.operators import OPERATORS, planned, telemetry
 from citygrid.streams import drained
 
-GAP_MS, TTL_MS, DAY_MS = 7_200_000, 21_600_000, 86_400_000
+GAP_MS, TTL_MS, DAY_MS = 7_200_000, telemetry.TTL_MS, 86_400_000
 
 
 @dataclass(frozen=True)
@@ -122,17 +122,13 @@ def fold_jobs(held: tuple | None, events: pd.DataFrame) -> tuple[tuple | None, l
     return (None if newest is None else (newest, job, progress)), out
 
 
-def fold_fetches(held: tuple | None, events: pd.DataFrame, ttl: int = TTL_MS) -> tuple[tuple | None, list[list[tuple]]]:
-    """Held: when was fetched last. From one fetch to the next it is a jump, not a step."""
+def fold_fetches(held: tuple | None, events: pd.DataFrame) -> tuple[tuple | None, list[list[tuple]]]:
+    """Held: when was fetched last."""
     ms = events["ms"].to_numpy()
     out: list[list[tuple]] = [[] for _ in ms]
-    last, at = (held or (None,))[0], 0
-    while at < len(ms):
-        at = at if last is None else at + int(np.searchsorted(ms[at:], last + ttl, side="right"))
-        if at < len(ms):
-            last = int(ms[at])
-            out[at] = [(last,)]
-            at += 1
+    found, last = telemetry.fetches(ms, (held or (None,))[0])
+    for at in found:
+        out[at] = [(int(ms[at]),)]
     return (None if last is None else (last,)), out
 
 

@@ -1,6 +1,14 @@
 """Pipeline telemetry, job events and their timing rules in batch form."""
 
-from citygrid.operators import operator
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from citygrid.operators import operator, planned
 
 # spans of a run and scope by name; a parent that is unknown or the span itself makes a root. Self time is what the
 # children leave; the total of depth 0 is that of the roots
@@ -49,12 +57,41 @@ FROM kept k JOIN last_of l ON l.session_id = k.session_id AND l.job_no = k.job_n
 
 # a lookup of a key within the time to live of its last fetched one is served, the rest are fetched
 TTL_MS = 21600000
-operator("dedupe_ttl", "clicks", f"""
-WITH g AS (SELECT user_id, array_sort(collect_list(named_struct('ms', ms, 'event_id', event_id))) AS looks FROM {{clicks}} GROUP BY user_id)
-SELECT user_id, x.event_id, x.ms FROM (SELECT user_id, explode(aggregate(looks, named_struct('last', CAST(NULL AS BIGINT), 'kept', filter(looks, l -> false)), (s, l) -> CASE WHEN s.last IS NULL OR l.ms - s.last > {TTL_MS} THEN named_struct('last', l.ms, 'kept', concat(s.kept, array(l))) ELSE s END, s -> s.kept)) AS x FROM g) q""", f"""
+
+
+def fetches(ms: np.ndarray, last: int | None, ttl: int = TTL_MS) -> tuple[list[int], int | None]:
+    """Positions in sorted ``ms`` that are fetched, and the last fetch: from one to the next it is a jump."""
+    out, at = [], 0
+    while True:
+        at = at if last is None else at + int(np.searchsorted(ms[at:], last + ttl, side="right"))
+        if at >= len(ms):
+            return out, last
+        out.append(at)
+        last, at = int(ms[at]), at + 1
+
+
+@planned("dedupe_ttl", "clicks", f"""
 WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS nth FROM {{clicks}}),
  f AS (SELECT user_id, event_id, ms, nth FROM o WHERE nth = 1 UNION ALL SELECT n.user_id, n.event_id, n.ms, n.nth FROM f, LATERAL (SELECT o.user_id, o.event_id, o.ms, o.nth FROM o WHERE o.user_id = f.user_id AND o.ms - f.ms > {TTL_MS} ORDER BY o.nth LIMIT 1) n)
-SELECT user_id, event_id, ms FROM f""")
+SELECT user_id, event_id, ms FROM f""")
+def dedupe_ttl(clicks: DataFrame) -> DataFrame:
+    """Lookups come sorted by key and time, batch after batch; what is held of a key is its last fetch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = object(), None
+        for pdf in batches:
+            ids = pdf["user_id"].to_numpy()
+            begins = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]).tolist() if len(ids) else []
+            kept = []
+            for a, b in zip(begins, [*begins[1:], len(ids)]):
+                found, last = fetches(pdf["ms"].to_numpy()[a:b], last if ids[a] == key else None)
+                key = ids[a]
+                kept += [a + k for k in found]
+            yield pdf.iloc[kept]
+
+    given = clicks.select("user_id", "event_id", "ms")
+    return given.repartition("user_id").sortWithinPartitions("user_id", "ms", "event_id").mapInPandas(run, given.schema)
+
 
 operator("debounce", "clicks", """
 SELECT user_id, event_id, ms FROM (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS following FROM {clicks}) q WHERE following IS NULL OR following - ms >= 7200000""")
