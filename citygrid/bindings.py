@@ -188,6 +188,8 @@ SELECT place_ord, CASE WHEN place_ord % 83 = 7 THEN '{{"type":"Feature"' WHEN pl
  CASE WHEN place_ord % 5 = 4 THEN '' ELSE concat('"osm_type":"N","osm_id":', CAST(place_ord % 1200 AS STRING), ',') END, '"osm_key":"', CASE place_ord % 7 WHEN 0 THEN 'place' WHEN 1 THEN 'Building' WHEN 2 THEN 'highway' WHEN 3 THEN 'shop' WHEN 4 THEN 'boundary' ELSE 'natural' END, '","osm_value":"', CASE place_ord % 6 WHEN 0 THEN 'city' WHEN 1 THEN 'hamlet' WHEN 2 THEN 'borough' WHEN 3 THEN 'administrative' ELSE 'yes' END, '","type":"', CASE place_ord % 4 WHEN 0 THEN 'district' WHEN 1 THEN 'street' ELSE 'other' END, '"',
  coalesce(concat(',"name":"', CASE WHEN place_ord % 11 = 5 THEN '  ' ELSE name END, '"'), ''), coalesce(concat(',"housenumber":"', number, '"'), ''), coalesce(concat(',"street":"', street, '"'), ''), coalesce(concat(',"city":"', city, '","county":"', lower(city), '"'), ''), CASE WHEN place_ord % 9 = 7 AND place_ord % 2 = 0 THEN '' ELSE concat(',"country":"', country, '"') END, '}}',
  CASE place_ord % 3 WHEN 0 THEN concat(',"address":{{"town":"', country, '","county":"C","suburb":"S"}}') WHEN 1 THEN ',"address":{{"county":"C","state":" ","country":"D","quarter":"Q"}}' ELSE '' END, '}}') END AS feature FROM {places}""")
+# an earlier version of the footprints: some not mapped yet, some gone since, some moved, some drawn a little or much smaller
+BINDINGS["earlier_buildings"] = ("buildings", "SELECT osm_id, cx + CASE WHEN ord % 25 = 4 THEN 5e-1 ELSE 0e0 END AS cx, cy, w + CASE WHEN ord % 30 = 8 THEN 4e-3 WHEN ord % 30 = 9 THEN -2e0 ELSE 0e0 END AS w, d FROM {buildings} WHERE ord % 40 <> 3 UNION ALL SELECT concat(osm_id, '-old'), cx, cy, w, d FROM {buildings} WHERE ord % 60 = 1")
 BINDINGS["mesh_slots"] = ("buildings", "SELECT ord AS mesh_id, 1 + ord % 4 AS slot FROM {buildings}")
 # designs as documents: some with unknown keys, wrong kinds, values out of range or no choice, texts and lists too long, or no JSON
 BINDINGS["design_files"] = ("designs", """

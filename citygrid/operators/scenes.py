@@ -129,5 +129,5 @@ def parity(left: str, right: str, key: str, fields: list[str], tolerance: str =
  CASE WHEN a.{key} IS NULL OR b.{key} IS NULL THEN 0 ELSE {count} END AS n_fields FROM {left} a FULL OUTER JOIN {right} b ON a.{key} = b.{key} WHERE a.{key} IS NULL OR b.{key} IS NULL OR {" OR ".join(off.values())}"""
 
 
-# the scene as mapped against what the footprints' cleaning and cropping made of it
-operator("scene_parity", "buildings footprint_metrics crop_polygons", parity("(SELECT osm_id, cx, cy, w * d AS area, 2 * (w + d) AS around, cx + w / 2 AS x1 FROM {buildings})", "(SELECT m.osm_id, m.centroid_x AS cx, m.centroid_y AS cy, m.area_m2 AS area, m.perimeter_m AS around, c.x1 FROM {footprint_metrics} m JOIN {crop_polygons} c ON c.osm_id = m.osm_id)", "osm_id", ["cx", "cy", "area", "around", "x1"]))
+# an earlier version of a scene's features against the one now
+operator("scene_parity", "buildings earlier_buildings", parity("(SELECT osm_id, cx, cy, w, d, w * d AS area FROM {earlier_buildings})", "(SELECT osm_id, cx, cy, w, d, w * d AS area FROM {buildings})", "osm_id", ["cx", "cy", "w", "d", "area"]))
