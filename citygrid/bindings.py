@@ -190,6 +190,7 @@ SELECT place_ord, CASE WHEN place_ord % 83 = 7 THEN '{{"type":"Feature"' WHEN pl
  CASE place_ord % 3 WHEN 0 THEN concat(',"address":{{"town":"', country, '","county":"C","suburb":"S"}}') WHEN 1 THEN ',"address":{{"county":"C","state":" ","country":"D","quarter":"Q"}}' ELSE '' END, '}}') END AS feature FROM {places}""")
 # an earlier version of the footprints: some not mapped yet, some gone since, some moved, some drawn a little or much smaller
 BINDINGS["earlier_buildings"] = ("buildings", "SELECT osm_id, cx + CASE WHEN ord % 25 = 4 THEN 5e-1 ELSE 0e0 END AS cx, cy, w + CASE WHEN ord % 30 = 8 THEN 4e-3 WHEN ord % 30 = 9 THEN -2e0 ELSE 0e0 END AS w, d FROM {buildings} WHERE ord % 40 <> 3 UNION ALL SELECT concat(osm_id, '-old'), cx, cy, w, d FROM {buildings} WHERE ord % 60 = 1")
+BINDINGS["mesh_plates"] = ("buildings", "SELECT ord AS mesh_id, CASE WHEN ord % 6 = 0 THEN 40e0 WHEN ord % 6 = 1 THEN 180e0 ELSE 256e0 END AS plate_mm FROM {buildings}")
 BINDINGS["mesh_slots"] = ("buildings", "SELECT ord AS mesh_id, 1 + ord % 4 AS slot FROM {buildings}")
 # designs as documents: some with unknown keys, wrong kinds, values out of range or no choice, texts and lists too long, or no JSON
 BINDINGS["design_files"] = ("designs", """

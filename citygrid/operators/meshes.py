@@ -189,11 +189,11 @@ _GRID = f"(SELECT *, explode(sequence(gy0, gy1)) AS gy FROM (SELECT *, explode(s
 operator("face_pair_intersections", "vertices triangles buildings", _TESTED.replace("PAIRS", f"{_GRID} a JOIN {_GRID} b ON a.scene_id = b.scene_id AND a.gx = b.gx AND a.gy = b.gy AND a.gx = greatest(a.gx0, b.gx0) AND a.gy = greatest(a.gy0, b.gy0)"), _TESTED.replace("PAIRS", "(SAMPLED) a JOIN (SAMPLED) b ON a.scene_id = b.scene_id".replace("SAMPLED", _SAMPLED.replace("CORNERS", PLAIN))))
 
 # fixed values: the checks in their order, with what passes
-operator("validation_report", "mesh_summary edge_topology", """
+operator("validation_report", "mesh_summary edge_topology mesh_plates", """
 SELECT mesh_id, name, passed, value, threshold, min(CASE WHEN passed THEN 1 ELSE 0 END) OVER (PARTITION BY mesh_id) = 1 AS overall, coalesce(min(CASE WHEN NOT passed THEN nth END) OVER (PARTITION BY mesh_id) = nth, false) AS first_failing FROM (
- SELECT m.mesh_id, c.nth, c.name, c.threshold, CASE c.name WHEN 'manifold' THEN e.bad = 0 AND e.open_edges = 0 WHEN 'watertight' THEN e.watertight WHEN 'volume' THEN m.volume_mm3 > 0 WHEN 'bounding_box' THEN m.max_x - m.min_x <= 256 AND m.max_y - m.min_y <= 256 AND m.max_z - m.min_z <= 256 WHEN 'sits_at_zero' THEN m.sits_at_zero WHEN 'triangle_budget' THEN m.in_budget WHEN 'degenerate_faces' THEN m.degenerate = 0 ELSE e.bodies = 1 END AS passed,
+ SELECT m.mesh_id, c.nth, c.name, CASE WHEN c.name = 'bounding_box' THEN p.plate_mm ELSE c.threshold END AS threshold, CASE c.name WHEN 'manifold' THEN e.bad = 0 AND e.open_edges = 0 WHEN 'watertight' THEN e.watertight WHEN 'volume' THEN m.volume_mm3 > 0 WHEN 'bounding_box' THEN m.max_x - m.min_x <= p.plate_mm AND m.max_y - m.min_y <= p.plate_mm AND m.max_z - m.min_z <= p.plate_mm WHEN 'sits_at_zero' THEN m.sits_at_zero WHEN 'triangle_budget' THEN m.in_budget WHEN 'degenerate_faces' THEN m.degenerate = 0 ELSE e.bodies = 1 END AS passed,
   CASE c.name WHEN 'manifold' THEN CAST(e.bad AS DOUBLE) WHEN 'watertight' THEN CAST(e.euler AS DOUBLE) WHEN 'volume' THEN m.volume_mm3 WHEN 'bounding_box' THEN greatest(m.max_x - m.min_x, m.max_y - m.min_y, m.max_z - m.min_z) WHEN 'sits_at_zero' THEN m.min_z WHEN 'triangle_budget' THEN CAST(m.n_triangles AS DOUBLE) WHEN 'degenerate_faces' THEN CAST(m.degenerate AS DOUBLE) ELSE CAST(e.bodies AS DOUBLE) END AS value
- FROM {mesh_summary} m JOIN {edge_topology} e ON e.mesh_id = m.mesh_id CROSS JOIN (VALUES (1,'manifold',0e0), (2,'watertight',2e0), (3,'volume',0e0), (4,'bounding_box',256e0), (5,'sits_at_zero',1e-3), (6,'triangle_budget',2e6), (7,'degenerate_faces',0e0), (8,'bodies',1e0)) AS c(nth, name, threshold)) q""")
+ FROM {mesh_summary} m JOIN {edge_topology} e ON e.mesh_id = m.mesh_id JOIN {mesh_plates} p ON p.mesh_id = m.mesh_id CROSS JOIN (VALUES (1,'manifold',0e0), (2,'watertight',2e0), (3,'volume',0e0), (4,'bounding_box',0e0), (5,'sits_at_zero',1e-3), (6,'triangle_budget',2e6), (7,'degenerate_faces',0e0), (8,'bodies',1e0)) AS c(nth, name, threshold)) q""")
 
 # findings of a design's model on its printer: too big (shrink if that keeps three quarters, else tiles), slots beyond the
 # printer's, overhangs of the scene's meshes, merged buildings, loose bodies, tiles too big; most severe first
