@@ -203,6 +203,21 @@ def test_search_by_index(spark):
     assert "Cross" not in plan and "Join LeftSemi" in plan
 
 
+def test_search_tells_every_hit(spark):
+    """All hits of a query in their order, over starts of labels and scores; entries that share a number are told apart."""
+    labels = {k: f"{'zebra' if k % 3 else 'a zebra'} {k}" for k in range(250)}
+    entries = frame(spark, [(k, label, "", "", "control") for k, label in labels.items()] + [(900, "one okapi", "", "", "control"), (900, "two okapi", "", "", "control"), (901, "okapi", "", "", "control")], "entry long, label string, help string, grp string, kind string")
+    queries = frame(spark, [("zebra", "zebra", 1), ("okapi", "okapi", 1)], "query string, token string, n_tokens int")
+    out = sql(spark, "text_search", entries=entries, queries=queries)
+    got = [(r["entry"], r["score"], r["place"]) for r in out.filter("query = 'zebra'").orderBy("place").collect()]
+    score = lambda k: 60 if k % 3 else 40
+    assert got == [(k, score(k), place) for place, k in enumerate(sorted(labels, key=lambda k: (-score(k), labels[k], k)), 1)]
+    # as in the SQL, two hits of one number are more than the one token that must hit
+    assert [(r["entry"], r["score"], r["place"]) for r in out.filter("query = 'okapi'").collect()] == [(901, 100, 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "Join LeftSemi" in plan
+
+
 @pytest.mark.parametrize("n,first,last", [(8, 0.5, 23.5), (257, -3.0, 30.0)])
 def test_resampling_over_tiles(spark, n, first, last):
     """A plane over three by two tiles of eight pixels stays a plane, and goes on at the edge; a missing pixel drops its scene."""
