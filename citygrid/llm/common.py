@@ -24,9 +24,10 @@ class GenerationalCache(dict):
     When ``most`` keys are young, they become the old generation and the former
     old one goes; a key found in the old generation is taken over, not computed. Keys
     of more than ``longest`` characters are not kept: a few could fill the memory.
+    Without ``compute`` it holds what ``hold`` is given.
     """
 
-    def __init__(self, compute: Callable[[Hashable], object], most: int = 200_000, longest: int | None = None):
+    def __init__(self, compute: Callable[[Hashable], object] | None, most: int = 200_000, longest: int | None = None):
         super().__init__()
         self.compute, self.most, self.longest, self.old = compute, most, longest, {}
 
@@ -41,3 +42,12 @@ class GenerationalCache(dict):
             self.clear()
         self[key] = value
         return value
+
+    def hold(self, values: dict) -> None:
+        """Keep values that were computed elsewhere; they become young at once, even if they are more than ``most``."""
+        if len(self) + len(values) > self.most:
+            self.old = dict(self)
+            self.clear()
+        if self.longest is not None and values and max(map(len, values)) > self.longest:
+            values = {k: v for k, v in values.items() if len(k) <= self.longest}
+        self.update(values)

@@ -9,18 +9,23 @@ of space marks, and between letters, digits and other characters. That no piece
 reaches across is checked for every piece when the model is loaded; the few pieces
 that do are kept in a list, and a word that holds one of them, with its space marks, is
 not cut any further. So a text is the chain of its words' encodings, and each word is
-encoded once per worker as long as the memo holds it. All texts of an Arrow batch are
-also encoded whole by the sentencepiece library; a difference stops the job.
+encoded once per worker as long as the memo holds it. New words of many texts are merged
+side by side: a row of a numpy matrix is a word's agenda, and each step merges the best
+pair of every row. These words need no cuts; long ones, those that need bytes and those
+that may hold a piece of the list are cut and go on alone. All texts of an Arrow batch
+are also encoded whole by the sentencepiece library; a difference stops the job.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import heapq
 import re
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,6 +39,8 @@ SHORT = 32
 NEVER = float("-inf")
 BARE = "\0"  # before a word that has no space mark before it
 LONG = 64  # longer words and cuttings are not kept
+ROWS = 2048  # words that are merged side by side
+CHARS = 1_000_000  # texts whose words are looked up together
 
 
 class Codec:
@@ -61,10 +68,77 @@ class Codec:
         if not all(sp.is_byte(i) for i in self.bytes) or any("\n" in p for p in self.ids):
             raise ValueError("the model has no byte pieces, or pieces with line feeds")
         # ids of one small table, so that cached encodings share their objects
-        self.number, self.text = list(range(size)), [f"{i}," for i in range(size)]
+        self.number, self.text = list(range(size)), [str(i) for i in range(size)]
+        self.numbers = np.array(self.number, object)
+        self._pairs(size)
         self.new: list[tuple[str, tuple[int, ...]]] = []
         self.cache = GenerationalCache(self._cutting, 150_000, LONG)
-        self.words = GenerationalCache(self._word, 300_000, LONG)
+        self.words = GenerationalCache(None, 500_000, LONG)
+
+    def _pairs(self, size: int) -> None:
+        """Pieces by the two symbols that they are merged from, as numbers: pieces, then characters that are
+        none but stand in one, then ``dead``, which is merged with nothing."""
+        number = self.ids | {c: size + k for k, c in enumerate(sorted({c for p in self.ids for c in p} - self.ids.keys()))}
+        self.dead = dead = size + len(number) - len(self.ids)
+        self.char = np.full(0x110000, dead, np.int32)
+        for symbol, i in number.items():
+            if len(symbol) == 1:
+                self.char[ord(symbol)] = i
+        made = {number[p[:k]] * (dead + 1) + number[p[k:]]: i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+        made[dead * (dead + 1) + dead] = -1  # no pair is beyond this one
+        self.pair = np.array(sorted(made), np.int32 if (dead + 1) ** 2 < 2**31 else np.int64)
+        self.piece = np.array([made[k] for k in sorted(made)], np.int32)
+        self.rank = np.full(size + 1, NEVER, np.float32)  # the last one is that of no piece
+        self.rank[list(self.ids.values())] = list(self.score.values())
+
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece of each two symbols, or -1."""
+        pair = left.astype(self.pair.dtype) * (self.dead + 1) + right
+        at = self.pair.searchsorted(pair)
+        return np.where(self.pair[at] == pair, self.piece[at], -1)
+
+    def merge_all(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of non-empty words; those that need bytes are left out."""
+        ordered, out = sorted(words, key=len), {}
+        for at in range(0, len(ordered), ROWS):
+            self._merge_rows(ordered[at : at + ROWS], out)
+        return out
+
+    def _merge_rows(self, words: list[str], out: dict[str, tuple[int, ...]]) -> None:
+        """One agenda a row, all in step. Two columns more than the longest word has: what follows it, what is before it."""
+        lengths = np.array([len(w) for w in words])
+        n, width = len(words), int(lengths.max()) + 2
+        live = np.arange(width) < lengths[:, None]
+        symbol = np.full((n, width), self.dead, np.int32)
+        symbol[live] = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        piece = np.full((n, width), -1, np.int32)
+        piece[:, :-1] = self._merged(symbol[:, :-1], symbol[:, 1:])
+        agenda = self.rank[piece]
+        follows = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
+        before[:, 0] = width - 1
+        start, kept = np.arange(n) * width, live.ravel()
+        s, m, a, f, b = (x.ravel() for x in (symbol, piece, agenda, follows, before))
+        while True:
+            i = agenda.argmax(1) + start  # the leftmost of equals
+            i = i[a[i] > NEVER]
+            if not i.size:
+                break
+            row = i // width * width
+            j = row + f[i]
+            after, prior = row + f[j], row + b[i]
+            s[i], a[j], kept[j] = m[i], NEVER, False
+            f[i], b[after] = f[j], i - row
+            m[i], m[prior] = self._merged(s[i], s[after]), self._merged(s[prior], s[i])
+            a[i], a[prior] = self.rank[m[i]], self.rank[m[prior]]
+        left = symbol[live]
+        ids = self.numbers[np.minimum(left, len(self.number) - 1)].tolist()
+        whole = ((symbol < len(self.number)) | ~live).all(1).tolist()
+        at = 0
+        for word, end, well in zip(words, accumulate(live.sum(1).tolist()), whole):
+            if well:
+                out[word] = tuple(ids[at:end])
+            at = end
 
     def merge(self, word: str) -> list[str]:
         """The symbols of ``word`` when no adjacent pair can be merged any more."""
@@ -123,25 +197,67 @@ class Codec:
         self.new.append((cutting, value := tuple(ids)))
         return value
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a word, and the decimal ids with a comma after each. The word has its space
-        marks, or stands for one mark and itself, or after ``BARE`` for itself alone."""
-        marked = word if word[:1] == SPACE else word[1:] if word[:1] == BARE else word if word == "\n" else SPACE + word
+    def _alone(self, marked: str) -> tuple[int, ...]:
         crossed = self.sign.search(marked) and any(p in marked for p in self.crossing)
         cuttings = [marked] if crossed or self.plain.fullmatch(marked) else FINE.findall(marked)
-        ids = self.cache[cuttings[0]] if len(cuttings) == 1 else tuple(chain.from_iterable([self.cache[c] for c in cuttings]))
-        return ids, "".join([self.text[i] for i in ids])
+        return tuple(chain.from_iterable([self.cache[c] for c in cuttings]))
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """-> ids, and the decimal ids joined by commas."""
+    def _split(self, text: str) -> list[str]:
         if not text:
-            return [], ""
+            return []
         bare = text.replace(" ", SPACE)
         if bare[0] == SPACE or SPACE * 2 in bare or BARE in bare:
-            found = [self.words[w] for w in WORD.findall(SPACE + bare) if w]
-        else:  # no piece has a line feed: what is between two is encoded for itself
-            found = [self.words[w] for w in bare.replace("\n", f"{SPACE}\n{SPACE}{BARE}").split(SPACE)]
-        return list(chain.from_iterable([f[0] for f in found])), "".join([f[1] for f in found])[:-1]
+            return [w for w in WORD.findall(SPACE + bare) if w]
+        # no piece has a line feed: what is between two is encoded for itself
+        return bare.replace("\n", f"{SPACE}\n{SPACE}{BARE}").split(SPACE)
+
+    def _learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """What the memo is to hold of words that it has not, or not any more, among the young. A word has its space
+        marks, or stands for one mark and itself, or after ``BARE`` for itself alone."""
+        old, values, marks = self.words.old, {}, {}
+        for word in words:
+            if (value := old.get(word)) is None:
+                marks[word] = word if word[:1] == SPACE else word[1:] if word[:1] == BARE else word if word == "\n" else SPACE + word
+            else:
+                values[word] = value
+        sign = self.sign.search
+        merged = self.merge_all({m for m in marks.values() if 0 < len(m) <= SHORT and not sign(m)})
+        self.new += merged.items()
+        for word, marked in marks.items():
+            values[word] = merged.get(marked) or self._alone(marked)
+        self.words.hold(values)
+        return values
+
+    def _encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        split = [self._split(t) for t in texts]
+        found = [list(map(self.words.get, words)) for words in split]
+        holes = [[i for i, f in enumerate(of) if f is None] if None in of else [] for of in found]
+        values = self._learn({words[i] for words, at in zip(split, holes) for i in at})
+        for words, of, at in zip(split, found, holes):
+            for i in at:
+                of[i] = values[words[i]]
+        text, ids = self.text, [list(chain.from_iterable(of)) for of in found]
+        return [(of, ",".join([text[i] for i in of])) for of in ids]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """-> of each text its ids, and the decimal ids joined by commas."""
+        out, at, collects = [], 0, gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and the memo is large to go through
+        try:
+            while at < len(texts):
+                end, chars = at + 1, len(texts[at])
+                while end < len(texts) and chars + len(texts[end]) <= CHARS:
+                    chars += len(texts[end])
+                    end += 1
+                out += self._encode(texts[at:end])
+                at = end
+        finally:
+            if collects:
+                gc.enable()
+        return out
+
+    def encode(self, text: str) -> tuple[list[int], str]:
+        return self.encode_all([text])[0]
 
     def check_new(self) -> None:
         """Hold the cuttings met since the last call against the library.
@@ -205,7 +321,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 256):
                 part = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                encoded = [c.encode(t) for t in part]
+                encoded = c.encode_all(part)
                 c.check(part, [e[0] for e in encoded])
                 decoded = [c.decode(e[0]) if e[0] else "" for e in encoded]
                 out = [

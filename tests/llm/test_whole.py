@@ -24,6 +24,29 @@ def test_pieces_check_sees_wrong_cuts(monkeypatch):
         c.check(["_a"], encoded)
 
 
+def test_pieces_of_new_words_side_by_side(monkeypatch):
+    """Words merged in step are those of the agenda and of the library, whatever the memo holds; short words of known
+    characters that cross no cut are not merged alone."""
+    c, alone = pieces.Codec(pieces.default_model()), []
+    merge = c.merge
+    monkeypatch.setattr(c, "merge", lambda word: alone.append(word) or merge(word))
+    rng = np.random.default_rng(5)
+    signs = list("abcdeinorstéß.,;:!?'-0179(){}/") + ["th", "ing", "ción", " ", " ", "\n", "  "]
+    texts = ["".join(rng.choice(signs, int(n))) for n in rng.integers(0, 400, 300)] + ["", " ", "\n", "a ", " a", "▁a", "x" * 32, "e" * 31, "\ud7ff", "日本"]
+    monkeypatch.setattr(pieces, "CHARS", 5_000)
+    for most in (300_000, 50):
+        c.words.most = most
+        encoded = c.encode_all(texts)
+        assert [e[0] for e in encoded] == c.library.encode(texts)
+        assert [e[1] for e in encoded] == [",".join(map(str, e[0])) for e in encoded] and encoded[:20] == [c.encode(t) for t in texts[:20]]
+        c.check(texts, [e[0] for e in encoded])
+    alone.clear()
+    words = [f"{a}{b}{k}" for k in range(1_000) for a, b in (("the", "ing"), ("ción", ","), ("(x", "y)"))]
+    assert [e[0] for e in c.encode_all([" ".join(words)])] == c.library.encode([" ".join(words)]) and not alone
+    words = [w for w in {w for t in texts for w in t.replace("\n", " ").split()} if len(w) <= pieces.SHORT]
+    assert {w: list(v) for w, v in c.merge_all(words).items()} == {w: [c.ids[s] for s in merge(w)] for w in words if all(s in c.ids for s in merge(w))}
+
+
 def test_mixing_labels_of_documents_that_are_gone(spark):
     """They change neither the terms, nor the priors, nor the size of the sample."""
     rows = [(k, " ".join(["bad" if k % 4 == 0 else "fine", f"w{k % 5}", *["word"] * (5 + k % 7)])) for k in range(200)]
