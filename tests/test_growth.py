@@ -34,3 +34,10 @@ def test_crop_leaves_nothing(spark):
     crops = spark.createDataFrame([(1, 10.0)], "scene_id long, half double")
     out = OPERATORS["crop_polygons"](polygons=polygons, crops=crops, buildings=polygons)
     assert {r["ord"]: r["outline_m2"] for r in out.collect()} == {1: 100.0, 3: 10.0}
+
+
+def test_blocks_are_merged_without_broadcast(spark):
+    polygons = spark.createDataFrame([square(1, 1, 0, 0, 10, 10), square(1, 2, 12, 0, 10, 10), square(1, 3, 40, 0, 10, 10)], POLYGONS)
+    near = outlines.close_pairs(polygons, 4)
+    assert "BroadcastHashJoin" not in told(near) and [(r["a"], r["b"]) for r in near.collect()] == [(1, 2)]
+    assert "BroadcastHashJoin" not in told(QUERIES["merge_blocks"](spark, SMALL))
