@@ -41,3 +41,7 @@ def test_blocks_are_merged_without_broadcast(spark):
     near = outlines.close_pairs(polygons, 4)
     assert "BroadcastHashJoin" not in told(near) and [(r["a"], r["b"]) for r in near.collect()] == [(1, 2)]
     assert "BroadcastHashJoin" not in told(QUERIES["merge_blocks"](spark, SMALL))
+
+
+def test_points_meet_areas_without_broadcast(spark):
+    assert "BroadcastHashJoin" not in told(QUERIES["point_in_area"](spark, SMALL))
