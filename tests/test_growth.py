@@ -45,3 +45,7 @@ def test_blocks_are_merged_without_broadcast(spark):
 
 def test_points_meet_areas_without_broadcast(spark):
     assert "BroadcastHashJoin" not in told(QUERIES["point_in_area"](spark, SMALL))
+
+
+def test_trees_meet_buildings_without_broadcast(spark):
+    assert "BroadcastHashJoin" not in told(QUERIES["select_trees"](spark, SMALL))
