@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 from citygrid.catalog import QUERIES
 from citygrid.operators import OPERATORS, outlines
@@ -49,3 +50,7 @@ def test_points_meet_areas_without_broadcast(spark):
 
 def test_trees_meet_buildings_without_broadcast(spark):
     assert "BroadcastHashJoin" not in told(QUERIES["select_trees"](spark, SMALL))
+
+
+def test_audit_meets_meshes_without_broadcast(spark):
+    assert not re.search(r"BroadcastHashJoin \[mesh_id#\w+\], \[ord#", told(QUERIES["printability_audit"](spark, SMALL)))
