@@ -52,5 +52,9 @@ def test_trees_meet_buildings_without_broadcast(spark):
     assert "BroadcastHashJoin" not in told(QUERIES["select_trees"](spark, SMALL))
 
 
+def test_block_heights_without_broadcast(spark):
+    assert not re.search(r"BroadcastHashJoin \[(ord|block|scene_id)#", told(QUERIES["block_heights"](spark, SMALL)))
+
+
 def test_audit_meets_meshes_without_broadcast(spark):
     assert not re.search(r"BroadcastHashJoin \[mesh_id#\w+\], \[ord#", told(QUERIES["printability_audit"](spark, SMALL)))
