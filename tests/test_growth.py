@@ -58,3 +58,7 @@ def test_block_heights_without_broadcast(spark):
 
 def test_audit_meets_meshes_without_broadcast(spark):
     assert not re.search(r"BroadcastHashJoin \[mesh_id#\w+\], \[ord#", told(QUERIES["printability_audit"](spark, SMALL)))
+
+
+def test_fixes_meet_findings_without_broadcast(spark):
+    assert not re.search(r"BroadcastHashJoin \[design_id#\w+, path#", told(QUERIES["apply_safe_fixes"](spark, SMALL)))
