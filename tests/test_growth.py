@@ -62,3 +62,7 @@ def test_audit_meets_meshes_without_broadcast(spark):
 
 def test_fixes_meet_findings_without_broadcast(spark):
     assert not re.search(r"BroadcastHashJoin \[design_id#\w+, path#", told(QUERIES["apply_safe_fixes"](spark, SMALL)))
+
+
+def test_rollup_without_broadcast(spark):
+    assert not re.search(r"BroadcastHashJoin \[(ord|osm_id)#\w+\], \[(ord|osm_id|v)#", told(QUERIES["issue_rollup"](spark, SMALL)))
