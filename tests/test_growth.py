@@ -2,10 +2,11 @@
 
 import contextlib
 import io
+import random
 import re
 
 from citygrid.catalog import QUERIES
-from citygrid.operators import OPERATORS, outlines
+from citygrid.operators import OPERATORS, outlines, spatial
 
 from tests.conftest import SMALL
 
@@ -66,3 +67,19 @@ def test_fixes_meet_findings_without_broadcast(spark):
 
 def test_rollup_without_broadcast(spark):
     assert not re.search(r"BroadcastHashJoin \[(ord|osm_id)#\w+\], \[(ord|osm_id|v)#", told(QUERIES["issue_rollup"](spark, SMALL)))
+
+
+def test_nearest_road_in_blocks(spark):
+    """Against all pairs: long and short segments, some along an axis or without length, ties, several blocks."""
+    rng = random.Random(4)
+    vertices = [(1, f"w{k}", n, x, y) for k in range(60) for n, (x, y) in enumerate([(rng.choice([-1500.0, 0.0, rng.uniform(-1500, 1500)]), rng.uniform(-1500, 1500)) for _ in range(3)])]
+    vertices += [(1, "w70", n, float(x), 64.0) for n, x in enumerate((-900, 900, 900))] + [(1, "w71", n, float(x), 64.0) for n, x in enumerate((-800, 1024))] + [(2, "w72", 0, 0.0, 0.0), (2, "w72", 1, 0.0, 9.0)]
+    vertices = spark.createDataFrame(vertices, "scene_id long, osm_id string, seq int, x double, y double")
+    widths = vertices.selectExpr("osm_id", "CAST(CASE WHEN osm_id LIKE 'w7%' THEN 10 ELSE 3 + substr(osm_id, 2) % 20 END AS DOUBLE) AS width_m").distinct()
+    trees = [(1, k, float(rng.randint(-1600, 1600)), float(rng.randint(-1600, 1600))) for k in range(1500)] + [(1, 2000 + k, -1000.0 + 50 * k, 64.0 + k % 9) for k in range(45)] + [(3, 3000, 0.0, 0.0), (1, 3001, None, 0.0)]
+    trees = spark.createDataFrame(trees, "scene_id long, ord long, x double, y double")
+    all_pairs = spatial._ROAD.replace("PAIRS", f"{{trees}} a JOIN ({spatial._SEG}) b ON a.scene_id = b.scene_id")
+    want = spark.sql(all_pairs, trees=trees, road_vertices=vertices, road_widths=widths).collect()
+    out = OPERATORS["nearest_road"](trees=trees, road_vertices=vertices, road_widths=widths)
+    assert sorted(out.collect()) == sorted(want) and len(want) > 300
+    assert "FlatMapCoGroupsInArrow" in told(out)  # no row for each cell that a segment touches
