@@ -6,7 +6,7 @@ import random
 import re
 
 from citygrid.catalog import QUERIES
-from citygrid.operators import OPERATORS, outlines, spatial
+from citygrid.operators import OPERATORS, outlines, rings, spatial
 
 from tests.conftest import SMALL
 
@@ -83,3 +83,16 @@ def test_nearest_road_in_blocks(spark):
     out = OPERATORS["nearest_road"](trees=trees, road_vertices=vertices, road_widths=widths)
     assert sorted(out.collect()) == sorted(want) and len(want) > 300
     assert "FlatMapCoGroupsInArrow" in told(out)  # no row for each cell that a segment touches
+
+
+def test_rings_in_batches(spark):
+    """Relations are rows of Arrow batches, no group of Python each; lines in any order of rows, without order, role or points."""
+    line = lambda k, role, *ps: (1, "r1", k, role, points(ps))
+    rows = [line(2, "inner", (2, 2), (2, 4), (4, 4), (2, 2)), line(1, None, (0, 10), (0, 0)), line(0, "outer", (0, 0), (10, 0), (10, 10), (0, 10)), line(None, "outer", (20, 0), (21, 0), (21, 1), (20, 1), (20, 0)), line(3, "outer", (50, 50), (51, 51)), (1, "r2", 0, "outer", None)]
+    rows += [(2, f"r{k}", 0, "", points([(0, 0), (k, 0), (k, 1), (0, 1), (0, 0)])) for k in range(10, 300)]
+    lines = spark.createDataFrame(rows[::-1], f"scene_id long, osm_id string, ord long, role string, points {RING}")
+    out = rings.assemble_rings(lines)
+    got = sorted(tuple(r) for r in out.collect())
+    assert got[:2] == [(1, "r1", 0, 100.0, 2.0, 1), (1, "r1", 1, 1.0, 0.0, 0)] and sorted(got[2:]) == sorted((2, f"r{k}", 0, float(k), 0.0, 0) for k in range(10, 300))
+    assert "FlatMapGroupsInPandas" not in told(out)
+    assert rings.assemble_rings(lines.limit(0)).count() == 0
