@@ -96,3 +96,8 @@ def test_rings_in_batches(spark):
     assert got[:2] == [(1, "r1", 0, 100.0, 2.0, 1), (1, "r1", 1, 1.0, 0.0, 0)] and sorted(got[2:]) == sorted((2, f"r{k}", 0, float(k), 0.0, 0) for k in range(10, 300))
     assert "FlatMapGroupsInPandas" not in told(out)
     assert rings.assemble_rings(lines.limit(0)).count() == 0
+
+
+def test_picks_meet_objects_without_broadcast(spark):
+    """Only the fixed heights of building types may be broadcast to a left join."""
+    assert not re.search(r"BroadcastHashJoin \[(?!lower|highway).*LeftOuter", told(QUERIES["objects_at"](spark, SMALL)))
